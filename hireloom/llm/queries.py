@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hireloom.common import table
-from hireloom.llm import mixing, tokens
+from hireloom.llm import mixing, neardup, tokens
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,8 +33,25 @@ def p9_shares_beyond(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir, budget=1 << 62)[1]
 
 
+def _neardup(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, sf_dir, "postings").select("row_id", "title", "description")
+    return neardup.near_duplicates(rows, "row_id", "title", "description", k=3, threshold=0.7, least_words=30)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of postings alike in at least 0.7 of their three-word runs."""
+    pairs = neardup.all_pairs(*_neardup(spark, sf_dir))
+    return pairs.select(F.col("key_a").alias("row_id_a"), F.col("key_b").alias("row_id_b"))
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of alike postings that each posting belongs to."""
+    groups = neardup.components(*_neardup(spark, sf_dir))
+    return groups.select(F.col("key").alias("row_id"), "rep", "class_id", "n_links")
+
+
 def queries() -> dict:
-    return {"p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_shares_beyond": p9_shares_beyond}
+    return {"p5_found": p5_found, "p5_groups": p5_groups, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_shares_beyond": p9_shares_beyond}
 
 
 def oracle_sql() -> dict[str, str]:
