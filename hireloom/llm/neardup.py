@@ -1,18 +1,24 @@
 """Near-duplicate records by multiple-global-order filtering (problem 5).
 
 Each record is the set of its distinct word runs. Under any total order of the tokens, two sets whose Jaccard similarity is at
-least t share a token within their first |x| - ceil(t |x|) + 1 tokens. Several orders are used: each gives its own necessary
-condition, and only pairs that meet all of them are verified on the whole sets.
-
-* Records with equal sets collapse into one representative and a membership row each, before anything is paired.
-* The orders rank tokens by a count sketch of the corpus, rarest first, under different hash rotations; a token that the sketch
-  has seen once belongs to one record only, so it needs no entry.
-* Candidates are the pairs that share a token in the prefixes of the first order; the other orders' prefixes are then compared.
-* The sets of the records that are left are computed again where the text lies, sent once to each pair, and intersected.
+least t must share tokens in their prefixes; filters under several orders are intersected before anything is verified.
+
+* Hash order. Let a and b be the sizes and o the least overlap, ceil(t (a + b) / (1 + t)). Of the a - 1 neighbouring pairs of
+  tokens of one set at most 2 (a - o) lose a member and at most b - o are parted by a token of the other set alone, so
+  3 o - a - b - 1 neighbouring pairs are common. A pair is far more selective than a token where texts share phrases.
+* Rarity order of those pairs, by a count sketch of the corpus: similar sets share a pair within their first a - c pairs, c being
+  the bound above for the smallest partner. Only these are indexed. Sets too small for the bound index their single tokens too.
+* Records that meet in the index must have sizes and parity bitmaps (their distance never exceeds the symmetric difference) that
+  allow the similarity; then the prefixes of both sets under rarity order and under hash order of single tokens must meet; only
+  then are the whole sets compared.
+
+Records with equal sets collapse into one class each. Within a batch they collapse before the index is built, and the index keeps
+each class once for each token, so copies never pair up in it.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,13 +28,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hireloom.common import materialise
-from hireloom.llm.shingles import TOKEN_BITS, chunks, mix, pack_tokens, runs, unpack_tokens
-from hireloom.llm.sketching import count_sketch, key_bitmap, share
+from hireloom.llm.shingles import Sketch, chunks, mix, pack_tokens, runs, unpack_tokens, words
+from hireloom.llm.sketching import key_bitmap, merged_sketch, passes, share
 
-#: Token orders after the first; each must share a prefix token too.
-MORE_ORDERS = 2
-SKETCH_BITS = 24
+SKETCH_BITS = 22
 BITMAP_BITS = 24
+#: Index entries of one block, about; the number of blocks grows with the corpus.
+BLOCK_ENTRIES = 4_000_000
+#: Pairs compared at once within a block.
+PAIR_CHUNK = 1 << 20
+#: 64-bit words of a record's parity bitmap.
+PARITY_WORDS = 6
 
 
 def _texts(batch: pa.RecordBatch) -> pa.Array:
@@ -36,111 +46,205 @@ def _texts(batch: pa.RecordBatch) -> pa.Array:
     return pc.binary_join_element_wise(title, body, pa.scalar(" ", pa.large_string()))
 
 
-def _sets(batch: pa.RecordBatch, k: int, least_words: int) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
-    """(start, texts, tokens, edges, eligible) for each chunk of a batch of (id, title, body)."""
-    from hireloom.llm.shingles import words
-
+def _sets(batch: pa.RecordBatch, k: int, least_words: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(keys, tokens, edges) of the eligible records of each chunk of a batch of (key, title, body)."""
     for start, part in chunks(_texts(batch)):
         tokens, edges, counts = runs(part, k)
+        sizes = np.diff(edges)
         _, of = words(batch.column(1).slice(start, len(part)))
-        body = counts - np.bincount(of, minlength=len(part))
-        yield start, part, tokens, edges, (body >= least_words) & (np.diff(edges) > 0)
+        ok = (counts - np.bincount(of, minlength=len(part)) >= least_words) & (sizes > 0)
+        if not ok.all():
+            tokens, edges = tokens[np.repeat(ok, sizes)], np.concatenate(([0], np.cumsum(sizes[ok])))
+        yield batch.column(0).slice(start, len(part)).filter(pa.array(ok)), tokens, edges
+
+
+def _set_hashes(tokens: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(tokens), dtype=np.uint64)))
+    return mix(total[edges[1:]] - total[edges[:-1]] + np.diff(edges).astype(np.uint64)).view(np.int64)
+
+
+class Bounds:
+    """The numbers that a similarity of t or more implies."""
+
+    def __init__(self, t: float):
+        if not 0.5 < t <= 1:
+            raise ValueError("the threshold must lie above 0.5 and not above 1")
+        self.t = t
+        self.pair_share = 3 * t / (1 + t) - 1
+        #: The least size at which one common neighbouring pair is certain, whatever the partner.
+        self.least = next(a for a in range(2, 10_000) if self.common_pairs(np.array([a]))[0] >= 1)
+        self.single = math.ceil(self.least / t)
+
+    def common_pairs(self, a: np.ndarray) -> np.ndarray:
+        return np.ceil(self.pair_share * (a + np.ceil(self.t * a - 1e-9)) - 1 - 1e-9).astype(np.int64)
 
+    def indexed_pairs(self, a: np.ndarray) -> np.ndarray:
+        return np.clip(a - np.maximum(self.common_pairs(a), 1), 1, np.maximum(a - 1, 1))
 
-def _ranked(tokens: np.ndarray, edges: np.ndarray, counts: np.ndarray, bits: int, threshold: float, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(token, text, place) of the prefix tokens of each text under one order, without tokens that only one record has."""
+    def prefix(self, a: np.ndarray | int) -> np.ndarray:
+        return a - np.ceil(self.t * a - 1e-9).astype(np.int64) + 1
+
+    def overlap(self, sizes: np.ndarray) -> np.ndarray:
+        """Least overlap of two sets with ``sizes`` elements together."""
+        return np.ceil(sizes * (self.t / (1 + self.t)) - 1e-9).astype(np.int64)
+
+
+def _entries(tokens: np.ndarray, edges: np.ndarray, rarity: np.ndarray, bounds: Bounds) -> tuple[np.ndarray, np.ndarray]:
+    """(entry, record): the indexed neighbouring pairs of each set, and the single tokens of small ones."""
     sizes = np.diff(edges)
     of = np.repeat(np.arange(len(sizes)), sizes)
-    count = counts[(tokens & np.uint64((1 << bits) - 1)).astype(np.int64)].astype(np.uint64)
-    if turn:
-        tie = mix(tokens + np.uint64(turn)) >> np.uint64(32)
-        # Each further order cuts the counts into its own coarse bands, so its prefixes differ from the first's.
-        band = count >> np.uint64(turn + 1)
-    else:
-        tie, band = tokens >> np.uint64(TOKEN_BITS - 32), count
-    key = (of.astype(np.uint64) << np.uint64(40)) | (band << np.uint64(32)) | tie
+    # Runs are kept in hash order already, so neighbours in the array are neighbours in that order.
+    slot = rarity[(tokens & np.uint64(len(rarity) - 1)).astype(np.int64)].astype(np.uint64)
+    same = of[1:] == of[:-1]
+    pair = mix(tokens[:-1] * np.uint64(3) + mix(tokens[1:]))[same]
+    rank, own = (slot[:-1] + slot[1:])[same], of[:-1][same]
+    key = (own.astype(np.uint64) << np.uint64(40)) | (rank << np.uint64(31)) | (pair >> np.uint64(33))
     order = np.argsort(key)
-    place = np.arange(len(tokens)) - np.repeat(edges[:-1] - edges[0], sizes)
-    prefix = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
-    keep = (place < prefix[of]) & (count[order] > 1)
-    return tokens[order][keep], of[keep], place[keep]
+    firsts = np.concatenate(([0], np.cumsum(np.maximum(sizes - 1, 0))))
+    place = np.arange(len(pair)) - np.repeat(firsts[:-1], np.maximum(sizes - 1, 0))
+    keep = place < bounds.indexed_pairs(sizes)[own]
+    entries, records = pair[order][keep], own[keep]
+    small = sizes[of] <= bounds.single
+    return np.concatenate((entries, mix(tokens[small] + np.uint64(1)))), np.concatenate((records, of[small]))
+
+
+def _parity(tokens: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    n, bits = len(edges) - 1, 64 * PARITY_WORDS
+    of = np.repeat(np.arange(n), np.diff(edges))
+    bit = (mix(tokens + np.uint64(7)) >> np.uint64(40)).astype(np.int64) % bits
+    odd = (np.bincount(of * bits + bit, minlength=n * bits) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(n, bits), axis=1, bitorder="little").view("<u8")
+
+
+def _block_pairs(entry: np.ndarray, doc: np.ndarray, ids: np.ndarray, sizes: np.ndarray, parity: np.ndarray, bounds: Bounds) -> Iterator[np.ndarray]:
+    """Distinct (id, id) pairs of documents that share an entry and may be similar; ids are distinct documents' numbers."""
+    order = np.lexsort((doc, entry))
+    entry, doc = entry[order], doc[order]
+    fresh = np.concatenate(([True], (entry[1:] != entry[:-1]) | (doc[1:] != doc[:-1])))
+    entry, doc = entry[fresh], doc[fresh]
+    starts = np.flatnonzero(np.concatenate(([True], entry[1:] != entry[:-1])))
+    lengths = np.diff(np.concatenate((starts, [len(entry)])))
+    # Each entry meets all later ones of its group; a group's pairs are dealt out row by row, in chunks.
+    remaining = np.repeat(starts + lengths, lengths) - np.arange(len(entry)) - 1
+    rows = np.flatnonzero(remaining)
+    upto = np.cumsum(remaining[rows])
+    done = 0
+    while done < len(rows):
+        base = upto[done - 1] if done else 0
+        stop = max(int(np.searchsorted(upto, base + PAIR_CHUNK, side="right")), done + 1)
+        row, n = rows[done:stop], remaining[rows[done:stop]]
+        left = np.repeat(row, n)
+        right = left + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        x, y = doc[left], doc[right]
+        total = sizes[x] + sizes[y]
+        fits = np.minimum(sizes[x], sizes[y]) >= np.maximum(sizes[x], sizes[y]) * bounds.t - 1e-9
+        x, y, total = x[fits], y[fits], total[fits]
+        apart = np.bitwise_count(parity[x] ^ parity[y]).sum(axis=1)
+        fits = apart <= total - 2 * bounds.overlap(total)
+        a, b = ids[x[fits]], ids[y[fits]]
+        yield np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
+        done = stop
 
 
 def near_duplicates(rows: DataFrame, key: str, title: str, body: str, k: int = 5, threshold: float = 0.8, least_words: int = 0,
-                    more_orders: int = MORE_ORDERS, sketch_bits: int = SKETCH_BITS, bitmap_bits: int = BITMAP_BITS) -> tuple[DataFrame, DataFrame]:
-    """(members, links): members (key, rep) names the class of equal sets of each record; links (rep_a, rep_b, similarity), rep_a < rep_b,
-    are the pairs of classes with a Jaccard similarity of ``threshold`` or more over the ``k``-word runs of title, a blank and body.
+                    sketch_bits: int = SKETCH_BITS, bitmap_bits: int = BITMAP_BITS, block_entries: int = BLOCK_ENTRIES) -> tuple[DataFrame, DataFrame]:
+    """(members, links): members (key, rep) names the class of equal sets of each record by its least key; links (rep_a, rep_b,
+    similarity), rep_a < rep_b, are the pairs of classes with a Jaccard similarity of ``threshold`` or more (above 0.5) over the
+    ``k``-word runs of title, a blank and body.
 
     ``key`` must be a unique bigint. Records whose body has fewer than ``least_words`` words, or whose text has no k-word run, take
     no part: null and empty texts give no row. Similarity is inclusive. The whole text counts, however long. Other columns are
-    pruned; an empty table gives two empty tables.
+    pruned; an empty table gives two empty tables. Runs are compared by 48-bit hashes.
     """
     picked = rows.select(F.col(key).cast("bigint").alias("key"), F.col(title).alias("title"), F.col(body).alias("body"))
+    bounds = Bounds(threshold)
 
-    def items(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for _, _, tokens, edges, ok in _sets(batch, k, least_words):
-            yield tokens[np.repeat(ok, np.diff(edges))]
-
-    counts = share(rows, count_sketch(picked, items, sketch_bits))
-    fields = ["key", "set_a", "set_b", "n", *(f"p{i}" for i in range(more_orders + 1)), "places"]
-
-    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch, part = Sketch(sketch_bits), 0
+        nulls = lambda n, kind: pa.nulls(n, kind)
+        names = ["key", "set", "n", "part", "block", "counts"]
+        for batch in batches:
+            for keys, tokens, edges in _sets(batch, k, least_words):
+                sketch.add(tokens)
+                n = len(keys)
+                part = part or (keys[0].as_py() if n else 0)
+                yield pa.RecordBatch.from_arrays(
+                    [keys, pa.array(_set_hashes(tokens, edges)), pa.array(np.diff(edges), pa.int32()), nulls(n, pa.int64()), nulls(n, pa.int32()), nulls(n, pa.binary())], names=names
+                )
+        used, packed = sketch.blocks()
+        for i, p in zip(used, packed):
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((None, pa.int64()), (None, pa.int64()), (None, pa.int32()), (part, pa.int64()), (i, pa.int32()), (p, pa.binary()))], names=names)
+
+    first = materialise(picked.mapInArrow(counted, "key bigint, set bigint, n int, part bigint, block int, counts binary"), "neardup-counts")
+    signatures = first.where(F.col("block").isNull()).select("key", "set", "n")
+    counts = merged_sketch(first.where(F.col("block").isNotNull()).select("part", "block", "counts"), sketch_bits)
+    rarity = share(rows, np.minimum(np.round(np.log2(counts.astype(np.float64) + 1) * 8), 255).astype(np.uint8))
+    indexed = signatures.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    blocks = max(1, math.ceil(indexed / block_entries))
+
+    def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, part, tokens, edges, ok in _sets(batch, k, least_words):
-                n = np.diff(edges)
-                spread = mix(tokens)
-                sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64))) for x in (spread, mix(spread))]
-                set_a, set_b = ((s[edges[1:]] - s[edges[:-1]]).view(np.int64) for s in sums)
-                lists, places = [], None
-                for turn in range(more_orders + 1):
-                    token, of, place = _ranked(tokens, edges, counts.value, sketch_bits, threshold, turn)
-                    at = pa.array(np.searchsorted(of, np.arange(len(part) + 1)), pa.int32())
-                    lists.append(pa.ListArray.from_arrays(at, pa.array(token.astype(np.int64))))
-                    if not turn:
-                        places = pa.ListArray.from_arrays(at, pa.array(place.astype(np.int32)))
-                columns = [batch.column(0).slice(start, len(part)), pa.array(set_a), pa.array(set_b), pa.array(n, pa.int32()), *lists, places]
-                yield pa.RecordBatch.from_arrays(columns, names=fields).filter(pa.array(ok))
-
-    schema = "key bigint, set_a bigint, set_b bigint, n int, " + ", ".join(f"p{i} array<bigint>" for i in range(more_orders + 1)) + ", places array<int>"
-    signatures = materialise(picked.mapInArrow(signed, schema), "neardup-signatures")
-    classes = signatures.groupBy("set_a", "set_b").agg(F.min(F.struct("key", *fields[3:])).alias("first"))
-    classes = materialise(classes.select("set_a", "set_b", F.col("first.key").alias("rep"), "first.*").drop("key"), "neardup-classes")
-    members = signatures.select("key", "set_a", "set_b").join(classes.select("set_a", "set_b", "rep"), ["set_a", "set_b"]).select("key", "rep")
-
-    entries = classes.select("rep", "n", F.explode(F.arrays_zip("p0", "places")).alias("e")).select(
-        F.col("e.p0").alias("token"), "rep", "n", F.col("e.places").alias("place")
-    )
-    a, b = entries.alias("a"), entries.alias("b")
-    overlap = F.ceil((F.col("a.n") + F.col("b.n")) * (threshold / (1 + threshold)) - 1e-9)
-    rest = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
-    pairs = (
-        a.join(b, F.col("a.token") == F.col("b.token"))
-        .where((F.col("a.rep") < F.col("b.rep")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * threshold - 1e-9) & (rest >= overlap))
-        .groupBy(F.col("a.rep").alias("rep_a"), F.col("b.rep").alias("rep_b"))
-        .agg(F.count(F.lit(1)).alias("shared"))
-        .drop("shared")
-    )
-    more = [f"p{i}" for i in range(1, more_orders + 1)]
+            held: list[tuple] = []
+            for keys, tokens, edges in _sets(batch, k, least_words):
+                if not len(keys):
+                    continue
+                sets = _set_hashes(tokens, edges)
+                _, once = np.unique(sets, return_index=True)
+                if len(once) < len(sets):
+                    picks = np.zeros(len(sets), bool)
+                    picks[once] = True
+                    tokens, edges, sets = tokens[np.repeat(picks, np.diff(edges))], np.concatenate(([0], np.cumsum(np.diff(edges)[picks]))), sets[picks]
+                entry, of = _entries(tokens, edges, rarity.value, bounds)
+                held.append((entry, of, sets, np.diff(edges), _parity(tokens, edges)))
+            if not held:
+                continue
+            shift = np.cumsum([0] + [len(h[2]) for h in held])
+            entry, of = np.concatenate([h[0] for h in held]), np.concatenate([h[1] + s for h, s in zip(held, shift)])
+            sets, sizes, parity = (np.concatenate([h[i] for h in held]) for i in (2, 3, 4))
+            block = ((entry >> np.uint64(40)) % np.uint64(blocks)).astype(np.int64)
+            order = np.argsort(block, kind="stable")
+            cuts = np.searchsorted(block[order], np.arange(blocks + 1))
+            for i in np.flatnonzero(np.diff(cuts)):
+                at = order[cuts[i] : cuts[i + 1]]
+                used, local = np.unique(of[at], return_inverse=True)
+                cells = [pack_tokens(entry[at] & np.uint64((1 << 48) - 1)), local.astype("<u2").tobytes(), sets[used].astype("<i8").tobytes(),
+                         sizes[used].astype("<i4").tobytes(), parity[used].tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *[pa.array([c], pa.binary()) for c in cells]], names=["block", "entry", "doc", "sets", "sizes", "parity"])
+
+    def joined(table: pa.Table) -> pa.Table:
+        cell = lambda name, kind: [np.frombuffer(x, dtype=kind) for x in table.column(name).to_pylist()]
+        ids = cell("sets", "<i8")
+        shift = np.cumsum([0] + [len(x) for x in ids])
+        entry = np.concatenate([unpack_tokens(x) for x in table.column("entry").to_pylist()])
+        doc = np.concatenate([x.astype(np.int64) + s for x, s in zip(cell("doc", "<u2"), shift)])
+        ids, sizes, parity = np.concatenate(ids), np.concatenate(cell("sizes", "<i4")).astype(np.int64), np.concatenate(cell("parity", "<u8")).reshape(-1, PARITY_WORDS)
+        distinct, at, number = np.unique(ids, return_index=True, return_inverse=True)
+        found = list(_block_pairs(entry, number[doc], distinct, sizes[at], parity[at], bounds))
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        return pa.table({"set_a": pairs[:, 0], "set_b": pairs[:, 1]})
+
+    index = picked.mapInArrow(posted, "block int, entry binary, doc binary, sets binary, sizes binary, parity binary")
+    pairs = index.groupBy("block").applyInArrow(joined, "set_a bigint, set_b bigint").distinct()
+    classes = signatures.groupBy("set").agg(F.min("key").alias("rep"))
+    members = signatures.select("key", "set").join(classes, "set").select("key", "rep")
     for side in ("a", "b"):
-        pairs = pairs.join(classes.select(F.col("rep").alias(f"rep_{side}"), *[F.col(p).alias(f"{p}_{side}") for p in more]), f"rep_{side}")
-    for p in more:
-        pairs = pairs.where(F.arrays_overlap(f"{p}_a", f"{p}_b"))
-    candidates = materialise(pairs.select("rep_a", "rep_b"), "neardup-candidates")
+        pairs = pairs.join(classes.withColumnsRenamed({"set": f"set_{side}", "rep": f"rep_{side}"}), f"set_{side}")
+    candidates = materialise(pairs.select(F.least("rep_a", "rep_b").alias("rep_a"), F.greatest("rep_a", "rep_b").alias("rep_b")), "neardup-candidates")
 
-    wanted = share(rows, np.packbits(key_bitmap(candidates.select(F.explode(F.array("rep_a", "rep_b")).alias("rep")), "rep", bitmap_bits), bitorder="little"))
+    wanted = share(rows, key_bitmap(candidates.select(F.explode(F.array("rep_a", "rep_b")).alias("rep")), "rep", bitmap_bits))
     flagged = picked.withColumn("slot", F.pmod(F.xxhash64("key"), F.lit(1 << bitmap_bits)))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = wanted.value
+    def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slot = batch.column(3).to_numpy()
-            batch = batch.filter(pa.array((bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1))
-            for start, part, tokens, edges, ok in _sets(batch, k, least_words):
-                packed = [pack_tokens(tokens[edges[i] : edges[i + 1]]) for i in range(len(part))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), pa.array(packed, pa.binary())], names=["rep", "tokens"])
-
-    found = flagged.mapInArrow(sets, "rep bigint, tokens binary")
-    # One row for each left record carries its set together with the partners that it is compared with.
+            batch = batch.filter(pa.array(passes(wanted.value, batch.column(3).to_numpy())))
+            for keys, tokens, edges in _sets(batch, k, least_words):
+                of = np.repeat(np.arange(len(keys)), np.diff(edges))
+                rank = rarity.value[(tokens & np.uint64(len(rarity.value) - 1)).astype(np.int64)].astype(np.uint64)
+                tokens = tokens[np.argsort((of.astype(np.uint64) << np.uint64(40)) | (rank << np.uint64(32)) | (tokens >> np.uint64(16)))]
+                packed = [pack_tokens(tokens[edges[i] : edges[i + 1]]) for i in range(len(keys))]
+                yield pa.RecordBatch.from_arrays([keys, pa.array(packed, pa.binary())], names=["rep", "tokens"])
+
+    found = flagged.mapInArrow(whole_sets, "rep bigint, tokens binary")
     left = candidates.join(found.withColumnsRenamed({"rep": "rep_a", "tokens": "tokens_a"}), "rep_a")
     both = left.join(found.withColumnsRenamed({"rep": "rep_b", "tokens": "tokens_b"}), "rep_b").select("rep_a", "rep_b", "tokens_a", "tokens_b")
 
@@ -150,7 +254,13 @@ def near_duplicates(rows: DataFrame, key: str, title: str, body: str, k: int = 5
             similarity = np.zeros(len(batch))
             for i in range(len(batch)):
                 x, y = unpack_tokens(ta[i].as_py()), unpack_tokens(tb[i].as_py())
-                common = len(x) + len(y) - len(np.union1d(x, y))
+                p, q = int(bounds.prefix(len(x))), int(bounds.prefix(len(y)))
+                if not len(np.intersect1d(x[:p], y[:q], assume_unique=True)):  # rarity order
+                    continue
+                x, y = np.sort(x), np.sort(y)
+                if not len(np.intersect1d(x[:p], y[:q], assume_unique=True)):  # hash order
+                    continue
+                common = len(np.intersect1d(x, y, assume_unique=True))
                 similarity[i] = common / (len(x) + len(y) - common)
             out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(similarity)], names=["rep_a", "rep_b", "similarity"])
             yield out.filter(pa.array(similarity >= threshold - 1e-12))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hireloom.common import table
-from hireloom.llm import mixing, neardup, tokens
+from hireloom.llm import linking, mixing, neardup, tokens
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,8 +50,26 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("key").alias("row_id"), "rep", "class_id", "n_links")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list entry of each location and title, -1 where there is none."""
+    postings = table(spark, sf_dir, "postings").select("row_id", "location", "title")
+    locations = linking.map_values(postings, "row_id", "location", linking.location_gazetteer(table(spark, sf_dir, "ref_locations")))
+    roles = linking.map_values(postings, "row_id", "title", linking.role_gazetteer(table(spark, sf_dir, "ref_roles")))
+    return locations.select("row_id", F.lit("location").alias("field"), "ref_id").unionByName(roles.select("row_id", F.lit("title").alias("field"), "ref_id"))
+
+
+def p6_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values without an entry and their number of rows."""
+    postings = table(spark, sf_dir, "postings").select("row_id", "location", "title")
+    found = []
+    for name, gazetteer in (("location", linking.location_gazetteer(table(spark, sf_dir, "ref_locations"))), ("title", linking.role_gazetteer(table(spark, sf_dir, "ref_roles")))):
+        mapped = linking.map_values(postings, "row_id", name, gazetteer).where(F.col("ref_id") == linking.UNMATCHED)
+        found.append(mapped.groupBy(F.col(name).alias("value")).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("field"), "value", "n_rows"))
+    return found[0].unionByName(found[1])
+
+
 def queries() -> dict:
-    return {"p5_found": p5_found, "p5_groups": p5_groups, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_shares_beyond": p9_shares_beyond}
+    return {"p6_found": p6_found, "p6_unmatched": p6_unmatched, "p5_found": p5_found, "p5_groups": p5_groups, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_shares_beyond": p9_shares_beyond}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 #: Bits of a word-run's hash; the bits above hold a text's number within its chunk.
 TOKEN_BITS = 48
 #: Bytes of text that are hashed at once.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _WORD = np.zeros(256, dtype=bool)
@@ -93,17 +93,15 @@ def runs(array: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Sketch:
-    """Counts of hashed items in 2 ** bits saturating bytes: its size is a parameter, whatever the corpus; it never undercounts below 255."""
+    """Counts of hashed items in 2 ** bits slots: its size is a parameter, whatever the corpus; it never undercounts."""
 
     BLOCK = 1 << 16
 
     def __init__(self, bits: int):
-        self.bits, self.counts = bits, np.zeros(1 << bits, dtype=np.uint8)
+        self.bits, self.counts = bits, np.zeros(1 << bits, dtype=np.uint32)
 
     def add(self, items: np.ndarray) -> None:
-        slots, n = np.unique(items & np.uint64((1 << self.bits) - 1), return_counts=True)
-        slots = slots.astype(np.int64)
-        self.counts[slots] = np.minimum(self.counts[slots].astype(np.int64) + n, 255)
+        np.add.at(self.counts, (items & np.uint64((1 << self.bits) - 1)).astype(np.int64), np.uint32(1))
 
     def blocks(self) -> tuple[list[int], list[bytes]]:
         parts = self.counts.reshape(-1, min(self.BLOCK, len(self.counts)))
@@ -114,16 +112,16 @@ class Sketch:
     def merge(packed: list[bytes]) -> bytes:
         total = None
         for p in packed:
-            x = np.frombuffer(zlib.decompress(p), dtype=np.uint8).astype(np.uint16)
-            total = x if total is None else np.minimum(total + x, 255)
-        return zlib.compress(total.astype(np.uint8).tobytes(), 1)
+            x = np.frombuffer(zlib.decompress(p), dtype=np.uint32).astype(np.uint64)
+            total = x if total is None else total + x
+        return zlib.compress(np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1)
 
     @staticmethod
     def unpack(bits: int, blocks: list[tuple[int, bytes]]) -> np.ndarray:
-        counts = np.zeros(1 << bits, dtype=np.uint8)
+        counts = np.zeros(1 << bits, dtype=np.uint32)
         size = min(Sketch.BLOCK, len(counts))
         for i, p in blocks:
-            counts[i * size : (i + 1) * size] = np.frombuffer(zlib.decompress(p), dtype=np.uint8)
+            counts[i * size : (i + 1) * size] = np.frombuffer(zlib.decompress(p), dtype=np.uint32)
         return counts
 
 

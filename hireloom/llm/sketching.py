@@ -2,48 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hireloom.llm.shingles import Sketch
 
-#: Blocks of one sketch part that a task merges at most, about; beyond it they are merged in two levels.
+#: Parts of one block that a task merges at most, about; beyond it they are merged in two levels.
 FAN_IN = 64
 
 
-def merge_blocks(blocks: DataFrame) -> DataFrame:
-    """(block, counts) parts, one for each task and block, summed by block; no task merges more than about the root of the parts."""
+def merged_sketch(parts: DataFrame, bits: int) -> np.ndarray:
+    """The sum of (part, block, counts) rows, one for each task and block; only 2 ** bits counts, a fixed number, reach the driver."""
 
     def merged(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"block": pdf["block"].iloc[:1], "counts": [Sketch.merge(list(pdf["counts"]))]})
 
-    parts = blocks.rdd.getNumPartitions()
-    if parts > FAN_IN:
-        salts = max(2, int(parts**0.5))
-        salted = blocks.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
-        blocks = salted.groupBy("block", "_salt").applyInPandas(merged, "block int, counts binary")
-    return blocks.groupBy("block").applyInPandas(merged, "block int, counts binary")
-
-
-def count_sketch(df: DataFrame, items: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int) -> np.ndarray:
-    """Counts of the items of all rows in 2 ** bits slots. Only the merged slots, whose number is fixed, reach the driver."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = Sketch(bits)
-        for batch in batches:
-            for part in items(batch):
-                sketch.add(part)
-        used, packed = sketch.blocks()
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(packed, pa.binary())], names=["block", "counts"])
-
-    merged = merge_blocks(df.mapInArrow(run, "block int, counts binary")).collect()
-    return Sketch.unpack(bits, [(r["block"], r["counts"]) for r in merged])
+    n = parts.rdd.getNumPartitions()
+    if n > FAN_IN:
+        salted = parts.withColumn("_salt", F.pmod(F.xxhash64("part"), F.lit(max(2, int(n**0.5)))))
+        parts = salted.groupBy("block", "_salt").applyInPandas(merged, "block int, counts binary")
+    summed = parts.groupBy("block").applyInPandas(merged, "block int, counts binary")
+    return Sketch.unpack(bits, [(r["block"], r["counts"]) for r in summed.collect()])
 
 
 def share(df: DataFrame, value: object) -> Broadcast:
@@ -51,13 +33,17 @@ def share(df: DataFrame, value: object) -> Broadcast:
 
 
 def key_bitmap(keys: DataFrame, column: str, bits: int) -> np.ndarray:
-    """A bitmap of 2 ** bits slots in which each 64-bit key of ``column`` sets one: no key is missed, other keys pass at the fill rate."""
+    """A bitmap of 2 ** bits slots, packed, in which each key of ``column`` sets one: no key is missed, others pass at the fill rate."""
     words = (
         keys.select(F.pmod(F.xxhash64(column), F.lit(1 << bits)).alias("h"))
         .groupBy((F.shiftright("h", 6)).cast("int").alias("w"))
         .agg(F.expr("bit_or(shiftleft(1L, cast(pmod(h, 64) as int)))").alias("v"))
     )
-    table = np.zeros((1 << bits) // 64, dtype=np.int64)
+    table = np.zeros((1 << bits) // 64, dtype="<i8")
     found = words.toArrow()
     table[found.column("w").to_numpy()] = found.column("v").to_numpy()
-    return np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool)
+    return table.view(np.uint8)
+
+
+def passes(bitmap: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (bitmap[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
