@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hireloom.common import table
-from hireloom.llm import linking, mixing, neardup, tokens
+from hireloom.llm import linking, mixing, names, neardup, tokens
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,8 +68,23 @@ def p6_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found[0].unionByName(found[1])
 
 
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = table(spark, sf_dir, "postings").select(F.col("company").alias("name")).unionByName(table(spark, sf_dir, "companies").select("name"))
+    return names.link_names(written, "name")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of spellings of one organisation."""
+    return names.name_pairs(_names(spark, sf_dir))
+
+
+def p7_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canonical spelling of each spelling."""
+    return _names(spark, sf_dir).select("name", "n", "root")
+
+
 def queries() -> dict:
-    return {"p6_found": p6_found, "p6_unmatched": p6_unmatched, "p5_found": p5_found, "p5_groups": p5_groups, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_shares_beyond": p9_shares_beyond}
+    return {"p7_found": p7_found, "p7_canonical": p7_canonical, "p6_found": p6_found, "p6_unmatched": p6_unmatched, "p5_found": p5_found, "p5_groups": p5_groups, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_shares_beyond": p9_shares_beyond}
 
 
 def oracle_sql() -> dict[str, str]:
