@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hireloom.common import table
-from hireloom.llm import linking, mixing, names, neardup, tokens
+from hireloom.common import materialise, table
+from hireloom.llm import history, linking, mixing, names, neardup, tokens
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,8 +83,35 @@ def p7_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _names(spark, sf_dir).select("name", "n", "root")
 
 
+def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each arrival repeats a job or an earlier arrival: jobs fill the index first, then the arrivals come in their order."""
+    roles = table(spark, sf_dir, "ref_roles").where(F.col("short_form").isNotNull()).limit(history.BUCKETS * 4).collect()
+    aliases = {linking.fold(r["short_form"]): linking.fold(r["name"]) for r in roles}
+    jobs = table(spark, sf_dir, "jobs").select("company", "location", "title", "id", F.lit(-1).cast("bigint").alias("at"))
+    arrivals = table(spark, sf_dir, "job_arrivals").select("company", "location", "title", "id", "arrival_id", "batch_no")
+    # Arrivals count in the order of batch and then id; 2 ** 40 ids fit into one batch.
+    at = F.coalesce("batch_no", F.lit(0)).cast("bigint") * (1 << 40) + F.col("arrival_id")
+    arrivals = arrivals.select("company", "location", "title", "id", F.col("arrival_id").alias("key"), at.alias("at"))
+    index = history.SegmentIndex(spark)
+    old = materialise(history.standardise(jobs, aliases, "id", "at"), "history-jobs")
+    new = materialise(history.standardise(arrivals, aliases, "key", "id", "at"), "history-arrivals")
+    index.append(old)
+    known = history.known_words(old.select("block", "text").unionByName(new.select("block", "text")).where(F.col("text").isNotNull()).distinct())
+    return history.check_batch(new, index, known)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrivals that repeat a job or an earlier arrival."""
+    return _arrivals(spark, sf_dir).where("repeats").select(F.col("key").alias("arrival_id"))
+
+
+def p4_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrivals that are new jobs."""
+    return _arrivals(spark, sf_dir).where(~F.col("repeats")).select(F.col("key").alias("arrival_id"))
+
+
 def queries() -> dict:
-    return {"p7_found": p7_found, "p7_canonical": p7_canonical, "p6_found": p6_found, "p6_unmatched": p6_unmatched, "p5_found": p5_found, "p5_groups": p5_groups, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_shares_beyond": p9_shares_beyond}
+    return {"p4_found": p4_found, "p4_new": p4_new, "p7_found": p7_found, "p7_canonical": p7_canonical, "p6_found": p6_found, "p6_unmatched": p6_unmatched, "p5_found": p5_found, "p5_groups": p5_groups, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_shares_beyond": p9_shares_beyond}
 
 
 def oracle_sql() -> dict[str, str]:
