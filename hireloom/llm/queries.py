@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hireloom.common import materialise, table
-from hireloom.llm import history, linking, mixing, names, neardup, tokens
+from hireloom.llm import history, linking, mixing, names, neardup, tokens, truncation
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,8 +110,23 @@ def p4_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _arrivals(spark, sf_dir).where(~F.col("repeats")).select(F.col("key").alias("arrival_id"))
 
 
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.score_ends(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "doc_id", "text", "lang", "source")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose text was cut."""
+    return _scored(spark, sf_dir).where("cut").select("doc_id")
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each source cuts, over its texts that aren't blank."""
+    by = _scored(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("n_texts"), F.count_if("cut").alias("n_cut"))
+    return by.withColumn("cut_rate", F.col("n_cut") / F.col("n_texts"))
+
+
 def queries() -> dict:
-    return {"p4_found": p4_found, "p4_new": p4_new, "p7_found": p7_found, "p7_canonical": p7_canonical, "p6_found": p6_found, "p6_unmatched": p6_unmatched, "p5_found": p5_found, "p5_groups": p5_groups, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_shares_beyond": p9_shares_beyond}
+    return {"p10_found": p10_found, "p10_rates": p10_rates, "p4_found": p4_found, "p4_new": p4_new, "p7_found": p7_found, "p7_canonical": p7_canonical, "p6_found": p6_found, "p6_unmatched": p6_unmatched, "p5_found": p5_found, "p5_groups": p5_groups, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_shares_beyond": p9_shares_beyond}
 
 
 def oracle_sql() -> dict[str, str]:

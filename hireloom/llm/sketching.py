@@ -32,10 +32,12 @@ def share(df: DataFrame, value: object) -> Broadcast:
     return df.sparkSession.sparkContext.broadcast(value)
 
 
-def key_bitmap(keys: DataFrame, column: str, bits: int) -> np.ndarray:
-    """A bitmap of 2 ** bits slots, packed, in which each key of ``column`` sets one: no key is missed, others pass at the fill rate."""
+def key_bitmap(keys: DataFrame, column: str, bits: int, mixed: bool = False) -> np.ndarray:
+    """A bitmap of 2 ** bits slots, packed, in which each key of ``column`` sets one: no key is missed, others pass at the fill rate.
+
+    The slot is taken from xxhash64 of the key, or from the key itself where that is ``mixed``, a hash already."""
     words = (
-        keys.select(F.pmod(F.xxhash64(column), F.lit(1 << bits)).alias("h"))
+        keys.select(F.pmod(F.col(column) if mixed else F.xxhash64(column), F.lit(1 << bits)).alias("h"))
         .groupBy((F.shiftright("h", 6)).cast("int").alias("w"))
         .agg(F.expr("bit_or(shiftleft(1L, cast(pmod(h, 64) as int)))").alias("v"))
     )
