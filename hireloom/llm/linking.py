@@ -31,6 +31,8 @@ _LETTERS = str.maketrans({"ł": "l", "ø": "o", "đ": "d", "ß": "ss", "æ": "ae
 
 def fold(text: str) -> str:
     """Lower case without accents."""
+    if text.isascii():
+        return text.lower()
     plain = unicodedata.normalize("NFKD", text.lower())
     return "".join(c for c in plain if not unicodedata.combining(c)).translate(_LETTERS)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hireloom.common import materialise, table
-from hireloom.llm import history, linking, mixing, names, neardup, tokens, truncation
+from hireloom.llm import boilerplate, history, linking, mixing, names, neardup, tokens, truncation
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,8 +125,14 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.withColumn("cut_rate", F.col("n_cut") / F.col("n_texts"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of postings.description outside the main body."""
+    rows = table(spark, sf_dir, "postings").select("row_id", "title", "description")
+    return boilerplate.page_noise(rows, "row_id", "title", "description")
+
+
 def queries() -> dict:
-    return {"p10_found": p10_found, "p10_rates": p10_rates, "p4_found": p4_found, "p4_new": p4_new, "p7_found": p7_found, "p7_canonical": p7_canonical, "p6_found": p6_found, "p6_unmatched": p6_unmatched, "p5_found": p5_found, "p5_groups": p5_groups, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_shares_beyond": p9_shares_beyond}
+    return {"p3_found": p3_found, "p10_found": p10_found, "p10_rates": p10_rates, "p4_found": p4_found, "p4_new": p4_new, "p7_found": p7_found, "p7_canonical": p7_canonical, "p6_found": p6_found, "p6_unmatched": p6_unmatched, "p5_found": p5_found, "p5_groups": p5_groups, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_shares_beyond": p9_shares_beyond}
 
 
 def oracle_sql() -> dict[str, str]:
