@@ -31,8 +31,8 @@ FEATURE_BITS = 18
 EPOCHS = 4
 #: Texts that are scored together.
 TEXTS_AT_ONCE = 200
-#: Sum of scores that an aside within the body must reach.
-ASIDE = 0.6
+#: Sum of scores that an aside within the body must reach, and sum of log-odds that any run outside the body must.
+ASIDE, EVIDENCE = 0.6, 5.0
 
 # Names of elements, and of their classes and ids, that tell what a part of a page is.
 BODY_TAGS = frozenset("main article".split())
@@ -205,7 +205,7 @@ def features(lines: Lines) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     put(_TITLE, (4 * common // np.maximum(count + (size[page] if n else count) - common, 1))[near], every[near])
     # A short line before a long one is a heading of what follows.
     after = np.concatenate((count[1:], [0])) * np.concatenate((page[1:] == page[:-1], [False])) if n else count
-    put(_NEXT, (np.minimum(count, 15) // 5) * 8 + np.minimum(after, 24) // 6, every)
+    put(_NEXT, (np.minimum(count, 15) // 5) * 8 + np.minimum(after, 24) // 6 + 64 * np.concatenate(([True], page[1:] != page[:-1]))[:n], every)
     put(_CRUMB, every[np.array(lines.crumb, dtype=bool)] * 0, every[np.array(lines.crumb, dtype=bool)])
     tags = [(i, zlib.crc32(t.encode())) for i, on in enumerate(lines.tags) if on is not None for t in (set(on) or ("none",))]
     put(_TAGS, np.array([t for _, t in tags], dtype=np.uint64), np.array([i for i, _ in tags], dtype=np.int64))
@@ -299,7 +299,8 @@ def outside(titles: list[str | None], texts: list[str], weights: np.ndarray) ->
     if not lines.shown:
         return [[] for _ in texts]
     slots, rows, _ = features(lines)
-    x = np.tanh(np.bincount(rows, weights=weights[slots], minlength=len(lines.shown)) / 2)
+    odds = np.bincount(rows, weights=weights[slots], minlength=len(lines.shown))
+    x = np.tanh(odds / 2)
     n = np.array([s.count(" ") + 1 for s in lines.shown])
     scores = np.where(x > 0, x * np.minimum(n, 20), x * np.minimum(n, 2)).tolist()
     out, at = [], 0
@@ -312,8 +313,9 @@ def outside(titles: list[str | None], texts: list[str], weights: np.ndarray) ->
             out.append([])
         else:
             start, end, _ = best_run(own)
-            inner = [start + k for a, b in negative_runs(own[start:end], ASIDE) for k in range(a, b)]
-            out.append([numbers[k] for k in [*range(start), *inner, *range(end, len(own))]])
+            off = [(0, start), *[(start + a, start + b) for a, b in negative_runs(own[start:end], ASIDE)], (end, len(own))]
+            first = at - len(own)
+            out.append([numbers[k] for a, b in off if odds[first + a : first + b].sum() <= -EVIDENCE for k in range(a, b)])
     return out
 
 
