@@ -17,14 +17,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hireloom.llm.shingles import _powers, mix
 from hireloom.llm.sketching import share
 
 #: Labelled pages, and other texts, that the weights are learned from, at most; they are drawn by a hash of the key.
-LABELLED_PAGES, OTHER_TEXTS = 2000, 3000
+LABELLED_PAGES, OTHER_TEXTS = 1200, 2000
 #: Sum of the weights of a line's words at which it counts as known chrome.
 KNOWN_CHROME = -1.0
 FEATURE_BITS = 18
@@ -319,6 +319,14 @@ def outside(titles: list[str | None], texts: list[str], weights: np.ndarray) ->
     return out
 
 
+def _drawn(picked: DataFrame, which: Column, most: int, n: int) -> list[tuple[str | None, str]]:
+    """The ``most`` rows of lowest hash among the n rows that ``which`` names; a hash bound keeps what reaches the driver to about as many."""
+    slot = F.pmod(F.xxhash64("key"), F.lit(1 << 40))
+    bound = 1 << 40 if n <= most else int((1 << 40) * min(1.0, 1.2 * most / n))
+    found = picked.where(slot < bound).where(which).orderBy(slot, "key").limit(most).select("title", "text")
+    return [(r["title"], r["text"]) for r in found.collect()]
+
+
 def page_noise(rows: DataFrame, key: str, title: str, text: str, labelled_pages: int = LABELLED_PAGES, other_texts: int = OTHER_TEXTS) -> DataFrame:
     """(key, line_no): the lines of ``text`` that show text to a reader outside the main body.
 
@@ -328,8 +336,8 @@ def page_noise(rows: DataFrame, key: str, title: str, text: str, labelled_pages:
     picked = rows.select(F.col(key).alias("key"), F.col(title).alias("title"), F.col(text).alias("text")).where(F.trim("text") != "")
     body, chrome = r"(?i)<(main|article)\b|<\w+ [^>]*\bjob[-_]?(description|content)", r"(?i)<(nav|footer|aside)\b|<\w+ [^>]*\b(navbar|footer|sidebar)"
     named = F.col("text").rlike(body) & F.col("text").rlike(chrome)
-    drawn = lambda df, n: [(r["title"], r["text"]) for r in df.orderBy(F.xxhash64("key"), "key").limit(n).select("title", "text").collect()]
-    weights = share(rows, learn(drawn(picked.where(named), labelled_pages), drawn(picked.where(~named), other_texts)))
+    n_named, n = picked.agg(F.count_if(named), F.count(F.lit(1))).first()
+    weights = share(rows, learn(_drawn(picked, named, labelled_pages, n_named), _drawn(picked, ~named, other_texts, n - n_named)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hireloom.common import materialise, table
-from hireloom.llm import boilerplate, history, linking, mixing, names, neardup, tokens, truncation
+from hireloom.llm import boilerplate, history, linking, mixing, markup, names, neardup, tokens, truncation
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,8 +131,22 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.page_noise(rows, "row_id", "title", "description")
 
 
+def _markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.clean_markup(table(spark, sf_dir, "postings").select("row_id", "description"), "row_id", "description")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings whose description holds markup."""
+    return _markup(spark, sf_dir).where(F.col("n_pieces") > 0).select("row_id")
+
+
+def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean text of each description."""
+    return _markup(spark, sf_dir).select("row_id", "n_pieces", "clean")
+
+
 def queries() -> dict:
-    return {"p3_found": p3_found, "p10_found": p10_found, "p10_rates": p10_rates, "p4_found": p4_found, "p4_new": p4_new, "p7_found": p7_found, "p7_canonical": p7_canonical, "p6_found": p6_found, "p6_unmatched": p6_unmatched, "p5_found": p5_found, "p5_groups": p5_groups, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_shares_beyond": p9_shares_beyond}
+    return {"p1_found": p1_found, "p1_clean": p1_clean, "p3_found": p3_found, "p10_found": p10_found, "p10_rates": p10_rates, "p4_found": p4_found, "p4_new": p4_new, "p7_found": p7_found, "p7_canonical": p7_canonical, "p6_found": p6_found, "p6_unmatched": p6_unmatched, "p5_found": p5_found, "p5_groups": p5_groups, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_shares_beyond": p9_shares_beyond}
 
 
 def oracle_sql() -> dict[str, str]:
