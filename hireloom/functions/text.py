@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def norm_token(c: Column) -> Column:
@@ -20,7 +21,7 @@ def html_escape(c: Column) -> Column:
     return c
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_unescape(texts: pd.Series) -> pd.Series:
     """All character references of HTML read; tags stay."""
     return texts.map(lambda t: None if t is None else html.unescape(t))

@@ -7,6 +7,7 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Endings of paths that never hold a posting.
 BINARY_SUFFIXES = "png jpg jpeg gif webp svg ico tiff css js woff woff2 ttf zip exe dmg pdf mp3 mp4 wav avi flv pptx xlsx docx".split()
@@ -63,7 +64,7 @@ def url_path(url: Column) -> Column:
     return F.when(whole == "", "/").otherwise(whole)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def is_private_literal(hosts: pd.Series) -> pd.Series:
     """Whether a host is an IP literal outside the public internet; names are never resolved."""
 

@@ -199,16 +199,19 @@ def normalise(rows: DataFrame, raw: str, zone: str, reference: str | None, dicti
     impossible dates give null. Rows are never dropped, repeated rows stay; any other columns pass through.
     """
     usable = F.when((F.trim(raw) != "") & (F.length(raw) <= 200), F.col(raw))
-    keyed = rows.withColumn("_pair", F.concat(usable, F.lit("\x01"), F.coalesce(F.col(zone), F.lit(""))))
+    pair = F.concat(usable, F.lit("\x01"), F.coalesce(F.col(zone), F.lit("")))
+    reference_s = F.unix_seconds(reference) if reference else F.lit(None).cast("bigint")
+    # The row travels as one struct, so no column of its own can clash with those used here.
+    keyed = rows.select(F.struct("*").alias("row"), pair.alias("_pair"), F.col(raw).alias("raw"), F.col(zone).alias("zone"), reference_s.alias("reference"))
     distinct = keyed.where(F.col("_pair").isNotNull()).groupBy(F.col("_pair").alias("pair")).agg(
-        F.count(F.lit(1)).alias("n"), F.first(raw).alias("raw"), F.first(zone).alias("zone")
+        F.count(F.lit(1)).alias("n"), F.first("raw").alias("raw"), F.first("zone").alias("zone")
     )
     distinct = materialise(distinct, "timestamp-pairs")
     dictionary.extend(distinct)
     total = distinct.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hot = distinct.where(F.col("n") > hot_rows(total)).select("pair", "n")
     entries = dictionary.known().join(F.broadcast(hot), "pair", "left").select(F.col("pair").alias("_entry"), "kind", "seconds", F.coalesce("n", F.lit(1)).alias("n"))
-    joined = lookup(keyed, entries, "_pair", "_entry", ["kind", "seconds"], "n", total)
-    back = F.unix_seconds(reference) - F.col("seconds") if reference else F.lit(None).cast("bigint")
-    instant = F.when(F.col("kind") == "abs", F.col("seconds")).when(F.col("kind") == "rel", back)
-    return joined.withColumn(into, F.when(instant.between(FIRST_S, LAST_S - 1), instant)).drop("_pair", "kind", "seconds")
+    joined = lookup(keyed.select("row", "_pair", "reference"), entries, "_pair", "_entry", ["kind", "seconds"], "n", total)
+    instant = F.when(F.col("kind") == "abs", F.col("seconds")).when(F.col("kind") == "rel", F.col("reference") - F.col("seconds"))
+    kept = [F.col("row")[c].alias(c) for c in rows.columns if c != into]
+    return joined.select(*kept, F.when(instant.between(FIRST_S, LAST_S - 1), instant).alias(into))

@@ -1,6 +1,371 @@
+"""Queries over the core operators, each with the SQL that DuckDB runs beside it where SQL can express it."""
+
+from __future__ import annotations
+
+import os
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hireloom.common import materialise, scratch_path, table
+from hireloom.functions import dates, match, text, urls
+from hireloom.functions.ids import posting_id
+from hireloom.operators import browse, digest, discovery, health, robots, store
+from hireloom.schema import POSTING, STATE
+from hireloom.sources import html, landed
+from hireloom.streaming import first_seen
+
+AS_OF = datetime(2026, 8, 31, 12)
+FILTERS = match.Filters(
+    roles=("Software Engineer", "Machine Learning Engineer", "Data Scientist", "Customer Manager"), locations=("London", "Bengaluru", "Berlin", "New York City"),
+    include_remote=True, experience="0-2 years", max_days_old=60,
+)
+
+
+def _matched() -> Column:
+    return match.title_ok(F.col("title"), FILTERS.roles) & match.location_ok(F.col("location"), FILTERS.locations, FILTERS.include_remote)
+
+
+def match_postings(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "postings").where(_matched()).select("row_id")
+
+
+def experience_filter(spark: SparkSession, sf: str) -> DataFrame:
+    ok = match.experience_ok(F.col("title"), F.col("description"), match.max_years(FILTERS.experience))
+    return table(spark, sf, "postings").select("row_id", ok.alias("ok"))
+
+
+def posted_recency(spark: SparkSession, sf: str) -> DataFrame:
+    df = table(spark, sf, "postings").select("row_id", "posted_at")
+    return df.select("row_id", F.unix_seconds(dates.posted_date(F.col("posted_at"), AS_OF)).alias("posted_s"), dates.posted_recently(F.col("posted_at"), 60, AS_OF).alias("recent"))
+
+
+def full_match(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "postings").where(match.matches(FILTERS, AS_OF)).select("row_id")
+
+
+def _state(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored jobs, one row for each id: the first one written."""
+    jobs = table(spark, sf, "jobs").select("seq", "id", "company", "title", "location", "url", "posted_at", "first_seen", "matched")
+    return store.first_by(jobs.where("id is not null"), "id", "seq").drop("seq")
+
+
+def _batch(spark: SparkSession, sf: str) -> DataFrame:
+    df = table(spark, sf, "postings").select("row_id", "id", "company", "title", "location", "url", "posted_at", _matched().cast("int").alias("matched"))
+    return df
+
+
+def first_seen_new(spark: SparkSession, sf: str) -> DataFrame:
+    """Never-seen postings that match the filters."""
+    rows = store.collapse(_batch(spark, sf).where("id is not null"), "row_id").where("matched = 1")
+    return rows.join(_state(spark, sf).select("id"), "id", "left_anti").select("id", "company", "title", "location")
+
+
+def merge_state(spark: SparkSession, sf: str) -> DataFrame:
+    return store.merge(_state(spark, sf), _batch(spark, sf), "row_id", "2026-09-01T00:00:00+00:00").state.select("id", "company", "title", "first_seen", "matched")
+
+
+def merge_new(spark: SparkSession, sf: str) -> DataFrame:
+    return store.merge(_state(spark, sf), _batch(spark, sf), "row_id", "2026-09-01T00:00:00+00:00").new.select("id", "company", "title", "first_seen", "matched")
+
+
+def dedup_first(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").where("text is not null").select(F.sha1(F.col("text").cast("binary")).alias("sha"), "doc_id")
+    return docs.groupBy("sha").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_copies"))
+
+
+def dedup_any_matched(spark: SparkSession, sf: str) -> DataFrame:
+    jobs = table(spark, sf, "jobs").where("id is not null").select("seq", "id", "title", "matched")
+    return store.collapse(jobs, "seq").select("id", "title", "matched")
+
+
+def last_write(spark: SparkSession, sf: str) -> DataFrame:
+    log = table(spark, sf, "run_log").select("seq", "company", "run_date", "status", "jobs_found")
+    return store.last_by(log, "company", "seq")
+
+
+def canonical_urls(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "postings").where("url is not null").select("row_id", urls.canonical_url(F.col("url")).alias("canonical"))
+
+
+def posting_ids(spark: SparkSession, sf: str) -> DataFrame:
+    ident = posting_id(F.col("company"), F.when(F.col("ats") == "greenhouse", F.col("row_id").cast("string")), F.col("url"), F.col("title"), F.col("location"))
+    return table(spark, sf, "postings").select("row_id", ident.alias("made_id"))
+
+
+def host_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "postings").groupBy(urls.normalize_host(F.coalesce("url", F.lit(""))).alias("host")).agg(F.count(F.lit(1)).alias("n_urls"))
+
+
+def url_flags(spark: SparkSession, sf: str) -> DataFrame:
+    df = table(spark, sf, "companies").select("company_id", F.concat(F.coalesce("careers_url", F.lit("")), F.when(F.col("company_id") % 2 == 0, "Brochure.PDF?x=1").otherwise("jobs")).alias("url"))
+    return df.select("company_id", urls.is_binary_url(F.col("url")).alias("is_binary"), urls.is_ats_api(F.col("url")).alias("is_api"), discovery.is_careers(F.col("url")).alias("is_careers"))
+
+
+def url_policy(spark: SparkSession, sf: str) -> DataFrame:
+    made = F.concat(F.element_at(F.array(*[F.lit(x) for x in ("https://", "ftp://", "https://user:pw@", "http://10.0.0.", "http://8.8.8.")]), (F.col("company_id") % 5 + 1).cast("int")), F.when(F.col("company_id") % 5 < 3, "a.example/").otherwise("8/x"))
+    return table(spark, sf, "companies").select("company_id", urls.blocked_reason(made).alias("reason"))
+
+
+def health_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    return health.health_alerts(table(spark, sf, "run_log"))
+
+
+def error_streaks(spark: SparkSession, sf: str) -> DataFrame:
+    return first_seen.error_streaks(table(spark, sf, "run_log"))
+
+
+def run_states(spark: SparkSession, sf: str) -> DataFrame:
+    return health.run_state(table(spark, sf, "run_log")).select("company", "streak", "last_status")
+
+
+def company_facets(spark: SparkSession, sf: str) -> DataFrame:
+    return browse.facets(table(spark, sf, "jobs"))
+
+
+def meta_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return browse.totals(table(spark, sf, "jobs"), table(spark, sf, "run_log"))
+
+
+def search_page(spark: SparkSession, sf: str) -> DataFrame:
+    return browse.search(table(spark, sf, "jobs"), q="engineer", matched="1", offset=20, tie="seq")[1]
+
+
+def search_count(spark: SparkSession, sf: str) -> DataFrame:
+    return browse.search(table(spark, sf, "jobs"), q="data_%")[0]
+
+
+def search_json(spark: SparkSession, sf: str) -> DataFrame:
+    return browse.as_json(browse.search(table(spark, sf, "jobs"), company="Dektingirga Data Software", tie="seq")[1])
+
+
+def ui_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Running numbers of the companies of the facet list."""
+    from pyspark.sql import Window
+
+    names = table(spark, sf, "companies").groupBy("tier", "name").agg(F.min("company_id").alias("company_id"))
+    return names.select("tier", "name", F.lpad(F.row_number().over(Window.partitionBy("tier").orderBy("name")).cast("string"), 3, "0").alias("idx"))
+
+
+def run_summary(spark: SparkSession, sf: str) -> DataFrame:
+    batch = _batch(spark, sf)
+    new = batch.where("id is not null").select("id").distinct().join(_state(spark, sf).select("id"), "id", "left_anti")
+    return browse.run_summary(batch, new)
+
+
+def page_text(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "postings").select("row_id", html.page_text("description").alias("text"))
+
+
+def unescaped(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "postings").select("row_id", text.html_unescape("description").alias("text"))
+
+
+def page_change(spark: SparkSession, sf: str) -> DataFrame:
+    """Descriptions of the later batches against those that earlier ones left for the same URL."""
+    p = table(spark, sf, "postings").where("url is not null and url <> ''").select("row_id", "url", "description", "batch_no")
+    old = store.last_by(p.where("batch_no <= 15").select("url", "row_id", F.sha1(F.col("description").cast("binary")).alias("body_sha1")), "url", "row_id")
+    pages = p.where("batch_no > 15").select("row_id", "url", F.lit(200).alias("status_code"), F.col("description").alias("body"))
+    return store.page_changes(pages, old).select("row_id", "outcome")
+
+
+def live_cache(spark: SparkSession, sf: str) -> DataFrame:
+    return store.live(table(spark, sf, "run_log").select("seq", "run_date"), "run_date", 30 * 86400, AS_OF).select("seq")
+
+
+ROBOTS = "User-agent: *\n\nDisallow: /openings/1\nAllow: /openings/1*5$\nDisallow: /*?q=\nCrawl-delay: 2\nSitemap: https://x.example/s.xml\n\nUser-agent: otherbot\nDisallow: /\n"
+
+
+def _robots(spark: SparkSession, sf: str) -> DataFrame:
+    hosts = table(spark, sf, "postings").where("url is not null and url <> ''").select(F.lower(urls.part(F.col("url"), "authority")).alias("host")).distinct()
+    return hosts.select("host", F.lit(ROBOTS).alias("body"))
+
+
+def robots_decision(spark: SparkSession, sf: str) -> DataFrame:
+    return robots.decide(table(spark, sf, "postings").where("url is not null and url <> ''"), _robots(spark, sf), "loombot")
+
+
+def request_interval(spark: SparkSession, sf: str) -> DataFrame:
+    return robots.request_interval(_robots(spark, sf), "loombot")
+
+
+def _board_text(df: DataFrame) -> DataFrame:
+    base = F.when(F.col("ats") == "greenhouse", "see https://boards.greenhouse.io/embed/job_board?for=").when(F.col("ats") == "lever", "see https://jobs.lever.co/").when(F.col("ats") == "ashby", "see https://jobs.ashbyhq.com/")
+    body = F.concat(base, F.coalesce("token", F.lit("embed")), F.lit('"> and https://jobs.lever.co/Extra<a href="https://jobs.lever.co/extra">'))
+    return df.select("company_id", "name", F.when(F.col("ats") == "workday", F.concat(F.lit("https://x.wd5.myworkdayjobs.com/en-US/"), F.coalesce("token", F.lit("site")))).otherwise(F.coalesce(body, F.lit("no board"))).alias("body"))
+
+
+def ats_detect(spark: SparkSession, sf: str) -> DataFrame:
+    found = _board_text(table(spark, sf, "companies")).select("company_id", discovery.detect_ats(F.col("body")).alias("f"))
+    return found.select("company_id", F.col("f.ats").alias("ats"), F.col("f.token").alias("token"), F.col("f.host").alias("host"), F.col("f.site").alias("site"))
+
+
+def board_links(spark: SparkSession, sf: str) -> DataFrame:
+    return discovery.board_links(_board_text(table(spark, sf, "companies")), "company_id", "body")
+
+
+def registry_entries(spark: SparkSession, sf: str) -> DataFrame:
+    found = _board_text(table(spark, sf, "companies")).select("company_id", discovery.entry(F.col("name"), discovery.detect_ats(F.col("body"))).alias("e"))
+    return found.select("company_id", F.col("e.name").alias("name"), F.col("e.tier").alias("tier"), F.col("e.ats").alias("ats"), F.col("e.token").alias("token"))
+
+
+def careers_rank(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "postings").where("url is not null and url <> ''")
+    return discovery.rank_careers(p.select(urls.normalize_host(F.col("url")).alias("site"), F.col("row_id").alias("pos"), "url"), "site")
+
+
+def careers_default(spark: SparkSession, sf: str) -> DataFrame:
+    sites = table(spark, sf, "companies").where("careers_url is not null").select("tier", F.col("company_id").alias("site"), F.regexp_replace("careers_url", "/+$", "").alias("root"))
+    ranked = discovery.rank_careers(sites.where("tier = 0").select("site", F.lit(1).alias("pos"), F.concat("root", F.lit("/careers/all")).alias("url")), "site")
+    return discovery.careers_or_default(sites, ranked, "site", "root")
+
+
+def sitemap_bfs(spark: SparkSession, sf: str) -> DataFrame:
+    """Two levels of sitemaps for each careers site: an index that names itself and a file of the site's postings."""
+    site = urls.normalize_host(F.col("url"))
+    p = table(spark, sf, "postings").where("url is not null and url <> '' and ats in ('html', 'spa')").select(site.alias("site"), "url").distinct()
+    lists = p.groupBy("site", F.pmod(F.xxhash64("url"), F.lit(3)).alias("part")).agg(F.concat_ws("", F.array_sort(F.collect_set(F.concat(F.lit("<loc>"), "url", F.lit("</loc>"))))).alias("body"))
+    files = lists.select(F.concat(F.lit("https://"), "site", F.lit("/s"), F.col("part").cast("string"), F.lit(".xml")).alias("url"), "body")
+    roots = p.select("site").distinct()
+    index = F.concat(F.lit("<sitemapindex>"), *[x for k in ("sitemap", "s0", "s1", "s2") for x in (F.lit("<loc>https://"), F.col("site"), F.lit(f"/{k}.xml</loc>"))])
+    files = files.unionByName(roots.select(F.concat(F.lit("https://"), "site", F.lit("/sitemap.xml")).alias("url"), index.alias("body")))
+    seeds = roots.select("site", F.concat(F.lit("https://"), "site", F.lit("/sitemap.xml")).alias("url"), F.lit(0).alias("pos"))
+    return discovery.sitemap_pages(seeds, materialise(files, "sitemap-files")).select("site", "url", "level")
+
+
+def candidate_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = table(spark, sf, "postings").where("company is not null").select(F.col("company").alias("name"), "row_id")
+    return discovery.dedup_candidates(found, table(spark, sf, "companies"), "row_id").select("name", "row_id")
+
+
+def known_names(spark: SparkSession, sf: str) -> DataFrame:
+    t = [table(spark, sf, "companies").select("name"), *[table(spark, sf, x).select(F.col("company").alias("name")) for x in ("jobs", "run_log")]]
+    return discovery.known_names(*t)
+
+
+def unresolved(spark: SparkSession, sf: str) -> DataFrame:
+    return discovery.without(table(spark, sf, "companies").select("name"), table(spark, sf, "jobs").select(F.col("company").alias("name")), "name")
+
+
+def resolve_probe(spark: SparkSession, sf: str) -> DataFrame:
+    log = table(spark, sf, "run_log").select(F.col("company").alias("name"), F.col("seq").alias("rank"), F.lit("greenhouse").alias("ats"), text.norm_token(F.col("company")).alias("token"), "jobs_found")
+    return discovery.resolve(log).select("name", "token", "rank", "jobs_found")
+
+
+def approve_gate(spark: SparkSession, sf: str) -> DataFrame:
+    counts = table(spark, sf, "jobs").groupBy(F.col("company").alias("name")).agg(F.count_if(F.col("matched") == 1).alias("jobs_found"))
+    return discovery.approve(table(spark, sf, "companies").select("name"), counts).select("name", "approved", "error")
+
+
+def evidence(spark: SparkSession, sf: str) -> DataFrame:
+    return discovery.evidence(table(spark, sf, "jobs"), "company", "seq")
+
+
+def infer_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    v = F.struct(F.col("ats"), F.col("token"), F.when(F.col("ats") == "workday", "h.wd1.myworkdayjobs.com").alias("workday_host"), F.when(F.col("company_id") % 2 == 0, "site").alias("workday_site"), F.when(F.col("ats") == "html", "{}").alias("selectors"), F.col("careers_url").alias("xhr_url"))
+    made = table(spark, sf, "companies").select("company_id", discovery.entry_from_verdict(F.col("name"), v).alias("e"))
+    return made.select("company_id", F.col("e.tier").alias("tier"), F.col("e.ats").alias("ats"), F.coalesce("e.token", "e.host", "e.selectors", "e.url").alias("by"))
+
+
+def json_paths(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").select("event_id", text.dig(F.col("props"), "k").alias("k"), text.dig(F.col("props"), "a.b").alias("ab"))
+
+
+def _landed(spark: SparkSession, sf: str) -> DataFrame:
+    """Each posting as the response of its board, one a body."""
+    p = table(spark, sf, "postings").where("ats in ('greenhouse', 'lever', 'ashby', 'spa')")
+    full = {"ignoreNullFields": "false"}
+    rid = F.col("row_id")
+    gh = F.struct(F.array(F.struct(rid.alias("id"), "title", F.struct(F.col("location").alias("name")).alias("location"), F.col("url").alias("absolute_url"), F.lit("&lt;b&gt;x&lt;/b&gt;").alias("content"), F.col("posted_at").alias("updated_at"))).alias("jobs"))
+    lv = F.array(F.struct(rid.cast("string").alias("id"), F.col("title").alias("text"), F.struct("location").alias("categories"), F.col("url").alias("hostedUrl"), F.col("description").alias("descriptionPlain"), (rid * 1000).alias("createdAt")))
+    ab = F.struct(F.array(F.struct(rid.cast("string").alias("id"), "title", "location", F.col("url").alias("jobUrl"), F.col("description").alias("descriptionPlain"), F.col("posted_at").alias("publishedAt"))).alias("jobs"))
+    sp = F.struct(F.struct(F.array(F.struct(rid.alias("key"), F.struct(F.col("title").alias("t")).alias("a"), "location", "url")).alias("list")).alias("data"))
+    body = F.when(F.col("ats") == "greenhouse", F.to_json(gh, full)).when(F.col("ats") == "lever", F.to_json(lv, full)).when(F.col("ats") == "ashby", F.to_json(ab, full)).otherwise(F.to_json(sp, full))
+    return p.select(F.coalesce("company", F.lit("")).alias("company"), "ats", body.alias("body"))
+
+
+def source_normalise(spark: SparkSession, sf: str) -> DataFrame:
+    return landed.normalise_all(_landed(spark, sf))[0].select("id", "company", "title", "location", "url", "description", "posted_at", "source_tier")
+
+
+def source_skipped(spark: SparkSession, sf: str) -> DataFrame:
+    return landed.normalise_all(_landed(spark, sf))[1]
+
+
+def spa_normalise(spark: SparkSession, sf: str) -> DataFrame:
+    df = _landed(spark, sf).where("ats = 'spa'")
+    return landed.spa(df, "data.list", {"id": "key", "title": "a.t"}).select("id", "company", "title", "location", "url", "source_tier")
+
+
+def workday_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Boards of companies as pages of 20 jobs, of which the second names a total of 0."""
+    from pyspark.sql import Window
+
+    j = table(spark, sf, "jobs").withColumn("n", F.row_number().over(Window.partitionBy("company").orderBy("seq")) - 1)
+    item = F.struct("title", F.col("location").alias("locationsText"), F.concat(F.lit("/job/"), F.col("seq").cast("string")).alias("externalPath"), F.lit("Posted Today").alias("postedOn"))
+    pages = j.groupBy("company", (F.floor(F.col("n") / 20) * 20).cast("int").alias("offset")).agg(F.array_sort(F.collect_list(F.struct("n", item.alias("i")))).alias("l"))
+    body = F.to_json(F.struct(F.when(F.col("offset") == 0, 40).otherwise(0).alias("total"), F.transform("l", lambda x: x["i"]).alias("jobPostings")))
+    out = landed.workday(pages.select("company", F.lit("https://h.example/en-US/s").alias("base_url"), "offset", body.alias("body")))
+    return out.select("id", "company", "title", "location", "url", "posted_at")
+
+
+def html_listing(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "postings").where("ats = 'html' and company is not null")
+    page = F.concat(F.lit('<div class="row"><a href="/j/'), F.col("row_id").cast("string"), F.lit('"><h3>'), text.html_escape(F.coalesce("title", F.lit(""))), F.lit('</h3></a><span class="loc">'), text.html_escape(F.coalesce("location", F.lit(""))), F.lit("</span></div>"))
+    pages = p.select("company", F.concat(F.lit("https://c.example/list/"), F.col("row_id").cast("string")).alias("url"), page.alias("html"))
+    found = html.listing(pages, {"job_item": "div.row", "title": "h3", "link": "a", "location": ".loc"})
+    details = found.select("url", F.concat(F.lit("about "), "title").alias("text"))
+    return landed.with_details(found, details, 5, "url").select("company", "url", "location", "description", "source_tier")
+
+
+def digest_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    lines = _batch(spark, sf).where("matched = 1 and company is not null").select("company", "row_id", digest.job_line().alias("line"))
+    return digest.pack(lines, "company", "row_id", "line")
+
+
+def digest_whole(spark: SparkSession, sf: str) -> DataFrame:
+    lines = _batch(spark, sf).where("matched = 1 and company = 'Faltalpandost Engineering'").select(F.lit(1).alias("d"), "row_id", digest.job_line().alias("line"))
+    return digest.assemble("New & fine", digest.pack(lines, "d", "row_id", "line").select("part", "message"), health.health_alerts(table(spark, sf, "run_log")).select("company", "message"))
+
+
+def days_ago_bucket(spark: SparkSession, sf: str) -> DataFrame:
+    label = dates.days_ago(F.col("o_orderdate").cast("timestamp"), datetime(1998, 8, 3, 12))
+    return table(spark, sf, "orders").groupBy(label.alias("age")).agg(F.count(F.lit(1)).alias("n_orders"))
+
+
+def stream_first_seen(spark: SparkSession, sf: str) -> DataFrame:
+    """Arrivals streamed into an empty state: the announced ids are none (seed) or those of later micro-batches; the result is the state."""
+    path = os.path.join(sf, "job_arrivals.parquet")
+    schema = table(spark, sf, "job_arrivals").schema
+    stream = spark.readStream.schema(schema).parquet(path if os.path.isdir(path) else os.path.join(sf, "job_arrivals*.parquet"))
+    batch = stream.select("arrival_id", "id", "company", "title", "location", "url", F.lit("").alias("posted_at"), F.lit(1).alias("matched"))
+    state = store.VersionedTable(spark, scratch_path(spark, "stream-state"), STATE)
+    announced = store.VersionedTable(spark, scratch_path(spark, "stream-announced"), STATE)
+    query = first_seen.run_first_seen(batch, state, announced, scratch_path(spark, "stream-checkpoint"), "arrival_id", lambda epoch: f"2026-09-01T00:00:{epoch:02d}+00:00")
+    query.awaitTermination()
+    if query.exception():
+        raise query.exception()
+    return state.read().select("id", "matched")
+
+
+def postings_schema(spark: SparkSession, sf: str) -> DataFrame:
+    """Postings cast to the record's schema, nulls as empty strings."""
+    names = [c.split()[0] for c in POSTING.split(", ")]
+    df = table(spark, sf, "postings")
+    cast = [F.coalesce(F.col(c), F.lit("")).alias(c) if c != "source_tier" else F.coalesce(F.col(c), F.lit(0)).alias(c) for c in names]
+    return df.select("row_id", *cast).groupBy("source_tier").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.substring("description", 1, 8000))).alias("n_chars"))
+
+
 def queries() -> dict:
-    return {}
+    names = """match_postings experience_filter posted_recency full_match first_seen_new merge_state merge_new dedup_first dedup_any_matched last_write canonical_urls posting_ids host_rollup url_flags url_policy
+        health_alerts error_streaks run_states company_facets meta_totals search_page search_count search_json ui_index run_summary page_text unescaped page_change live_cache robots_decision request_interval ats_detect
+        board_links registry_entries careers_rank careers_default sitemap_bfs candidate_dedup known_names unresolved resolve_probe approve_gate evidence infer_verdicts json_paths source_normalise source_skipped spa_normalise
+        workday_pages html_listing digest_chunks digest_whole days_ago_bucket stream_first_seen postings_schema"""
+    return {n: globals()[n] for n in names.split()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from hireloom.plans.core_sql import SQL
+
+    return SQL

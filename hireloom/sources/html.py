@@ -11,6 +11,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hireloom.functions.ids import posting_id
 from hireloom.schema import DESCRIPTION_LIMIT
@@ -143,7 +144,7 @@ def clean_text(html_text: str | None, limit: int = DESCRIPTION_LIMIT) -> str:
         return ""
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def page_text(pages: pd.Series) -> pd.Series:
     return pages.map(clean_text)
 

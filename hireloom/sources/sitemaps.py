@@ -7,12 +7,13 @@ import zlib
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of a file, compressed or inflated, that are read.
 BODY_LIMIT = 10 * 1024 * 1024
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def inflate(bodies: pd.Series) -> pd.Series:
     """Text of a gzip file up to the limit; null where it is larger compressed, or broken."""
 
