@@ -177,7 +177,11 @@ class Gazetteer:
         entries = self.ids[name]
         if len({i for i, _ in entries}) == 1:
             return entries[0][0]
-        rest = [t for t in tokens if t not in name] or tokens
+        rest = list(tokens)  # what else is said: the tokens without one mention of the name
+        for i in range(len(tokens) - len(name) + 1):
+            if tuple(tokens[i : i + len(name)]) == name:
+                rest = tokens[:i] + tokens[i + len(name) :]
+                break
 
         def score(entry: tuple[int, str]) -> tuple:
             points = 0.0
@@ -186,8 +190,9 @@ class Gazetteer:
                 if len(region) <= 2:
                     points += 2.0 * (region in rest)
                     continue
-                points += 3.0 * (bool(parts) and all(any(t == p or (len(p) >= 4 and within_one_edit(t, p)) for t in tokens if t not in name or len(parts) > 1) for p in parts))
-                points += 1.0 * any(len(t) == 2 and t[0] == region[0] and t[1] in region[1:] for t in rest)
+                points += 3.0 * (bool(parts) and all(any(t == p or (len(p) >= 4 and within_one_edit(t, p)) for t in rest) for p in parts))
+                codes = [t for t in rest if len(t) == 2 and t[0] == region[0] and t[1] in region[1:]]
+                points += max((1.5 if region.startswith(t) else 1.0 for t in codes), default=0.0)
             return (-points, entry[1] not in lower, entry[0])
 
         return min(entries, key=score)[0]

@@ -218,7 +218,8 @@ def formula(source: str) -> str:
     inner = re.sub(r"^\$+|\$+$|^\\[(\[]|\\[)\]]$", "", source.strip()).strip()
     inner = re.sub(r"\\frac\s*\{([^{}]*)\}\s*\{([^{}]*)\}", r"(\1)/(\2)", inner)
     inner = _TEX_WORDS.sub(r"\1 ", inner)
-    return " ".join(re.sub(r"\{([^{}]*)\}", r"(\1)", inner).replace("\\", "").replace("_", " ").split())
+    inner = re.sub(r"_\{([^{}]*)\}", r"[\1]", inner)
+    return " ".join(re.sub(r"\{([^{}]*)\}", r"(\1)", inner).replace("\\", "").split())
 
 
 def _inline(text: str) -> str:
@@ -328,7 +329,7 @@ def _lines(text: str, out: list[Block], kind: str, level: int, links: int) -> No
         elif m := _ITEM.match(line):
             own, depth, body = "item", len(m[1]) if m[1] and not m[1][0].isdigit() else 1, m[2]
         elif m := _ROW.match(line):
-            own, body = "row", " | ".join(x.strip() for x in re.split(r"\|\|?", m[1]))
+            own, body = "row", " | ".join(x.strip() for x in re.split(r"\|\|?|!!", m[1]))
         shown = _inline(body)
         if own == "text" and (m := _MATH.fullmatch(body.strip())):
             own = "formula"
@@ -354,7 +355,8 @@ def label_blocks(found: list[Block]) -> None:
         elif stops >= MANY_STOPS:
             first.append("good" if len(b.text) > LONG else "near")
         else:
-            first.append("near" if stops >= FEW_STOPS else "bad" if len(b.text) > LONG and b.kind == "text" and stops == 0 else "short")
+            # Without stop words a text may be of another language: only links tell against it.
+            first.append("near" if stops >= FEW_STOPS else "bad" if b.links and b.kind == "text" else "short")
     n = len(first)
     before, after = ["bad"] * n, ["bad"] * n
     last = ""

@@ -150,4 +150,11 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p5_found": """
+            WITH w AS (SELECT row_id, regexp_extract_all(lower(coalesce(title, '') || ' ' || description), '[a-z0-9]+') w FROM postings WHERE len(regexp_extract_all(lower(description), '[a-z0-9]+')) >= 30),
+            s AS (SELECT DISTINCT row_id, g FROM (SELECT row_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) g FROM w)),
+            n AS (SELECT row_id, count(*) n FROM s GROUP BY row_id),
+            p AS (SELECT a.row_id x, b.row_id y, count(*) c FROM s a JOIN s b USING (g) WHERE a.row_id < b.row_id GROUP BY ALL)
+            SELECT x row_id_a, y row_id_b FROM p JOIN n a ON a.row_id = x JOIN n b ON b.row_id = y WHERE c >= 0.7 * (a.n + b.n - c) - 1e-9""",
+    }
