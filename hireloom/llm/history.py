@@ -24,7 +24,7 @@ from hireloom.llm.sketching import share
 
 EDITS, SEGMENTS = 2, 5
 #: Parts of the index; a probe reads only those its batch falls into.
-BUCKETS = 256
+BUCKETS = 64
 #: Words in at least this share of all titles, and in KNOWN_LEAST, are known words: at most words-per-title / share of them.
 KNOWN_SHARE, KNOWN_LEAST = 0.001, 3
 
@@ -171,6 +171,15 @@ class SegmentIndex:
     def ids(self) -> DataFrame:
         return self._all([self.spark.read.schema(self.IDS).parquet(f"{self.path}/ids/{i:06d}") for i in range(self.parts)], self.IDS)
 
+    def compact(self) -> SegmentIndex:
+        """All parts as one, in a new folder: for an index of many small batches. Equal texts and ids keep their earliest ``at``."""
+        new = SegmentIndex(self.spark)
+        every = self.texts(list(range(BUCKETS))).groupBy("bucket", "block", "text", "key").agg(F.min("at").alias("at"))
+        every.select("block", "text", "at", "key", "bucket").repartition("bucket").write.partitionBy("bucket").parquet(f"{new.path}/texts/000000")
+        self.ids().groupBy("id").agg(F.min("at").alias("at")).write.parquet(f"{new.path}/ids/000000")
+        new.parts = 1
+        return new
+
     def _all(self, parts: list[DataFrame], schema: str) -> DataFrame:
         out = parts[0] if parts else self.spark.createDataFrame([], schema)
         for p in parts[1:]:

@@ -78,6 +78,11 @@ def abbreviates(short: str, word: str) -> bool:
     return len(short) >= 3 and short[-1] == word[-1] and all(c in rest for c in short)
 
 
+def _deletions(word: str) -> set[str]:
+    """The word and what is left of it without one letter: two words within one edit share one of these."""
+    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+
+
 @dataclass
 class Gazetteer:
     """names: (id, name); context: id -> texts that tell entries of one name apart; short_whole: names of up to three letters must fill a segment."""
@@ -102,6 +107,12 @@ class Gazetteer:
             self.automaton.make_automaton()
         self.vocabulary = {t for tokens in self.ids for t in tokens}
         self.near: dict[str, frozenset[str]] = {}
+        self.by_letter: dict[str, list[str]] = {}
+        self.by_deletion: dict[str, list[str]] = {}
+        for w in self.vocabulary:
+            self.by_letter.setdefault(w[0], []).append(w)
+            for d in _deletions(w):
+                self.by_deletion.setdefault(d, []).append(w)
         self.by_first: dict[str, list[tuple[str, ...]]] = {}
         for tokens in self.ids:
             self.by_first.setdefault(tokens[0], []).append(tokens)
@@ -135,8 +146,11 @@ class Gazetteer:
         if token not in self.near:
             if len(self.near) > 200_000:
                 self.near.clear()
+            pool = {w for d in _deletions(token) for w in self.by_deletion.get(d, ())} if len(token) <= 40 else set()
+            if not self.short_whole and len(token) <= 40:
+                pool.update(self.by_letter.get(token[0], ()))
             self.near[token] = frozenset(
-                w for w in self.vocabulary
+                w for w in pool
                 if w == token
                 or (len(w) >= 4 and len(token) >= 3 and within_one_edit(token, w))
                 or (not self.short_whole and (abbreviates(token, w) or (len(w) >= 6 and token[:1] == w[0] and within_two_edits(token, w))))

@@ -90,10 +90,13 @@ def mix(sizes: DataFrame, targets: DataFrame, key: str, source: str, n_tokens: s
     partial = used.where(~F.col("whole"))
     by_block = partial.groupBy("source", "repeat_no", "_b").agg(F.sum("n").alias("bn"))
     order = Window.partitionBy("source", "repeat_no").orderBy("_b")  # at most BLOCKS rows a group
-    before = by_block.withColumn("_before", F.sum("bn").over(order) - F.col("bn")).drop("bn")
-    inside = Window.partitionBy("source", "repeat_no", "_b").orderBy("_h", "key").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = partial.join(F.broadcast(before), ["source", "repeat_no", "_b"]).where(F.col("_before") < F.col("quota"))
-    ranked = ranked.withColumn("_upto", F.col("_before") + F.sum("n").over(inside)).where(F.col("_upto") <= F.col("quota"))
+    before = by_block.withColumn("_before", F.sum("bn").over(order) - F.col("bn")).join(plan.drop("whole"), ["source", "repeat_no"]).where(F.col("_before") < F.col("quota"))
+    before = before.select("source", "repeat_no", "_b", "_before", (F.col("_before") + F.col("bn") <= F.col("quota")).alias("fits"))
+    placed = partial.join(F.broadcast(before), ["source", "repeat_no", "_b"])  # at most BLOCKS rows for each partial pass
+    inside = Window.partitionBy("source", "repeat_no").orderBy("_h", "key").rowsBetween(Window.unboundedPreceding, 0)
+    last = placed.where(~F.col("fits"))  # one block of each partial pass
+    ranked = last.withColumn("_upto", F.col("_before") + F.sum("n").over(inside)).where(F.col("_upto") <= F.col("quota"))
+    ranked = placed.where("fits").select("key", "source", "repeat_no", "n", "_h", "_b").unionByName(ranked.select("key", "source", "repeat_no", "n", "_h", "_b"))
     columns = ["key", "source", "repeat_no", "n", "_h", "_b"]
     taken = used.where("whole").select(*columns).unionByName(ranked.select(*columns))
     n_passes = {s: sum(1 for x in passes if x[0] == s) for s in w}

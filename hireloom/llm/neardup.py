@@ -37,6 +37,8 @@ BITMAP_BITS = 24
 BLOCK_ENTRIES = 4_000_000
 #: Pairs compared at once within a block.
 PAIR_CHUNK = 1 << 20
+#: Records of one index part at most, whose numbers take two bytes.
+PART_RECORDS = 60_000
 #: 64-bit words of a record's parity bitmap.
 PARITY_WORDS = 6
 
@@ -183,7 +185,7 @@ def near_duplicates(rows: DataFrame, key: str, title: str, body: str, k: int = 5
     blocks = max(1, math.ceil(indexed / block_entries))
 
     def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, PART_RECORDS) for b in batches for i in range(0, len(b), PART_RECORDS)):
             held: list[tuple] = []
             for keys, tokens, edges in _sets(batch, k, least_words):
                 if not len(keys):

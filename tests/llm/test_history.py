@@ -61,6 +61,8 @@ def test_batches_one_by_one_or_together(spark):
             batch = h.standardise(rows(spark, [r[:6] for r in BATCH[at : at + n]]), ALIASES, "key", "id", "at")
             out |= {r["key"]: r["repeats"] for r in h.check_batch(batch, index, frozenset(["baker", "engineer", "analyst"])).collect()}
             at += n
+        again = h.check_batch(h.standardise(rows(spark, [(*r[:4], r[4], r[5] + 100) for r in BATCH[:3]]), ALIASES, "key", "id", "at"), index.compact(), frozenset()).collect()
+        assert all(r["repeats"] for r in again)
         return out
 
     assert run([13]) == want
