@@ -81,11 +81,14 @@ def spa(landed: DataFrame, jobs_path: str, fields: dict[str, str]) -> DataFrame:
 
 def with_details(listing: DataFrame, details: DataFrame, limit: int, order: str) -> DataFrame:
     """Adds descriptions from detail pages (url, text) to the first ``limit`` rows of each company; binary and empty links use up their place."""
-    ranked = listing.withColumn("_n", F.row_number().over(Window.partitionBy("company").orderBy(order)))
-    wanted = (F.col("_n") <= limit) & (F.col("url") != "") & ~is_binary_url(F.col("url"))
+    # The last place of each company that counts: ranks are cut off in each task, so no company is sorted as a whole.
+    ranks = listing.select("company", order).withColumn("_n", F.row_number().over(Window.partitionBy("company").orderBy(order))).where(F.col("_n") <= limit)
+    last = ranks.groupBy(F.col("company").alias("_c")).agg(F.max(order).alias("_last"))
+    near = listing.join(last, F.col("company") == F.col("_c"), "left")
+    wanted = (F.col(order) <= F.col("_last")) & (F.col("url") != "") & ~is_binary_url(F.col("url"))
     texts = details.groupBy(F.col("url").alias("_u")).agg(F.first("text").alias("_t"))
-    joined = ranked.withColumn("_want", F.when(wanted, F.col("url"))).join(texts, F.col("_want") == F.col("_u"), "left")
-    return joined.withColumn("description", F.substring(F.coalesce("_t", "description"), 1, DESCRIPTION_LIMIT)).drop("_n", "_want", "_u", "_t")
+    joined = near.withColumn("_want", F.when(wanted, F.col("url"))).join(texts, F.col("_want") == F.col("_u"), "left")
+    return joined.withColumn("description", F.substring(F.coalesce("_t", "description"), 1, DESCRIPTION_LIMIT)).drop("_c", "_last", "_want", "_u", "_t")
 
 
 def normalise_all(landed: DataFrame) -> tuple[DataFrame, DataFrame]:

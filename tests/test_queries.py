@@ -42,5 +42,5 @@ def test_runs(spark, data, name):
 def test_entry(spark):
     import __spark_entry__ as e
 
-    assert e.entry(spark).columns == ["id", "company", "title", "location"]
+    assert e.entry(spark).columns == ["id", "company", "title", "first_seen", "matched"]
     assert set(e.oracle_sql()) <= set(e.queries())
