@@ -169,3 +169,18 @@ def entry_from_verdict(name: Column, v: Column) -> Column:
 def infer_queue(candidates: DataFrame, limit: int) -> DataFrame:
     """The next candidates (name, url, llm, pos) without a verdict yet."""
     return candidates.where("llm is null").orderBy("pos").limit(limit)
+
+
+def gather(*sources: DataFrame) -> DataFrame:
+    """(name, url, source_rank, pos) of candidate sources (name, url, pos), the first source first; their order decides who is kept."""
+    out = None
+    for rank, s in enumerate(sources):
+        part_ = s.select("name", F.coalesce("url", F.lit("")).alias("url"), F.lit(rank).alias("source_rank"), F.col("pos").cast("bigint").alias("pos"))
+        out = part_ if out is None else out.unionByName(part_)
+    return out
+
+
+def summary(found: DataFrame, fresh: DataFrame) -> DataFrame:
+    """One row: how many candidates were found, are new, and were known or double."""
+    counts = found.agg(F.count(F.lit(1)).alias("found")).crossJoin(fresh.agg(F.count(F.lit(1)).alias("fresh")))  # one row each
+    return counts.withColumn("dropped", F.col("found") - F.col("fresh"))

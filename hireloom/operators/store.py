@@ -100,3 +100,11 @@ def log_run(table: VersionedTable, rows: list[tuple[str, str, str, int, str]], f
     table.append(table.spark.createDataFrame([(first_seq + i, *r) for i, r in enumerate(rows)], table.schema))
 
 
+
+
+def commit_pages(cache: DataFrame, pages: DataFrame, parsed: DataFrame) -> DataFrame:
+    """The page cache after a run: pages (url, body_sha1, outcome, ...) replace their entry only where they were changed and their
+    parse is among ``parsed`` (url), so a page whose parse failed is read again next time. A 304 has nothing to store."""
+    good = pages.where((F.col("outcome") == "changed") & F.col("body_sha1").isNotNull()).join(parsed.select("url").distinct(), "url", "left_semi")
+    fresh = good.groupBy("url").agg(F.max("body_sha1").alias("body_sha1"))
+    return cache.select("url", "body_sha1").join(fresh.select("url"), "url", "left_anti").unionByName(fresh)

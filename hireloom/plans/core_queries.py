@@ -349,6 +349,49 @@ def stream_first_seen(spark: SparkSession, sf: str) -> DataFrame:
     return state.read().select("id", "matched")
 
 
+def stream_streaks(spark: SparkSession, sf: str) -> DataFrame:
+    """Error streaks kept from a stream of the run log; companies without a current error have 0."""
+    path = os.path.join(sf, "run_log.parquet")
+    stream = spark.readStream.schema(table(spark, sf, "run_log").schema).parquet(path if os.path.isdir(path) else os.path.join(sf, "run_log*.parquet"))
+    state = store.VersionedTable(spark, scratch_path(spark, "streaks"), first_seen.STREAKS)
+    query = first_seen.run_streaks(stream.select("company", "seq", "status"), state, scratch_path(spark, "streaks-checkpoint"))
+    query.awaitTermination()
+    if query.exception():
+        raise query.exception()
+    return state.read().select("company", "streak", "last_seq")
+
+
+def candidate_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates of three sources in their order of priority; names of the registry are known."""
+    named = lambda t, c, pos, url: table(spark, sf, t).where(f"{c} is not null").select(F.col(c).alias("name"), url.alias("url"), F.col(pos).alias("pos"))
+    found = discovery.gather(named("job_arrivals", "company", "arrival_id", F.lit("")), named("documents", "company", "doc_id", F.lit("")), named("postings", "company", "row_id", F.col("url")))
+    ordered = found.withColumn("place", F.col("source_rank") * (1 << 40) + F.col("pos"))
+    return discovery.dedup_candidates(ordered, table(spark, sf, "companies"), "place").select("name", "source_rank", "pos")
+
+
+def discovery_summary(spark: SparkSession, sf: str) -> DataFrame:
+    found = table(spark, sf, "postings").where("company is not null").select(F.col("company").alias("name"), "row_id")
+    return discovery.summary(found, discovery.dedup_candidates(found, table(spark, sf, "companies"), "row_id"))
+
+
+def page_commit(spark: SparkSession, sf: str) -> DataFrame:
+    """The page cache after the later batches, of which only rows with a title could be parsed."""
+    p = table(spark, sf, "postings").where("url is not null and url <> ''").select("row_id", "url", "title", "description", "batch_no")
+    hashed = F.sha1(F.col("description").cast("binary"))
+    old = store.last_by(p.where("batch_no <= 15").select("url", "row_id", hashed.alias("body_sha1")), "url", "row_id").select("url", "body_sha1")
+    new = store.last_by(p.where("batch_no > 15").select("url", "row_id", "title", "description"), "url", "row_id")
+    pages = store.page_changes(new.select("url", F.lit(200).alias("status_code"), F.col("description").alias("body")), old)
+    return store.commit_pages(old, pages, new.where("title is not null").select("url"))
+
+
+def run_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """What a run over the landed responses would log for each company."""
+    code = F.when(F.length("body") % 7 == 0, 304).when(F.length("body") % 11 == 0, 403).otherwise(200)
+    responses = _landed(spark, sf).withColumn("status_code", code)
+    read = responses.where("status_code = 200")
+    return landed.outcomes(responses, landed.normalise_all(read)[0]).select("company", "status", "jobs_found")
+
+
 def postings_schema(spark: SparkSession, sf: str) -> DataFrame:
     """Postings cast to the record's schema, nulls as empty strings."""
     names = [c.split()[0] for c in POSTING.split(", ")]
@@ -361,7 +404,7 @@ def queries() -> dict:
     names = """match_postings experience_filter posted_recency full_match first_seen_new merge_state merge_new dedup_first dedup_any_matched last_write canonical_urls posting_ids host_rollup url_flags url_policy
         health_alerts error_streaks run_states company_facets meta_totals search_page search_count search_json ui_index run_summary page_text unescaped page_change live_cache robots_decision request_interval ats_detect
         board_links registry_entries careers_rank careers_default sitemap_bfs candidate_dedup known_names unresolved resolve_probe approve_gate evidence infer_verdicts json_paths source_normalise source_skipped spa_normalise
-        workday_pages html_listing digest_chunks digest_whole days_ago_bucket stream_first_seen postings_schema"""
+        workday_pages html_listing digest_chunks digest_whole days_ago_bucket stream_first_seen stream_streaks candidate_sources discovery_summary page_commit run_outcomes postings_schema"""
     return {n: globals()[n] for n in names.split()}
 
 

@@ -154,5 +154,14 @@ SQL: dict[str, str] = {
     "days_ago_bucket": """SELECT CASE WHEN d <= 0 THEN 'today' WHEN d = 1 THEN 'yesterday' ELSE CAST(d AS BIGINT) || 'd ago' END age, count(*) n_orders
         FROM (SELECT floor((epoch_ms(TIMESTAMP '1998-08-03 12:00:00') - epoch_ms(CAST(o_orderdate AS TIMESTAMP))) / 86400000.0) d FROM orders) GROUP BY 1""",
     "stream_first_seen": "SELECT DISTINCT id, 1 matched FROM job_arrivals WHERE id IS NOT NULL",
+    "stream_streaks": """WITH r AS (SELECT * FROM run_log WHERE status <> 'skipped'), g AS (SELECT company, coalesce(max(CASE WHEN status <> 'error' THEN seq END), -1) good, max(seq) last_seq FROM r GROUP BY company)
+        SELECT company, count(*) FILTER (status = 'error' AND seq > good) streak, any_value(last_seq) last_seq FROM r JOIN g USING (company) GROUP BY company""",
+    "candidate_sources": f"""WITH f AS (SELECT company AS name, 0 source_rank, arrival_id pos FROM job_arrivals UNION ALL SELECT company, 1, doc_id FROM documents UNION ALL SELECT company, 2, row_id FROM postings)
+        SELECT name, source_rank, pos FROM (SELECT DISTINCT ON (k) * FROM (SELECT *, {_NORM('name')} k FROM f WHERE name IS NOT NULL) WHERE k <> '' ORDER BY k, source_rank, pos) WHERE k NOT IN (SELECT {_NORM('name')} FROM companies)""",
+    "discovery_summary": f"""WITH f AS (SELECT {_NORM('company')} k FROM postings WHERE company IS NOT NULL), n AS (SELECT count(DISTINCT k) c FROM f WHERE k <> '' AND k NOT IN (SELECT {_NORM('name')} FROM companies))
+        SELECT count(*) "found", any_value(c) fresh, count(*) - any_value(c) dropped FROM f, n""",
+    "page_commit": """WITH p AS (SELECT * FROM postings WHERE url IS NOT NULL AND url <> ''), o AS (SELECT DISTINCT ON (url) url, sha1(description) sha FROM p WHERE batch_no <= 15 ORDER BY url, row_id DESC),
+        n AS (SELECT DISTINCT ON (url) url, sha1(description) sha, title FROM p WHERE batch_no > 15 ORDER BY url, row_id DESC), c AS (SELECT n.url, n.sha FROM n LEFT JOIN o USING (url) WHERE n.title IS NOT NULL AND n.sha IS NOT NULL AND n.sha IS DISTINCT FROM o.sha)
+        SELECT url, sha body_sha1 FROM o WHERE url NOT IN (SELECT url FROM c) UNION ALL SELECT url, sha FROM c""",
     "postings_schema": "SELECT coalesce(source_tier, 0) source_tier, count(*) n, sum(length(substring(coalesce(description, ''), 1, 8000)))::BIGINT n_chars FROM postings GROUP BY 1",
 }

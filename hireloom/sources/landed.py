@@ -110,3 +110,22 @@ def jsearch(landed: DataFrame) -> DataFrame:
 
 for _name, _f in (("greenhouse", greenhouse), ("lever", lever), ("ashby", ashby)):
     register_source(_name, _f)
+
+
+def outcomes(landed: DataFrame, postings: DataFrame) -> DataFrame:
+    """(company, status, jobs_found, error) of a run from responses (company, ats, status_code, body) and the postings they gave.
+
+    One company's failure is one row and stops no other: kinds without normaliser are skipped, refusals blocked, broken or missing
+    bodies errors, 304 unchanged, all else ok.
+    """
+    found = postings.groupBy("company").agg(F.count(F.lit(1)).alias("_n"))
+    code, body = F.col("status_code"), F.col("body")
+    readable = F.coalesce(F.schema_of_variant(F.try_parse_json(body)).isNotNull(), F.lit(False))
+    status = (
+        F.when(~F.coalesce(F.col("ats").isin(list(_SOURCES)), F.lit(False)), "skipped").when(code == 304, "unchanged").when(code.isin(401, 403, 451), "blocked").when(code.between(200, 299) & readable, "ok").otherwise("error")
+    )
+    error = F.when(status == "error", F.when(code.between(200, 299), "unreadable body").otherwise(F.concat(F.lit("status "), F.coalesce(code.cast("string"), F.lit("none"))))).when(status == "blocked", F.concat(F.lit("status "), code.cast("string"))).otherwise("")
+    ranked = landed.select("company", status.alias("status"), error.alias("error"))
+    worst = F.element_at(F.create_map(*[F.lit(x) for i, k in enumerate(("error", "blocked", "ok", "unchanged", "skipped")) for x in (k, i)]), F.col("status"))
+    one = ranked.groupBy("company").agg(F.min_by(F.struct("status", "error"), F.struct(worst, "error")).alias("_s"))
+    return one.join(found, "company", "left").select("company", F.col("_s.status").alias("status"), F.when(F.col("_s.status") == "ok", F.coalesce("_n", F.lit(0))).otherwise(0).cast("int").alias("jobs_found"), F.col("_s.error").alias("error"))

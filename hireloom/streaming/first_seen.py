@@ -48,3 +48,30 @@ def error_streaks(log: DataFrame) -> DataFrame:
 
 def arrivals_stream(spark: SparkSession, path: str, schema: str, max_files: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+
+
+STREAKS = "company string, streak bigint, last_seq bigint"
+
+
+def merge_streaks(state: DataFrame, batch: DataFrame) -> DataFrame:
+    """The streaks (STREAKS) after more runs (company, seq, status): errors behind the batch's last other run, added to the old streak where there is none.
+
+    Runs at or below a company's last_seq were counted before, so a batch that comes twice changes nothing.
+    """
+    runs = batch.where("status <> 'skipped'").join(state.select("company", F.col("last_seq").alias("_seen")), "company", "left")
+    runs = runs.where(F.col("_seen").isNull() | (F.col("seq") > F.col("_seen")))
+    good = F.max(F.when(F.col("status") != "error", F.col("seq")))
+    part = runs.groupBy("company").agg(good.alias("_good"), F.max("seq").alias("_last"), F.sort_array(F.collect_set(F.when(F.col("status") == "error", F.col("seq")))).alias("_errors"))
+    after = F.when(F.col("_good").isNull(), F.size("_errors")).otherwise(F.size(F.filter("_errors", lambda s: s > F.col("_good"))))
+    joined = state.join(part, "company", "full")
+    streak = F.when(F.col("_last").isNull(), F.col("streak")).otherwise(after + F.when(F.col("_good").isNull(), F.coalesce("streak", F.lit(0))).otherwise(0))
+    return joined.select("company", streak.cast("bigint").alias("streak"), F.coalesce("_last", "last_seq").alias("last_seq"))
+
+
+def run_streaks(stream: DataFrame, state: VersionedTable, checkpoint: str) -> StreamingQuery:
+    """Keeps the streaks of all companies up to date from a stream of run-log rows."""
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        state.write(merge_streaks(state.read(), batch))
+
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

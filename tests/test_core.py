@@ -170,3 +170,74 @@ def test_digest(spark):
     one_k = [r["message"] for r in sorted((r for r in parts if r["k"] == 1), key=lambda r: r["part"])]
     assert all(len(m) <= digest.LIMIT for m in one_k) and "\n".join(one_k).count("line ") == 200 and one_k[0].startswith("<b>200 fresh job(s)</b>")
     assert [len(r["message"]) for r in sorted((r for r in parts if r["k"] == 2), key=lambda r: r["part"])] == [len("<b>1 fresh job(s)</b>"), 5000]
+
+
+def test_streaks_in_batches(spark):
+    import random
+
+    from hireloom.streaming.first_seen import STREAKS, error_streaks, merge_streaks
+
+    r = random.Random(4)
+    runs = [(i, f"c{r.randrange(5)}", r.choice(["ok", "error", "error", "skipped", "blocked"])) for i in range(120)]
+    schema = "seq bigint, company string, status string"
+    state = spark.createDataFrame([], STREAKS)
+    for at in range(0, 120, 40):
+        batch = spark.createDataFrame(runs[at : at + 40], schema)
+        once = merge_streaks(state, batch)
+        state = spark.createDataFrame(once.collect(), STREAKS)
+        assert sorted(merge_streaks(state, batch).collect()) == sorted(state.collect())  # a batch that comes again
+    whole = {x["company"]: x["streak"] for x in error_streaks(spark.createDataFrame(runs, schema)).collect()}
+    assert {x["company"]: x["streak"] for x in state.collect() if x["streak"]} == whole
+
+
+def test_outcomes_and_commit(spark):
+    good = '{"jobs": [{"id": 1}, {"id": 2}]}'
+    rows = [("A", "greenhouse", 200, good), ("B", "greenhouse", 200, "{broken"), ("C", "greenhouse", 304, None), ("D", "greenhouse", 403, ""), ("E", "paper", 200, "{}"), ("F", "lever", 200, "[]"), ("G", "lever", None, None)]
+    df = spark.createDataFrame(rows, "company string, ats string, status_code int, body string")
+    got = {r["company"]: (r["status"], r["jobs_found"], r["error"]) for r in landed.outcomes(df, landed.normalise_all(df)[0]).collect()}
+    assert got == {"A": ("ok", 2, ""), "B": ("error", 0, "unreadable body"), "C": ("unchanged", 0, ""), "D": ("blocked", 0, "status 403"), "E": ("skipped", 0, ""), "F": ("ok", 0, ""), "G": ("error", 0, "status none")}
+    cache = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1")], "url string, body_sha1 string")
+    pages = spark.createDataFrame([("a", "2", "changed"), ("b", "2", "changed"), ("c", "1", "unchanged"), ("d", "4", "changed")], "url string, body_sha1 string, outcome string")
+    parsed = spark.createDataFrame([("a",), ("d",)], "url string")
+    assert {r["url"]: r["body_sha1"] for r in store.commit_pages(cache, pages, parsed).collect()} == {"a": "2", "b": "1", "c": "1", "d": "4"}
+
+
+def test_config(spark, tmp_path):
+    from hireloom.sources import config
+
+    (tmp_path / "companies.yaml").write_text("# ours\n- {name: A, tier: 0, ats: lever, token: a}\n- {name: B}\n- just text\n")
+    config.add_entry(str(tmp_path / "companies.yaml"), {"name": "C", "ats": "ashby", "token": "c"})
+    assert [(r["name"], r["ats"], r["token"]) for r in config.registry(spark, str(tmp_path / "companies.yaml")).collect()] == [("A", "lever", "a"), ("C", "ashby", "c")]
+    assert (tmp_path / "companies.yaml").read_text().startswith("# ours")
+    (tmp_path / "filters.yaml").write_text("roles: [Engineer]\nlocations: [Oslo]\ninclude_remote: true\nexperience: 0-2 years\nmax_days_old: 7\n")
+    assert config.filters(str(tmp_path / "filters.yaml")) == match.Filters(("Engineer",), ("Oslo",), True, "0-2 years", 7)
+    (tmp_path / "tokens.txt").write_text("# c\n\n acme \nbeta\n")
+    assert [r["name"] for r in config.tokens(spark, str(tmp_path / "tokens.txt")).collect()] == ["acme", "beta"]
+    assert config.tokens(spark, str(tmp_path / "none.txt")).count() == 0
+
+
+def test_names_and_gates(spark):
+    made = lambda *names: spark.createDataFrame([(n,) for n in names], "name string")
+    assert sorted(r["name"] for r in discovery.known_names(made("a", ""), made("a", "b"), made(None, "c")).collect()) == ["a", "b", "c"]
+    assert [r["name"] for r in discovery.without(made("a", "b"), made("a"), "name").collect()] == ["b"]
+    probes = spark.createDataFrame([("a", 2, "lever", "x", 3), ("a", 1, "greenhouse", "x", 0), ("a", 3, "ashby", "x", 9), ("b", 1, "lever", "y", 0)], "name string, rank int, ats string, token string, jobs_found int")
+    assert [(r["name"], r["ats"]) for r in discovery.resolve(probes).collect()] == [("a", "lever")]
+    counts = spark.createDataFrame([("a", 2), ("b", 0)], "name string, jobs_found int")
+    assert {r["name"]: (r["approved"], r["error"]) for r in discovery.approve(made("a", "b", "c"), counts).collect()} == {"a": (True, None), "b": (False, "no postings found"), "c": (False, "no postings found")}
+    queue = spark.createDataFrame([("a", 3, None), ("b", 1, "done"), ("c", 2, None)], "name string, pos int, llm string")
+    assert [r["name"] for r in discovery.infer_queue(queue, 1).collect()] == ["c"]
+    found = landed.jsearch(spark.createDataFrame([('{"data": [{"employer_name": "A", "employer_website": null}, {"employer_name": ""}]}',)], "body string"))
+    assert [tuple(r) for r in found.collect()] == [("A", "")]
+
+
+def test_browse(spark):
+    from hireloom.operators import browse
+
+    rows = [(f"{i}", "A" if i % 2 else "B", f"Data {i}", "Oslo", "u", None if i == 3 else "p", f"2026-01-{i % 3 + 1:02d}", i % 2) for i in range(120)]
+    state = spark.createDataFrame(rows, STATE)
+    total, first = browse.search(state, q="DATA", matched="0")
+    assert total.first()["total"] == 60 and first.count() == 50
+    assert browse.search(state, q="DATA", matched="1", offset=50)[1].count() == 10
+    assert browse.search(state, q="%_1")[0].first()["total"] == sum(len(str(i)) > 0 and "1" in f"Data {i}"[1:] for i in range(120))
+    assert browse.totals(state.limit(0), spark.createDataFrame([], RUN_LOG)).first().asDict() == {"total": 0, "matched": 0, "last_run": None}
+    assert '"posted_at":null' in browse.as_json(browse.search(state.where("id = '3'"))[1]).first()["json"]
