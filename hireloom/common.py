@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,26 @@ def cleanup(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once for each Spark application, so that they need not have it installed."""
+    sc = spark.sparkContext
+    if _shipped.get("application") == sc.applicationId:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="hireloom-"), "hireloom-package.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in os.walk(package):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.join("hireloom", os.path.relpath(full, package)))
+    sc.addPyFile(target)
+    _shipped["application"] = sc.applicationId
+
+
+_shipped: dict[str, str] = {}
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: cuts the lineage, and survives the loss of executors."""
     path = scratch_path(df.sparkSession, name)
