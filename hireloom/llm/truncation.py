@@ -17,7 +17,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hireloom.common import lookup, materialise
@@ -25,26 +25,28 @@ from hireloom.llm.shingles import mix
 from hireloom.llm.sketching import key_bitmap, passes, share
 
 #: Lengths of the contexts.
-ORDERS = (2, 4, 6, 8, 11, 14, 18, 23, 30)
+ORDERS = (1, 2, 4, 6, 8, 11, 14, 18, 23, 30)
 #: The longest context reaches back to the start of the line, if that is within so many signs.
 LINE = 120
 #: Contexts of this length or more are trusted with a sign of omission; shorter ones are looked up without it.
 WHOLE_SIGN = 11
 BITMAP_BITS = 26
-#: Weight of the shorter context's estimate, in observations.
-SMOOTHING = 2.0
+#: Places that a context must have been seen at to be used, weight of the shorter context's estimate in observations, and how many
+#: orders shorter that context is at least. Neighbouring orders count the same places, so only one shorter context is taken in.
+ENOUGH_PLACES, SMOOTHING, SHORTER = 12, 2.0, 3
 #: Share of places at which a line, item or sentence ends, before any context is known.
 BASE = 0.05
 #: Log-odds taken off for a sign of omission and for a length at which a source's texts pile up.
-SIGN, CAPPED = 3.0, 2.5
-#: A length is a cap when it holds this share of a source's texts, and so many of them.
-CAP_SHARE, CAP_LEAST = 0.02, 8
+SIGN, CAPPED = 4.0, 1.5
+#: A length, in signs or bytes, is a cap when it holds this share of a source's texts, and so many of them.
+CAP_SHARE, CAP_LEAST, CAP_BITS = 0.02, 8, 20
 #: A language's threshold lies in the emptiest stretch of this range; with too few texts it is the default.
-LOWEST, HIGHEST, DEFAULT, ENOUGH = -8.5, -6.5, -7.0, 500
+LOWEST, HIGHEST, DEFAULT, ENOUGH = -7.0, -3.5, -5.0, 500
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _OMISSION = re.compile(r"[\s]*(?:…|\.{3,}|\[(?:…|\.{3})\]|\((?:…|\.{3})\))\s*$")
-_STOPS = np.array([ord(c) for c in ".!?…。！？:;"], dtype=np.uint32)
+_STOP_SIGNS = ".!?…。！？:;"
+_STOPS = np.array([ord(c) for c in _STOP_SIGNS], dtype=np.uint32)
 
 
 @cache
@@ -78,9 +80,10 @@ def _key(hashes: np.ndarray, order: int) -> np.ndarray:
     return mix(hashes * np.uint64(2) + np.uint64(order)).view(np.int64)
 
 
-def count_contexts(texts: list[str | None], wanted) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, ends, places) over all places of the texts whose key passes ``wanted``."""
-    parts = [_signs(t) for t in texts if t and not t.isspace()]
+def count_contexts(texts: list[str | None], wanted, capped: list[bool] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, ends, places) over all places of the texts whose key passes ``wanted``; ends of ``capped`` texts count only behind a stop."""
+    live_texts = [(t, c) for t, c in zip(texts, capped or [False] * len(texts)) if t and not t.isspace()]
+    parts = [_signs(t) for t, _ in live_texts]
     if not parts:
         return (np.zeros(0, np.int64),) * 3
     zero = np.zeros(1, np.uint32)
@@ -94,6 +97,8 @@ def count_contexts(texts: list[str | None], wanted) -> tuple[np.ndarray, np.ndar
     live = text != 0
     live &= text != 32
     live &= text != 10
+    finals = np.cumsum([len(p) + 1 for p in parts]) - 2
+    live[finals[np.array([c for _, c in live_texts], dtype=bool) & ~np.isin(text[finals], _STOPS)]] = False
     up, down = _powers(1 << max(12, int(n).bit_length()))
     total = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((text.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
@@ -116,11 +121,22 @@ def count_contexts(texts: list[str | None], wanted) -> tuple[np.ndarray, np.ndar
     return distinct, np.bincount(number, weights=end, minlength=len(distinct)).astype(np.int64), np.bincount(number, minlength=len(distinct)).astype(np.int64)
 
 
-def fold_odds(counts: str) -> str:
-    """SQL: log-odds of an end from an array of (place, ends, places), shortest context first."""
-    step = f"(p, x) -> if(x.places > 0, (x.ends + {SMOOTHING}D * p) / (x.places + {SMOOTHING}D), p)"
-    odds = "p -> ln(least(greatest(p, 1e-6D), 1 - 1e-6D) / (1 - least(greatest(p, 1e-6D), 1 - 1e-6D)))"
-    return f"aggregate(array_sort({counts}), {BASE}D, {step}, {odds})"
+def end_odds(counts: Column) -> Column:
+    """Log-odds of an end from an array of (place, ends, places).
+
+    The longest context seen often enough decides; a context some orders shorter smooths it, and is itself smoothed by the share of
+    ends among all places. Without such a context that share is all there is. Longer contexts that are rarer count where another
+    text ended there.
+    """
+    usable = F.filter(F.array_sort(counts), lambda x: x["places"] >= ENOUGH_PLACES)
+    best = F.try_element_at(usable, F.lit(-1))
+    shorter = F.try_element_at(F.filter(usable, lambda x: x["place"] <= best["place"] - SHORTER), F.lit(-1))
+    prior = F.coalesce((shorter["ends"] + SMOOTHING * BASE) / (shorter["places"] + SMOOTHING), F.lit(BASE))
+    p = F.coalesce((best["ends"] + SMOOTHING * prior) / (best["places"] + SMOOTHING), F.lit(BASE))
+    rare = F.try_element_at(F.filter(F.array_sort(counts), lambda x: (x["places"] >= 1) & (x["ends"] >= 1)), F.lit(-1))
+    p = F.when(rare["place"] > F.coalesce(best["place"], F.lit(-1)), (rare["ends"] + SMOOTHING * p) / (rare["places"] + SMOOTHING)).otherwise(p)
+    held = F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
+    return F.log(held / (1 - held))
 
 
 def score_ends(docs: DataFrame, key: str, text: str, lang: str, source: str, bitmap_bits: int = BITMAP_BITS) -> DataFrame:
@@ -129,7 +145,7 @@ def score_ends(docs: DataFrame, key: str, text: str, lang: str, source: str, bit
     ``cut`` says whether the text stops before its author's end. Null languages and sources form a group of their own. The whole
     corpus trains the model, repeated rows included, and each text's own end is left out of its score. Long texts are read whole.
     """
-    picked = docs.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text")).where(F.trim("text") != "")
+    picked = docs.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text"), F.octet_length(text).cast("bigint").alias("n_bytes"), F.xxhash64(text).alias("hash")).where(F.trim("text") != "")
     kinds = dict(picked.dtypes)
     whole = ORDERS.index(WHOLE_SIGN)
 
@@ -142,15 +158,30 @@ def score_ends(docs: DataFrame, key: str, text: str, lang: str, source: str, bit
             bare = [t[: len(t) - len(m.group())] if m else None for t, m in zip(texts, signs)]
             keys = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array([len(t) for t in texts], pa.int64()), pa.array([context_keys(_signs(t)) for t in texts], keys),
+                [*batch.columns[:3], pa.array([len(t) for t in texts], pa.int64()), batch.column(4), batch.column(5), pa.array([t.rstrip()[-1] in _STOP_SIGNS for t in texts]), pa.array([context_keys(_signs(t)) for t in texts], keys),
                  pa.array([context_keys(_signs(t)) if t and t.strip() else None for t in bare], keys)],
-                names=["key", "lang", "source", "n_chars", "full", "bare"],
+                names=["key", "lang", "source", "n_chars", "n_bytes", "hash", "stopped", "full", "bare"],
             )
 
-    ends = picked.mapInArrow(ended, f"key {kinds['key']}, lang string, source string, n_chars bigint, full array<bigint>, bare array<bigint>")
+    ends = picked.mapInArrow(ended, f"key {kinds['key']}, lang string, source string, n_chars bigint, n_bytes bigint, hash bigint, stopped boolean, full array<bigint>, bare array<bigint>")
     ends = materialise(ends.withColumn("row", F.monotonically_increasing_id()), "truncation-ends")
-    asked = ends.select("row", F.posexplode("full").alias("place", "ctx"), F.lit(1).alias("own")).unionByName(
-        ends.where("bare is not null").select("row", F.posexplode("bare").alias("place", "ctx"), F.lit(0).alias("own"))
+    # Lengths at which a source's texts pile up: at most 1 / CAP_SHARE of each kind for a source.
+    lengths = ends.select(F.coalesce("source", F.lit("\x00")).alias("_s"), F.explode(F.array(F.col("n_chars"), -F.col("n_bytes"))).alias("_n"))
+    caps = lengths.groupBy("_s", "_n").agg(F.count(F.lit(1)).alias("n"))
+    caps = caps.join(caps.groupBy("_s").agg((F.sum("n") / 2).alias("of")), "_s").where((F.col("n") >= CAP_LEAST) & (F.col("n") >= CAP_SHARE * F.col("of")))
+    caps = materialise(caps.select(F.xxhash64("_s", "_n").alias("cap")), "truncation-caps")
+    piled = share(docs, key_bitmap(caps, "cap", CAP_BITS, mixed=True))
+    slot = lambda n: F.pmod(F.xxhash64(F.coalesce("source", F.lit("\x00")), n), F.lit(1 << CAP_BITS))
+    by_signs, by_bytes = slot(F.length("text").cast("bigint")), slot(-F.col("n_bytes"))
+    marks = ends.select("row", F.explode(F.array(slot(F.col("n_chars")), slot(-F.col("n_bytes")))).alias("slot")).join(caps.select(F.pmod("cap", F.lit(1 << CAP_BITS)).alias("slot")).distinct(), "slot", "left_semi")
+    copies = materialise(ends.groupBy(F.col("hash").alias("same")).agg(F.count(F.lit(1)).alias("n"), F.count(F.lit(1)).alias("copies")), "truncation-copies")
+    n_texts = copies.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    ends = lookup(ends, copies, "hash", "same", ["copies"], "n", n_texts).drop("hash")
+    ends = ends.join(marks.select("row").distinct().withColumn("capped", F.lit(True)), "row", "left").withColumn("capped", F.coalesce("capped", F.lit(False)))
+    # Copies of a text tell nothing of each other's ends: all are left out of its counts, where they were counted.
+    ends = materialise(ends.withColumn("own_ends", F.when(F.col("capped") & ~F.col("stopped"), 0).otherwise(F.col("copies"))), "truncation-capped")
+    asked = ends.select("row", "own_ends", "copies", F.posexplode("full").alias("place", "ctx"), F.lit(1).alias("own")).unionByName(
+        ends.where("bare is not null").select("row", "own_ends", "copies", F.posexplode("bare").alias("place", "ctx"), F.lit(0).alias("own"))
     )
     asked = asked.where(F.col("ctx").isNotNull())
     weights = materialise(asked.groupBy("ctx").agg(F.count(F.lit(1)).alias("n")), "truncation-contexts")
@@ -159,41 +190,37 @@ def score_ends(docs: DataFrame, key: str, text: str, lang: str, source: str, bit
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = lambda keys: passes(bitmap.value, slots(keys, bitmap_bits))
         for batch in batches:
-            texts, part, size = batch.column(0).to_pylist(), [], 0
-            for i, t in enumerate(texts):
-                part.append(t)
+            texts = batch.column(0).to_pylist()
+            capped = (passes(piled.value, batch.column(1).to_numpy()) | passes(piled.value, batch.column(2).to_numpy())).tolist()
+            start, size = 0, 0
+            for i, t in enumerate(texts, 1):
                 size += len(t or "")
-                if size > 250_000 or i == len(texts) - 1:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in count_contexts(part, wanted)], names=["ctx", "ends", "places"])
-                    part, size = [], 0
+                if size > 250_000 or i == len(texts):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in count_contexts(texts[start:i], wanted, capped[start:i])], names=["ctx", "ends", "places"])
+                    start, size = i, 0
 
-    model = picked.select("text").mapInArrow(counted, "ctx bigint, ends bigint, places bigint").groupBy("ctx").agg(F.sum("ends").alias("ends"), F.sum("places").alias("places"))
+    model = picked.select("text", by_signs.alias("signs"), by_bytes.alias("bytes")).mapInArrow(counted, "ctx bigint, ends bigint, places bigint").groupBy("ctx").agg(F.sum("ends").alias("ends"), F.sum("places").alias("places"))
     known = materialise(weights.join(model, "ctx", "left").select(F.col("ctx").alias("entry"), "n", F.coalesce("ends", F.lit(0)).alias("ends"), F.coalesce("places", F.lit(0)).alias("places")), "truncation-model")
     total = weights.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     found = lookup(asked, known, "ctx", "entry", ["ends", "places"], "n", total)
-    # A text's own end is one end; without its sign of omission it is one place that went on.
-    each = F.struct("place", (F.col("ends") - F.col("own")).alias("ends"), (F.col("places") - 1).alias("places"))
+    # Without its sign of omission a text's end is a place that went on.
+    each = F.struct("place", (F.col("ends") - F.col("own") * F.col("own_ends")).alias("ends"), (F.col("places") - F.when(F.col("own") == 1, F.col("own_ends")).otherwise(F.col("copies"))).alias("places"))
     scored = found.groupBy("row").agg(
         F.collect_list(F.when(F.col("own") == 1, each)).alias("full_counts"),
         F.collect_list(F.when(F.col("own") == 0, each)).alias("bare_counts"),
         F.max(F.when((F.col("own") == 1) & (F.col("place") == whole), F.col("places"))).alias("seen"),
     )
     scored = ends.drop("full").join(scored, "row")
-    usual = F.expr(fold_odds("full_counts"))
-    odds = F.when(F.col("bare").isNull() | (F.coalesce("seen", F.lit(0)) >= 3), usual).otherwise(F.expr(fold_odds("bare_counts")) - SIGN)
-    caps = ends.groupBy(F.coalesce("source", F.lit("\x00")).alias("_s"), F.col("n_chars").alias("_n")).agg(F.count(F.lit(1)).alias("n"))
-    caps = caps.join(caps.groupBy("_s").agg(F.sum("n").alias("of")), "_s").where((F.col("n") >= CAP_LEAST) & (F.col("n") >= CAP_SHARE * F.col("of")))
-    caps = caps.select("_s", "_n", F.lit(True).alias("capped"))  # at most 1 / CAP_SHARE for each source
-    scored = scored.withColumn("_s", F.coalesce("source", F.lit("\x00"))).withColumn("_n", F.col("n_chars")).join(caps, ["_s", "_n"], "left")
-    scored = materialise(
-        scored.select("key", "lang", "source", "n_chars", (odds - F.when(F.coalesce("capped", F.lit(False)), CAPPED).otherwise(0.0)).alias("log_odds"), F.coalesce("capped", F.lit(False)).alias("capped")),
-        "truncation-scores",
-    )
+    usual = end_odds(F.col("full_counts"))
+    odds = F.when(F.col("bare").isNull() | (F.coalesce("seen", F.lit(0)) >= 3), usual).otherwise(end_odds(F.col("bare_counts")) - SIGN)
+    final = odds - F.when(F.col("capped"), CAPPED).otherwise(0.0)
+    scored = materialise(scored.select("key", "lang", "source", "n_chars", final.alias("log_odds"), "capped"), "truncation-scores")
     named = scored.withColumn("_l", F.coalesce("lang", F.lit("\x00")))
     bins = named.groupBy("_l", F.floor(F.col("log_odds") * 2).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     low, high = int(LOWEST * 2), int(HIGHEST * 2)
-    valley = bins.groupBy("_l").agg(F.sum("n").alias("of"), *[F.coalesce(F.sum(F.when(F.col("bin") == b, F.col("n"))), F.lit(0)).alias(f"b{b}") for b in range(low, high)])
-    emptiest = F.array_min(F.array(*[F.struct(F.col(f"b{b}").alias("n"), F.lit(abs(b / 2 + 0.25 - DEFAULT)).alias("far"), F.lit(b / 2 + 0.25).alias("at")) for b in range(low, high)]))
+    valley = bins.groupBy("_l").agg(F.sum("n").alias("of"), *[F.coalesce(F.sum(F.when(F.col("bin").between(b - 1, b), F.col("n"))), F.lit(0)).alias(f"b{b - low}") for b in range(low, high + 1)])
+    edges = [F.struct(F.col(f"b{b - low}").alias("n"), F.lit(abs(b / 2 - DEFAULT)).alias("far"), F.lit(b / 2).alias("at")) for b in range(low, high + 1)]
+    emptiest = F.array_min(F.array(*edges))  # the edge with the fewest texts within half a unit, the nearest to the default of equal ones
     valley = valley.select("_l", F.when(F.col("of") >= ENOUGH, emptiest["at"]).otherwise(DEFAULT).alias("threshold"))
     out = named.join(valley, "_l").select("key", "lang", "source", "n_chars", "log_odds", "threshold", "capped", (F.col("log_odds") < F.col("threshold")).alias("cut"))
     return out.withColumnRenamed("key", key)
