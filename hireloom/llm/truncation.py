@@ -77,11 +77,12 @@ def context_keys(signs: np.ndarray) -> list[int | None]:
 
 
 def _key(hashes: np.ndarray, order: int) -> np.ndarray:
-    return mix(hashes * np.uint64(2) + np.uint64(order)).view(np.int64)
+    """Even keys: the lowest bit is free to tell whether a place is an end."""
+    return mix(hashes * np.uint64(2) + np.uint64(order)).view(np.int64) & np.int64(-2)
 
 
 def count_contexts(texts: list[str | None], wanted, capped: list[bool] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, ends, places) over all places of the texts whose key passes ``wanted``; ends of ``capped`` texts count only behind a stop."""
+    """(key, ends, places) to be added up by key, over all places of the texts whose key passes ``wanted``; ends of ``capped`` texts count only behind a stop."""
     live_texts = [(t, c) for t, c in zip(texts, capped or [False] * len(texts)) if t and not t.isspace()]
     parts = [_signs(t) for t, _ in live_texts]
     if not parts:
@@ -105,20 +106,23 @@ def count_contexts(texts: list[str | None], wanted, capped: list[bool] | None =
     place = np.arange(n)
     keys, ends = [], []
     line_start = np.maximum.accumulate(np.where(np.concatenate(([True], (text[:-1] == 10) | (text[:-1] == 0))), place, 0))
-    for order in range(len(ORDERS) + 1):
-        if order < len(ORDERS):
-            at = np.flatnonzero(live & (place - of_start + 1 >= ORDERS[order]))
-            begin = at + 1 - ORDERS[order]
-        else:
-            at = np.flatnonzero(live & (place - line_start < LINE))
-            begin = line_start[at]
-        key = _key((total[at + 1] - total[begin]) * down[begin], order)
-        fits = wanted(key)
+    reach = (place - of_start + 1).astype(np.int32)
+    for order, size in enumerate(ORDERS):
+        if size > n:
+            continue
+        key = _key((total[size:] - total[:-size]) * down[: n - size + 1], order)  # windows that end at size - 1, size, ...
+        fits = wanted(key) & live[size - 1 :] & (reach[size - 1 :] >= size)
         keys.append(key[fits])
-        ends.append(end[at[fits]])
-    key, end = np.concatenate(keys), np.concatenate(ends)
-    distinct, number = np.unique(key, return_inverse=True)
-    return distinct, np.bincount(number, weights=end, minlength=len(distinct)).astype(np.int64), np.bincount(number, minlength=len(distinct)).astype(np.int64)
+        ends.append(end[size - 1 :][fits].astype(np.int64))
+    at = np.flatnonzero(live & (place - line_start < LINE))
+    begin = line_start[at]
+    key = _key((total[at + 1] - total[begin]) * down[begin], len(ORDERS))
+    fits = wanted(key)
+    keys.append(key[fits])
+    ends.append(end[at[fits]].astype(np.int64))
+    # Sorting the keys with their end bit needs no second array beside them; a context comes out once for each bit.
+    distinct, n_places = np.unique(np.concatenate(keys) | np.concatenate(ends), return_counts=True)
+    return distinct & np.int64(-2), np.where(distinct & 1 == 1, n_places, 0), n_places
 
 
 def end_odds(counts: Column) -> Column:

@@ -26,7 +26,12 @@ def test_counts_are_those_of_every_place(texts):
                     e[0] += end
                     e[1] += 1
     keys, ends, places = tr.count_contexts(texts, lambda k: np.ones(len(k), bool))
-    assert {k: [e, p] for k, e, p in zip(keys.tolist(), ends.tolist(), places.tolist())} == want
+    got: dict[int, list[int]] = {}
+    for k, e, p in zip(keys.tolist(), ends.tolist(), places.tolist()):
+        held = got.setdefault(k, [0, 0])
+        held[0] += e
+        held[1] += p
+    assert got == want
 
 
 ITEMS = ["Keep the reports of the team below nine open defects", "Help the crews of the harbour to plan their weeks", "You will share an office with the people of the press", "We answer every letter within nine days"]
