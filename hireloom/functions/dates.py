@@ -11,9 +11,14 @@ ISO = r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2})(:\d{2})?(?:\.(\d{1,6})\d*)?)?(Z
 AGO = r"(?i)posted\s+(?:(today)|(yesterday)|(\d+)\+?\s*days?\s*ago)"
 
 
+def utc(as_of: datetime) -> Column:
+    """A naive time as the UTC instant, whatever the session's zone."""
+    return F.lit(as_of.isoformat(sep=" ") + "+00:00").cast("timestamp")
+
+
 def posted_date(raw: Column, as_of: datetime) -> Column:
     """Epoch milliseconds, "posted N days ago" or an ISO date as a timestamp (no zone: UTC); null where it is none of them."""
-    now = F.lit(as_of.isoformat(sep=" ")).cast("timestamp")
+    now = utc(as_of)
     get = lambda g: F.regexp_extract(raw, ISO, g)
     zone = F.when(get(5).isin("", "Z"), "+00:00").otherwise(F.regexp_replace(get(5), r"(\d{2}):?(\d{2})$", "$1:$2"))
     iso = F.concat(get(1), F.lit("T"), F.when(get(2) == "", "00:00").otherwise(get(2)), F.when(get(3) == "", ":00").otherwise(get(3)), F.lit("."), F.rpad(get(4), 6, "0"), zone)
@@ -30,7 +35,7 @@ def posted_recently(raw: Column, cap_days: int | None, as_of: datetime) -> Colum
     """Whether a posting is at most ``cap_days`` whole days old; unreadable dates and a cap of none or 0 pass, so do future dates."""
     if not cap_days:
         return F.lit(True)
-    age = F.floor((F.unix_micros(F.lit(as_of.isoformat(sep=" ")).cast("timestamp")) - F.unix_micros(posted_date(raw, as_of))) / F.lit(86400000000))
+    age = F.floor((F.unix_micros(utc(as_of)) - F.unix_micros(posted_date(raw, as_of))) / F.lit(86400000000))
     return F.coalesce(age <= cap_days, F.lit(True))
 
 

@@ -8,6 +8,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hireloom.functions.dates import utc
+
 
 def first_by(df: DataFrame, key: str, order: str) -> DataFrame:
     """The first row of each key in the order of a unique column: one aggregation with partial results, not an arbitrary pick."""
@@ -91,7 +93,7 @@ def page_changes(pages: DataFrame, cache: DataFrame) -> DataFrame:
 
 def live(cache: DataFrame, fetched_at: str, ttl_seconds: int, as_of: datetime) -> DataFrame:
     """Entries younger than the time to live; an unreadable time is a miss, an empty body a hit."""
-    age = F.unix_seconds(F.lit(as_of.isoformat(sep=" ")).cast("timestamp")) - F.unix_seconds(F.col(fetched_at).try_cast("timestamp"))
+    age = F.unix_seconds(utc(as_of)) - F.unix_seconds(F.col(fetched_at).try_cast("timestamp"))
     return cache.where(age < ttl_seconds)
 
 
