@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -43,6 +44,9 @@ CAP_SHARE, CAP_LEAST, CAP_BITS = 0.02, 8, 20
 #: A language's threshold lies in the emptiest stretch of this range; with too few texts it is the default.
 LOWEST, HIGHEST, DEFAULT, ENOUGH = -7.0, -3.5, -5.0, 500
 
+#: Texts whose ends are looked at together.
+TEXTS_AT_ONCE = 250
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _OMISSION = re.compile(r"[\s]*(?:…|\.{3,}|\[(?:…|\.{3})\]|\((?:…|\.{3})\))\s*$")
 _STOP_SIGNS = ".!?…。！？:;"
@@ -61,36 +65,61 @@ def _signs(text: str) -> np.ndarray:
     return np.frombuffer(re.sub(r"\d", "0", text.rstrip()).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def context_keys(signs: np.ndarray) -> list[int | None]:
-    """Key of the last n signs for each order, then of the line so far; None where the text or the line is too short or long."""
-    out: list[int | None] = []
-    up, _ = _powers(1 << 12)
-    breaks = np.flatnonzero(signs[-LINE - 1 :] == 10)
-    line = len(signs[-LINE - 1 :]) - breaks[-1] - 1 if len(breaks) else len(signs)
-    for order, n in enumerate([*ORDERS, line]):
-        if len(signs) < n or n > LINE or n == 0:
-            out.append(None)
-            continue
-        tail = signs[-n:].astype(np.uint64) + np.uint64(1)
-        out.append(_key((tail * up[:n]).sum(dtype=np.uint64, keepdims=True), order).item())
-    return out
-
-
 def _key(hashes: np.ndarray, order: int) -> np.ndarray:
     """Even keys: the lowest bit is free to tell whether a place is an end."""
     return mix(hashes * np.uint64(2) + np.uint64(order)).view(np.int64) & np.int64(-2)
 
 
+@dataclass
+class _Layout:
+    """Texts one after the other, each closed by a 0, with running sums from which the hash of any stretch follows."""
+
+    text: np.ndarray
+    finals: np.ndarray
+    reach: np.ndarray
+    line_start: np.ndarray
+    total: np.ndarray
+    down: np.ndarray
+
+    @staticmethod
+    def of(parts: list[np.ndarray]) -> _Layout:
+        zero = np.zeros(1, np.uint32)
+        text = np.concatenate([x for p in parts for x in (p, zero)])
+        n, sizes = len(text), np.array([len(p) + 1 for p in parts])
+        place = np.arange(n)
+        begin = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        up, down = _powers(1 << max(12, int(n).bit_length()))
+        total = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum((text.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
+        line_start = np.maximum.accumulate(np.where(np.concatenate(([True], (text[:-1] == 10) | (text[:-1] == 0))), place, 0))
+        return _Layout(text, np.cumsum(sizes) - 2, (place - begin + 1).astype(np.int32), line_start, total, down)
+
+    def key(self, begin: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
+        return _key((self.total[at + 1] - self.total[begin]) * self.down[begin], order)
+
+
+def end_keys(texts: list[str]) -> pa.Array:
+    """For each text, none of them blank, the key of its last n signs for each order, then of its last line; null where it is too short or the line too long."""
+    n_orders = len(ORDERS) + 1
+    if not texts:
+        return pa.array([], pa.list_(pa.int64()))
+    at = _Layout.of([_signs(t.rstrip()[-LINE - 2 :]) for t in texts])  # no context reaches further back
+    keys, known = np.zeros((len(texts), n_orders), np.int64), np.zeros((len(texts), n_orders), bool)
+    for order, size in enumerate(ORDERS):
+        known[:, order] = ok = at.reach[at.finals] >= size
+        keys[ok, order] = at.key(at.finals[ok] + 1 - size, at.finals[ok], order)
+    known[:, -1] = ok = at.finals - at.line_start[at.finals] < LINE
+    keys[ok, -1] = at.key(at.line_start[at.finals[ok]], at.finals[ok], len(ORDERS))
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * n_orders, pa.int32()), pa.array(keys.ravel(), mask=~known.ravel()))
+
+
 def count_contexts(texts: list[str | None], wanted, capped: list[bool] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, ends, places) to be added up by key, over all places of the texts whose key passes ``wanted``; ends of ``capped`` texts count only behind a stop."""
     live_texts = [(t, c) for t, c in zip(texts, capped or [False] * len(texts)) if t and not t.isspace()]
-    parts = [_signs(t) for t, _ in live_texts]
-    if not parts:
+    if not live_texts:
         return (np.zeros(0, np.int64),) * 3
-    zero = np.zeros(1, np.uint32)
-    text = np.concatenate([x for p in parts for x in (p, zero)])
-    of_start = np.repeat(np.cumsum([0] + [len(p) + 1 for p in parts[:-1]]), [len(p) + 1 for p in parts])
-    n = len(text)
+    at_ = _Layout.of([_signs(t) for t, _ in live_texts])
+    text, n, zero = at_.text, len(at_.text), np.zeros(1, np.uint32)
     after = np.concatenate((text[1:], zero))
     beyond = np.concatenate((text[2:], zero, zero))[:n]
     space = after == 32
@@ -98,25 +127,17 @@ def count_contexts(texts: list[str | None], wanted, capped: list[bool] | None =
     live = text != 0
     live &= text != 32
     live &= text != 10
-    finals = np.cumsum([len(p) + 1 for p in parts]) - 2
-    live[finals[np.array([c for _, c in live_texts], dtype=bool) & ~np.isin(text[finals], _STOPS)]] = False
-    up, down = _powers(1 << max(12, int(n).bit_length()))
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((text.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-    place = np.arange(n)
+    live[at_.finals[np.array([c for _, c in live_texts], dtype=bool) & ~np.isin(text[at_.finals], _STOPS)]] = False
     keys, ends = [], []
-    line_start = np.maximum.accumulate(np.where(np.concatenate(([True], (text[:-1] == 10) | (text[:-1] == 0))), place, 0))
-    reach = (place - of_start + 1).astype(np.int32)
     for order, size in enumerate(ORDERS):
         if size > n:
             continue
-        key = _key((total[size:] - total[:-size]) * down[: n - size + 1], order)  # windows that end at size - 1, size, ...
-        fits = wanted(key) & live[size - 1 :] & (reach[size - 1 :] >= size)
+        key = _key((at_.total[size:] - at_.total[:-size]) * at_.down[: n - size + 1], order)  # windows that end at size - 1, size, ...
+        fits = wanted(key) & live[size - 1 :] & (at_.reach[size - 1 :] >= size)
         keys.append(key[fits])
         ends.append(end[size - 1 :][fits].astype(np.int64))
-    at = np.flatnonzero(live & (place - line_start < LINE))
-    begin = line_start[at]
-    key = _key((total[at + 1] - total[begin]) * down[begin], len(ORDERS))
+    at = np.flatnonzero(live & (np.arange(n) - at_.line_start < LINE))
+    key = at_.key(at_.line_start[at], at, len(ORDERS))
     fits = wanted(key)
     keys.append(key[fits])
     ends.append(end[at[fits]].astype(np.int64))
@@ -154,18 +175,20 @@ def score_ends(docs: DataFrame, key: str, text: str, lang: str, source: str, bit
     whole = ORDERS.index(WHOLE_SIGN)
 
     def ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, TEXTS_AT_ONCE) for b in batches for i in range(0, len(b), TEXTS_AT_ONCE)):
             texts = batch.column(3).to_pylist()
             live = [bool(t.strip()) for t in texts]
-            batch, texts = batch.filter(pa.array(live)), [t for t, x in zip(texts, live) if x]
+            batch, texts = batch.filter(pa.array(live, pa.bool_())), [t for t, x in zip(texts, live) if x]
             signs = [_OMISSION.search(t[-40:]) for t in texts]
-            bare = [t[: len(t) - len(m.group())] if m else None for t, m in zip(texts, signs)]
-            keys = pa.list_(pa.int64())
+            stripped = [t[: len(t) - len(m.group())] if m else "" for t, m in zip(texts, signs)]
+            some = [i for i, t in enumerate(stripped) if t.strip()]
+            at = np.full(len(texts), -1)
+            at[some] = np.arange(len(some))
+            bare = end_keys([stripped[i] for i in some]).take(pa.array(at, mask=at < 0))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array([len(t) for t in texts], pa.int64()), batch.column(4), batch.column(5), pa.array([t.rstrip()[-1] in _STOP_SIGNS for t in texts]), pa.array([context_keys(_signs(t)) for t in texts], keys),
-                 pa.array([context_keys(_signs(t)) if t and t.strip() else None for t in bare], keys)],
+                [*batch.columns[:3], pa.array([len(t) for t in texts], pa.int64()), batch.column(4), batch.column(5), pa.array([t.rstrip()[-1] in _STOP_SIGNS for t in texts], pa.bool_()), end_keys(texts), bare],
                 names=["key", "lang", "source", "n_chars", "n_bytes", "hash", "stopped", "full", "bare"],
-            )
+            )
 
     ends = picked.mapInArrow(ended, f"key {kinds['key']}, lang string, source string, n_chars bigint, n_bytes bigint, hash bigint, stopped boolean, full array<bigint>, bare array<bigint>")
     ends = materialise(ends.withColumn("row", F.monotonically_increasing_id()), "truncation-ends")

@@ -20,7 +20,7 @@ def test_counts_are_those_of_every_place(texts):
                 continue
             after = s[i + 1 : i + 2]
             end = after in ("", "\n") or (c in ".!?:;" and after == " ") or s[i + 1 : i + 3] == " \n"
-            for key in tr.context_keys(signs[: i + 1]):
+            for key in tr.end_keys([s[: i + 1]]).to_pylist()[0]:
                 if key is not None:
                     e = want.setdefault(key, [0, 0])
                     e[0] += end
