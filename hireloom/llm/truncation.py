@@ -18,7 +18,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hireloom.common import lookup, materialise
@@ -146,22 +146,23 @@ def count_contexts(texts: list[str | None], wanted, capped: list[bool] | None =
     return distinct & np.int64(-2), np.where(distinct & 1 == 1, n_places, 0), n_places
 
 
-def end_odds(counts: Column) -> Column:
-    """Log-odds of an end from an array of (place, ends, places).
+def with_odds(df: DataFrame, counts: str, into: str) -> DataFrame:
+    """Adds the log-odds of an end from an array of (place, ends, places), null where there is no array.
 
     The longest context seen often enough decides; a context some orders shorter smooths it, and is itself smoothed by the share of
     ends among all places. Without such a context that share is all there is. Longer contexts that are rarer count where another
-    text ended there.
+    text ended there. Each step is a column of its own, so that no array is sorted and filtered twice.
     """
-    usable = F.filter(F.array_sort(counts), lambda x: x["places"] >= ENOUGH_PLACES)
-    best = F.try_element_at(usable, F.lit(-1))
-    shorter = F.try_element_at(F.filter(usable, lambda x: x["place"] <= best["place"] - SHORTER), F.lit(-1))
-    prior = F.coalesce((shorter["ends"] + SMOOTHING * BASE) / (shorter["places"] + SMOOTHING), F.lit(BASE))
-    p = F.coalesce((best["ends"] + SMOOTHING * prior) / (best["places"] + SMOOTHING), F.lit(BASE))
-    rare = F.try_element_at(F.filter(F.array_sort(counts), lambda x: (x["places"] >= 1) & (x["ends"] >= 1)), F.lit(-1))
-    p = F.when(rare["place"] > F.coalesce(best["place"], F.lit(-1)), (rare["ends"] + SMOOTHING * p) / (rare["places"] + SMOOTHING)).otherwise(p)
-    held = F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
-    return F.log(held / (1 - held))
+    last = lambda array: F.try_element_at(array, F.lit(-1))
+    df = df.withColumn("_sorted", F.array_sort(counts)).withColumn("_usable", F.filter("_sorted", lambda x: x["places"] >= ENOUGH_PLACES))
+    df = df.withColumn("_best", last(F.col("_usable"))).withColumn("_rare", last(F.filter("_sorted", lambda x: (x["places"] >= 1) & (x["ends"] >= 1))))
+    df = df.withColumn("_shorter", last(F.filter("_usable", lambda x: x["place"] <= F.col("_best.place") - SHORTER)))
+    df = df.withColumn("_p", F.coalesce((F.col("_shorter.ends") + SMOOTHING * BASE) / (F.col("_shorter.places") + SMOOTHING), F.lit(BASE)))
+    df = df.withColumn("_p", F.coalesce((F.col("_best.ends") + SMOOTHING * F.col("_p")) / (F.col("_best.places") + SMOOTHING), F.lit(BASE)))
+    more = F.col("_rare.place") > F.coalesce("_best.place", F.lit(-1))
+    df = df.withColumn("_p", F.when(more, (F.col("_rare.ends") + SMOOTHING * F.col("_p")) / (F.col("_rare.places") + SMOOTHING)).otherwise(F.col("_p")))
+    df = df.withColumn("_p", F.least(F.greatest("_p", F.lit(1e-6)), F.lit(1 - 1e-6)))
+    return df.withColumn(into, F.log(F.col("_p") / (1 - F.col("_p")))).drop("_sorted", "_usable", "_best", "_rare", "_shorter", "_p")
 
 
 def score_ends(docs: DataFrame, key: str, text: str, lang: str, source: str, bitmap_bits: int = BITMAP_BITS) -> DataFrame:
@@ -238,8 +239,8 @@ def score_ends(docs: DataFrame, key: str, text: str, lang: str, source: str, bit
         F.max(F.when((F.col("own") == 1) & (F.col("place") == whole), F.col("places"))).alias("seen"),
     )
     scored = ends.drop("full").join(scored, "row")
-    usual = end_odds(F.col("full_counts"))
-    odds = F.when(F.col("bare").isNull() | (F.coalesce("seen", F.lit(0)) >= 3), usual).otherwise(end_odds(F.col("bare_counts")) - SIGN)
+    scored = with_odds(with_odds(scored, "full_counts", "usual"), "bare_counts", "without_sign")
+    odds = F.when(F.col("bare").isNull() | (F.coalesce("seen", F.lit(0)) >= 3), F.col("usual")).otherwise(F.col("without_sign") - SIGN)
     final = odds - F.when(F.col("capped"), CAPPED).otherwise(0.0)
     scored = materialise(scored.select("key", "lang", "source", "n_chars", final.alias("log_odds"), "capped"), "truncation-scores")
     named = scored.withColumn("_l", F.coalesce("lang", F.lit("\x00")))
