@@ -299,13 +299,14 @@ def spa_normalise(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def workday_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """Boards of companies as pages of 20 jobs, of which the second names a total of 0."""
+    """Boards of companies as pages of 20 jobs, of which the first names the board's number of jobs and the others 0."""
     from pyspark.sql import Window
 
     j = table(spark, sf, "jobs").withColumn("n", F.row_number().over(Window.partitionBy("company").orderBy("seq")) - 1)
     item = F.struct("title", F.col("location").alias("locationsText"), F.concat(F.lit("/job/"), F.col("seq").cast("string")).alias("externalPath"), F.lit("Posted Today").alias("postedOn"))
     pages = j.groupBy("company", (F.floor(F.col("n") / 20) * 20).cast("int").alias("offset")).agg(F.array_sort(F.collect_list(F.struct("n", item.alias("i")))).alias("l"))
-    body = F.to_json(F.struct(F.when(F.col("offset") == 0, 40).otherwise(0).alias("total"), F.transform("l", lambda x: x["i"]).alias("jobPostings")))
+    pages = pages.withColumn("total", F.sum(F.size("l")).over(Window.partitionBy("company")))
+    body = F.to_json(F.struct(F.when(F.col("offset") == 0, F.col("total")).otherwise(0).alias("total"), F.transform("l", lambda x: x["i"]).alias("jobPostings")))
     out = landed.workday(pages.select("company", F.lit("https://h.example/en-US/s").alias("base_url"), "offset", body.alias("body")))
     return out.select("id", "company", "title", "location", "url", "posted_at")
 

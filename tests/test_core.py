@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from hireloom.functions import dates, match, text, urls
 from hireloom.functions.ids import posting_id
 from hireloom.operators import digest, discovery, health, robots, store
+from hireloom.plans import core_queries
 from hireloom.schema import RUN_LOG, STATE
 from hireloom.sources import html, landed
 from hireloom.sources import sitemaps as sm
@@ -164,6 +165,14 @@ def test_sources(spark):
     assert sorted((r["title"], r["url"]) for r in landed.spa(spa, "d.l", {"title": "x.t"}).collect()) == [("", ""), ("T", "u")]
 
 
+def test_workday_pages_keep_whole_boards(spark, tmp_path):
+    sizes = {"few": 3, "page": 40, "more": 41, "many": 95, "beyond": 2010}
+    rows = [(i, c, f"t{i}", "L") for i, c in enumerate(c for c, n in sizes.items() for _ in range(n))]
+    spark.createDataFrame(rows, "seq bigint, company string, title string, location string").write.parquet(f"{tmp_path}/jobs.parquet")
+    got = {r["company"]: r["count"] for r in core_queries.workday_pages(spark, str(tmp_path)).groupBy("company").count().collect()}
+    assert got == sizes | {"beyond": 2000}  # the reference's max_jobs
+
+
 def test_digest(spark):
     df = spark.createDataFrame([(1, i, f"line {i} " + "x" * 90) for i in range(200)] + [(2, 0, "y" * 5000)], "k int, pos int, line string")
     parts = digest.pack(df, "k", "pos", "line").collect()
