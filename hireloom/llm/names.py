@@ -9,6 +9,7 @@ candidate of the highest posterior, unless a name of its own is likelier. Attach
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -33,7 +34,7 @@ BRANCHES = frozenset(
 ONE_EDIT, TWO_EDITS, SHORTENED, INITIAL, CUT, REORDERED, JOINED = -4.0, -9.0, -3.0, -4.0, -4.5, -2.0, -2.0
 #: Log-likelihood, with the log ratio of frequencies, below which a spelling counts as a name of its own.
 OWN_NAME = -13.0
-#: Names that a key may join before it is combined with the name's next rarest word.
+#: Names that a spelling's most telling word may meet before its next word is asked for too.
 HOT_KEY = 500
 
 
@@ -99,16 +100,89 @@ def likelihood(v: list[str], c: list[str]) -> float | None:
     return None
 
 
-def _keys(words: list[str]) -> list[str]:
-    """Keys of each word of five letters or more, and of the joined name: both ends, and for short words every one-letter deletion."""
-    out = []
-    for w in {*words, "".join(words)}:
-        if len(w) >= 10:
-            out += [f"{w[:6]}-", f"-{w[-6:]}"]
-        elif len(w) >= 5:
-            out += [f"{w[:4]}-", f"-{w[-4:]}"]
-        out.append(f"{w}=")
-    return sorted(set(out))
+def _edit_keys(w: str) -> set[str]:
+    """Keys of which any two words within one edit share one: the word and its one-letter deletions, for long words both ends."""
+    out = {f"d{w}", *(f"d{w[:i]}{w[i + 1 :]}" for i in range(len(w)))} if len(w) <= 66 else set()
+    return out | {f"<{w[:30]}", f">{w[-30:]}"} if len(w) >= 64 else out
+
+
+def _two_edit_keys(w: str) -> set[str]:
+    """Keys of which any two words within two edits share one where one has 8 letters or more: runs of 6 letters out of the first 8."""
+    return {"t" + "".join(x) for x in itertools.combinations(w[:8], 6)}
+
+
+def _word_keys(w: str) -> tuple[list[str], list[str]]:
+    """Keys of a word as written and as canonical: wherever _word(v, c) gives a value and v is not c, both share one."""
+    edits, two = _edit_keys(w), _two_edit_keys(w)
+    written = (edits if len(w) >= 4 else set()) | (two if len(w) >= 6 else set())
+    canonical = (edits if len(w) >= 5 else set()) | (two if len(w) >= 8 else set())
+    # Short forms keep the first letter and the order of the others: their first three letters lie in this order in the canonical word.
+    written.add(f"i{w}" if len(w) == 1 else f"p{w}" if len(w) == 2 else f"s{w[:3]}")
+    if len(w) >= 3:
+        written.add(f"l{w[:2]}")
+    first, last = {}, {}
+    for i, x in enumerate(w[1:]):
+        first.setdefault(x, i)
+        last[x] = i
+    canonical |= {f"i{w[0]}", *(f"p{w[0]}{x}" for x in first)}
+    if len(first) <= 64:
+        canonical |= {f"s{w[0]}{x}{y}" for x in first for y in last if first[x] < last[y]}
+    else:  # words of more different letters than an alphabet's
+        canonical |= {f"l{w[0]}{x}" for x in first}
+    return sorted(written), sorted(canonical)
+
+
+def _word_pairs(words: DataFrame) -> DataFrame:
+    """(x, y): words y of ``words`` (word, once each) as which x may have been meant, itself included."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [_word_keys(w) for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([k[i] for k in keys], pa.list_(pa.string())) for i in (0, 1))], names=["word", "written", "canonical"])
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([_word(x, y) is not None for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], pa.bool_()))
+
+    keys = materialise(words.mapInArrow(keyed, "word string, written array<string>, canonical array<string>"), "names-word-keys")
+    written, canonical = (keys.select(F.col("word").alias(n), F.explode(side).alias("key")) for n, side in (("x", "written"), ("y", "canonical")))
+    met = written.join(canonical, "key").where(F.col("x") != F.col("y")).select("x", "y").distinct()
+    return met.mapInArrow(kept, "x string, y string").unionByName(words.select(F.col("word").alias("x"), F.col("word").alias("y")))
+
+
+def _candidates(spelled: DataFrame) -> DataFrame:
+    """(name_v, name_c), once each: every two of ``spelled`` (name, words, joined) for which likelihood() may give a value.
+
+    Names of equally many words are likely only where each word of v stands for one of c. So v looks for names with the meanings
+    of the one of its words that meets the fewest, and where these are still more than HOT_KEY, with those of its next word too.
+    Names of other numbers of words are likely only where they are within one edit when joined.
+    """
+    placed = spelled.select("name", F.size("words").alias("k"), F.posexplode("words").alias("at", "word"))
+    meanings = materialise(_word_pairs(placed.select("word").distinct()), "names-word-pairs")
+    sizes = placed.select("name", "k", "word").distinct().groupBy("k", F.col("word").alias("y")).agg(F.count(F.lit(1)).alias("size"))
+    costs = meanings.join(sizes, "y").groupBy("k", F.col("x").alias("word")).agg(F.sum("size").alias("cost"))
+    probes = placed.join(costs, ["k", "word"]).groupBy("name", "k").agg(F.array_sort(F.collect_list(F.struct("cost", "word", "at"))).alias("w"))
+    second = F.when((F.col("k") > 1) & (F.col("w")[0]["cost"] > HOT_KEY), F.col("w")[F.least(F.lit(1), F.col("k") - 1)]["word"]).otherwise("")
+    probes = probes.select(F.col("name").alias("name_v"), "k", F.col("w")[0]["word"].alias("x1"), second.alias("x2"))
+    nothing = meanings.sparkSession.createDataFrame([("", "")], "x2 string, y2 string")
+    probes = probes.join(meanings.withColumnsRenamed({"x": "x1", "y": "y1"}), "x1").join(meanings.withColumnsRenamed({"x": "x2", "y": "y2"}).unionByName(nothing), "x2")
+    # The words of c alone, and two by two where a probe asks for both.
+    alone = placed.select(F.col("name").alias("name_c"), "k", F.col("word").alias("y1"), F.lit("").alias("y2")).distinct()
+    asked = probes.where("x2 <> ''").select("k", "y1", "y2").distinct()
+    one, other = (placed.select("name", "k", F.col("at").alias(f"at{i}"), F.col("word").alias(f"y{i}")) for i in (1, 2))
+    one, other = (d.join(asked.select("k", f"y{i}").distinct(), ["k", f"y{i}"], "left_semi") for i, d in ((1, one), (2, other)))
+    both = one.join(other, ["name", "k"]).where("at1 <> at2").select(F.col("name").alias("name_c"), "k", "y1", "y2").distinct()
+    same = probes.join(alone.unionByName(both), ["k", "y1", "y2"]).select("name_v", "name_c")
+    keys = spelled.where(F.length("joined") >= 7).select("name", F.size("words").alias("k"), "joined")
+
+    def edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = pa.array([sorted(_edit_keys(x)) for x in batch.column(2).to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), of], names=["name", "k", "keys"])
+
+    near = keys.mapInArrow(edits, "name string, k int, keys array<string>").select("name", "k", F.explode("keys").alias("key")).withColumn("key", F.xxhash64("key"))
+    v, c = (near.withColumnsRenamed({x: f"{x}_{s}" for x in ("name", "k")}) for s in ("v", "c"))
+    return same.unionByName(v.join(c, "key").where("k_v <> k_c").select("name_v", "name_c")).where("name_v <> name_c").distinct()
 
 
 def link_names(names: DataFrame, name: str) -> DataFrame:
@@ -124,23 +198,15 @@ def link_names(names: DataFrame, name: str) -> DataFrame:
         for batch in batches:
             words = [parse(x) for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(words, pa.list_(pa.string())), pa.array([_keys(w) for w in words], pa.list_(pa.string()))], names=["name", "n", "words", "keys"]
+                [*batch.columns, pa.array(words, pa.list_(pa.string())), pa.array(["".join(w) for w in words], pa.string())], names=["name", "n", "words", "joined"]
             )
 
-    spelled = materialise(counted.mapInArrow(parsed, "name string, n bigint, words array<string>, keys array<string>"), "names-parsed")
-    keyed = spelled.select("name", "n", "words", F.explode("keys").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    # Keys of one name only join nothing; keys of many are combined with the first letters of the name's words.
-    keyed = keyed.join(sizes.where(F.col("size") > 1), "key")
-    letters = F.array_join(F.array_sort(F.transform("words", lambda w: F.substring(w, 1, 1))), "")
-    keyed = keyed.withColumn("key", F.when(F.col("size") > HOT_KEY, F.concat("key", F.lit("|"), letters)).otherwise(F.col("key")))
-    keyed = materialise(keyed.select("key", "name", "n", "words").distinct(), "names-keyed")
-    v, c = (keyed.select("key", *[F.col(x).alias(f"{x}_{s}") for x in ("name", "n", "words")]) for s in ("v", "c"))
+    spelled = materialise(counted.mapInArrow(parsed, "name string, n bigint, words array<string>, joined string"), "names-parsed")
+    v, c = (spelled.select(*[F.col(x).alias(f"{x}_{s}") for x in ("name", "n", "words")]) for s in ("v", "c"))
     higher = (F.col("n_c") > F.col("n_v")) | (
         (F.col("n_c") == F.col("n_v")) & (F.struct(F.length("name_c"), F.col("name_c")) < F.struct(F.length("name_v"), F.col("name_v")))
     )
-    near = F.abs(F.size("words_c") - F.size("words_v")) <= 4
-    pairs = v.join(c, "key").where(higher & near).select("name_v", "n_v", "words_v", "name_c", "n_c", "words_c").dropDuplicates(["name_v", "name_c"])
+    pairs = _candidates(spelled).join(v, "name_v").join(c, "name_c").where(higher).select("name_v", "n_v", "words_v", "name_c", "n_c", "words_c")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -29,3 +29,31 @@ def test_hot_key_loses_no_pair(spark, monkeypatch):
     rows = [f"Commonword {chr(97 + i)}{chr(97 + i)}xyzzy Systems" for i in range(20)] + ["Commonword aaxyzzy System"]
     got = {r["name"]: r["root"] for r in nm.link_names(spark.createDataFrame([(r,) for r in rows], "name string"), "name").collect()}
     assert got["Commonword aaxyzzy Systems"] == "Commonword aaxyzzy System" or got["Commonword aaxyzzy System"] == "Commonword aaxyzzy Systems"
+
+
+def test_every_likely_pair_is_compared(spark, monkeypatch):
+    import itertools
+    import random
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(3)
+    names = ["stripe", "strpie", "brightway", "brightwayy", "plaid", "plad", "intercontinental", "intl", "interco", "kalbranwum", "kalbarnwmu", "Bawumnordek Global Insurance", "B G I", "Bawumnrdek Globl Insuranec", "a b c d e f g h", "abcdefgh", "x" * 70, "x" * 69 + "y", "z" + "x" * 69, "—"]
+    for _ in range(150):  # made names and what one or two edits in each of their words make of them
+        words = ["".join(r.choices("abcde", k=r.randint(4, 12))) for _ in range(r.randint(1, 3))]
+        names.append(" ".join(words))
+        for i, w in enumerate(words):
+            for _ in range(r.randint(1, 2)):
+                p = r.randrange(len(w))
+                w = r.choice((w[:p] + w[p + 1 :], w[:p] + r.choice("abcde") + w[p:], w[:p] + r.choice("abcde") + w[p + 1 :], w[:p] + w[p : p + 2][::-1] + w[p + 2 :])) or "a"
+            words[i] = w
+        names.append(" ".join(words))
+    names = sorted(set(names))
+    words = {n: nm.parse(n) for n in names}
+    want = {(v, c) for v, c in itertools.permutations(names, 2) if nm.likelihood(words[v], words[c]) is not None}
+    df = spark.createDataFrame([(n, words[n], "".join(words[n])) for n in names], "name string, words array<string>, joined string")
+    for hot in (500, 3):
+        monkeypatch.setattr(nm, "HOT_KEY", hot)
+        got = {tuple(x) for x in nm._candidates(df).collect()}
+        assert want <= got, sorted(want - got)[:5]
+    assert nm.link_names(spark.createDataFrame([("stripe",), ("stripe",), ("strpie",)], "name string"), "name").where(F.col("root") == "stripe").count() == 2
