@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hireloom.common import materialise
 from hireloom.functions.text import html_escape
 
 LIMIT = 4000
+#: Lines that one task of a whole digest folds, about.
+BLOCK = 20_000
 
 
 def job_line() -> Column:
@@ -33,6 +38,59 @@ def pack(lines: DataFrame, key: str, order: str, line: str, limit: int = LIMIT)
     return grouped.select(key, F.posexplode("_m").alias("part", "message"))
 
 
+def _folded(sizes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """(length of the last message, messages begun) behind lines of these ``sizes``, for each length from 0 to ``limit`` that the message before them can have."""
+    to, at, begun = np.arange(limit + 1), np.arange(limit + 1), np.zeros(limit + 1, np.int64)
+    for n in sizes:
+        over = at + n + 1 > limit
+        at, begun = np.where(over, min(n, limit), at + n + 1), begun + over  # a message beyond the limit takes no line, like a full one
+        if len(at) > 64:  # most beginnings have met by then
+            (at, begun), back = np.unique(np.stack([at, begun]), axis=1, return_inverse=True)
+            to = back.reshape(-1)[to]
+    return at[to], begun[to]
+
+
+def pack_whole(lines: DataFrame, order: str, line: str, limit: int = LIMIT, block: int = BLOCK) -> DataFrame:
+    """(part, message) of all lines as one digest, as ``pack`` gives for one key; no task holds more than a block of them.
+
+    Each block of the ordered lines is folded for every length that the message before it can have; these results, 2 * ``limit``
+    numbers a block, are chained on the driver, and each block then gives the parts of its lines.
+    """
+    spark = lines.sparkSession
+    rows = materialise(lines.select(F.col(order).alias("o"), F.col(line).alias("l")), "digest-lines")
+    total = rows.count()
+    ranges = rows.repartitionByRange(max(1, -(-total // block)), "o", "l")
+    placed = materialise(ranges.select("o", "l", F.spark_partition_id().alias("b")), "digest-blocks")
+
+    def sized(t: pa.Table) -> np.ndarray:
+        return np.array([len(x) for x in t.column("l").to_pylist()], np.int64)
+
+    def summed(t: pa.Table) -> pa.Table:
+        at, begun = _folded(sized(t.sort_by([("o", "ascending"), ("l", "ascending")])), limit)
+        return pa.table({"b": t.column("b")[:1].cast(pa.int32()), "at": pa.array([at.astype(np.int32).tobytes()]), "begun": pa.array([begun.astype(np.int32).tobytes()])})
+
+    header = f"<b>{total} fresh job(s)</b>"
+    at, part, starts = min(len(header), limit), 0, {}
+    for r in sorted(placed.groupBy("b").applyInArrow(summed, "b int, at binary, begun binary").toLocalIterator(), key=lambda r: r["b"]):
+        starts[r["b"]] = (at, part)
+        at, part = int(np.frombuffer(r["at"], np.int32)[at]), part + int(np.frombuffer(r["begun"], np.int32)[at])
+
+    def parted(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("o", "ascending"), ("l", "ascending")])
+        at, part = starts[t.column("b")[0].as_py()]
+        parts = []
+        for n in sized(t):
+            at, part = (n, part + 1) if at + n + 1 > limit else (at + n + 1, part)
+            parts.append(part)
+        return pa.table({"part": pa.array(parts, pa.int32()), "b": t.column("b"), "i": pa.array(range(len(parts)), pa.int32()), "l": t.column("l")})
+
+    cut = placed.groupBy("b").applyInArrow(parted, "part int, b int, i int, l string")
+    if total:
+        cut = cut.unionByName(spark.createDataFrame([(0, -1, 0, header)], "part int, b int, i int, l string"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "i", "l"))), lambda x: x["l"]), "\n")  # at most limit lines a message
+    return cut.groupBy("part").agg(joined.alias("message"))
+
+
 def assemble(summary: str | None, jobs: DataFrame, alerts: DataFrame) -> DataFrame:
     """(part, message) of a whole digest: summary, packed jobs (part, message) and one block of alerts (company, message); none where all are empty."""
     spark = jobs.sparkSession

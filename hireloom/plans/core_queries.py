@@ -326,8 +326,8 @@ def digest_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def digest_whole(spark: SparkSession, sf: str) -> DataFrame:
-    lines = _batch(spark, sf).where("matched = 1 and company = 'Faltalpandost Engineering'").select(F.lit(1).alias("d"), "row_id", digest.job_line().alias("line"))
-    return digest.assemble("New & fine", digest.pack(lines, "d", "row_id", "line").select("part", "message"), health.health_alerts(table(spark, sf, "run_log")).select("company", "message"))
+    lines = _batch(spark, sf).where("matched = 1").select("row_id", digest.job_line().alias("line"))
+    return digest.assemble("New & fine", digest.pack_whole(lines, "row_id", "line"), health.health_alerts(table(spark, sf, "run_log")).select("company", "message"))
 
 
 def days_ago_bucket(spark: SparkSession, sf: str) -> DataFrame:

@@ -181,6 +181,23 @@ def test_digest(spark):
     assert [len(r["message"]) for r in sorted((r for r in parts if r["k"] == 2), key=lambda r: r["part"])] == [len("<b>1 fresh job(s)</b>"), 5000]
 
 
+def test_whole_digest(spark, tmp_path):
+    import random
+
+    r = random.Random(5)
+    schema = "k int, pos int, line string"
+    for rows in ([(1, i, f"{i} " + "é" * r.choice((0, 5, 90, 300))) for i in range(400)] + [(1, 400, "y" * 900), (1, 401, "z"), (1, 401, "a")], [(1, 0, "y" * 900)], []):
+        df = spark.createDataFrame(rows, schema)
+        want = sorted((x["part"], x["message"]) for x in digest.pack(df, "k", "pos", "line", 700).collect())
+        for block in (7, 1000):
+            assert sorted((x["part"], x["message"]) for x in digest.pack_whole(df, "pos", "line", 700, block).collect()) == want
+    made = [(i, f"i{i}", f"c{i}", "Data Scientist", "London", f"https://a.example/{i}", "") for i in range(300)]
+    spark.createDataFrame(made, "row_id bigint, id string, company string, title string, location string, url string, posted_at string").write.parquet(f"{tmp_path}/postings.parquet")
+    spark.createDataFrame([], RUN_LOG).write.parquet(f"{tmp_path}/run_log.parquet")
+    parts = [x["message"] for x in core_queries.digest_whole(spark, str(tmp_path)).orderBy("part").collect()]
+    assert all(len(x) <= digest.LIMIT for x in parts) and "\n".join(parts).count("•") == 300 and parts[1].startswith("<b>300 fresh job(s)</b>\n")
+
+
 def test_streaks_in_batches(spark):
     import random
 
