@@ -19,9 +19,11 @@ from hireloom.common import materialise
 
 #: Blocks that each pass over a source is cut into.
 BLOCKS = 4096
+#: As a budget: as many tokens as the sources hold together.
+HELD = "held"
 
 
-def weights(held: dict[str, int], targets: dict[str, float], repeats: dict[str, int], budget: int | None) -> tuple[dict[str, float], int, float]:
+def weights(held: dict[str, int], targets: dict[str, float], repeats: dict[str, int], budget: int | str | None) -> tuple[dict[str, float], int, float]:
     """(weight of each source, size of the mixture in tokens, exponent). Sources that hold nothing get weight 0."""
     live = [s for s in targets if held.get(s, 0) > 0 and targets[s] > 0 and repeats.get(s, 0) > 0]
     if not live:
@@ -35,6 +37,8 @@ def weights(held: dict[str, int], targets: dict[str, float], repeats: dict[str,
         raw = {s: math.exp(x - top) for s, x in logs.items()}
         return {s: x / sum(raw.values()) for s, x in raw.items()}
 
+    if budget == HELD:
+        budget = total_held
     fits = lambda w, size: all(w[s] * size <= most[s] * (1 + 1e-12) for s in live)
     size = int(min(most[s] / at(0.0)[s] for s in live)) if budget is None else min(budget, sum(most.values()))
     low, high = 0.0, 1.0
@@ -54,7 +58,7 @@ def weights(held: dict[str, int], targets: dict[str, float], repeats: dict[str,
     return {s: w.get(s, 0.0) for s in targets}, size, high
 
 
-def mix(sizes: DataFrame, targets: DataFrame, key: str, source: str, n_tokens: str, budget: int | None = None, seed: int = 7, blocks: int = BLOCKS) -> tuple[DataFrame, DataFrame]:
+def mix(sizes: DataFrame, targets: DataFrame, key: str, source: str, n_tokens: str, budget: int | str | None = None, seed: int = 7, blocks: int = BLOCKS) -> tuple[DataFrame, DataFrame]:
     """(mixture, shares) for ``sizes`` (key, source, n_tokens) and ``targets`` (source, target_share, max_repeats).
 
     mixture: (key, source, repeat_no from 1, n_tokens, position), a row for each use of a document; sorting by position

@@ -86,3 +86,13 @@ def test_weights():
     assert size == 222 and e == 0.0 and abs(w["a"] - 0.9) < 1e-9
     w, size, e = mixing.weights({"a": 100, "b": 300}, {"a": 0.9, "b": 0.1}, {"a": 2, "b": 1}, 400)
     assert 0 < e < 1 and abs(w["a"] * 400 - 200) < 1e-6 and abs(sum(w.values()) - 1) < 1e-9
+
+
+def test_a_registered_mixture_bisects_the_exponent(spark, data):
+    from hireloom.llm import queries
+
+    rows = queries.queries()["p9_shares_held"](spark, data).collect()
+    held, used = sum(r["held_tokens"] for r in rows), sum(r["used_tokens"] for r in rows)
+    assert all(0 < r["exponent"] < 1 and r["most_repeats"] <= r["max_repeats"] and r["used_tokens"] <= r["held_tokens"] * r["max_repeats"] for r in rows)
+    assert any(r["used_tokens"] >= 0.95 * r["held_tokens"] * r["max_repeats"] for r in rows) and 0.97 * held <= used <= held
+    assert not all(r["target_met"] for r in rows)
