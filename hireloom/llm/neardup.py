@@ -278,24 +278,32 @@ def all_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     return across.unionByName(within).select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b"))
 
 
-def components(members: DataFrame, links: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(members: DataFrame, links: DataFrame) -> DataFrame:
     """(key, rep, class_id, n_links): the connected group of each record by its least representative, and its class's links.
 
-    Label propagation with pointer jumping over representatives only; each round is written to the shared folder.
+    Each round hooks every root onto the least root linked to its group, follows the hooks to their ends by pointer jumping and
+    contracts the links to the roots that are left. A root that takes no other's lower label takes in a neighbour, so two rounds
+    halve the roots of a group at least; it ends when no link joins two roots. Each step is written to the shared folder.
     """
     edges = links.select("rep_a", "rep_b").unionByName(links.select(F.col("rep_b").alias("rep_a"), F.col("rep_a").alias("rep_b")))
     edges = materialise(edges, "neardup-edges")
     labels = materialise(members.select("rep").distinct().select("rep", F.col("rep").alias("label")), "neardup-labels")
-    for _ in range(max_rounds):
-        near = edges.join(labels, edges["rep_b"] == labels["rep"]).groupBy("rep_a").agg(F.min("label").alias("near")).withColumnRenamed("rep_a", "rep")
-        step = labels.join(near, "rep", "left").select("rep", F.least("label", F.coalesce("near", "label")).alias("next"), "label")
-        jump = step.select(F.col("rep").alias("to"), F.col("next").alias("onward"))
-        moved = step.join(jump, F.col("next") == F.col("to")).select("rep", F.least("next", "onward").alias("next"), "label")
-        moved = materialise(moved, "neardup-labels")
-        done = moved.where(F.col("next") != F.col("label")).isEmpty()
-        labels = moved.select("rep", F.col("next").alias("label"))
-        if done:
-            break
+    between = edges
+    while not between.isEmpty():
+        hooks = between.groupBy(F.col("rep_a").alias("root")).agg(F.least(F.col("rep_a"), F.min("rep_b")).alias("up"))
+        hooks = materialise(hooks, "neardup-hooks")
+        while True:  # each pass halves the way to the end
+            above = hooks.select(F.col("root").alias("up"), F.col("up").alias("onward"))
+            moved = materialise(hooks.join(above, "up").select("root", "up", "onward"), "neardup-hooks")
+            done = moved.where(F.col("up") != F.col("onward")).isEmpty()
+            hooks = moved.select("root", F.col("onward").alias("up"))
+            if done:
+                break
+        labels = labels.join(hooks, F.col("label") == F.col("root"), "left").select("rep", F.coalesce("up", "label").alias("label"))
+        labels = materialise(labels, "neardup-labels")
+        for side in ("rep_a", "rep_b"):
+            between = between.join(hooks.withColumnsRenamed({"root": side, "up": f"_{side}"}), side).drop(side).withColumnRenamed(f"_{side}", side)
+        between = materialise(between.where("rep_a <> rep_b").select("rep_a", "rep_b").distinct(), "neardup-between")
     degree = edges.groupBy(F.col("rep_a").alias("rep")).agg(F.count(F.lit(1)).alias("n_links"))
     named = labels.join(degree, "rep", "left").select("rep", F.col("label").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return members.join(named, "rep").select("key", "rep", "class_id", "n_links")

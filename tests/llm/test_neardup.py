@@ -99,6 +99,18 @@ def test_groups_and_copies(spark):
     assert all((groups[i] == groups[j]) == (root(i) == root(j)) for i in groups for j in groups)
 
 
+def test_groups_of_long_chains_are_whole(spark):
+    # The chain's labels fall towards 1 at its far end, 120 links from 0; beside it a chain of mixed order and two lone records.
+    n = 120
+    chain = [0, *range(n, 0, -1)]
+    mixed = random.Random(9).sample(range(1000, 1000 + n), n)
+    links = [(min(p), max(p)) for c in (chain, mixed) for p in zip(c, c[1:])]
+    members = spark.createDataFrame([(i, i) for i in [*chain, *mixed, 5000, 5001]], "key bigint, rep bigint")
+    got = {r["key"]: (r["class_id"], r["n_links"]) for r in neardup.components(members, spark.createDataFrame(links, "rep_a bigint, rep_b bigint")).collect()}
+    assert {got[i][0] for i in chain} == {0} and {got[i][0] for i in mixed} == {1000} and got[5000] == (5000, 0) and got[5001] == (5001, 0)
+    assert got[0][1] == got[1][1] == 1 and got[2][1] == 2
+
+
 def test_empty_and_long(spark):
     df = spark.createDataFrame([], "key bigint, title string, body string")
     members, links = neardup.near_duplicates(df, "key", "title", "body")
