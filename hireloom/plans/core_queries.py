@@ -277,7 +277,7 @@ def _landed(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "postings").where("ats in ('greenhouse', 'lever', 'ashby', 'spa')")
     full = {"ignoreNullFields": "false"}
     rid = F.col("row_id")
-    gh = F.struct(F.array(F.struct(rid.alias("id"), "title", F.struct(F.col("location").alias("name")).alias("location"), F.col("url").alias("absolute_url"), F.lit("&lt;b&gt;x&lt;/b&gt;").alias("content"), F.col("posted_at").alias("updated_at"))).alias("jobs"))
+    gh = F.struct(F.array(F.struct(rid.alias("id"), "title", F.struct(F.col("location").alias("name")).alias("location"), F.col("url").alias("absolute_url"), text.html_escape(F.col("description")).alias("content"), F.col("posted_at").alias("updated_at"))).alias("jobs"))
     lv = F.array(F.struct(rid.cast("string").alias("id"), F.col("title").alias("text"), F.struct("location").alias("categories"), F.col("url").alias("hostedUrl"), F.col("description").alias("descriptionPlain"), (rid * 1000).alias("createdAt")))
     ab = F.struct(F.array(F.struct(rid.cast("string").alias("id"), "title", "location", F.col("url").alias("jobUrl"), F.col("description").alias("descriptionPlain"), F.col("posted_at").alias("publishedAt"))).alias("jobs"))
     sp = F.struct(F.struct(F.array(F.struct(rid.alias("key"), F.struct(F.col("title").alias("t")).alias("a"), "location", "url")).alias("list")).alias("data"))

@@ -165,6 +165,14 @@ def test_sources(spark):
     assert sorted((r["title"], r["url"]) for r in landed.spa(spa, "d.l", {"title": "x.t"}).collect()) == [("", ""), ("T", "u")]
 
 
+def test_greenhouse_descriptions_are_whole(spark, tmp_path):
+    texts = ["<p>A &amp; B's \"é\"</p>\n&lt;i&gt;", "&" * 9000, "x", "", None]
+    rows = [(i, "C", "greenhouse", "T", "L", "u", d, "2026") for i, d in enumerate(texts)]
+    spark.createDataFrame(rows, "row_id bigint, company string, ats string, title string, location string, url string, description string, posted_at string").write.parquet(f"{tmp_path}/postings.parquet")
+    got = [r["description"] for r in core_queries.source_normalise(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted((d or "")[:8000] for d in texts)
+
+
 def test_workday_pages_keep_whole_boards(spark, tmp_path):
     sizes = {"few": 3, "page": 40, "more": 41, "many": 95, "beyond": 2010}
     rows = [(i, c, f"t{i}", "L") for i, c in enumerate(c for c, n in sizes.items() for _ in range(n))]
