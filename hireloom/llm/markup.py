@@ -84,16 +84,16 @@ def tags(text: str) -> list[Tag]:
 _REFERENCE = re.compile(r"&(?:#(?:\d{1,7}|[xX][0-9a-fA-F]{1,6});?|([A-Za-z][A-Za-z0-9]{1,31});|(?:nbsp|amp|lt|gt|quot|apos|ndash|mdash|hellip|[lr][sd]quo|bull|middot|copy|reg|trade)(?![A-Za-z0-9=]))")
 _LATEX = re.compile(
     r"(?<![A-Za-z0-9:\\.])\\(?:[A-Za-z]+\*?\s?(?=[\[{])|(?:" + "|".join(sorted(COMMANDS, key=len, reverse=True)) + r")\*?(?![A-Za-z]))"
-    r"|(?<![A-Za-z0-9:\\])\\[%&$#_{}](?!\w*\\)|(?<=[^\s\\])\\\\(?=\s|$|\[)|^\\\\(?=\s|$)|\\\([^\n]{1,200}?\\\)|\\\[[^\n]{1,200}?\\\]|~\\(?=[a-z]+\{)",
+    r"|(?<![A-Za-z0-9:\\])\\[%&$#_{}](?!\w*\\)|(?<=[^\s\\])\\\\(?=\s|$|\[)|^\\\\(?=\s|$)|\\\((?:(?!\\[()])[^\n])+\\\)|\\\[(?:(?!\\[\[\]])[^\n])+\\\]|~\\(?=[a-z]+\{)",
     re.M,
 )
-_FORMULA = re.compile(r"\$\$[^$]+\$\$|\$(?=[A-Za-z\\{(|-])(?=[^$\n]*[\\^_{}])[^$\n]{1,200}?(?<=\S)\$(?![\dA-Za-z])|\$(?=\d[^\s$]*[\\^_{}])[^\s$]{1,200}\$")
+_FORMULA = re.compile(r"\$\$[^$]+\$\$|\$(?=[A-Za-z\\{(|-])(?=[^$\n]*[\\^_{}])[^$\n]+(?<=\S)\$(?![\dA-Za-z])|\$(?=\d[^\s$]*[\\^_{}])[^\s$]+\$")
 #: Patterns within a line and at its ends, each with the signs without which it can't match.
 _SIGNED = [
     ("`", re.compile(r"`+")),
     ("~~", re.compile(r"~~")),
     ("**", re.compile(r"\*{2,}(?=[^\s*])|(?<=[^\s*])\*{2,}")),
-    ("*", re.compile(r"(?<![\w*])\*(?=[^\s*])[^*\n]{1,120}?(?<=[^\s*])\*(?![\w*])")),
+    ("*", re.compile(r"(?<![\w*])\*(?=[^\s*])[^*\n]*(?<=[^\s*])\*(?![\w*])")),
     ("_", re.compile(r"(?<![\w_])_{1,3}(?=[^\W_])|(?<=[^\W_])_{1,3}(?![\w_])|(?<![\w_])__\w+__(?![\w_])")),
     ("](", re.compile(r"!?\[[^\[\]\n]*\]\([^()\s]*(?:\s+\"[^\"\n]*\")?\)|\]\((?:https?:|/|#|mailto:)")),
     ("[[", re.compile(r"\[\[")),
@@ -202,14 +202,14 @@ _SUBSTITUTIONS = [
     (re.compile(r"(?<![A-Za-z0-9:\\])\\([%&$#_{}])"), r"\1"),
     (re.compile(r"(?<=[^\s\\])\\\\(?=\s|$|\[)|^\\\\(?=\s|$)"), " "),
     (re.compile(r"~~|`+|\*{2,}(?=[^\s*])|(?<=[^\s*])\*{2,}|'{2,5}"), ""),
-    (re.compile(r"(?<![\w*])\*(?=[^\s*])([^*\n]{1,120}?)(?<=[^\s*])\*(?![\w*])"), r"\1"),
+    (re.compile(r"(?<![\w*])\*(?=[^\s*])([^*\n]*)(?<=[^\s*])\*(?![\w*])"), r"\1"),
     (re.compile(r"(?<![\w_])_{1,3}(?=[^\W_])|(?<=[^\W_])_{1,3}(?![\w_])"), ""),
     (re.compile(r"\]\(\S*\)?|\[\[|\]\]|\{\{|\}\}|\[(?:https?|mailto):\S*|\[\^\w+\]"), " "),
     (re.compile(r"[ \t]*={2,6}[ \t]*$|^[ \t]*={2,6}[ \t]*|[ \t]+#{2,6}[ \t]*$|^[ \t]*#{1,6}[ \t]+|^[ \t]*>{1,3}[ \t]+|^[ \t]*\|[}+-]?[ \t]*"), ""),
 ]
 _STYLED = re.compile(r"\\(?:text(?:bf|it|tt|sc|rm|sf)?|emph|underline|math(?:rm|bf|bb|cal)|title|author|url|caption)\s*\{([^{}]*)\}")
 _LEFT = re.compile(r"(?<![A-Za-z0-9:\\.])\\(?:[A-Za-z]+\*?\s?(?=[\[{])|(?:" + "|".join(COMMANDS) + r")\*?(?![A-Za-z]))")
-_MATH = re.compile(_FORMULA.pattern + r"|\\\([^\n]{1,200}?\\\)|\\\[[^\n]{1,200}?\\\]")
+_MATH = re.compile(_FORMULA.pattern + r"|\\\((?:(?!\\[()])[^\n])+\\\)|\\\[(?:(?!\\[\[\]])[^\n])+\\\]")
 _TEX_WORDS = re.compile(r"\\([A-Za-z]+)\s?")
 
 
@@ -340,7 +340,7 @@ def _lines(text: str, out: list[Block], kind: str, level: int, links: int) -> No
 
 
 def label_blocks(found: list[Block]) -> None:
-    """Labels each block good or bad by the two-pass rules; code, formulas and rows are structure and stay good."""
+    """Labels each block good or bad by the two-pass rules; code, formulas and rows are structure and stay good, as do linked headings and items."""
     first: list[str] = []
     for b in found:
         if b.kind in ("code", "formula", "row"):
@@ -348,7 +348,9 @@ def label_blocks(found: list[Block]) -> None:
             continue
         words = re.findall(r"[^\W\d_]+", b.text.lower())
         stops = sum(w in STOPS for w in words) / max(1, len(words))
-        if b.links > MOST_LINKS * len(b.text):
+        if b.links and b.kind in ("heading", "item"):
+            first.append("short")  # links of a list or heading tell nothing against it
+        elif b.links > MOST_LINKS * len(b.text):
             first.append("bad")
         elif len(b.text) < SHORT:
             first.append("bad" if b.links else "short")
@@ -369,7 +371,9 @@ def label_blocks(found: list[Block]) -> None:
         last = first[i] if first[i] in ("good", "bad") else last
     for i, b in enumerate(found):
         sides = {x for x in (before[i], after[i]) if x}
-        if first[i] in ("good", "bad"):
+        if b.links and b.kind in ("heading", "item"):
+            b.label = "good"
+        elif first[i] in ("good", "bad"):
             b.label = first[i]
         elif first[i] == "near":
             b.label = "bad" if sides == {"bad"} else "good"

@@ -65,3 +65,14 @@ def test_clean_text_has_no_markup_left(spark, data):
     df = markup.clean_markup(table(spark, data, "postings"), "row_id", "description")
     left = [r["clean"] for r in df.where("n_pieces > 0").collect() if markup.marked_lines("\n".join(x for x in r["clean"].split("\n") if not x.startswith("    ")))]
     assert len(left) <= 0.01 * df.count(), left[:2]
+
+
+def test_long_emphasis_and_formulas_and_linked_items():
+    words = "some words of a longer text " * 12
+    for t in (f"so *{words.strip()}* it is", f"so $x^2 + {words.strip()}$ it is", f"so $1{'+x' * 150}^2$ it is", rf"so \({words}\) it is", rf"so \[{words}\] it is"):
+        assert len(t) > 300 and markup.marked_lines(t) > 0, t
+    for t in ("a * b and c * d, 5*3 and $100 or $200", "so *" + words, r"so \( " * 5000):
+        assert markup.marked_lines(t) == 0, t[:40]
+    found = markup.blocks('<p><a href="/a">Home</a></p><h2><a href="/b">Our offices</a></h2><ul><li><a href="/c">Berlin</a></li><li><a href="/d">Paris</a></li></ul><p><a href="/e">Next</a></p>')
+    markup.label_blocks(found)
+    assert markup.render(found).split("\n") == ["Our offices", "• Berlin", "• Paris"]
