@@ -124,7 +124,7 @@ _MASK = np.uint64((1 << FEATURE_BITS) - 1)
 
 def crumbs_of(lines: list[tuple[int, str, int, tuple[str, ...]]]) -> frozenset[str]:
     """Last steps of the paths ("Home / Jobs / title") among the lines of a page."""
-    return frozenset(x.lower().strip(" :") for _, shown, _, _ in lines[:20] if len(steps := re.split(r" [/»>›] ", shown)) > 2 for x in steps[-1:])
+    return frozenset(x.lower().strip(" :") for _, shown, _, _ in lines if len(steps := re.split(r" [/»>›] ", shown)) > 2 for x in steps[-1:])
 
 
 @dataclass

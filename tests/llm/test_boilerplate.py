@@ -64,3 +64,8 @@ def test_held_out_lines(spark, data):
 
 def test_nothing_learned_means_nothing_found():
     assert b.outside(["t"], ["a\nb"], np.zeros(1 << b.FEATURE_BITS, dtype=np.float32)) == [[]]
+
+
+def test_crumbs_behind_a_long_menu():
+    menu = "".join(f"<li>Menu {i}</li>\n" for i in range(40))
+    assert b.crumbs_of(b.visible_lines(f"<ul>{menu}</ul>\n<div>Home / Jobs / Site Manager</div>\n<h1>Site Manager</h1>")) == {"site manager"}
