@@ -1,4 +1,9 @@
+import re
+from collections import Counter
+
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from hireloom.llm import markup
 
@@ -76,3 +81,55 @@ def test_long_emphasis_and_formulas_and_linked_items():
     found = markup.blocks('<p><a href="/a">Home</a></p><h2><a href="/b">Our offices</a></h2><ul><li><a href="/c">Berlin</a></li><li><a href="/d">Paris</a></li></ul><p><a href="/e">Next</a></p>')
     markup.label_blocks(found)
     assert markup.render(found).split("\n") == ["Our offices", "• Berlin", "• Paris"]
+
+
+def clean(text):
+    found = markup.blocks(text)
+    markup.label_blocks(found)
+    return markup.render(found)
+
+
+def test_lines_inherit_past_short_ones():
+    lines = markup.label_lines("We do this for all of the people in our team.\nDuties\n- lone line\nAnd that is what we are here for.")
+    assert [x.label for x in lines] == ["prose"] * 4
+    lines = markup.label_lines("# Heading\nDuties\n- lone line\n\nAnd that is what we are here for.")
+    assert [x.label for x in lines if x.text] == ["markup", "markup", "markup", "prose"] and sum(x.found for x in lines) == 2
+    long = "We do this for all of the people in our team and for those who will be in it with us when it is what they and you want of it, as we have it from all of them and from you."
+    assert markup.marked_lines(f"Prose of the day for us.\n- {long}\nMore of the same for us all.") == 0
+    assert markup.stops_of("wir sind die und der mit ein zu auf") is not None and markup.stops_of("xq zz yy") is None
+
+
+def test_nothing_visible_is_lost():
+    assert clean('Text one here.<ref name="a"/> More text of it.') == "Text one here. More text of it."
+    assert clean("Before it.<script>var x<p>and after it") == "Before it.var x\nand after it"
+    assert clean("Before.<style>p {}</style><p>After") == "Before.\nAfter"
+    assert clean("One <!-- cut and the rest") == "One cut and the rest" and clean("One <!-- gone --> two") == "One two"
+    assert clean('<ul><li><a href="/a">Berlin office</a></li><li><a href="/b">Paris office</a></li></ul>') == "• Berlin office\n• Paris office"
+    lines = "<br>".join(f"Plain line number {i}" for i in range(5))
+    assert clean(f'<p>{lines}<br><a href="/x">{"A long link that says what there is to see " * 3}</a></p>').split("\n") == [f"Plain line number {i}" for i in range(5)]
+    assert clean('<p>See <a href="/x">our guide</a> first</p>') == "See our guide first" and clean('<p><a href="/x">Alone</a></p>') == "Alone"
+    assert clean('<a href="/x">never closed <p>Text of the page') == "never closed\nText of the page"
+    assert clean("<nav>Short<p>Text of the page") == "Short\nText of the page"
+    assert clean(r"\noindent This stays \begin{itemize} and this \LaTeX\ too\footnote{a note}") == "This stays and this LaTeX\\ too (a note)"
+    assert clean("{| class=\"wikitable\"\n|+ Caption\n| a || b\n|}") == "Caption\na | b"
+
+
+WORDS = st.lists(st.sampled_from("alpha bravo charlie delta echo foxtrot golf hotel india".split()), min_size=1, max_size=9).map(" ".join)
+WRAPS = ["{}", "<p>{}</p>", "<p>{}", "<li>{}</li>", "<h2>{}</h2>", "{}<br>", "<div>{}</div>", "<b>{}</b> ", "**{}**", "# {}", "== {} ==", "- {}", "1. {}", "''{}''", "\\textbf{{}}", "\\item {}", "| {} |", "`{}`", "> {}", "<ref name=\"a\"/>{}", "a <a>{} end</a> tail of the line, as it is", "<pre>{}</pre>", "<td>{}</td>", "so [{}](https://a.example)", "[[x|{}]]", "\\section{{}}", "&lt;p&gt;{}", "<script> {}", "{}\n\n", "<!-- {}", "\\noindent {}", "{{note|{}}}"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(WRAPS), WORDS), min_size=1, max_size=12))
+def test_every_visible_word_stays(parts):
+    """But for blocks that are chrome by their own links, of which there are none here."""
+    text = "\n".join(wrap.replace("{}", words) for wrap, words in parts)
+    want = Counter(w for _, words in parts for w in words.split())
+    got = Counter(re.findall("[a-z]+", clean(text)))
+    assert all(got[w] >= n for w, n in want.items()), (text, clean(text))
+
+
+def test_no_posting_comes_out_empty(spark, data):
+    from hireloom.common import table
+
+    df = markup.clean_markup(table(spark, data, "postings"), "row_id", "description").where("n_pieces > 0")
+    assert df.where("trim(clean) = ''").count() == 0
