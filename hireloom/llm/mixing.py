@@ -3,7 +3,8 @@
 Shares follow a temperature path between the wanted shares and what the sources hold: weight of a source is proportional to
 target ** (1 - e) * held ** e, where e = 0 gives the targets and e = 1 what is held. The exponent is bisected to the smallest at
 which no source needs more than its repetition limit. Without a size budget the largest size is taken at which e = 0 is
-possible. Weights are then realised as budgeted block permutations: each pass over a source permutes its documents by a seeded
+possible. With a wanted entropy the targets give way to plain temperature: weights are proportional to held ** e, and the exponent
+is bisected to that entropy. Weights are then realised as budgeted block permutations: each pass over a source permutes its documents by a seeded
 hash, cut into equal blocks; whole blocks are taken while the pass's budget lasts, only the last block is ranked document by
 document. No group of a source's documents ever meets in one task.
 """
@@ -21,10 +22,21 @@ from hireloom.common import materialise
 BLOCKS = 4096
 #: As a budget: as many tokens as the sources hold together.
 HELD = "held"
+#: As an entropy: that of the targets.
+TARGETS = "targets"
 
 
-def weights(held: dict[str, int], targets: dict[str, float], repeats: dict[str, int], budget: int | str | None) -> tuple[dict[str, float], int, float]:
-    """(weight of each source, size of the mixture in tokens, exponent). Sources that hold nothing get weight 0."""
+def entropy_of(shares: list[float]) -> float:
+    """Entropy of shares in nats."""
+    total = sum(shares)
+    return -sum(x / total * math.log(x / total) for x in shares if x > 0)
+
+
+def weights(held: dict[str, int], targets: dict[str, float], repeats: dict[str, int], budget: int | str | None, entropy: float | str | None = None) -> tuple[dict[str, float], int, float]:
+    """(weight of each source, size of the mixture in tokens, exponent). Sources that hold nothing get weight 0.
+
+    An ``entropy`` beyond what exponents from 0 to 1 reach is met as nearly as they can.
+    """
     live = [s for s in targets if held.get(s, 0) > 0 and targets[s] > 0 and repeats.get(s, 0) > 0]
     if not live:
         return dict.fromkeys(targets, 0.0), 0, 0.0
@@ -32,18 +44,25 @@ def weights(held: dict[str, int], targets: dict[str, float], repeats: dict[str,
     most = {s: held[s] * repeats[s] for s in live}
 
     def at(e: float) -> dict[str, float]:
-        logs = {s: (1 - e) * math.log(targets[s] / total_target) + e * math.log(held[s] / total_held) for s in live}
+        logs = {s: (1 - e) * (math.log(targets[s] / total_target) if entropy is None else 0.0) + e * math.log(held[s] / total_held) for s in live}
         top = max(logs.values())
         raw = {s: math.exp(x - top) for s, x in logs.items()}
         return {s: x / sum(raw.values()) for s, x in raw.items()}
 
     if budget == HELD:
         budget = total_held
+    start = 0.0
+    if entropy is not None:  # entropy falls from that of equal shares at 0 to that of what is held at 1
+        wanted, low, high = entropy_of([targets[s] for s in live]) if entropy == TARGETS else float(entropy), 0.0, 1.0
+        for _ in range(60):
+            e = (low + high) / 2
+            low, high = (low, e) if entropy_of([*at(e).values()]) <= wanted else (e, high)
+        start = high
     fits = lambda w, size: all(w[s] * size <= most[s] * (1 + 1e-12) for s in live)
-    size = int(min(most[s] / at(0.0)[s] for s in live)) if budget is None else min(budget, sum(most.values()))
-    low, high = 0.0, 1.0
-    if fits(at(0.0), size):
-        high = 0.0
+    size = int(min(most[s] / at(start)[s] for s in live)) if budget is None else min(budget, sum(most.values()))
+    low, high = start, 1.0
+    if entropy is not None or fits(at(start), size):
+        high = start
     elif fits(at(1.0), size):
         for _ in range(60):
             e = (low + high) / 2
@@ -58,8 +77,9 @@ def weights(held: dict[str, int], targets: dict[str, float], repeats: dict[str,
     return {s: w.get(s, 0.0) for s in targets}, size, high
 
 
-def mix(sizes: DataFrame, targets: DataFrame, key: str, source: str, n_tokens: str, budget: int | str | None = None, seed: int = 7, blocks: int = BLOCKS) -> tuple[DataFrame, DataFrame]:
-    """(mixture, shares) for ``sizes`` (key, source, n_tokens) and ``targets`` (source, target_share, max_repeats).
+def mix(sizes: DataFrame, targets: DataFrame, key: str, source: str, n_tokens: str, budget: int | str | None = None, entropy: float | str | None = None, seed: int = 7, blocks: int = BLOCKS) -> tuple[DataFrame, DataFrame]:
+    """(mixture, shares) for ``sizes`` (key, source, n_tokens) and ``targets`` (source, target_share, max_repeats); ``budget`` (tokens,
+    or HELD) and ``entropy`` (nats, or TARGETS) choose what the exponent is bisected for.
 
     mixture: (key, source, repeat_no from 1, n_tokens, position), a row for each use of a document; sorting by position
     interleaves the sources evenly. shares: a row for each target source with held and used tokens, documents, the wanted and
@@ -78,7 +98,7 @@ def mix(sizes: DataFrame, targets: DataFrame, key: str, source: str, n_tokens: s
     docs = materialise(docs, "mix-sizes")
     held = {r["source"]: (r["tokens"] or 0, r["docs"]) for r in docs.groupBy("source").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("docs")).collect()}
     targets_by, repeats_by = {r["source"]: float(r["t"]) for r in rows}, {r["source"]: int(r["r"]) for r in rows}
-    w, size, exponent = weights({s: t for s, (t, _) in held.items()}, targets_by, repeats_by, budget)
+    w, size, exponent = weights({s: t for s, (t, _) in held.items()}, targets_by, repeats_by, budget, entropy)
     passes = []
     for s, share in w.items():
         quota, each, p = round(share * size), held.get(s, (0, 0))[0], 0

@@ -13,9 +13,14 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-def _mixed(spark: SparkSession, sf_dir: str, budget: int | str | None = None) -> tuple[DataFrame, DataFrame]:
+def p8_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each document and how many joins its tree took."""
+    return tokens.tree_shape(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def _mixed(spark: SparkSession, sf_dir: str, budget: int | str | None = None, entropy: float | str | None = None) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.mix(tokens.count_tokens(docs, "text"), table(spark, sf_dir, "mix_targets"), "doc_id", "source", "n_tokens", budget)
+    return mixing.mix(tokens.count_tokens(docs, "text"), table(spark, sf_dir, "mix_targets"), "doc_id", "source", "n_tokens", budget, entropy)
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +48,11 @@ def p9_shares_held(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir, budget=mixing.HELD)[1]
 
 
+def p9_shares_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of as many tokens as are held, at the temperature at which they are as evenly spread as the targets."""
+    return _mixed(spark, sf_dir, budget=mixing.HELD, entropy=mixing.TARGETS)[1]
+
+
 def _neardup(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, sf_dir, "postings").select("row_id", "title", "description")
     return neardup.near_duplicates(rows, "row_id", "title", "description", k=3, threshold=0.7, least_words=30)
@@ -156,7 +166,7 @@ def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_clean": p1_clean, "p3_found": p3_found, "p10_found": p10_found, "p10_rates": p10_rates, "p4_found": p4_found, "p4_new": p4_new, "p7_found": p7_found, "p7_canonical": p7_canonical, "p6_found": p6_found, "p6_unmatched": p6_unmatched, "p5_found": p5_found, "p5_groups": p5_groups, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_shares_beyond": p9_shares_beyond, "p9_mix_held": p9_mix_held, "p9_shares_held": p9_shares_held}
+    return {"p1_found": p1_found, "p1_clean": p1_clean, "p3_found": p3_found, "p10_found": p10_found, "p10_rates": p10_rates, "p4_found": p4_found, "p4_new": p4_new, "p7_found": p7_found, "p7_canonical": p7_canonical, "p6_found": p6_found, "p6_unmatched": p6_unmatched, "p5_found": p5_found, "p5_groups": p5_groups, "p8_ids": p8_ids, "p8_joins": p8_joins, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_shares_beyond": p9_shares_beyond, "p9_mix_held": p9_mix_held, "p9_shares_held": p9_shares_held, "p9_shares_entropy": p9_shares_entropy}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 
 TOKENIZER_DIR = "/opt/tokenizers"
 #: Characters of a leaf, and of the first window tried on each side of a seam.
-LEAF, WINDOW = 8192, 64
+LEAF, WINDOW = 512, 64
 
 # Fixed value: the public tokenizer's splitting pattern, as its README gives it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -36,6 +36,7 @@ class Encoder:
         self.n_bytes = np.zeros(max(self.ranks.values()) + 1, dtype=np.int32)
         for token, i in self.ranks.items():
             self.n_bytes[i] = len(token)
+        self.joins = 0
 
     def leaf(self, text: str) -> list[int]:
         return self.encoding.encode_ordinary(text)
@@ -49,6 +50,7 @@ class Encoder:
         return self.join(text, middle, self.encode(text[:middle], leaf, window), self.encode(text[middle:], leaf, window), window)
 
     def join(self, text: str, seam: int, left: list[int], right: list[int], window: int) -> list[int]:
+        self.joins += 1
         start, end = _anchor_before(text, seam, window), _anchor_after(text, seam, window)
         kept = self._tokens_within(reversed(left), len(text[start:seam].encode()))
         gone = self._tokens_within(iter(right), len(text[seam:end].encode()))
@@ -126,6 +128,24 @@ def encode_corpus(docs: DataFrame, key: str, text: str, tokenizer: str = "byte_b
     return picked.mapInArrow(run, f"key {dict(docs.dtypes)[key]}, ids array<int>").withColumnRenamed("key", key)
 
 
+def tree_shape(docs: DataFrame, key: str, text: str, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> DataFrame:
+    """(key, n_tokens, n_joins): how many tokens each text has, and how many joins of neighbours its tree took; 0 and 0 for empty and null texts."""
+    path = rank_file(tokenizer, folder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path)
+        for batch in batches:
+            sizes, joins = [], []
+            for t in batch.column(1).to_pylist():
+                before = enc.joins
+                sizes.append(len(enc.encode(t)))
+                joins.append(enc.joins - before)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(joins, pa.int32())], names=["key", "n_tokens", "n_joins"])
+
+    picked = docs.select(docs[key].alias("key"), docs[text].alias("text"))
+    return picked.mapInArrow(run, f"key {dict(docs.dtypes)[key]}, n_tokens bigint, n_joins int").withColumnRenamed("key", key)
+
+
 def count_tokens(docs: DataFrame, text: str, into: str = "n_tokens", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> DataFrame:
     """Replaces ``text`` by ``into``, its number of tokens (0 for empty and null texts); the other columns pass through."""
     path = rank_file(tokenizer, folder)

@@ -96,3 +96,24 @@ def test_a_registered_mixture_bisects_the_exponent(spark, data):
     assert all(0 < r["exponent"] < 1 and r["most_repeats"] <= r["max_repeats"] and r["used_tokens"] <= r["held_tokens"] * r["max_repeats"] for r in rows)
     assert any(r["used_tokens"] >= 0.95 * r["held_tokens"] * r["max_repeats"] for r in rows) and 0.97 * held <= used <= held
     assert not all(r["target_met"] for r in rows)
+
+
+def test_documents_go_through_the_tree(spark):
+    text = "The quick brown fox, it is said, jumps. " * 60
+    rows = [(1, text), (2, None), (3, ""), (4, "short"), (5, text[: tokens.LEAF]), (6, text[: tokens.LEAF + 1])]
+    got = {r["doc_id"]: r for r in tokens.tree_shape(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text").collect()}
+    assert {k: r["n_joins"] for k, r in got.items()} == {1: 7, 2: 0, 3: 0, 4: 0, 5: 0, 6: 1}
+    ids = {r["doc_id"]: r["ids"] for r in tokens.encode_corpus(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text").collect()}
+    whole = tokens.encoder(tokens.rank_file()).encoding.encode_ordinary
+    assert all(ids[k] == whole(t or "") and got[k]["n_tokens"] == len(ids[k]) for k, t in rows)
+
+
+def test_entropy_is_met():
+    held, targets, repeats = {"a": 8000, "b": 1500, "c": 500}, {"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 1, "b": 9, "c": 9}
+    w, size, e = mixing.weights(held, targets, repeats, mixing.HELD, mixing.TARGETS)
+    assert 0 < e < 1 and size == 10_000 and abs(mixing.entropy_of([*w.values()]) - mixing.entropy_of([0.5, 0.3, 0.2])) < 1e-6
+    assert abs(w["a"] / w["b"] - (8000 / 1500) ** e) < 1e-6
+    assert mixing.weights(held, targets, repeats, None, 0.0)[2] == 1.0 and mixing.weights(held, targets, repeats, None, 9.0)[2] < 1e-12
+    low = mixing.weights(held, targets, {"a": 1, "b": 1, "c": 1}, mixing.HELD, mixing.TARGETS)[0]
+    assert all(abs(low[s] * 10_000 - held[s]) < 1e-6 for s in held)
+    assert 0 < mixing.weights(held, targets, {"a": 1, "b": 1, "c": 2}, mixing.HELD)[2] <= 1
