@@ -28,6 +28,11 @@ def merged_sketch(parts: DataFrame, bits: int) -> np.ndarray:
     return Sketch.unpack(bits, [(r["block"], r["counts"]) for r in summed.collect()])
 
 
+def bits_for(n: int, slots: int, least: int, most: int) -> int:
+    """Bits of a sketch with ``slots`` slots for each of ``n`` keys, within its bounds."""
+    return min(max(least, (max(n, 1) * slots - 1).bit_length()), most)
+
+
 def share(df: DataFrame, value: object) -> Broadcast:
     return df.sparkSession.sparkContext.broadcast(value)
 

@@ -3,10 +3,11 @@
 The model is trained on the whole corpus. It reads backward: for the last n signs before a place, n in ORDERS, it knows how often
 the text went on there and how often a line, item or sentence ended. For each text the contexts of its end are looked up from
 the shortest to the longest, each order's counts smoothing the next; the text's own end doesn't count. The log-odds of an end
-against a continuation then decide, with a threshold for each language that is found at the valley between both modes.
+against a continuation then decide, with a threshold for each language and column at the valley between both modes.
 
-Only contexts that end some text are counted, so the model stays as small as the number of distinct ends; a bitmap of fixed size
-drops all other places before anything leaves a task, and each batch is added up before it is sent.
+Only contexts that end some text are counted, so the model stays as small as the number of distinct ends; a bitmap, sized by their
+number, drops all other places before anything leaves a task, and each batch is added up before it is sent. A place is looked at
+under a longer order only where a shorter one passed: whatever ends a text ends it under the shorter orders too.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from hireloom.common import lookup, materialise
 from hireloom.llm.shingles import mix
-from hireloom.llm.sketching import key_bitmap, passes, share
+from hireloom.llm.sketching import bits_for, key_bitmap, passes, share
 
 #: Lengths of the contexts.
 ORDERS = (1, 2, 4, 6, 8, 11, 14, 18, 23, 30)
@@ -31,7 +32,9 @@ ORDERS = (1, 2, 4, 6, 8, 11, 14, 18, 23, 30)
 LINE = 120
 #: Contexts of this length or more are trusted with a sign of omission; shorter ones are looked up without it.
 WHOLE_SIGN = 11
-BITMAP_BITS = 26
+#: Slots of the bitmap of contexts for each of them, and its least and greatest size (128 MB) in bits. Beyond 2 ** 26 contexts more
+#: other places pass, up to all of them; results stay the same.
+BITMAP_SLOTS, BITMAP_LEAST, BITMAP_MOST = 16, 20, 30
 #: Places that a context must have been seen at to be used, weight of the shorter context's estimate in observations, and how many
 #: orders shorter that context is at least. Neighbouring orders count the same places, so only one shorter context is taken in.
 ENOUGH_PLACES, SMOOTHING, SHORTER = 12, 2.0, 3
@@ -41,8 +44,10 @@ BASE = 0.05
 SIGN, CAPPED = 4.0, 1.5
 #: A length, in signs or bytes, is a cap when it holds this share of a source's texts, and so many of them.
 CAP_SHARE, CAP_LEAST, CAP_BITS = 0.02, 8, 20
-#: A language's threshold lies in the emptiest stretch of this range; with too few texts it is the default.
-LOWEST, HIGHEST, DEFAULT, ENOUGH = -7.0, -3.5, -5.0, 500
+#: The threshold of a language and column lies in the emptiest stretch of this range, the nearest to the default of equal ones.
+LOWEST, HIGHEST, DEFAULT = -7.0, -3.5, -5.0
+#: Texts that the odds of all languages together weigh as much as beside a language's own, however many it has.
+PRIOR = 250.0
 
 #: Texts whose ends are looked at together.
 TEXTS_AT_ONCE = 250
@@ -129,18 +134,26 @@ def count_contexts(texts: list[str | None], wanted, capped: list[bool] | None =
     live &= text != 10
     live[at_.finals[np.array([c for _, c in live_texts], dtype=bool) & ~np.isin(text[at_.finals], _STOPS)]] = False
     keys, ends = [], []
+    at = np.flatnonzero(live)
+    # The largest order that each place passed, or failed to; the line's own context is looked up where no shorter order failed.
+    line = at - at_.line_start[at] + 1
+    whole = np.ones(len(at), dtype=bool)
+    alive = np.arange(len(at))
     for order, size in enumerate(ORDERS):
-        if size > n:
-            continue
-        key = _key((at_.total[size:] - at_.total[:-size]) * at_.down[: n - size + 1], order)  # windows that end at size - 1, size, ...
-        fits = wanted(key) & live[size - 1 :] & (at_.reach[size - 1 :] >= size)
+        alive = alive[at_.reach[at[alive]] >= size]
+        place = at[alive]
+        key = at_.key(place + 1 - size, place, order)
+        fits = wanted(key)
         keys.append(key[fits])
-        ends.append(end[size - 1 :][fits].astype(np.int64))
-    at = np.flatnonzero(live & (np.arange(n) - at_.line_start < LINE))
-    key = at_.key(at_.line_start[at], at, len(ORDERS))
+        ends.append(end[place[fits]].astype(np.int64))
+        failed = alive[~fits]
+        whole[failed[line[failed] >= size]] = False
+        alive = alive[fits]
+    place = at[whole & (line <= LINE)]
+    key = at_.key(at_.line_start[place], place, len(ORDERS))
     fits = wanted(key)
     keys.append(key[fits])
-    ends.append(end[at[fits]].astype(np.int64))
+    ends.append(end[place[fits]].astype(np.int64))
     # Sorting the keys with their end bit needs no second array beside them; a context comes out once for each bit.
     distinct, n_places = np.unique(np.concatenate(keys) | np.concatenate(ends), return_counts=True)
     return distinct & np.int64(-2), np.where(distinct & 1 == 1, n_places, 0), n_places
@@ -165,8 +178,9 @@ def with_odds(df: DataFrame, counts: str, into: str) -> DataFrame:
     return df.withColumn(into, F.log(F.col("_p") / (1 - F.col("_p")))).drop("_sorted", "_usable", "_best", "_rare", "_shorter", "_p")
 
 
-def score_ends(docs: DataFrame, key: str, text: str, lang: str, source: str, bitmap_bits: int = BITMAP_BITS) -> DataFrame:
-    """(key, lang, source, n_chars, log_odds, threshold, cut) for each text that is neither null, empty nor blank.
+def score_ends(docs: DataFrame, key: str, text: str, lang: str, source: str, bitmap_bits: int | None = None) -> DataFrame:
+    """(key, lang, source, column, n_chars, log_odds, threshold, capped, cut) for each text that is neither null, empty nor blank;
+    ``column`` is the name of the column of the text.
 
     ``cut`` says whether the text stops before its author's end. Null languages and sources form a group of their own. The whole
     corpus trains the model, repeated rows included, and each text's own end is left out of its score. Long texts are read whole.
@@ -213,6 +227,7 @@ def score_ends(docs: DataFrame, key: str, text: str, lang: str, source: str, bit
     )
     asked = asked.where(F.col("ctx").isNotNull())
     weights = materialise(asked.groupBy("ctx").agg(F.count(F.lit(1)).alias("n")), "truncation-contexts")
+    bitmap_bits = bitmap_bits or bits_for(weights.count(), BITMAP_SLOTS, BITMAP_LEAST, BITMAP_MOST)
     bitmap = share(docs, key_bitmap(weights, "ctx", bitmap_bits, mixed=True))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,14 +258,17 @@ def score_ends(docs: DataFrame, key: str, text: str, lang: str, source: str, bit
     odds = F.when(F.col("bare").isNull() | (F.coalesce("seen", F.lit(0)) >= 3), F.col("usual")).otherwise(F.col("without_sign") - SIGN)
     final = odds - F.when(F.col("capped"), CAPPED).otherwise(0.0)
     scored = materialise(scored.select("key", "lang", "source", "n_chars", final.alias("log_odds"), "capped"), "truncation-scores")
-    named = scored.withColumn("_l", F.coalesce("lang", F.lit("\x00")))
-    bins = named.groupBy("_l", F.floor(F.col("log_odds") * 2).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    named = scored.withColumn("column", F.lit(text)).withColumn("_l", F.struct(F.coalesce("lang", F.lit("\x00")).alias("lang"), "column"))
     low, high = int(LOWEST * 2), int(HIGHEST * 2)
-    valley = bins.groupBy("_l").agg(F.sum("n").alias("of"), *[F.coalesce(F.sum(F.when(F.col("bin").between(b - 1, b), F.col("n"))), F.lit(0)).alias(f"b{b - low}") for b in range(low, high + 1)])
-    edges = [F.struct(F.col(f"b{b - low}").alias("n"), F.lit(abs(b / 2 - DEFAULT)).alias("far"), F.lit(b / 2).alias("at")) for b in range(low, high + 1)]
-    emptiest = F.array_min(F.array(*edges))  # the edge with the fewest texts within half a unit, the nearest to the default of equal ones
-    valley = valley.select("_l", F.when(F.col("of") >= ENOUGH, emptiest["at"]).otherwise(DEFAULT).alias("threshold"))
-    out = named.join(valley, "_l").select("key", "lang", "source", "n_chars", "log_odds", "threshold", "capped", (F.col("log_odds") < F.col("threshold")).alias("cut"))
+    bins = named.groupBy("_l", F.floor(F.col("log_odds") * 2).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    near = [F.coalesce(F.sum(F.when(F.col("bin").between(b - 1, b), F.col("n"))), F.lit(0)).alias(f"b{b - low}") for b in range(low, high + 1)]
+    own = bins.groupBy("_l").agg(*near)
+    every = bins.groupBy(F.col("_l.column").alias("column")).agg(F.sum("n").alias("of"), *near)
+    every = every.select("column", *[(F.col(f"b{b - low}") / F.col("of") * PRIOR).alias(f"p{b - low}") for b in range(low, high + 1)])
+    own = own.withColumn("column", F.col("_l.column")).join(F.broadcast(every), "column")  # one row for each column
+    edges = [F.struct((F.col(f"b{b - low}") + F.col(f"p{b - low}")).alias("n"), F.lit(abs(b / 2 - DEFAULT)).alias("far"), F.lit(b / 2).alias("at")) for b in range(low, high + 1)]
+    valley = own.select("_l", F.array_min(F.array(*edges))["at"].alias("threshold"))  # the edge with the fewest texts within half a unit
+    out = named.join(valley, "_l").select("key", "lang", "source", "column", "n_chars", "log_odds", "threshold", "capped", (F.col("log_odds") < F.col("threshold")).alias("cut"))
     return out.withColumnRenamed("key", key)
 
 

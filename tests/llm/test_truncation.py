@@ -58,3 +58,23 @@ def test_empty_and_long(spark):
     assert tr.score_ends(df, "doc_id", "text", "lang", "source", bitmap_bits=16).count() == 0
     long = spark.createDataFrame([(1, "word " * 300_000, None, None)], "doc_id bigint, text string, lang string, source string")
     assert tr.score_ends(long, "doc_id", "text", "lang", "source", bitmap_bits=16).collect()[0]["n_chars"] == 1_500_000
+
+
+def test_a_longer_context_is_wanted_only_with_its_shorter_ones():
+    """Filtering by the shorter orders first loses no place of any wanted context."""
+    import random
+
+    r = random.Random(5)
+    texts = ["".join(r.choice("ab .\n") for _ in range(r.randint(1, 90))) for _ in range(60)]
+    wanted = {k for t in texts[:20] if t.strip() for k in tr.end_keys([t]).to_pylist()[0] if k is not None}
+    some = np.array(sorted(wanted))
+    every, few = tr.count_contexts(texts, lambda k: np.ones(len(k), bool)), tr.count_contexts(texts, lambda k: np.isin(k, some))
+    add = lambda found: {k: (sum(e for x, e, _ in zip(*(a.tolist() for a in found)) if x == k), sum(p for x, _, p in zip(*(a.tolist() for a in found)) if x == k)) for k in wanted}
+    assert add(every) == add(few) and set(few[0].tolist()) <= wanted
+
+
+def test_small_languages_have_thresholds_of_their_own(spark):
+    rows = [(i, text(i), "en", "s") for i in range(40)] + [(100 + i, text(i)[: -(7 + i % 20)], "en", "s") for i in range(5)] + [(200, text(1), "xx", "s")]
+    got = tr.score_ends(spark.createDataFrame(rows, "doc_id bigint, body string, lang string, source string"), "doc_id", "body", "lang", "source").collect()
+    assert {r["column"] for r in got} == {"body"} and all(tr.LOWEST <= r["threshold"] <= tr.HIGHEST for r in got)
+    assert len({(r["lang"], r["threshold"]) for r in got}) == 2 and not next(r["cut"] for r in got if r["doc_id"] == 200)
