@@ -17,16 +17,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hireloom.llm.shingles import _powers, mix
 from hireloom.llm.sketching import share
 
-#: Labelled pages, and other texts, that the weights are learned from, at most; they are drawn by a hash of the key.
-LABELLED_PAGES, OTHER_TEXTS = 1200, 2000
-#: Sum of the weights of a line's words at which it counts as known chrome.
-KNOWN_CHROME = -1.0
+#: Labelled pages that the weights are learned from, at most; they are drawn by a hash of the key.
+LABELLED_PAGES = 1200
 FEATURE_BITS = 18
 EPOCHS = 4
 #: Texts that are scored together.
@@ -212,8 +210,12 @@ def features(lines: Lines) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(slots).astype(np.int64), np.concatenate(rows).astype(np.int64), np.concatenate(kinds)
 
 
-# How lists, headings and emphasis are written without tags.
-_DRESSES = ("{}", "{}:", "· {}", "– {}", "* {}", "- {}", "## {}", "== {} ==", "**{}**", "| {} |", "\\item {}")
+# How lists, headings and emphasis are written without tags, and lines that only set a body's layout.
+_DRESSES = ("{}", "{}:", "· {}", "– {}", "* {}", "- {}", "## {}", "== {} ==", "**{}**", "| {} |", "\\item {}", "\\section{{{}}}", "{} $x^2$", "| {} || 1", "    {}", "{}, \\(x\\)", "1. {}", "! {} !! n")
+_LAYOUT_LINES = (
+    "\\begin{itemize}", "\\end{itemize}", "\\begin{enumerate}", "\\end{enumerate}", '{| class="wikitable"', "|-", "|}", "```", "```python", "for i in range(9):", "x = f(y)", "return x", "| --- | --- |",
+    "\\(\\frac{a+b}{2}\\)", "$O(n)$", "\\[x\\]", "SELECT a FROM b", "print(x)", "def f(x):", "if x > 1:", "----", "====",
+)
 
 
 def _fit(slots: np.ndarray, rows: np.ndarray, labels: np.ndarray, weights: np.ndarray, seen: np.ndarray, epochs: int) -> None:
@@ -229,39 +231,30 @@ def _fit(slots: np.ndarray, rows: np.ndarray, labels: np.ndarray, weights: np.nd
             weights[own] -= 0.3 * gradient / np.sqrt(seen[own])
 
 
-def learn(pages: list[tuple[str | None, str]], others: list[tuple[str | None, str]] = ()) -> np.ndarray:
-    """Weights by logistic regression over lines, from labelled pages (title, text) and from other texts.
+def learn(pages: list[tuple[str | None, str]]) -> np.ndarray:
+    """Weights by logistic regression over the lines of labelled pages (title, text).
 
-    Each labelled line is seen with its tags and, dressed as texts without tags write it, without them. Then those of the other
-    texts that have no line whose words are known chrome count as bodies throughout, which teaches how bodies of every markup look.
+    Each labelled line is seen with its tags and, dressed as texts without tags write it, without them. The titles of the pages
+    and the lines that only set a layout are lines of bodies too.
     """
     weights, seen = np.zeros(1 << FEATURE_BITS), np.full(1 << FEATURE_BITS, 1e-8)
     lines, labels, dress = Lines(), [], 0
-    for title, text in pages:
+    for page, (title, text) in enumerate(pages):
         found = [x for x in visible_lines(text) if x[2]]
         lines.add(title, found, True)
         dressed = []
         for i, shown, label, on in found:
             dress += 1
             dressed.append((i, _DRESSES[dress % len(_DRESSES)].format(shown) if label > 0 else shown, label, on))
+        if found:
+            dressed += [(0, _LAYOUT_LINES[(page * 2 + k) % len(_LAYOUT_LINES)], 1, ()) for k in range(2)]
+            dressed += [(0, _DRESSES[page % len(_DRESSES)].format(title), 1, ())] if title and page % 2 else []
         lines.add(title, dressed, False)
-        labels += [x[2] for x in found] * 2
+        labels += [x[2] for x in found] + [x[2] for x in dressed]
     if not labels:
         return weights.astype(np.float32)
     slots, rows, _ = features(lines)
     _fit(slots, rows, np.array(labels, dtype=np.float64), weights, seen, EPOCHS)
-    more = Lines()
-    for title, text in others:
-        more.add(title, visible_lines(text), "<" in text)
-    if more.shown:
-        slots2, rows2, words = features(more)
-        told = np.bincount(rows2[words], weights=weights[slots2[words]], minlength=len(more.shown))
-        chrome = np.bincount(np.array(more.page)[told < KNOWN_CHROME], minlength=len(more.titles)) > 0
-        keep = ~chrome[np.array(more.page)]
-        number = np.cumsum(keep) - 1
-        live = keep[rows2]
-        slots, rows = np.concatenate((slots, slots2[live])), np.concatenate((rows, number[rows2[live]] + len(labels)))
-        _fit(slots, rows, np.array(labels + [1] * int(keep.sum()), dtype=np.float64), weights, seen, max(1, EPOCHS // 2))
     return weights.astype(np.float32)
 
 
@@ -319,15 +312,7 @@ def outside(titles: list[str | None], texts: list[str], weights: np.ndarray) ->
     return out
 
 
-def _drawn(picked: DataFrame, which: Column, most: int, n: int) -> list[tuple[str | None, str]]:
-    """The ``most`` rows of lowest hash among the n rows that ``which`` names; a hash bound keeps what reaches the driver to about as many."""
-    slot = F.pmod(F.xxhash64("key"), F.lit(1 << 40))
-    bound = 1 << 40 if n <= most else int((1 << 40) * min(1.0, 1.2 * most / n))
-    found = picked.where(slot < bound).where(which).orderBy(slot, "key").limit(most).select("title", "text")
-    return [(r["title"], r["text"]) for r in found.collect()]
-
-
-def page_noise(rows: DataFrame, key: str, title: str, text: str, labelled_pages: int = LABELLED_PAGES, other_texts: int = OTHER_TEXTS) -> DataFrame:
+def page_noise(rows: DataFrame, key: str, title: str, text: str, labelled_pages: int = LABELLED_PAGES) -> DataFrame:
     """(key, line_no): the lines of ``text`` that show text to a reader outside the main body.
 
     Lines are split at the line feed and counted from 1. Null, empty and blank texts give no row, nor does a text without a line
@@ -335,9 +320,13 @@ def page_noise(rows: DataFrame, key: str, title: str, text: str, labelled_pages:
     """
     picked = rows.select(F.col(key).alias("key"), F.col(title).alias("title"), F.col(text).alias("text")).where(F.trim("text") != "")
     body, chrome = r"(?i)<(main|article)\b|<\w+ [^>]*\bjob[-_]?(description|content)", r"(?i)<(nav|footer|aside)\b|<\w+ [^>]*\b(navbar|footer|sidebar)"
-    named = F.col("text").rlike(body) & F.col("text").rlike(chrome)
-    n_named, n = picked.agg(F.count_if(named), F.count(F.lit(1))).first()
-    weights = share(rows, learn(_drawn(picked, named, labelled_pages, n_named), _drawn(picked, ~named, other_texts, n - n_named)))
+    named = F.col("text").contains("<") & F.col("text").rlike(body) & F.col("text").rlike(chrome)
+    n = picked.agg(F.count_if(named)).first()[0]
+    # A bound of the hash keeps what reaches the driver to about as many pages as are wanted; pages beyond it aren't even looked at.
+    slot = F.pmod(F.xxhash64("key"), F.lit(1 << 40))
+    bound = 1 << 40 if n <= labelled_pages else int((1 << 40) * min(1.0, 1.2 * labelled_pages / n))
+    drawn = picked.where(slot < bound).where(named).orderBy(slot, "key").limit(labelled_pages).select("title", "text")
+    weights = share(rows, learn([(r["title"], r["text"]) for r in drawn.collect()]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
