@@ -110,5 +110,21 @@ def lookup(rows: DataFrame, dictionary: DataFrame, key: str, entry: str, payload
     return joined.drop("_hot_key", "_hot", "_rest_key", "_rest", "_probe")
 
 
-def blank(c: Column) -> Column:
-    return c.isNull() | (F.trim(c) == "")
+#: Members of a group that meet in one task's cell, about.
+SLOT = 2_000
+
+
+def slots(members: DataFrame, group: str, key: str, slot: int = SLOT) -> tuple[DataFrame, DataFrame]:
+    """(members with ``slot``, sizes (group, n_slots)): groups of more than ``slot`` members are dealt by a hash of their keys."""
+    sizes = members.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / F.lit(slot)).cast("int").alias("n_slots"))
+    return members.join(sizes, group).select(group, key, F.pmod(F.xxhash64(key), F.col("n_slots").cast("bigint")).cast("int").alias("slot"), "n_slots"), sizes
+
+
+def pairs_within(placed: DataFrame, sizes: DataFrame, group: str, key: str) -> DataFrame:
+    """(key_a, key_b), key_a < key_b, of each two members of a group, from ``slots``: each two slots meet in a cell of their own."""
+    cells = sizes.select(group, "n_slots").withColumn("slot_a", F.explode(F.sequence(F.lit(0), F.col("n_slots") - 1)))
+    cells = cells.withColumn("slot_b", F.explode(F.sequence(F.col("slot_a"), F.col("n_slots") - 1))).drop("n_slots")
+    a, b = (placed.select(group, F.col("slot").alias(f"slot_{s}"), F.col(key).alias(f"_{s}")) for s in ("a", "b"))
+    met = cells.join(a, [group, "slot_a"]).join(b, [group, "slot_b"])
+    met = met.where((F.col("_a") < F.col("_b")) | ((F.col("slot_a") != F.col("slot_b")) & (F.col("_a") != F.col("_b"))))
+    return met.select(F.least("_a", "_b").alias("key_a"), F.greatest("_a", "_b").alias("key_b"))
