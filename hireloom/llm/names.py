@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hireloom.common import materialise
+from hireloom.common import materialise, pairs_within, slots
 from hireloom.llm.linking import fold, within_one_edit, within_two_edits
 
 # Legal forms, and places that name a branch.
@@ -234,6 +234,6 @@ def link_names(names: DataFrame, name: str) -> DataFrame:
 
 
 def name_pairs(roots: DataFrame) -> DataFrame:
-    """(name_a, name_b), name_a < name_b by code points: all pairs of spellings of one organisation."""
-    a, b = roots.select("root", F.col("name").alias("name_a")), roots.select("root", F.col("name").alias("name_b"))
-    return a.join(b, "root").where(F.col("name_a") < F.col("name_b")).select("name_a", "name_b")
+    """(name_a, name_b), name_a < name_b by code points: all pairs of spellings of one organisation; large groups meet in cells."""
+    placed, sizes = slots(roots.select("root", "name"), "root", "name")
+    return pairs_within(placed, sizes, "root", "name").withColumnsRenamed({"key_a": "name_a", "key_b": "name_b"})

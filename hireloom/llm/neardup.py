@@ -9,11 +9,14 @@ least t must share tokens in their prefixes; filters under several orders are in
 * Rarity order of those pairs, by a count sketch of the corpus: similar sets share a pair within their first a - c pairs, c being
   the bound above for the smallest partner. Only these are indexed. Sets too small for the bound index their single tokens too.
 * Records that meet in the index must have sizes and parity bitmaps (their distance never exceeds the symmetric difference) that
-  allow the similarity; then the prefixes of both sets under rarity order and under hash order of single tokens must meet; only
-  then are the whole sets compared.
+  allow the similarity.
+* Rarity order and hash order of single tokens. Of what is left, prefixes under both orders are sent, and must share a token under
+  either one; only for pairs that pass every order are the whole sets sent and compared.
 
 Records with equal sets collapse into one class each. Within a batch they collapse before the index is built, and the index keeps
-each class once for each token, so copies never pair up in it.
+each class once for each token, so copies never pair up in it. An entry that may stand in more than HOT_ENTRY records is split:
+its records are dealt to so many lots, and each two lots meet in a cell of their own. Blocks of cells and entries are partitions of
+their own, as many as the index needs and a multiple of the cores.
 """
 
 from __future__ import annotations
@@ -27,14 +30,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hireloom.common import materialise
+from hireloom.common import materialise, pairs_within, slots
 from hireloom.llm.shingles import Sketch, chunks, mix, pack_tokens, runs, unpack_tokens, words
-from hireloom.llm.sketching import key_bitmap, merged_sketch, passes, share
-
-SKETCH_BITS = 22
-BITMAP_BITS = 24
-#: Index entries of one block, about; the number of blocks grows with the corpus.
-BLOCK_ENTRIES = 4_000_000
+from hireloom.llm.sketching import bits_for, key_bitmap, merged_sketch, passes, share
+
+#: Slots of the count sketch for each record, and its least and greatest size (128 MB a task) in bits. Beyond 2 ** 21 records the
+#: order it gives tells rare tokens less well apart, but stays one order for all records: no pair is lost by it.
+SKETCH_SLOTS, SKETCH_LEAST, SKETCH_MOST = 16, 22, 25
+#: The same for the bitmap of records in candidate pairs (128 MB at most): beyond it sets of other records are sent too.
+BITMAP_SLOTS, BITMAP_LEAST, BITMAP_MOST = 16, 20, 30
+#: Tokens of the records of one block, about; the number of blocks grows with the corpus.
+BLOCK_ENTRIES = 1_000_000
+#: Records of an entry that are paired in one cell, about.
+HOT_ENTRY = 16_384
+#: Steps of a doubling in which counts are told.
+STEPS = 8
 #: Pairs compared at once within a block.
 PAIR_CHUNK = 1 << 20
 #: Records of one index part at most, whose numbers take two bytes.
@@ -91,23 +101,58 @@ class Bounds:
         return np.ceil(sizes * (self.t / (1 + self.t)) - 1e-9).astype(np.int64)
 
 
-def _entries(tokens: np.ndarray, edges: np.ndarray, rarity: np.ndarray, bounds: Bounds) -> tuple[np.ndarray, np.ndarray]:
-    """(entry, record): the indexed neighbouring pairs of each set, and the single tokens of small ones."""
+def _entries(tokens: np.ndarray, edges: np.ndarray, rarity: np.ndarray, bounds: Bounds) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(entry, record, count): the indexed neighbouring pairs of each set, and the single tokens of small ones; the count, in steps of
+    a doubling, is a bound for how often the entry occurs."""
     sizes = np.diff(edges)
     of = np.repeat(np.arange(len(sizes)), sizes)
     # Runs are kept in hash order already, so neighbours in the array are neighbours in that order.
-    slot = rarity[(tokens & np.uint64(len(rarity) - 1)).astype(np.int64)].astype(np.uint64)
+    slot = rarity[(tokens & np.uint64(len(rarity) - 1)).astype(np.int64)]
     same = of[1:] == of[:-1]
     pair = mix(tokens[:-1] * np.uint64(3) + mix(tokens[1:]))[same]
-    rank, own = (slot[:-1] + slot[1:])[same], of[:-1][same]
+    rank, own = (slot[:-1].astype(np.uint64) + slot[1:])[same], of[:-1][same]
     key = (own.astype(np.uint64) << np.uint64(40)) | (rank << np.uint64(31)) | (pair >> np.uint64(33))
-    order = np.argsort(key)
+    order = _in_order(key, pair)
     firsts = np.concatenate(([0], np.cumsum(np.maximum(sizes - 1, 0))))
     place = np.arange(len(pair)) - np.repeat(firsts[:-1], np.maximum(sizes - 1, 0))
     keep = place < bounds.indexed_pairs(sizes)[own]
-    entries, records = pair[order][keep], own[keep]
     small = sizes[of] <= bounds.single
-    return np.concatenate((entries, mix(tokens[small] + np.uint64(1)))), np.concatenate((records, of[small]))
+    least = np.minimum(slot[:-1], slot[1:])[same]
+    entries = np.concatenate((pair[order][keep], mix(tokens[small] + np.uint64(1))))
+    return entries, np.concatenate((own[keep], of[small])), np.concatenate((least[order][keep], slot[small]))
+
+
+def _in_order(key: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Order by key, and by the whole hash where keys are equal: one global order, whatever else a set holds."""
+    order = np.argsort(key)
+    ranked = key[order]
+    tie = np.flatnonzero(ranked[1:] == ranked[:-1])
+    if len(tie):
+        at = np.unique(np.concatenate((tie, tie + 1)))
+        order[at] = order[at][np.lexsort((whole[order[at]], ranked[at]))]
+    return order
+
+
+#: The lowest bits of an entry: all its records meet (0), or only those of its two sides (1 and 2).
+_SIDES = np.uint64(3)
+
+
+def _cells(entry: np.ndarray, of: np.ndarray, count: np.ndarray, sets: np.ndarray, hot: int) -> tuple[np.ndarray, np.ndarray]:
+    """(entry, record) with hot entries once for each cell that their record's lot meets in."""
+    entry = entry & ~_SIDES
+    lots = np.ceil(2.0 ** ((count.astype(np.float64) + 0.5) / STEPS) / hot).astype(np.int64)
+    split = np.flatnonzero(lots > 1)
+    if not len(split):
+        return entry, of
+    n = lots[split]
+    row = np.repeat(split, n)
+    mine = (mix(sets.view(np.uint64)) >> np.uint64(8))[of[row]].astype(np.int64) % lots[row]
+    other = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    cell = (np.minimum(mine, other) * lots[row] + np.maximum(mine, other)).astype(np.uint64)
+    side = np.where(mine == other, 0, np.where(mine < other, 1, 2)).astype(np.uint64)
+    made = (mix(entry[row] + (cell + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) & ~_SIDES) | side
+    rest = lots <= 1
+    return np.concatenate((entry[rest], made)), np.concatenate((of[rest], of[row]))
 
 
 def _parity(tokens: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -122,8 +167,9 @@ def _block_pairs(entry: np.ndarray, doc: np.ndarray, ids: np.ndarray, sizes: np.
     """Distinct (id, id) pairs of documents that share an entry and may be similar; ids are distinct documents' numbers."""
     order = np.lexsort((doc, entry))
     entry, doc = entry[order], doc[order]
+    side, entry = entry & _SIDES, entry >> np.uint64(2)
     fresh = np.concatenate(([True], (entry[1:] != entry[:-1]) | (doc[1:] != doc[:-1])))
-    entry, doc = entry[fresh], doc[fresh]
+    entry, doc, side = entry[fresh], doc[fresh], side[fresh]
     starts = np.flatnonzero(np.concatenate(([True], entry[1:] != entry[:-1])))
     lengths = np.diff(np.concatenate((starts, [len(entry)])))
     # Each entry meets all later ones of its group; a group's pairs are dealt out row by row, in chunks.
@@ -137,7 +183,8 @@ def _block_pairs(entry: np.ndarray, doc: np.ndarray, ids: np.ndarray, sizes: np.
         row, n = rows[done:stop], remaining[rows[done:stop]]
         left = np.repeat(row, n)
         right = left + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        x, y = doc[left], doc[right]
+        apart = (side[left] != side[right]) | (side[left] == 0)
+        x, y = doc[left[apart]], doc[right[apart]]
         total = sizes[x] + sizes[y]
         fits = np.minimum(sizes[x], sizes[y]) >= np.maximum(sizes[x], sizes[y]) * bounds.t - 1e-9
         x, y, total = x[fits], y[fits], total[fits]
@@ -149,7 +196,7 @@ def _block_pairs(entry: np.ndarray, doc: np.ndarray, ids: np.ndarray, sizes: np.
 
 
 def near_duplicates(rows: DataFrame, key: str, title: str, body: str, k: int = 5, threshold: float = 0.8, least_words: int = 0,
-                    sketch_bits: int = SKETCH_BITS, bitmap_bits: int = BITMAP_BITS, block_entries: int = BLOCK_ENTRIES) -> tuple[DataFrame, DataFrame]:
+                    sketch_bits: int | None = None, bitmap_bits: int | None = None, block_entries: int = BLOCK_ENTRIES, hot_entry: int = HOT_ENTRY) -> tuple[DataFrame, DataFrame]:
     """(members, links): members (key, rep) names the class of equal sets of each record by its least key; links (rep_a, rep_b,
     similarity), rep_a < rep_b, are the pairs of classes with a Jaccard similarity of ``threshold`` or more (above 0.5) over the
     ``k``-word runs of title, a blank and body.
@@ -160,6 +207,7 @@ def near_duplicates(rows: DataFrame, key: str, title: str, body: str, k: int = 5
     """
     picked = rows.select(F.col(key).cast("bigint").alias("key"), F.col(title).alias("title"), F.col(body).alias("body"))
     bounds = Bounds(threshold)
+    sketch_bits = sketch_bits or bits_for(picked.count(), SKETCH_SLOTS, SKETCH_LEAST, SKETCH_MOST)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, part = Sketch(sketch_bits), 0
@@ -180,9 +228,10 @@ def near_duplicates(rows: DataFrame, key: str, title: str, body: str, k: int = 5
     first = materialise(picked.mapInArrow(counted, "key bigint, set bigint, n int, part bigint, block int, counts binary"), "neardup-counts")
     signatures = first.where(F.col("block").isNull()).select("key", "set", "n")
     counts = merged_sketch(first.where(F.col("block").isNotNull()).select("part", "block", "counts"), sketch_bits)
-    rarity = share(rows, np.minimum(np.round(np.log2(counts.astype(np.float64) + 1) * 8), 255).astype(np.uint8))
+    rarity = share(rows, np.minimum(np.round(np.log2(counts.astype(np.float64) + 1) * STEPS), 255).astype(np.uint8))
     indexed = signatures.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    blocks = max(1, math.ceil(indexed / block_entries))
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    blocks = cores * max(1, math.ceil(indexed / block_entries / cores))
 
     def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, PART_RECORDS) for b in batches for i in range(0, len(b), PART_RECORDS)):
@@ -196,7 +245,7 @@ def near_duplicates(rows: DataFrame, key: str, title: str, body: str, k: int = 5
                     picks = np.zeros(len(sets), bool)
                     picks[once] = True
                     tokens, edges, sets = tokens[np.repeat(picks, np.diff(edges))], np.concatenate(([0], np.cumsum(np.diff(edges)[picks]))), sets[picks]
-                entry, of = _entries(tokens, edges, rarity.value, bounds)
+                entry, of = _cells(*_entries(tokens, edges, rarity.value, bounds), sets, hot_entry)
                 held.append((entry, of, sets, np.diff(edges), _parity(tokens, edges)))
             if not held:
                 continue
@@ -226,56 +275,74 @@ def near_duplicates(rows: DataFrame, key: str, title: str, body: str, k: int = 5
         return pa.table({"set_a": pairs[:, 0], "set_b": pairs[:, 1]})
 
     index = picked.mapInArrow(posted, "block int, entry binary, doc binary, sets binary, sizes binary, parity binary")
-    pairs = index.groupBy("block").applyInArrow(joined, "set_a bigint, set_b bigint").distinct()
+    pairs = index.repartitionById(blocks, "block").groupBy("block").applyInArrow(joined, "set_a bigint, set_b bigint").distinct()
     classes = signatures.groupBy("set").agg(F.min("key").alias("rep"))
     members = signatures.select("key", "set").join(classes, "set").select("key", "rep")
     for side in ("a", "b"):
         pairs = pairs.join(classes.withColumnsRenamed({"set": f"set_{side}", "rep": f"rep_{side}"}), f"set_{side}")
     candidates = materialise(pairs.select(F.least("rep_a", "rep_b").alias("rep_a"), F.greatest("rep_a", "rep_b").alias("rep_b")), "neardup-candidates")
 
+    bitmap_bits = bitmap_bits or bits_for(2 * candidates.count(), BITMAP_SLOTS, BITMAP_LEAST, BITMAP_MOST)
     wanted = share(rows, key_bitmap(candidates.select(F.explode(F.array("rep_a", "rep_b")).alias("rep")), "rep", bitmap_bits))
     flagged = picked.withColumn("slot", F.pmod(F.xxhash64("key"), F.lit(1 << bitmap_bits)))
 
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        short = lambda x: (x & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
         for batch in batches:
             batch = batch.filter(pa.array(passes(wanted.value, batch.column(3).to_numpy())))
             for keys, tokens, edges in _sets(batch, k, least_words):
                 of = np.repeat(np.arange(len(keys)), np.diff(edges))
                 rank = rarity.value[(tokens & np.uint64(len(rarity.value) - 1)).astype(np.int64)].astype(np.uint64)
-                tokens = tokens[np.argsort((of.astype(np.uint64) << np.uint64(40)) | (rank << np.uint64(32)) | (tokens >> np.uint64(16)))]
-                packed = [pack_tokens(tokens[edges[i] : edges[i + 1]]) for i in range(len(keys))]
-                yield pa.RecordBatch.from_arrays([keys, pa.array(packed, pa.binary())], names=["rep", "tokens"])
+                ranked = tokens[_in_order((of.astype(np.uint64) << np.uint64(40)) | (rank << np.uint64(32)) | (tokens >> np.uint64(16)), tokens)]
+                first = [(e, e + int(p)) for e, p in zip(edges[:-1], bounds.prefix(np.diff(edges)))]
+                cells = [[short(ranked[a:b]) for a, b in first], [short(tokens[a:b]) for a, b in first], [pack_tokens(tokens[a:b]) for a, b in zip(edges[:-1], edges[1:])]]
+                yield pa.RecordBatch.from_arrays([keys, *(pa.array(c, pa.binary()) for c in cells)], names=["rep", "rare", "hashed", "tokens"])
+
+    found = materialise(flagged.mapInArrow(whole_sets, "rep bigint, rare binary, hashed binary, tokens binary"), "neardup-sets")
+
+    def beside(pairs: DataFrame, *columns: str) -> DataFrame:
+        for side in ("a", "b"):
+            pairs = pairs.join(found.select(F.col("rep").alias(f"rep_{side}"), *[F.col(c).alias(f"{c}_{side}") for c in columns]), f"rep_{side}")
+        return pairs.select("rep_a", "rep_b", *[f"{c}_{side}" for c in columns for side in ("a", "b")])
 
-    found = flagged.mapInArrow(whole_sets, "rep bigint, tokens binary")
-    left = candidates.join(found.withColumnsRenamed({"rep": "rep_a", "tokens": "tokens_a"}), "rep_a")
-    both = left.join(found.withColumnsRenamed({"rep": "rep_b", "tokens": "tokens_b"}), "rep_b").select("rep_a", "rep_b", "tokens_a", "tokens_b")
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(len(batch), bool)
+            for order in (2, 4):  # rarity order, then hash order
+                for i in np.flatnonzero(keep):
+                    x, y = (np.frombuffer(batch.column(c)[int(i)].as_py(), "<u4") for c in (order, order + 1))
+                    keep[i] = np.isin(x, y).any()
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    alike = materialise(beside(candidates, "rare", "hashed").mapInArrow(passed, "rep_a bigint, rep_b bigint"), "neardup-passed")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ta, tb = batch.column(2), batch.column(3)
             similarity = np.zeros(len(batch))
             for i in range(len(batch)):
-                x, y = unpack_tokens(ta[i].as_py()), unpack_tokens(tb[i].as_py())
-                p, q = int(bounds.prefix(len(x))), int(bounds.prefix(len(y)))
-                if not len(np.intersect1d(x[:p], y[:q], assume_unique=True)):  # rarity order
-                    continue
-                x, y = np.sort(x), np.sort(y)
-                if not len(np.intersect1d(x[:p], y[:q], assume_unique=True)):  # hash order
-                    continue
+                x, y = (unpack_tokens(batch.column(c)[i].as_py()) for c in (2, 3))
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 similarity[i] = common / (len(x) + len(y) - common)
             out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(similarity)], names=["rep_a", "rep_b", "similarity"])
             yield out.filter(pa.array(similarity >= threshold - 1e-12))
 
-    return members, both.mapInArrow(verified, "rep_a bigint, rep_b bigint, similarity double")
+    return members, beside(alike, "tokens").mapInArrow(verified, "rep_a bigint, rep_b bigint, similarity double")
 
 
 def all_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(key_a, key_b), key_a < key_b: the linked pairs of records, copies within a class included."""
-    m, n = members.select(F.col("key").alias("x"), F.col("rep").alias("rep_x")), members.select(F.col("key").alias("y"), F.col("rep").alias("rep_y"))
-    across = links.join(m, F.col("rep_a") == F.col("rep_x")).join(n, F.col("rep_b") == F.col("rep_y")).select("x", "y")
-    within = m.join(n, F.col("rep_x") == F.col("rep_y")).where(F.col("x") < F.col("y")).select("x", "y")
-    return across.unionByName(within).select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b"))
+    """(key_a, key_b), key_a < key_b: the linked pairs of records, copies within a class included.
+
+    Classes of many copies are dealt to slots, so that no task holds all the pairs of a class.
+    """
+    placed, sizes = slots(members, "rep", "key")
+    across = links.select("rep_a", "rep_b")
+    for side in ("a", "b"):
+        n = sizes.select(F.col("rep").alias(f"rep_{side}"), "n_slots")
+        across = across.join(n, f"rep_{side}").withColumn(f"slot_{side}", F.explode(F.sequence(F.lit(0), F.coalesce("n_slots", F.lit(1)) - 1))).drop("n_slots")
+    for side, name in (("a", "x"), ("b", "y")):
+        across = across.join(placed.select(F.col("rep").alias(f"rep_{side}"), F.col("slot").alias(f"slot_{side}"), F.col("key").alias(name)), [f"rep_{side}", f"slot_{side}"])
+    within = pairs_within(placed, sizes, "rep", "key")
+    return across.select("x", "y").unionByName(within.withColumnsRenamed({"key_a": "x", "key_b": "y"})).select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b"))
 
 
 def components(members: DataFrame, links: DataFrame) -> DataFrame:

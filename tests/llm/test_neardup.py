@@ -127,3 +127,27 @@ def test_the_postings(spark, data):
 
     duckdb.sql(f"CREATE OR REPLACE VIEW postings AS SELECT * FROM '{data}/postings.parquet'")
     assert {tuple(r) for r in queries.p5_found(spark, data).collect()} == set(duckdb.sql(queries.oracle_sql()["p5_found"]).fetchall())
+
+
+def test_hot_entries_and_large_classes_are_split_without_loss(spark, monkeypatch):
+    from hireloom import common
+
+    base = made(1, 5)[0] + " " + " ".join(f"u{i}" for i in range(80))
+    texts = [*made(40, 4), *[base + f" z{i}" for i in range(60)], *[base] * 50]
+    df = spark.createDataFrame([(i, None, x) for i, x in enumerate(texts)], "key bigint, title string, body string")
+    sets = {i: word_runs(" " + x, 3) for i, x in enumerate(texts)}
+    want = {(i, j) for i in sets for j in sets if i < j and jaccard(sets[i], sets[j]) >= 0.7}
+    monkeypatch.setattr(common.slots, "__defaults__", (7,))
+    for hot in (4, 16_384):
+        members, links = neardup.near_duplicates(df, "key", "title", "body", k=3, threshold=0.7, block_entries=500, hot_entry=hot)
+        got = [tuple(r) for r in neardup.all_pairs(members, links).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_ties_of_the_order_are_global():
+    whole = np.array([5, 3, 9, 1, 7], np.uint64)
+    assert list(whole[neardup._in_order(np.array([1, 1, 0, 1, 1], np.uint64), whole)]) == [9, 1, 3, 5, 7]
+    entry = np.array([8, 12], np.uint64)
+    sets = np.arange(2, dtype=np.int64)
+    cells, of = neardup._cells(entry, np.array([0, 1]), np.array([0, 80]), sets, 100)  # about 2 ** 10 records: eleven lots
+    assert cells[0] == 8 and list(of) == [0] + [1] * 11 and len(set(cells.tolist())) == 12
