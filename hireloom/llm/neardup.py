@@ -39,8 +39,9 @@ from hireloom.llm.sketching import bits_for, key_bitmap, merged_sketch, passes,
 SKETCH_SLOTS, SKETCH_LEAST, SKETCH_MOST = 16, 22, 25
 #: The same for the bitmap of records in candidate pairs (128 MB at most): beyond it sets of other records are sent too.
 BITMAP_SLOTS, BITMAP_LEAST, BITMAP_MOST = 16, 20, 30
-#: Tokens of the records of one block, about; the number of blocks grows with the corpus.
-BLOCK_ENTRIES = 1_000_000
+#: Tokens of the records of one block, about; the number of blocks grows with the corpus. A record's size and bitmap are sent to each
+#: block it has an entry in, so smaller blocks would send more.
+BLOCK_ENTRIES = 6_000_000
 #: Records of an entry that are paired in one cell, about.
 HOT_ENTRY = 16_384
 #: Steps of a doubling in which counts are told.
@@ -277,6 +278,7 @@ def near_duplicates(rows: DataFrame, key: str, title: str, body: str, k: int = 5
     index = picked.mapInArrow(posted, "block int, entry binary, doc binary, sets binary, sizes binary, parity binary")
     pairs = index.repartitionById(blocks, "block").groupBy("block").applyInArrow(joined, "set_a bigint, set_b bigint").distinct()
     classes = signatures.groupBy("set").agg(F.min("key").alias("rep"))
+    classes = materialise(classes, "neardup-classes")
     members = signatures.select("key", "set").join(classes, "set").select("key", "rep")
     for side in ("a", "b"):
         pairs = pairs.join(classes.withColumnsRenamed({"set": f"set_{side}", "rep": f"rep_{side}"}), f"set_{side}")
@@ -334,14 +336,16 @@ def all_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
 
     Classes of many copies are dealt to slots, so that no task holds all the pairs of a class.
     """
-    placed, sizes = slots(members, "rep", "key")
+    placed = materialise(slots(members, "rep", "key")[0], "neardup-slots")
+    sizes = placed.select("rep", "n_slots").distinct()
     across = links.select("rep_a", "rep_b")
     for side in ("a", "b"):
         n = sizes.select(F.col("rep").alias(f"rep_{side}"), "n_slots")
-        across = across.join(n, f"rep_{side}").withColumn(f"slot_{side}", F.explode(F.sequence(F.lit(0), F.coalesce("n_slots", F.lit(1)) - 1))).drop("n_slots")
+        across = across.join(n, f"rep_{side}").withColumn(f"slot_{side}", F.explode(F.sequence(F.lit(0), F.col("n_slots") - 1))).drop("n_slots")
     for side, name in (("a", "x"), ("b", "y")):
         across = across.join(placed.select(F.col("rep").alias(f"rep_{side}"), F.col("slot").alias(f"slot_{side}"), F.col("key").alias(name)), [f"rep_{side}", f"slot_{side}"])
-    within = pairs_within(placed, sizes, "rep", "key")
+    several = placed.groupBy("rep").agg(F.count(F.lit(1)).alias("n"), F.max("n_slots").alias("n_slots")).where("n > 1").drop("n")
+    within = pairs_within(placed, several, "rep", "key")
     return across.select("x", "y").unionByName(within.withColumnsRenamed({"key_a": "x", "key_b": "y"})).select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b"))
 
 
