@@ -247,3 +247,11 @@ def location_gazetteer(refs: DataFrame) -> Gazetteer:
 def role_gazetteer(refs: DataFrame) -> Gazetteer:
     rows = refs.where(F.col("name").isNotNull()).limit(MOST_ENTRIES + 1).collect()
     return Gazetteer([(r["role_id"], n) for r in rows for n in (r["name"], r["short_form"]) if n and n.strip()])
+
+
+def short_forms(refs: DataFrame) -> dict[str, str]:
+    """Short form -> name of a list's entries, of the least id where two share one; a list is read whole or refused."""
+    rows = refs.where(F.col("short_form").isNotNull() & F.col("name").isNotNull()).orderBy(F.desc("role_id")).limit(MOST_ENTRIES + 1).collect()
+    if len(rows) > MOST_ENTRIES:
+        raise ValueError(f"a reference list may have {MOST_ENTRIES} names at most")
+    return {fold(r["short_form"]): fold(r["name"]) for r in rows}

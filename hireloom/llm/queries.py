@@ -105,8 +105,7 @@ def p7_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each arrival repeats a job or an earlier arrival: jobs fill the index first, then the arrivals come in their order."""
-    roles = table(spark, sf_dir, "ref_roles").where(F.col("short_form").isNotNull()).limit(history.BUCKETS * 4).collect()
-    aliases = {linking.fold(r["short_form"]): linking.fold(r["name"]) for r in roles}
+    aliases = linking.short_forms(table(spark, sf_dir, "ref_roles"))
     jobs = table(spark, sf_dir, "jobs").select("company", "location", "title", "id", F.lit(-1).cast("bigint").alias("at"))
     arrivals = table(spark, sf_dir, "job_arrivals").select("company", "location", "title", "id", "arrival_id", "batch_no")
     # Arrivals count in the order of batch and then id; 2 ** 40 ids fit into one batch.
@@ -116,8 +115,7 @@ def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = materialise(history.standardise(jobs, aliases, "id", "at"), "history-jobs")
     new = materialise(history.standardise(arrivals, aliases, "key", "id", "at"), "history-arrivals")
     index.append(old)
-    known = history.known_words(old.select("block", "text").unionByName(new.select("block", "text")).where(F.col("text").isNotNull()).distinct())
-    return history.check_batch(new, index, known)
+    return history.check_batch(new, index)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

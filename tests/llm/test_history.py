@@ -91,11 +91,88 @@ def test_brute_force_on_the_tables(spark, data):
     for *_, t in titles:
         for w in set(t.split()):
             count[w] = count.get(w, 0) + 1
-    known = frozenset(w for w, n in count.items() if n >= max(h.KNOWN_LEAST, int(h.KNOWN_SHARE * len(titles))))
+
+    def same(x, y):
+        pairs = h.differences(x, y)
+        return pairs is not None and not any(h.own_words(count[v], count[w] if w else count[v]) for v, w in pairs)
+
     found = set()
     for r in arrivals:
         t = h.canonical(r["title"], aliases)
-        if any((r["id"] is not None and r["id"] == i) or (t and u and (c, p) == (r["company"], r["location"]) and u[0] == t[0] and h.same_title(t[1], u[1], known)) for i, c, p, u in old):
+        if any((r["id"] is not None and r["id"] == i) or (t and u and (c, p) == (r["company"], r["location"]) and u[0] == t[0] and same(t[1], u[1])) for i, c, p, u in old):
             found.add(r["arrival_id"])
         old.append((r["id"], r["company"], r["location"], t))
     assert {r["arrival_id"] for r in queries.p4_found(spark, data).collect()} == found
+
+
+def role(i):
+    return f"Role {''.join(chr(97 + i // 26**k % 26) for k in range(3))}{i % 7} of the desk"
+
+
+def history(spark, n):
+    return h.standardise(rows(spark, [(f"C{i // 4}", "L", role(i), f"j{i}", i, i - 10**6) for i in range(n)]), {}, "id", "at")
+
+
+def test_a_probe_reads_as_much_of_a_larger_history(spark, monkeypatch):
+    monkeypatch.setattr(h, "PART_ROWS", 50)
+    batch = h.standardise(rows(spark, [("C5", "L", role(21), "j5", 1, 1), ("C6", "L", "Other", "x", 2, 2)]), {}, "key", "id", "at")
+    read = {}
+    for n in (400, 4000):
+        index = h.SegmentIndex(spark)
+        index.append(history(spark, n))
+        read[n] = (index.read("texts", batch.select("block")).count(), index.read("ids", batch.select("id")).count(), index.read("texts").count())
+        assert {r["key"]: r["repeats"] for r in h.check_batch(batch, index).collect()} == {1: True, 2: False}
+    assert read[400][2] == 2000 and read[4000][2] == 20_000
+    assert read[4000][0] <= 2 * read[400][0] and read[4000][1] <= 2 * read[400][1] and read[4000][0] < 500
+
+
+def test_a_killed_append_is_made_again(spark, monkeypatch):
+    index = h.SegmentIndex(spark)
+    index.append(history(spark, 50))
+
+    def killed(*_):
+        raise RuntimeError("killed")
+
+    batch = h.standardise(rows(spark, [("C5", "L", role(21).replace("desk", "dsek"), "n1", 1, 1), ("C5", "L", "Night Cook", "n2", 2, 2)]), {}, "key", "id", "at")
+    real = h.SegmentIndex._mark
+    monkeypatch.setattr(h.SegmentIndex, "_mark", killed)
+    try:
+        h.check_batch(batch, index)
+        raise AssertionError("it was killed")
+    except RuntimeError:
+        pass
+    assert len(index.folders()) == 1  # what was written doesn't count
+    monkeypatch.setattr(h.SegmentIndex, "_mark", real)
+    for _ in range(2):  # and a batch that is checked once more after its append finds only what stood before it
+        assert {r["key"]: r["repeats"] for r in h.check_batch(batch, index).collect()} == {1: True, 2: False}
+    again = h.SegmentIndex(spark, index.path)
+    assert again.folders() == index.folders() and again.read("ids").count() == 52
+
+
+def test_many_appends_are_put_together(spark, monkeypatch):
+    monkeypatch.setattr(h, "MOST_FOLDERS", 3)
+    index = h.SegmentIndex(spark)
+    for i in range(5):
+        h.check_batch(h.standardise(rows(spark, [("C", "L", f"Role number {chr(97 + i)} {'x' * i * 3}", f"i{i}", i, i)]), {}, "key", "id", "at"), index)
+    assert len(index.folders()) <= 3 and index.read("ids").count() == 5
+    got = h.check_batch(h.standardise(rows(spark, [("Q", "Q", "Q", f"i{i}", i, 100 + i) for i in range(5)]), {}, "key", "id", "at"), index)
+    assert all(r["repeats"] for r in got.collect())
+
+
+def test_words_of_their_own_at_every_size(spark):
+    assert h.own_words(3, 3) and h.own_words(30, 500) and not h.own_words(2, 2) and not h.own_words(30, 900)
+    assert h.differences("a grid", "a gird") == [("grid", "gird")] and h.differences("front end", "frontend") == [] and h.differences("head x it", "head it") == [("x", "")]
+    for n in (1, 30):  # the same parts of a larger history
+        old = [(f"D{k}-{i}", "L", t, f"{k}{t}{i}", 0, -1) for k in range(n) for i in range(40) for t in ("Sensor Lead Team", "Tensor Lead Team")] + [("C", "L", "Sensor Lead Team", "q", 0, -1)]
+        index = h.SegmentIndex(spark)
+        index.append(h.standardise(rows(spark, old), {}, "id", "at"))
+        got = {r["key"]: r["repeats"] for r in h.check_batch(h.standardise(rows(spark, [("C", "L", "Tensor Lead Team", "n1", 1, 1), ("C", "L", "Snesor Lead Team", "n2", 2, 2)]), {}, "key", "id", "at"), index).collect()}
+        assert got == {1: False, 2: True}
+
+
+def test_every_short_form_counts(spark):
+    from hireloom.llm import linking
+
+    refs = spark.createDataFrame([(i, f"Occupation number {i}", f"zz{i}") for i in range(700)] + [(900, None, "x"), (901, "y", None)], "role_id bigint, name string, short_form string")
+    aliases = linking.short_forms(refs)
+    assert len(aliases) == 700 and h.canonical("Senior zz699, Grid", aliases) == ("senior", "occupation number 699 grid")
