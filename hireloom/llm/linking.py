@@ -2,15 +2,18 @@
 
 Each distinct value is mapped once and joined back to its rows. A multi-pattern automaton over the names and aliases of the
 list finds the mentions embedded in a value; of overlapping mentions the longest wins. Values without a mention go to token-set
-similarity: every token of a name must have its counterpart, equal, abbreviated or one edit away, in neighbouring tokens of the
-value. Entries that share a name are told apart by what else the value says (region, country or their codes). What is left is
+similarity: tokens of a name and of neighbouring tokens of the value, in any order, are matched one to one, equal, abbreviated or
+some edits away; the sum of their likenesses over all tokens of both must reach a threshold, and the highest wins. Names are found
+by their rarest token and tokens by what is left of them without some letters, never by going through the list. Entries that share a name are told apart by what else the value says (region, country or their codes). What is left is
 reported as unmatched.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,6 +27,8 @@ from hireloom.llm.sketching import share
 #: Entries that a reference list may have at most; the list is compiled into one automaton for each worker.
 MOST_ENTRIES = 1_000_000
 UNMATCHED = -1
+#: Likeness of tokens that are one edit or an abbreviation apart, and two edits; least similarity of a name and a part of a value.
+ONE_APART, TWO_APART, SIMILAR = 0.9, 0.8, 0.8
 
 # Letters that have no canonical decomposition.
 _LETTERS = str.maketrans({"ł": "l", "ø": "o", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe", "ı": "i", "ð": "d", "þ": "th"})
@@ -79,8 +84,14 @@ def abbreviates(short: str, word: str) -> bool:
 
 
 def _deletions(word: str) -> set[str]:
-    """The word and what is left of it without one letter: two words within one edit share one of these."""
-    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+    """Keys of which two words within one edit share one: the word and what is left of it without one letter, of long words both ends."""
+    out = {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))} if len(word) <= 66 else set()
+    return out | {f"<{word[:30]}", f">{word[-30:]}"} if len(word) >= 64 else out
+
+
+def _beginnings(word: str) -> set[str]:
+    """Keys of which two words within two edits share one where one has six letters or more: four of the first six letters, in order."""
+    return {"".join(x) for x in itertools.combinations(word[:6], 4)} if len(word) >= 4 else set()
 
 
 @dataclass
@@ -105,18 +116,25 @@ class Gazetteer:
             self.automaton.add_word(f" {' '.join(tokens)} ", tokens)
         if self.ids:
             self.automaton.make_automaton()
-        self.vocabulary = {t for tokens in self.ids for t in tokens}
-        self.near: dict[str, frozenset[str]] = {}
-        self.by_letter: dict[str, list[str]] = {}
+        count = Counter(t for tokens in self.ids for t in set(tokens))
+        self.vocabulary = {*count}
+        self.near: dict[str, dict[str, float]] = {}
         self.by_deletion: dict[str, list[str]] = {}
+        self.by_beginning: dict[str, list[str]] = {}
+        self.by_start: dict[str, list[str]] = {}
+        self.by_ends: dict[str, list[str]] = {}
         for w in self.vocabulary:
-            self.by_letter.setdefault(w[0], []).append(w)
-            for d in _deletions(w):
-                self.by_deletion.setdefault(d, []).append(w)
-        self.by_first: dict[str, list[tuple[str, ...]]] = {}
-        for tokens in self.ids:
-            self.by_first.setdefault(tokens[0], []).append(tokens)
+            for index, keys in ((self.by_deletion, _deletions(w)), (self.by_beginning, _beginnings(w)), (self.by_start, (w[:3],)), (self.by_ends, (w[0] + w[-1],))):
+                for k in keys:
+                    index.setdefault(k, []).append(w)
+        self.by_rarest: dict[str, list[tuple[str, ...]]] = {}
         self.compact = {"".join(t): t for t in self.ids}
+        self.compact_by: dict[str, list[str]] = {}
+        for tokens in self.ids:
+            self.by_rarest.setdefault(min(tokens, key=lambda t: (count[t], t)), []).append(tokens)
+            if len(tokens) > 1 and len(joined := "".join(tokens)) >= 6:
+                for k in _deletions(joined):
+                    self.compact_by.setdefault(k, []).append(joined)
         self.regions = {i: [fold(x) for x in texts if x] for i, texts in self.context.items()}
         return self
 
@@ -127,7 +145,7 @@ class Gazetteer:
         if not tokens or not self.ids:
             return UNMATCHED
         whole = {tuple(t for t in s if t not in self.noise) for s in segments}
-        found = self._mentions(tokens, whole) or self._similar(tokens, whole)
+        found = self._mentions(tokens, whole) or self._similar([s for s in segments if s])
         return self._resolve(found, tokens, value.lower()) if found else UNMATCHED
 
     def _mentions(self, tokens: list[str], whole: set[tuple[str, ...]]) -> tuple[str, ...] | None:
@@ -141,52 +159,76 @@ class Gazetteer:
                 best = (rank, name)
         return best and best[1]
 
-    def _counterparts(self, token: str) -> frozenset[str]:
-        """Words of the list that the token may stand for."""
+    def _counterparts(self, token: str) -> dict[str, float]:
+        """Words of the list that the token may stand for, with their likeness."""
         if token not in self.near:
             if len(self.near) > 200_000:
                 self.near.clear()
-            pool = {w for d in _deletions(token) for w in self.by_deletion.get(d, ())} if len(token) <= 40 else set()
-            if not self.short_whole and len(token) <= 40:
-                pool.update(self.by_letter.get(token[0], ()))
-            self.near[token] = frozenset(
-                w for w in pool
-                if w == token
-                or (len(w) >= 4 and len(token) >= 3 and within_one_edit(token, w))
-                or (not self.short_whole and (abbreviates(token, w) or (len(w) >= 6 and token[:1] == w[0] and within_two_edits(token, w))))
-            )
+            found = {token: 1.0} if token in self.vocabulary else {}
+            pools = [(self.by_deletion, _deletions(token), ONE_APART, lambda w: len(w) >= 4 and len(token) >= 3 and within_one_edit(token, w))]
+            if not self.short_whole:
+                pools += [(x, k, ONE_APART, lambda w: abbreviates(token, w)) for x, k in ((self.by_start, (token[:3],)), (self.by_ends, (token[0] + token[-1],)))]
+                pools += [(self.by_beginning, _beginnings(token), TWO_APART, lambda w: len(w) >= 6 and token[0] == w[0] and within_two_edits(token, w))]
+            for index, keys, likeness, fits in pools:
+                for w in {w for k in keys for w in index.get(k, ())}:
+                    if found.get(w, 0.0) < likeness and fits(w):
+                        found[w] = likeness
+            self.near[token] = found
         return self.near[token]
 
-    def _similar(self, tokens: list[str], whole: set[tuple[str, ...]]) -> tuple[str, ...] | None:
+    def similarity(self, tokens: list[str], name: tuple[str, ...]) -> float:
+        """Sum of the likenesses of tokens matched one to one, in order where that is as good, over all tokens of both."""
+        straight = [self._counterparts(t).get(n, 0.0) for t, n in zip(tokens, name)] if len(tokens) == len(name) else [0.0]
+        if all(straight):
+            return sum(straight) / len(name)
+        left, total, matched = list(name), 0.0, 0
+        for t in sorted(tokens, key=lambda t: -max(self._counterparts(t).values(), default=0.0)):
+            best = max(((self._counterparts(t).get(n, 0.0), n) for n in left), default=(0.0, ""))
+            if best[0] > 0.0:
+                left.remove(best[1])
+                total, matched = total + best[0], matched + 1
+        return total / (len(tokens) + len(name) - matched)
+
+    def _similar(self, segments: list[list[str]]) -> tuple[str, ...] | None:
+        tokens = [t for s in segments for t in s]
+        part = [k for k, s in enumerate(segments) for _ in s]
         for i in range(len(tokens) - 1):  # a word of the list written in two
             if (joined := tokens[i] + tokens[i + 1]) in self.vocabulary and len(joined) > 4:
-                tokens = [*tokens[:i], joined, *tokens[i + 2 :]]
+                tokens, part = [*tokens[:i], joined, *tokens[i + 2 :]], [*part[: i + 1], *part[i + 2 :]]
                 break
+        size = Counter(part)
         best = None
         for i, token in enumerate(tokens):
-            for first in self._counterparts(token):
-                for name in self.by_first.get(first, ()):
-                    window = tokens[i : i + len(name)]
-                    if len(window) == len(name) and all(n in self._counterparts(t) for t, n in zip(window, name)):
-                        exact = sum(t == n for t, n in zip(window, name))
-                        rank = (-len(name), -exact, i, name)
-                        if (best is None or rank < best[0]) and (len(name) > 1 or len(name[0]) >= 4):
+            for rarest in self._counterparts(token):
+                for name in self.by_rarest.get(rarest, ()):
+                    if len(name) == 1 and len(name[0]) < 4:
+                        continue
+                    for a in range(max(0, i - len(name) + 1), min(i, len(tokens) - len(name)) + 1):
+                        window = tokens[a : a + len(name)]
+                        score = self.similarity(window, name)
+                        straight = all(self._counterparts(t).get(n) for t, n in zip(window, name))
+                        if score < SIMILAR or not (straight or self._alone(part[a : a + len(name)], size)):
+                            continue
+                        rank = (not straight, -len(name), -sum(t == n for t, n in zip(window, name)), -score, a, name)
+                        if best is None or rank < best[0]:
                             best = (rank, name)
         if best:
             return best[1]
-        for n in (1, 2, 3, 4):  # blanks lost, added or moved
-            for i in range(len(tokens) - n + 1):
-                joined = "".join(tokens[i : i + n])
-                if joined in self.compact and len(joined) > 3:
-                    return self.compact[joined]
-        for n in (1, 2, 3, 4):
-            for i in range(len(tokens) - n + 1):
-                joined = "".join(tokens[i : i + n])
-                for compact, name in self.compact.items():
-                    if len(name) > 1 and len(compact) >= 6 and abs(len(compact) - len(joined)) <= 1 and within_one_edit(joined, compact):
-                        return name
+        joins = ["".join(tokens[i : i + n]) for n in (1, 2, 3, 4) for i in range(len(tokens) - n + 1)]  # blanks lost, added or moved
+        for joined in joins:
+            if joined in self.compact and len(joined) > 3:
+                return self.compact[joined]
+        for joined in joins:
+            near = {c for k in _deletions(joined) for c in self.compact_by.get(k, ()) if within_one_edit(joined, c)}
+            if near:
+                return self.compact[min(near)]
         return None
 
+    @staticmethod
+    def _alone(parts: list[int], size: Counter) -> bool:
+        """Whether tokens in another order are all that is said in their parts, or stand in one part."""
+        return len({*parts}) == 1 or all(size[p] == n for p, n in Counter(parts).items())
+
     def _resolve(self, name: tuple[str, ...], tokens: list[str], lower: str) -> int:
         entries = self.ids[name]
         if len({i for i, _ in entries}) == 1:
@@ -224,7 +266,9 @@ def map_values(rows: DataFrame, key: str, column: str, gazetteer: Gazetteer, int
     compiled = share(rows, gazetteer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = compiled.value.compile()
+        g = compiled.value
+        if not hasattr(g, "automaton"):  # once for each Python worker
+            g.compile()
         for batch in batches:
             ids = pa.array([g.map(v) for v in batch.column(0).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids], names=["value", "n", "id"])

@@ -53,3 +53,42 @@ def test_rows(spark):
     assert {r["ref_id"] for r in li.map_values(df, "row_id", "value", li.Gazetteer([])).collect()} == {-1}
     refs = spark.createDataFrame([(1, None, None, None, None, None), (2, "Rome", None, None, None, "Roma||")], "loc_id bigint, name string, admin_area string, country string, country_code string, other_names string")
     assert li.location_gazetteer(refs).names == [(2, "Rome"), (2, "Roma")]
+
+
+def test_tokens_in_any_order():
+    g = li.Gazetteer(PLACES + [(8, "San Francisco")], CONTEXT, NOISE, True).compile()
+    cases = {"York, New": 6, "Francisco San": 8, "Francisco, San": 8, "Fransisco San": 8, "Angeles Los": 5, "York - Old, New Place": -1, "San": -1}
+    assert {k: g.map(k) for k in cases} == cases
+    g = li.Gazetteer([*roles().names, (6, "Data Scientist")]).compile()
+    cases = {"Engineer, Software": 1, "Scientist (Data)": 6, "Scientst, Data": 6, "Engr Software": 1, "Dive Engineer - Software Tools": -1, "Writer, Technical": 3, "Guard (Security)": -1}
+    assert {k: g.map(k) for k in cases} == cases
+
+
+def test_similarity():
+    g = roles().compile()
+    same = lambda v, n: g.similarity(v.split(), tuple(n.split()))
+    assert same("software engineer", "software engineer") == same("engineer software", "software engineer") == 1.0
+    assert abs(same("softwaer engineer", "software engineer") - 0.95) < 1e-9 and abs(same("sotfwrae engineer", "software engineer") - 0.9) < 1e-9
+    assert same("software librarian", "software engineer") < li.SIMILAR and same("senior software engineer", "software engineer") < li.SIMILAR
+
+
+@given(st.text("abc", min_size=4, max_size=9), st.text("abc", min_size=6, max_size=9))
+def test_words_within_two_edits_share_a_key(a, b):
+    if li.within_two_edits(a, b):
+        assert li._beginnings(a) & li._beginnings(b)
+
+
+@given(st.text("ab", min_size=1, max_size=5), st.integers(60, 70), st.lists(st.tuples(st.integers(0, 80), st.sampled_from("abx"), st.integers(0, 3)), max_size=1))
+def test_words_within_one_edit_share_a_key(text, n, ops):
+    for word in (text, (text * n)[:n]):
+        other = word
+        for at, c, kind in ops:
+            at %= len(other)
+            other = [other[:at] + c + other[at:], other[:at] + other[at + 1 :], other[:at] + c + other[at + 1 :], other[:at] + other[at : at + 2][::-1] + other[at + 2 :]][kind]
+        assert li._deletions(word) & li._deletions(other)
+
+
+def test_long_tokens_and_large_lists():
+    names = [(i, f"Occupation {''.join(chr(97 + i // 26**k % 26) for k in range(4))}ing") for i in range(20_000)] + [(99_999, "Q" + "z" * 60 + "y Role")]
+    g = li.Gazetteer(names).compile()
+    assert g.map("Occupation bcbaing") == g.map("Occupaton, bcbaing") == g.map("bcbaing occupation") and g.map("q" + "z" * 59 + "y role") == 99_999
