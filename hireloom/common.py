@@ -15,12 +15,14 @@ HOT_SHARE = 0.001
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a temporary one is set where it is unset (tests, one machine)."""
+    """The folder all executors share, from spark.checkpoint.dir; where it is unset, a temporary one is set on one machine only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         existing = spark.sparkContext.getCheckpointDir()
         if existing:
             return existing.rstrip("/")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="hireloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -70,22 +72,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sources_of(sf_dir: str, *tables: str) -> list[str]:
-    return [os.path.join(sf_dir, f"{t}.parquet") for t in tables]
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def spread(df: DataFrame, *cols: str) -> DataFrame:
-    """Round-robins narrow rows ahead of CPU-bound Python work when the scan yields fewer partitions than cores; a large scan keeps its own splits."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    df = df.select(*cols) if cols else df
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def hot_rows(total: int) -> int:
     """Rows above which a key counts as hot; at most 1 / HOT_SHARE keys of any table are."""
     return max(1000, int(total * HOT_SHARE))

@@ -31,11 +31,12 @@ class Filters:
     max_days_old: int | None = None
 
 
+_LONG_FORMS = re.compile("|".join(re.escape(long) for long, _ in SHORTENED))
+
+
 def shortened(text: str) -> str:
-    text = text.lower()
-    for long, short in SHORTENED:
-        text = text.replace(long, short)
-    return text
+    """Lower case with the long forms of SHORTENED in their short ones; none of them overlaps another."""
+    return _LONG_FORMS.sub(lambda m: dict(SHORTENED)[m.group()], text.lower())
 
 
 def role_pattern(role: str) -> str:
@@ -46,7 +47,7 @@ def role_pattern(role: str) -> str:
 
 
 def location_pattern(locations: tuple[str, ...]) -> str:
-    return rf"(?i){_BEFORE}(?:{'|'.join(re.escape(x).replace('/', '/') for x in locations)}){_AFTER}"
+    return rf"(?i){_BEFORE}(?:{'|'.join(map(re.escape, locations))}){_AFTER}"
 
 
 def title_ok(title: Column, roles: tuple[str, ...]) -> Column:
@@ -66,8 +67,8 @@ def location_ok(location: Column, locations: tuple[str, ...], include_remote: bo
 
 def max_years(experience: str) -> int | None:
     """The last number of a wish such as "0-2 years"."""
-    found = re.findall(r"\d+", experience or "")
-    return int(found[-1]) if found else None
+    m = re.search(r"(\d+)\D*\Z", experience or "")
+    return int(m[1]) if m else None
 
 
 def experience_ok(title: Column, description: Column, cap: int | None) -> Column:

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Endings of paths that never hold a posting.
-BINARY_SUFFIXES = "png jpg jpeg gif webp svg ico tiff css js woff woff2 ttf zip exe dmg pdf mp3 mp4 wav avi flv pptx xlsx docx".split()
+BINARY_SUFFIXES = (
+    "png", "jpg", "jpeg", "gif", "webp", "svg", "ico", "tiff", "css", "js", "woff", "woff2", "ttf", "zip", "exe", "dmg", "pdf", "mp3", "mp4", "wav", "avi", "flv", "pptx", "xlsx", "docx",
+)
 # Query parameters that only track, and hosts of applicant-tracking APIs.
 TRACKING_PREFIXES = ("utm_", "gh_")
 API_HOSTS = ("boards-api.greenhouse.io", "api.lever.co", "api.ashbyhq.com")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hireloom.functions.text import contains_like
@@ -38,6 +38,28 @@ def totals(state: DataFrame, log: DataFrame) -> DataFrame:
     return jobs.crossJoin(log.agg(F.max("run_date").alias("last_run")))  # one row each
 
 
+_PLAIN = {"ignoreNullFields": "false"}
+
+
+def jobs_object(state: DataFrame, q: str = "", company: str = "", matched: str = "", offset: int = 0, tie: str = "id") -> DataFrame:
+    """One row, one JSON object: the number of hits and one page of them in their order; a page has PAGE rows at most."""
+    total, page = search(state, q, company, matched, offset, tie)
+    hits = state.where(search_predicate(q, company, matched)).orderBy(F.desc("first_seen"), F.desc("posted_at"), tie).offset(offset).limit(PAGE)
+    columns = page.columns
+    placed = hits.select(F.struct(F.lit(0).alias("_"), *columns).alias("j"), F.row_number().over(Window.orderBy(F.desc("first_seen"), F.desc("posted_at"), tie)).alias("_n"))
+    listed = placed.agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "j"))), lambda x: F.struct(*[x["j"][c].alias(c) for c in columns])).alias("jobs"))
+    return total.crossJoin(listed).select(F.to_json(F.struct("total", "jobs"), _PLAIN).alias("json"))  # one row each
+
+
+def meta_object(state: DataFrame, log: DataFrame, alerts: DataFrame) -> DataFrame:
+    """One row, one JSON object: companies with their number of jobs, totals, the last run and the alerts' texts. Its lists are as
+    long as the registry, which one reader's page shows whole."""
+    by = facets(state).select(F.struct(F.col("company").alias("name"), F.col("n_jobs").alias("count")).alias("c"))
+    listed = by.agg(F.array_sort(F.collect_list("c")).alias("companies"))
+    texts = alerts.agg(F.transform(F.array_sort(F.collect_list(F.struct("company", "message"))), lambda x: x["message"]).alias("alerts"))
+    return listed.crossJoin(totals(state, log)).crossJoin(texts).select(F.to_json(F.struct("companies", "total", "matched", "last_run", "alerts"), _PLAIN).alias("json"))  # one row each
+
+
 def as_json(page: DataFrame) -> DataFrame:
     """A page as JSON objects, nulls included."""
     return page.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))

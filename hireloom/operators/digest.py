@@ -38,6 +38,11 @@ def pack(lines: DataFrame, key: str, order: str, line: str, limit: int = LIMIT)
     return grouped.select(key, F.posexplode("_m").alias("part", "message"))
 
 
+def summary_lines(lines: DataFrame, order: str, line: str, most: int = 50) -> DataFrame:
+    """The first lines that a summary is written from."""
+    return lines.orderBy(order).limit(most).select(order, line)
+
+
 def _folded(sizes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """(length of the last message, messages begun) behind lines of these ``sizes``, for each length from 0 to ``limit`` that the message before them can have."""
     to, at, begun = np.arange(limit + 1), np.arange(limit + 1), np.zeros(limit + 1, np.int64)

@@ -129,6 +129,37 @@ def sitemap_pages(seeds: DataFrame, files: DataFrame, max_files: int = 10, max_u
     return pages.withColumn("_n", F.row_number().over(Window.partitionBy("site").orderBy("pos"))).where(F.col("_n") <= max_urls).drop("_n")
 
 
+def board_key(ats: Column, token: Column, host: Column, site: Column) -> Column:
+    """By what a probe of a board is found again."""
+    return F.concat_ws("|", ats, F.coalesce(token, F.concat_ws("/", host, site)))
+
+
+def cascade(candidates: DataFrame, pages: DataFrame, careers: DataFrame, probes: DataFrame, most_careers: int = 3) -> DataFrame:
+    """(name, via, rank, ats, token, host, site, jobs_found): the board of each candidate (name unique, url) that has one with postings.
+
+    The URL itself is looked at first, then its landed page (``pages``: url, body), then the site's first careers pages (``careers``:
+    name, rank, url), their URLs before their bodies. Only where all of them name no board, the name is tried as a token of each
+    kind of board in turn. A try counts when its probe (ats, token, host, site, jobs_found) found a posting.
+    """
+    body = pages.groupBy("url").agg(F.first("body", ignorenulls=True).alias("body"))
+    first = candidates.select("name", "url").join(body, "url", "left").select("name", F.coalesce("url", F.lit("")).alias("url"), "body")
+    near = careers.where(F.col("rank") <= most_careers).select("name", "rank", "url").join(body, "url", "left")
+    near = near.withColumn("hit", F.coalesce(detect_ats(F.col("url")), detect_ats(F.col("body")))).where("hit is not null")
+    near = near.groupBy("name").agg(F.min_by("hit", "rank").alias("_near"))
+    hits = first.join(near, "name", "left").withColumn("_url", detect_ats(F.col("url"))).withColumn("_page", F.when(F.col("url") != "", detect_ats(F.col("body"))))
+    hit = F.coalesce("_url", "_page", F.when(F.col("url") != "", F.col("_near")))
+    via = F.when(F.col("_url").isNotNull(), "url").when(F.col("_page").isNotNull(), "page").otherwise("careers")
+    none = F.lit(None).cast("string")
+    guess = lambda ats: F.struct(F.lit(ats).alias("ats"), norm_token(F.col("name")).alias("token"), none.alias("host"), none.alias("site"))
+    tries = F.when(hit.isNotNull(), F.array(hit)).otherwise(F.array(*[guess(ats) for ats, _, _ in BOARDS]))
+    asked = hits.select("name", F.when(hit.isNotNull(), via).otherwise("name").alias("via"), F.posexplode(tries).alias("rank", "t")).select("name", "via", "rank", "t.*")
+    key = board_key(F.col("ats"), F.col("token"), F.col("host"), F.col("site"))
+    live = probes.where("jobs_found > 0").groupBy(key.alias("_k")).agg(F.max("jobs_found").alias("jobs_found"))
+    found = asked.withColumn("_k", key).join(live, "_k").drop("_k")
+    best = found.groupBy("name").agg(F.min_by(F.struct("via", "rank", "ats", "token", "host", "site", "jobs_found"), "rank").alias("_r"))
+    return best.select("name", "_r.*")
+
+
 def resolve(probes: DataFrame) -> DataFrame:
     """(name, rank, ats, token, jobs_found) -> the first probe of each candidate that found a posting."""
     return probes.where("jobs_found > 0").groupBy("name").agg(F.min_by(F.struct("ats", "token", "jobs_found", "rank"), "rank").alias("_r")).select("name", "_r.*")
@@ -166,6 +197,14 @@ def entry_from_verdict(name: Column, v: Column) -> Column:
     )
 
 
+def verdict_outcome(found: Column, v: Column) -> Column:
+    """struct(evidence, llm) of a landed verdict: with an entry, evidence for a reviewer; without one, the note that ends its turn."""
+    notes = F.coalesce(v["notes"], F.lit(""))
+    evidence = F.when(found.isNotNull(), F.concat(F.lit("LLM: "), F.substring(notes, 1, 300)))
+    note = F.when(found.isNull(), F.concat(F.coalesce(v["ats"], F.lit("None")), F.lit(": "), F.substring(notes, 1, 200)))
+    return F.struct(evidence.alias("evidence"), note.alias("llm"))
+
+
 def infer_queue(candidates: DataFrame, limit: int) -> DataFrame:
     """The next candidates (name, url, llm, pos) without a verdict yet."""
     return candidates.where("llm is null").orderBy("pos").limit(limit)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from hireloom.common import materialise
 from hireloom.functions.dates import utc
 
 
@@ -80,6 +81,92 @@ class VersionedTable:
         df.write.mode("append").parquet(f"{self.path}/v{max(1, self.version())}")
 
 
+class KeyedLog:
+    """Rows of a key as they were written, in folders that are only ever added: the last one written is what a key holds.
+
+    A marker written last makes a folder count, so a write that was killed is simply made again; a write of a name that counts
+    already is none. A folder is split by a hash of the key into as many parts as its rows need, so reading some keys opens only
+    their parts; what a write costs follows its rows, not the table. Folders are put together when they become many.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str, part_rows: int = 100_000, most_folders: int = 24):
+        self.spark, self.path, self.schema, self.key, self.part_rows, self.most_folders = spark, path.rstrip("/"), schema, key, part_rows, most_folders
+        self.columns = [c.split()[0] for c in schema.split(", ")]
+        jvm = spark.sparkContext._jvm
+        self._at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+        self._fs = self._at(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def folders(self) -> dict[str, int]:
+        """The folders that count, in the order of writing, with their number of parts; what a later one replaces doesn't."""
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._at(self.path))] if self._fs.exists(self._at(self.path)) else []
+        marks = sorted(n[: -len(".done")] for n in names if n.endswith(".done"))
+        whole = [m for m in marks if m.split("~")[1] == "all"]
+        return {m: int(m.split("~")[3]) for m in marks if not whole or m >= whole[-1]}
+
+    def _bucket(self, parts: int) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(parts)).cast("int")
+
+    def _write(self, df: DataFrame, kind: str, name: str, at: int) -> None:
+        df = materialise(df.select(*self.columns), "log-rows")
+        parts = max(1, -(-df.count() // self.part_rows))
+        folder = f"{at:012d}~{kind}~{name}~{parts}"
+        df.withColumn("_bucket", self._bucket(parts)).repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.path}/{folder}")
+        self._fs.create(self._at(f"{self.path}/{folder}.done"), True).close()
+
+    def write(self, df: DataFrame, name: str) -> None:
+        """Adds rows, one for each key, under a name of letters and digits; rows of a key written before no longer count."""
+        held = self.folders()
+        if any(m.split("~")[2] == name for m in held):
+            return
+        last = max((int(m.split("~")[0]) for m in held), default=0)
+        self._write(df, "add", name, last + 1)
+        if len(held) + 1 > self.most_folders:
+            self._write(self.read(), "all", name, last + 2)
+
+    def read(self, asked: DataFrame | None = None) -> DataFrame:
+        """What each key holds; with ``asked``, a table with the key, only from the parts that its keys fall into."""
+        out = None
+        for place, (m, parts) in enumerate(self.folders().items()):
+            df = self.spark.read.schema(f"{self.schema}, _bucket int").parquet(f"{self.path}/{m}")
+            if asked is not None and parts > 1:
+                df = df.where(F.col("_bucket").isin([r[0] for r in asked.select(self._bucket(parts).alias("b")).distinct().collect()]))
+            df = df.select(*self.columns, F.lit(place).alias("_place"))
+            out = df if out is None else out.unionByName(df)
+        if out is None:
+            return self.spark.createDataFrame([], self.schema)
+        return out.groupBy(self.key).agg(F.max_by(F.struct(*self.columns), "_place").alias("_row")).select("_row.*")
+
+
+class DeltaState:
+    """The first-seen state as new rows and as changes of ``matched``: what a batch writes follows the batch, not the state."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, **sizes: int):
+        kinds = dict(c.split() for c in schema.split(", "))
+        self.rows, self.flags = KeyedLog(spark, f"{path}/rows", schema, "id", **sizes), KeyedLog(spark, f"{path}/flags", f"id string, matched {kinds['matched']}", "id", **sizes)
+
+    def read(self, asked: DataFrame | None = None) -> DataFrame:
+        flags = self.flags.read(asked).withColumnRenamed("matched", "_new")
+        return self.rows.read(asked).join(flags, "id", "left").withColumn("matched", F.coalesce("_new", "matched")).select(*self.rows.columns)
+
+    def is_empty(self) -> bool:
+        return not self.rows.folders() or self.rows.read().isEmpty()
+
+    def merge(self, batch: DataFrame, order: str, now: str, name: str) -> MergeResult:
+        """As ``merge``, but reads only the parts of the batch's ids, and writes only its new ids and changed flags; ``state`` of the
+        result holds the ids of the batch. A batch of a name that was merged before adds nothing and has nothing new."""
+        batch = materialise(batch.where(F.col("id").isNotNull()), "state-batch")
+        seed = self.is_empty()
+        old = self.read(batch)
+        result = merge(old.join(batch.select("id").distinct(), "id", "left_semi"), batch, order, now)
+        new = materialise(result.new, "state-new")
+        changed = old.select("id", F.col("matched").alias("_old")).join(result.state.select("id", "matched"), "id").where("matched <> _old").select("id", "matched")
+        changed = materialise(changed, "state-changed")
+        state = materialise(result.state, "state-seen")
+        self.rows.write(new, name)
+        self.flags.write(changed, name)
+        return MergeResult(state, new, new.where(F.lit(not seed) & (F.col("matched") == 1)), seed)
+
+
 def page_changes(pages: DataFrame, cache: DataFrame) -> DataFrame:
     """(url, status_code, body, ...) against (url, body_sha1): adds body_sha1 and ``outcome``, 'unchanged' for status 304 or an equal hash, else 'changed'.
 
@@ -97,11 +184,13 @@ def live(cache: DataFrame, fetched_at: str, ttl_seconds: int, as_of: datetime) -
     return cache.where(age < ttl_seconds)
 
 
-def log_run(table: VersionedTable, rows: list[tuple[str, str, str, int, str]], first_seq: int) -> None:
-    """Appends (run_date, company, status, jobs_found, error) rows with rising sequence numbers."""
-    table.append(table.spark.createDataFrame([(first_seq + i, *r) for i, r in enumerate(rows)], table.schema))
-
-
+def log_run(log: DataFrame, outcomes: DataFrame, run_date: str) -> DataFrame:
+    """The rows (seq, run_date, company, status, jobs_found, error) that a run adds to the log, one for each company of its outcomes,
+    numbered on from the log's last row; a registry's length, so they are numbered in one task."""
+    last = log.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("_last"))
+    numbered = outcomes.withColumn("_n", F.row_number().over(Window.orderBy("company"))).crossJoin(F.broadcast(last))  # one row
+    seq = (F.col("_last") + F.col("_n")).cast("bigint")
+    return numbered.select(seq.alias("seq"), F.lit(run_date).alias("run_date"), "company", "status", "jobs_found", F.coalesce("error", F.lit("")).alias("error"))
 
 
 def commit_pages(cache: DataFrame, pages: DataFrame, parsed: DataFrame) -> DataFrame:

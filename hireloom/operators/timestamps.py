@@ -8,6 +8,7 @@ the row's own reference time turns it into an instant.
 
 from __future__ import annotations
 
+import uuid
 import zoneinfo
 from datetime import datetime, timezone
 from functools import cache
@@ -185,20 +186,21 @@ class TimestampDictionary:
         return self.spark.read.schema(self.SCHEMA).parquet(*parts) if parts else self.spark.createDataFrame([], self.SCHEMA)
 
     def extend(self, pairs: DataFrame) -> None:
-        """Parses those of ``pairs`` (pair, raw, zone, each once) that are new, and appends them as one more part."""
+        """Parses those of ``pairs`` (pair, raw, zone, each once) that are new, and appends them as one more part. A part counts once it
+        is whole; one that was killed is left aside, and the pairs are simply appended again under another name."""
         parts = self.parts()
         fresh = pairs.join(self.known().select("pair"), "pair", "left_anti") if parts else pairs
-        parse_pairs(fresh.select("pair", "raw", "zone")).select("pair", "kind", "seconds").write.parquet(f"{self.path}/batch-{len(parts):06d}")
+        parse_pairs(fresh.select("pair", "raw", "zone")).select("pair", "kind", "seconds").write.parquet(f"{self.path}/batch-{len(parts):06d}-{uuid.uuid4().hex}")
 
 
 def normalise(rows: DataFrame, raw: str, zone: str, reference: str | None, dictionary: TimestampDictionary, into: str = "epoch_s") -> DataFrame:
     """Adds ``into``: the instant of ``raw`` in whole seconds since 1970 UTC, rounded down, or null where it names none.
 
     ``zone`` names the column with the zone of a value without one; ``reference`` the timestamp column that relative values count
-    back from (None: relative values have no instant). Nulls, empty and over-long values, bounds ("30+ days ago"), periods and
+    back from (None: relative values have no instant). Nulls, empty values, bounds ("30+ days ago"), periods and
     impossible dates give null. Rows are never dropped, repeated rows stay; any other columns pass through.
     """
-    usable = F.when((F.trim(raw) != "") & (F.length(raw) <= 200), F.col(raw))
+    usable = F.when(F.trim(raw) != "", F.col(raw))
     pair = F.concat(usable, F.lit("\x01"), F.coalesce(F.col(zone), F.lit("")))
     reference_s = F.unix_seconds(reference) if reference else F.lit(None).cast("bigint")
     # The row travels as one struct, so no column of its own can clash with those used here.

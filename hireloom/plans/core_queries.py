@@ -13,7 +13,7 @@ from hireloom.functions import dates, match, text, urls
 from hireloom.functions.ids import posting_id
 from hireloom.operators import browse, digest, discovery, health, robots, store
 from hireloom.schema import POSTING, STATE
-from hireloom.sources import html, landed
+from hireloom.sources import config, html, landed, sitemaps
 from hireloom.streaming import first_seen
 
 AS_OF = datetime(2026, 8, 31, 12)
@@ -272,25 +272,48 @@ def json_paths(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", text.dig(F.col("props"), "k").alias("k"), text.dig(F.col("props"), "a.b").alias("ab"))
 
 
+#: What the registry says of boards without a schema of their own.
+CONFIGS = {
+    "spa": {"jobs_path": "data.list", "id": "key", "title": "a.t"},
+    "html": {"job_item": "div.row", "title": "h3", "link": "a", "location": ".loc"},
+}
+
+
+def _listing_page() -> Column:
+    escaped = lambda c: text.html_escape(F.coalesce(F.col(c), F.lit("")))
+    return F.concat(F.lit('<div class="row"><a href="/j/'), F.col("row_id").cast("string"), F.lit('"><h3>'), escaped("title"), F.lit('</h3></a><span class="loc">'), escaped("location"), F.lit("</span></div>"))
+
+
 def _landed(spark: SparkSession, sf: str) -> DataFrame:
-    """Each posting as the response of its board, one a body."""
-    p = table(spark, sf, "postings").where("ats in ('greenhouse', 'lever', 'ashby', 'spa')")
+    """Each posting as the response of its board, one a body, with what the registry says of its kind."""
+    p = table(spark, sf, "postings")
     full = {"ignoreNullFields": "false"}
     rid = F.col("row_id")
     gh = F.struct(F.array(F.struct(rid.alias("id"), "title", F.struct(F.col("location").alias("name")).alias("location"), F.col("url").alias("absolute_url"), text.html_escape(F.col("description")).alias("content"), F.col("posted_at").alias("updated_at"))).alias("jobs"))
     lv = F.array(F.struct(rid.cast("string").alias("id"), F.col("title").alias("text"), F.struct("location").alias("categories"), F.col("url").alias("hostedUrl"), F.col("description").alias("descriptionPlain"), (rid * 1000).alias("createdAt")))
     ab = F.struct(F.array(F.struct(rid.cast("string").alias("id"), "title", "location", F.col("url").alias("jobUrl"), F.col("description").alias("descriptionPlain"), F.col("posted_at").alias("publishedAt"))).alias("jobs"))
+    wd = F.struct(F.lit(1).alias("total"), F.array(F.struct("title", F.col("location").alias("locationsText"), F.concat(F.lit("/job/"), rid.cast("string")).alias("externalPath"), F.col("posted_at").alias("postedOn"))).alias("jobPostings"))
     sp = F.struct(F.struct(F.array(F.struct(rid.alias("key"), F.struct(F.col("title").alias("t")).alias("a"), "location", "url")).alias("list")).alias("data"))
-    body = F.when(F.col("ats") == "greenhouse", F.to_json(gh, full)).when(F.col("ats") == "lever", F.to_json(lv, full)).when(F.col("ats") == "ashby", F.to_json(ab, full)).otherwise(F.to_json(sp, full))
-    return p.select(F.coalesce("company", F.lit("")).alias("company"), "ats", body.alias("body"))
+    body = F.when(F.col("ats") == "html", _listing_page())
+    for kind, made in (("greenhouse", gh), ("lever", lv), ("ashby", ab), ("workday", wd), ("spa", sp)):
+        body = body.when(F.col("ats") == kind, F.to_json(made, full))
+    url = F.when(F.col("ats") == "html", F.concat(F.lit("https://c.example/list/"), rid.cast("string"))).when(F.col("ats") == "workday", "https://h.example/en-US/s")
+    config = None
+    for kind, c in CONFIGS.items():
+        named = F.create_map(*[F.lit(x) for kv in c.items() for x in kv])
+        config = F.when(F.col("ats") == kind, named) if config is None else config.when(F.col("ats") == kind, named)
+    return p.select("row_id", F.coalesce("company", F.lit("")).alias("company"), "ats", url.alias("url"), F.when(F.col("ats") == "workday", 0).alias("offset"), body.alias("body"), config.alias("config"))
 
 
 def source_normalise(spark: SparkSession, sf: str) -> DataFrame:
+    """Responses of all six kinds of boards as postings."""
     return landed.normalise_all(_landed(spark, sf))[0].select("id", "company", "title", "location", "url", "description", "posted_at", "source_tier")
 
 
 def source_skipped(spark: SparkSession, sf: str) -> DataFrame:
-    return landed.normalise_all(_landed(spark, sf))[1]
+    """Companies of kinds without a normaliser; here every tenth response is of such a kind."""
+    kind = F.when(F.col("row_id") % 10 == 0, "paper").otherwise(F.col("ats"))
+    return landed.normalise_all(_landed(spark, sf).withColumn("ats", kind))[1]
 
 
 def spa_normalise(spark: SparkSession, sf: str) -> DataFrame:
@@ -312,12 +335,13 @@ def workday_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def html_listing(spark: SparkSession, sf: str) -> DataFrame:
+    """Listing pages of a company in the order of their numbers; the first five jobs have detail pages."""
     p = table(spark, sf, "postings").where("ats = 'html' and company is not null")
-    page = F.concat(F.lit('<div class="row"><a href="/j/'), F.col("row_id").cast("string"), F.lit('"><h3>'), text.html_escape(F.coalesce("title", F.lit(""))), F.lit('</h3></a><span class="loc">'), text.html_escape(F.coalesce("location", F.lit(""))), F.lit("</span></div>"))
-    pages = p.select("company", F.concat(F.lit("https://c.example/list/"), F.col("row_id").cast("string")).alias("url"), page.alias("html"))
-    found = html.listing(pages, {"job_item": "div.row", "title": "h3", "link": "a", "location": ".loc"})
+    pages = p.select("company", F.concat(F.lit("https://c.example/list/"), F.col("row_id").cast("string")).alias("url"), _listing_page().alias("html"))
+    found = html.listing(pages, CONFIGS["html"])
+    found = found.withColumn("place", F.regexp_extract("url", r"(\d+)$", 1).cast("bigint") * 1000 + F.col("pos"))
     details = found.select("url", F.concat(F.lit("about "), "title").alias("text"))
-    return landed.with_details(found, details, 5, "url").select("company", "url", "location", "description", "source_tier")
+    return landed.with_details(found, details, 5, "place").select("company", "url", "location", "description", "source_tier")
 
 
 def digest_chunks(spark: SparkSession, sf: str) -> DataFrame:
@@ -335,26 +359,49 @@ def days_ago_bucket(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").groupBy(label.alias("age")).agg(F.count(F.lit(1)).alias("n_orders"))
 
 
-def stream_first_seen(spark: SparkSession, sf: str) -> DataFrame:
-    """Arrivals streamed into an empty state: the announced ids are none (seed) or those of later micro-batches; the result is the state."""
+def _arrivals_into(spark: SparkSession, sf: str, state: store.DeltaState) -> store.KeyedLog:
+    """Arrivals streamed into a state; what was announced."""
     path = os.path.join(sf, "job_arrivals.parquet")
     schema = table(spark, sf, "job_arrivals").schema
     stream = spark.readStream.schema(schema).parquet(path if os.path.isdir(path) else os.path.join(sf, "job_arrivals*.parquet"))
     batch = stream.select("arrival_id", "id", "company", "title", "location", "url", F.lit("").alias("posted_at"), F.lit(1).alias("matched"))
-    state = store.VersionedTable(spark, scratch_path(spark, "stream-state"), STATE)
-    announced = store.VersionedTable(spark, scratch_path(spark, "stream-announced"), STATE)
+    announced = store.KeyedLog(spark, scratch_path(spark, "stream-announced"), STATE, "id")
     query = first_seen.run_first_seen(batch, state, announced, scratch_path(spark, "stream-checkpoint"), "arrival_id", lambda epoch: f"2026-09-01T00:00:{epoch:02d}+00:00")
     query.awaitTermination()
     if query.exception():
         raise query.exception()
+    return announced
+
+
+def stream_first_seen(spark: SparkSession, sf: str) -> DataFrame:
+    """The state that a stream of arrivals leaves where there was none."""
+    state = store.DeltaState(spark, scratch_path(spark, "stream-state"), STATE)
+    _arrivals_into(spark, sf, state)
     return state.read().select("id", "matched")
 
 
+def stream_announced(spark: SparkSession, sf: str) -> DataFrame:
+    """Arrivals announced by a stream into a state that holds the stored jobs."""
+    state = store.DeltaState(spark, scratch_path(spark, "stream-state"), STATE)
+    jobs = table(spark, sf, "jobs").select("seq", "id", "company", "title", "location", "url", "posted_at", "matched")
+    state.merge(jobs, "seq", "2026-08-31T00:00:00+00:00", "stored")
+    return _arrivals_into(spark, sf, state).read().select("id", "company", "title")
+
+
+def seed_mode(spark: SparkSession, sf: str) -> DataFrame:
+    """What a batch finds new, and what it announces, where there is no state and where there is one."""
+    batch = _batch(spark, sf)
+    empty = store.merge(spark.createDataFrame([], STATE), batch, "row_id", "2026-09-01T00:00:00+00:00")
+    later = store.merge(_state(spark, sf), batch, "row_id", "2026-09-01T00:00:00+00:00")
+    counted = [r.new.agg(F.count(F.lit(1)).alias("n_new")).crossJoin(r.fresh.agg(F.count(F.lit(1)).alias("n_announced"))).select(F.lit(r.seed).alias("seed"), "n_new", "n_announced") for r in (empty, later)]  # one row each
+    return counted[0].unionByName(counted[1])
+
+
 def stream_streaks(spark: SparkSession, sf: str) -> DataFrame:
     """Error streaks kept from a stream of the run log; companies without a current error have 0."""
     path = os.path.join(sf, "run_log.parquet")
     stream = spark.readStream.schema(table(spark, sf, "run_log").schema).parquet(path if os.path.isdir(path) else os.path.join(sf, "run_log*.parquet"))
-    state = store.VersionedTable(spark, scratch_path(spark, "streaks"), first_seen.STREAKS)
+    state = store.KeyedLog(spark, scratch_path(spark, "streaks"), first_seen.STREAKS, "company")
     query = first_seen.run_streaks(stream.select("company", "seq", "status"), state, scratch_path(spark, "streaks-checkpoint"))
     query.awaitTermination()
     if query.exception():
@@ -385,12 +432,120 @@ def page_commit(spark: SparkSession, sf: str) -> DataFrame:
     return store.commit_pages(old, pages, new.where("title is not null").select("url"))
 
 
+def _outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    code = F.when(F.col("row_id") % 7 == 0, 304).when(F.col("row_id") % 11 == 0, 403).otherwise(200)
+    responses = _landed(spark, sf).withColumn("status_code", code)
+    return landed.outcomes(responses, landed.normalise_all(responses.where("status_code = 200"))[0])
+
+
 def run_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     """What a run over the landed responses would log for each company."""
-    code = F.when(F.length("body") % 7 == 0, 304).when(F.length("body") % 11 == 0, 403).otherwise(200)
-    responses = _landed(spark, sf).withColumn("status_code", code)
-    read = responses.where("status_code = 200")
-    return landed.outcomes(responses, landed.normalise_all(read)[0]).select("company", "status", "jobs_found")
+    return _outcomes(spark, sf).select("company", "status", "jobs_found")
+
+
+def log_append(spark: SparkSession, sf: str) -> DataFrame:
+    """The run log with the rows of that run behind its own."""
+    log = table(spark, sf, "run_log").select("seq", "run_date", "company", "status", "jobs_found", F.coalesce("error", F.lit("")).alias("error"))
+    return log.unionByName(store.log_run(log, _outcomes(spark, sf), "2026-09-01T00:00:00+00:00"))
+
+
+def request_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """What a request of each posting's address would meet; hosts have one of three robots files, by the length of their name."""
+    urls_ = table(spark, sf, "postings").where("url is not null").select("url").unionByName(_made_urls(spark, sf).select("url"))
+    hosts = urls_.where("url <> ''").select(F.lower(urls.part(F.col("url"), "authority")).alias("host")).distinct()
+    which = F.length("host") % 3
+    files = hosts.select("host", F.when(which == 0, ROBOTS).when(which == 1, "User-agent: loombot\nDisallow: /\nAllow: /jobs\n\nUser-agent: *\nCrawl-delay: 9\n").otherwise("").alias("body"))
+    return robots.gate(urls_, files, "loombot")
+
+
+def _made_urls(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.col("company_id").cast("string")
+    made = F.element_at(F.array(F.concat(F.lit("ftp://a.example/"), n), F.concat(F.lit("https://user:pw@a.example/"), n), F.concat(F.lit("http://10.0.0.8/"), n), F.concat(F.lit("https://boards-api.greenhouse.io/v1/boards/"), n)), (F.col("company_id") % 4 + 1).cast("int"))
+    return table(spark, sf, "companies").select("company_id", made.alias("url"))
+
+
+def resolve_cascade(spark: SparkSession, sf: str) -> DataFrame:
+    """The board of each company: by its address, its page, a careers page or its name, as the company's number has it."""
+    c = table(spark, sf, "companies").select("company_id", "name", F.col("company_id").cast("string").alias("n"), F.pmod("company_id", F.lit(5)).alias("k"))
+    url = F.when(F.col("k") == 0, F.concat(F.lit("https://jobs.lever.co/t"), "n")).when(F.col("k") < 4, F.concat(F.lit("https://c"), "n", F.lit(".example/")))
+    candidates = c.select("name", url.alias("url"))
+    page = lambda k, at, body: c.where(F.col("k") == k).select(F.concat(F.lit("https://c"), "n", F.lit(at)).alias("url"), F.concat(F.lit(body), "n", F.lit('"')).alias("body"))
+    pages = page(1, ".example/", 'see "https://jobs.ashbyhq.com/t').unionByName(page(2, ".example/", 'nothing here "')).unionByName(page(2, ".example/careers", 'src="https://boards.greenhouse.io/embed/job_board?for=t'))
+    careers = c.where("k = 2").select("name", F.posexplode(F.array(*[F.concat(F.lit("https://c"), "n", F.lit(p)) for p in (".example/jobs", ".example/careers")])).alias("p", "url")).select("name", (F.col("p") + 1).alias("rank"), "url")
+    known = c.select(F.explode(F.array(F.struct(F.lit("lever").alias("ats"), F.concat(F.lit("t"), "n").alias("token"), F.lit(2).alias("jobs_found")), F.struct(F.lit("ashby").alias("ats"), F.concat(F.lit("t"), "n").alias("token"), F.lit(3).alias("jobs_found")), F.struct(F.lit("greenhouse").alias("ats"), F.concat(F.lit("t"), "n").alias("token"), (F.col("company_id").cast("int") % 2).alias("jobs_found")), F.struct(F.lit("greenhouse").alias("ats"), text.norm_token(F.col("name")).alias("token"), F.lit(0).alias("jobs_found")), F.struct(F.lit("ashby").alias("ats"), text.norm_token(F.col("name")).alias("token"), F.lit(7).alias("jobs_found")))).alias("p")).select("p.*")
+    none = F.lit(None).cast("string")
+    return discovery.cascade(candidates, pages, careers, known.withColumns({"host": none, "site": none})).select("name", "via", "rank", "ats", "token", "jobs_found")
+
+
+def _notes() -> Column:
+    return F.struct(F.col("ats"), F.when(F.col("company_id") % 2 == 0, F.col("token")).alias("token"), F.lit(None).cast("string").alias("workday_host"), F.lit(None).cast("string").alias("workday_site"), F.lit(None).cast("string").alias("selectors"), F.lit(None).cast("string").alias("xhr_url"), F.repeat(F.concat("name", F.lit("; ")), 30).alias("notes"))
+
+
+def infer_notes(spark: SparkSession, sf: str) -> DataFrame:
+    """Evidence of the verdicts that make an entry, and the note of those that don't."""
+    made = table(spark, sf, "companies").withColumn("v", _notes()).select("company_id", discovery.verdict_outcome(discovery.entry_from_verdict(F.col("name"), F.col("v")), F.col("v")).alias("o"))
+    return made.select("company_id", "o.evidence", "o.llm")
+
+
+def infer_queue(spark: SparkSession, sf: str) -> DataFrame:
+    """The next ten candidates without a verdict."""
+    c = table(spark, sf, "companies").select("name", F.coalesce("careers_url", F.lit("")).alias("url"), F.when(F.col("token").isNull(), "no board").alias("llm"), F.col("company_id").alias("pos"))
+    return discovery.infer_queue(c, 10).select("name", "url", "pos")
+
+
+def jsearch_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Employers of landed search results, one response for each company of the run log."""
+    item = F.struct(F.col("company").alias("employer_name"), F.when(F.col("seq") % 2 == 0, F.concat(F.lit("https://e.example/"), F.col("seq").cast("string"))).alias("employer_website"))
+    bodies = table(spark, sf, "run_log").select(F.to_json(F.struct(F.array(item, F.struct(F.lit("").alias("employer_name"), F.lit(None).cast("string").alias("employer_website"))).alias("data"))).alias("body"))
+    return landed.jsearch(bodies)
+
+
+def jsearch_plan(spark: SparkSession, sf: str) -> DataFrame:
+    return landed.search_plan(spark, FILTERS.roles, FILTERS.locations)
+
+
+def registry_valid(spark: SparkSession, sf: str) -> DataFrame:
+    """Postings whose company and kind would make a registry entry that can be run, by kind."""
+    return table(spark, sf, "postings").where(config.valid_entry(F.col("company"), F.col("ats"))).groupBy("ats").agg(F.count(F.lit(1)).alias("n"))
+
+
+def board_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of a token file made of the registry: a comment and an empty line before each."""
+    lines = table(spark, sf, "companies").select(F.explode(F.array(F.concat(F.lit("# "), "name"), F.lit("  "), F.concat(F.lit(" "), F.coalesce("token", F.lit("")), F.lit(" ")))).alias("value"))
+    return discovery.token_lines(lines)
+
+
+def sitemap_zipped(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages of compressed sitemaps, one for each posting with an address, that are read and inflated."""
+    p = table(spark, sf, "postings").where("url is not null and url <> '' and url not rlike '[<\\\\s]'").select("row_id", "url")
+    files = p.select(F.concat(F.lit("https://s.example/"), F.col("row_id").cast("string"), F.lit(".xml.GZ")).alias("url"), sitemaps.deflate(F.concat(F.lit("<urlset><loc>"), "url", F.lit("</loc></urlset>"))).alias("content"))
+    return sitemaps.bodies(files).select(F.explode(F.regexp_extract_all("body", F.lit(discovery.LOC), 1)).alias("url"))
+
+
+def api_jobs(spark: SparkSession, sf: str) -> DataFrame:
+    return browse.jobs_object(table(spark, sf, "jobs"), q="engineer", matched="1", offset=20, tie="seq")
+
+
+def api_meta(spark: SparkSession, sf: str) -> DataFrame:
+    log = table(spark, sf, "run_log")
+    return browse.meta_object(table(spark, sf, "jobs"), log, health.health_alerts(log))
+
+
+def page_main(spark: SparkSession, sf: str) -> DataFrame:
+    """Text of pages with chrome around a main part, made of each posting's title and company."""
+    part_ = lambda c: text.html_escape(F.coalesce(F.col(c), F.lit("")))
+    page = F.concat(F.lit("<html><header>Logo</header><nav><a href='/'>Home</a></nav><p>outside</p><main><h1>"), part_("title"), F.lit("</h1><div class='share big'>Share<p>it</p></div><script>x()</script><p>by "), part_("company"), F.lit("</p></main><footer>(c)</footer></html>"))
+    return table(spark, sf, "postings").select("row_id", html.page_text(page).alias("text"))
+
+
+def unescape_back(spark: SparkSession, sf: str) -> DataFrame:
+    """Descriptions escaped and read again."""
+    return table(spark, sf, "postings").select("row_id", text.html_unescape(text.html_escape(F.col("description"))).alias("text"))
+
+
+def summary_input(spark: SparkSession, sf: str) -> DataFrame:
+    """The first fifty lines that a digest's summary is written from."""
+    return digest.summary_lines(_batch(spark, sf).where("matched = 1").select("row_id", digest.job_line().alias("line")), "row_id", "line")
 
 
 def postings_schema(spark: SparkSession, sf: str) -> DataFrame:
@@ -405,7 +560,8 @@ def queries() -> dict:
     names = """match_postings experience_filter posted_recency full_match first_seen_new merge_state merge_new dedup_first dedup_any_matched last_write canonical_urls posting_ids host_rollup url_flags url_policy
         health_alerts error_streaks run_states company_facets meta_totals search_page search_count search_json ui_index run_summary page_text unescaped page_change live_cache robots_decision request_interval ats_detect
         board_links registry_entries careers_rank careers_default sitemap_bfs candidate_dedup known_names unresolved resolve_probe approve_gate evidence infer_verdicts json_paths source_normalise source_skipped spa_normalise
-        workday_pages html_listing digest_chunks digest_whole days_ago_bucket stream_first_seen stream_streaks candidate_sources discovery_summary page_commit run_outcomes postings_schema"""
+        workday_pages html_listing digest_chunks digest_whole days_ago_bucket stream_first_seen stream_announced seed_mode stream_streaks candidate_sources discovery_summary page_commit run_outcomes postings_schema log_append request_gate resolve_cascade
+        infer_notes infer_queue jsearch_candidates jsearch_plan registry_valid board_tokens sitemap_zipped api_jobs api_meta page_main unescape_back summary_input"""
     return {n: globals()[n] for n in names.split()}
 
 

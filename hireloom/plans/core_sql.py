@@ -82,6 +82,24 @@ _NORM = lambda c: f"regexp_replace(lower({c}), '[^a-z0-9]', '', 'g')"  # noqa: E
 _DEPTH = lambda u: f"length(regexp_replace(regexp_replace({_part(u, 'path')}, '^/+|/+$', '', 'g'), '[^/]', '', 'g'))"
 _NWWW = lambda u: f"regexp_replace({_host(u)}, '^www\\.', '')"
 _S = lambda c: f"coalesce({c}, '')"
+_STRIP = lambda c: f"regexp_replace(coalesce({c}, ''), '^[\\s\\x{{A0}}]+|[\\s\\x{{A0}}]+$', '', 'g')"
+_PLAIN = lambda c: f"regexp_replace({_STRIP(c)}, '[ \\t\\r\\f\\v]+', ' ', 'g')"
+
+
+def _escaped(c: str) -> str:
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
+        c = f"replace({c}, '{sign}', '{name}')"
+    return c
+
+
+_LINE = f"""'• <a href="' || {_escaped(_S('url'))} || '">' || {_escaped(_S('title'))} || '</a> — ' || {_escaped(_S('company'))} || ' (' || {_escaped(_S('location'))} || ')'"""
+# Lines, each a list of its own, folded into messages of at most 4,000 signs behind a header.
+_FOLDED = """list_reduce(list_prepend(['<b>' || count(*) || ' fresh job(s)</b>'], list([line] ORDER BY row_id, line)),
+    lambda a, x: CASE WHEN length(a[-1]) + length(x[1]) + 1 > 4000 THEN list_append(a, x[1]) ELSE list_append(a[:-2], a[-1] || chr(10) || x[1]) END)"""
+# Responses of a run by company: the worst outcome, and the postings of those that were read.
+_RUN = f"""(SELECT company, CASE w WHEN 1 THEN 'blocked' WHEN 2 THEN 'ok' WHEN 3 THEN 'unchanged' ELSE 'skipped' END status, CASE WHEN w = 2 THEN n ELSE 0 END::INT jobs_found, CASE WHEN w = 1 THEN 'status 403' ELSE '' END error FROM
+    (SELECT {_S('company')} company, min(CASE WHEN ats IS NULL THEN 4 WHEN row_id % 7 = 0 THEN 3 WHEN row_id % 11 = 0 THEN 1 ELSE 2 END) w,
+        count(*) FILTER (ats IS NOT NULL AND row_id % 7 <> 0 AND row_id % 11 <> 0 AND (ats <> 'html' OR {_STRIP('title')} <> '')) n FROM postings GROUP BY 1))"""
 
 SQL: dict[str, str] = {
     "match_postings": f"SELECT row_id FROM postings WHERE {MATCHED}",
@@ -142,15 +160,18 @@ SQL: dict[str, str] = {
     "infer_verdicts": """SELECT company_id, t.tier, CASE WHEN t.tier IS NOT NULL THEN ats END ats, CASE WHEN t.tier IS NULL THEN NULL WHEN ats IN ('greenhouse', 'lever', 'ashby') THEN token WHEN ats = 'workday' THEN 'h.wd1.myworkdayjobs.com' WHEN ats = 'html' THEN '{}' ELSE careers_url END "by"
         FROM (SELECT *, CASE WHEN ats IN ('greenhouse', 'lever', 'ashby') AND coalesce(token, '') <> '' THEN 0 WHEN ats = 'workday' AND company_id % 2 = 0 THEN 0 WHEN ats = 'html' THEN 1 WHEN ats = 'spa' AND careers_url IS NOT NULL THEN 2 END vt FROM companies) c, LATERAL (SELECT c.vt AS tier) t""",
     "json_paths": "SELECT event_id, coalesce(json_extract_string(props, '$.k'), '') k, coalesce(json_extract_string(props, '$.a.b'), '') ab FROM events",
-    "source_normalise": f"""SELECT sha1({_S('company')} || ':' || row_id) id, {_S('company')} company, {_S('title')} title, {_S('location')} AS location, {_S('url')} url,
-        CASE WHEN ats = 'greenhouse' THEN '<b>x</b>' ELSE substring({_S('description')}, 1, 8000) END description, CASE WHEN ats = 'lever' THEN CAST(row_id * 1000 AS VARCHAR) ELSE {_S('posted_at')} END posted_at, 0 source_tier
-        FROM postings WHERE ats IN ('greenhouse', 'lever', 'ashby')""",
-    "source_skipped": f"SELECT DISTINCT {_S('company')} company, 'skipped' status FROM postings WHERE ats = 'spa'",
+    "source_normalise": f"""SELECT CASE WHEN ats = 'html' THEN {_id(_S('company'), "''", "'https://c.example/j/' || row_id", 'title', 'location')} WHEN ats = 'workday' THEN sha1({_S('company')} || ':/job/' || row_id) ELSE sha1({_S('company')} || ':' || row_id) END id,
+        {_S('company')} company, CASE WHEN ats = 'html' THEN {_STRIP('title')} ELSE {_S('title')} END title, CASE WHEN ats = 'html' THEN {_STRIP('location')} ELSE {_S('location')} END AS location,
+        CASE ats WHEN 'html' THEN 'https://c.example/j/' || row_id WHEN 'workday' THEN 'https://h.example/en-US/s/job/' || row_id ELSE {_S('url')} END url,
+        CASE WHEN ats IN ('greenhouse', 'lever', 'ashby') THEN substring({_S('description')}, 1, 8000) ELSE '' END description,
+        CASE WHEN ats = 'lever' THEN CAST(row_id * 1000 AS VARCHAR) WHEN ats IN ('greenhouse', 'ashby', 'workday') THEN {_S('posted_at')} ELSE '' END posted_at, CASE ats WHEN 'html' THEN 1 WHEN 'spa' THEN 2 ELSE 0 END source_tier
+        FROM postings WHERE ats IS NOT NULL AND (ats <> 'html' OR {_STRIP('title')} <> '')""",
+    "source_skipped": f"SELECT DISTINCT {_S('company')} company, 'skipped' status FROM postings WHERE ats IS NULL OR row_id % 10 = 0",
     "spa_normalise": f"SELECT sha1({_S('company')} || ':' || row_id) id, {_S('company')} company, {_S('title')} title, {_S('location')} AS location, {_S('url')} url, 2 source_tier FROM postings WHERE ats = 'spa'",
     "workday_pages": f"""SELECT sha1({_S('company')} || ':/job/' || seq) id, company, {_S('title')} title, {_S('location')} AS location, 'https://h.example/en-US/s/job/' || seq url, 'Posted Today' posted_at
-        FROM (SELECT *, row_number() OVER (PARTITION BY company ORDER BY seq) n FROM jobs) WHERE n <= 40""",
-    "html_listing": f"""SELECT company, url, location, CASE WHEN rn <= 5 THEN 'about ' || title ELSE '' END description, 1 source_tier FROM (SELECT *, row_number() OVER (PARTITION BY company ORDER BY url) rn FROM
-        (SELECT company, 'https://c.example/j/' || row_id url, trim({_S('location')}) AS location, trim({_S('title')}) title FROM postings WHERE ats = 'html' AND company IS NOT NULL AND trim({_S('title')}) <> ''))""",
+        FROM (SELECT *, row_number() OVER (PARTITION BY company ORDER BY seq) n FROM jobs) WHERE n <= 2000""",
+    "html_listing": f"""SELECT company, url, location, CASE WHEN rn <= 5 THEN 'about ' || title ELSE '' END description, 1 source_tier FROM (SELECT *, row_number() OVER (PARTITION BY company ORDER BY row_id) rn FROM
+        (SELECT row_id, company, 'https://c.example/j/' || row_id url, trim({_S('location')}) AS location, trim({_S('title')}) title FROM postings WHERE ats = 'html' AND company IS NOT NULL AND trim({_S('title')}) <> ''))""",
     "days_ago_bucket": """SELECT CASE WHEN d <= 0 THEN 'today' WHEN d = 1 THEN 'yesterday' ELSE CAST(d AS BIGINT) || 'd ago' END age, count(*) n_orders
         FROM (SELECT floor((epoch_ms(TIMESTAMP '1998-08-03 12:00:00') - epoch_ms(CAST(o_orderdate AS TIMESTAMP))) / 86400000.0) d FROM orders) GROUP BY 1""",
     "stream_first_seen": "SELECT DISTINCT id, 1 matched FROM job_arrivals WHERE id IS NOT NULL",
@@ -164,4 +185,42 @@ SQL: dict[str, str] = {
         n AS (SELECT DISTINCT ON (url) url, sha1(description) sha, title FROM p WHERE batch_no > 15 ORDER BY url, row_id DESC), c AS (SELECT n.url, n.sha FROM n LEFT JOIN o USING (url) WHERE n.title IS NOT NULL AND n.sha IS NOT NULL AND n.sha IS DISTINCT FROM o.sha)
         SELECT url, sha body_sha1 FROM o WHERE url NOT IN (SELECT url FROM c) UNION ALL SELECT url, sha FROM c""",
     "postings_schema": "SELECT coalesce(source_tier, 0) source_tier, count(*) n, sum(length(substring(coalesce(description, ''), 1, 8000)))::BIGINT n_chars FROM postings GROUP BY 1",
+    "run_outcomes": f"SELECT company, status, jobs_found FROM {_RUN}",
+    "log_append": f"""SELECT seq, run_date, company, status, jobs_found, coalesce(error, '') error FROM run_log
+        UNION ALL SELECT (SELECT max(seq) FROM run_log) + row_number() OVER (ORDER BY company), '2026-09-01T00:00:00+00:00', company, status, jobs_found, error FROM {_RUN}""",
+    "stream_announced": "SELECT DISTINCT ON (id) id, company, title FROM job_arrivals WHERE id IS NOT NULL AND id NOT IN (SELECT id FROM jobs WHERE id IS NOT NULL) ORDER BY id, arrival_id",
+    "seed_mode": f"""SELECT true seed, count(*) n_new, 0 n_announced FROM {BATCH} UNION ALL SELECT false, count(*), count(*) FILTER (matched = 1) FROM {BATCH} WHERE id NOT IN (SELECT id FROM jobs WHERE id IS NOT NULL)""",
+    "request_gate": f"""WITH u AS (SELECT DISTINCT url FROM (SELECT url FROM postings WHERE url IS NOT NULL UNION ALL SELECT CASE company_id % 4 WHEN 0 THEN 'ftp://a.example/' WHEN 1 THEN 'https://user:pw@a.example/' WHEN 2 THEN 'http://10.0.0.8/' ELSE 'https://boards-api.greenhouse.io/v1/boards/' END || company_id FROM companies)),
+        f AS (SELECT url, CASE WHEN lower({_part('url', 'scheme')}) NOT IN ('http', 'https') THEN 'scheme' WHEN contains({_part('url', 'authority')}, '@') THEN 'credentials' WHEN {_host('url')} = '' THEN 'host' WHEN starts_with({_host('url')}, '10.') THEN 'private' END why,
+            {_host('url')} IN ({', '.join(_q(h) for h in urls.API_HOSTS)}) OR ends_with({_host('url')}, {_q(urls.API_SUFFIX)}) api, length({_part('url', 'authority')}) % 3 kind, {_part('url', 'path')} || CASE WHEN {_part('url', 'query')} <> '' THEN '?' || {_part('url', 'query')} ELSE '' END p FROM u),
+        r(pattern, size, allow, kind) AS (VALUES ('^/openings/1', 11, false, 0), ('^/openings/1.*5$', 14, true, 0), ('^/.*\\?q=', 6, false, 0), ('^/', 1, false, 1), ('^/jobs', 5, true, 1)),
+        d AS (SELECT url, any_value(why) why, any_value(api) api, any_value(f.kind) kind, coalesce(arg_max(allow, {{'s': size, 'a': allow}}), true) ok FROM f LEFT JOIN r ON r.kind = f.kind AND regexp_matches(CASE WHEN p = '' THEN '/' ELSE p END, pattern) GROUP BY url),
+        e AS (SELECT *, CASE WHEN why IS NOT NULL THEN why WHEN NOT api AND NOT ok THEN 'robots' END reason FROM d)
+        SELECT url, CASE WHEN reason IS NULL THEN 'fetch' ELSE 'blocked' END outcome, reason, CASE WHEN reason IS NULL THEN CASE WHEN NOT api AND kind = 0 THEN 2.0 ELSE 1.0 END END::DOUBLE AS "seconds" FROM e""",
+    "resolve_cascade": f"""SELECT name, 'url' via, 0 AS rank, 'lever' ats, 't' || company_id token, 2 jobs_found FROM companies WHERE company_id % 5 = 0
+        UNION ALL SELECT name, 'page', 0, 'ashby', 't' || company_id, 3 FROM companies WHERE company_id % 5 = 1 UNION ALL SELECT name, 'careers', 0, 'greenhouse', 't' || company_id, 1 FROM companies WHERE company_id % 5 = 2 AND company_id % 2 = 1
+        UNION ALL SELECT name, 'name', 2, 'ashby', {_NORM('name')}, 7 FROM companies WHERE company_id % 5 > 2""",
+    "infer_notes": """WITH v AS (SELECT company_id, ats, ats IN ('greenhouse', 'lever', 'ashby') AND company_id % 2 = 0 AND coalesce(token, '') <> '' good, repeat(name || '; ', 30) notes FROM companies)
+        SELECT company_id, CASE WHEN good THEN 'LLM: ' || substring(notes, 1, 300) END evidence, CASE WHEN NOT coalesce(good, false) THEN coalesce(ats, 'None') || ': ' || substring(notes, 1, 200) END llm FROM v""",
+    "infer_queue": "SELECT name, coalesce(careers_url, '') url, company_id pos FROM companies WHERE token IS NOT NULL ORDER BY company_id LIMIT 10",
+    "jsearch_candidates": "SELECT company AS name, CASE WHEN seq % 2 = 0 THEN 'https://e.example/' || seq ELSE '' END url FROM run_log WHERE company <> ''",
+    "jsearch_plan": "SELECT * FROM (VALUES (0, 'Software Engineer in London'), (1, 'Machine Learning Engineer in London')) v(pos, query)",
+    "registry_valid": "SELECT ats, count(*) n FROM postings WHERE company <> '' AND ats <> '' GROUP BY ats",
+    "board_tokens": "SELECT trim(token) AS name FROM companies WHERE trim(token) <> '' AND NOT starts_with(trim(token), '#')",
+    "sitemap_zipped": "SELECT url FROM postings WHERE url <> '' AND NOT regexp_matches(url, '[<\\s]')",
+    "api_jobs": """WITH h AS (SELECT * FROM jobs WHERE (title ILIKE '%engineer%' OR location ILIKE '%engineer%') AND matched = 1), g AS (SELECT * FROM h ORDER BY first_seen DESC NULLS LAST, posted_at DESC NULLS LAST, seq LIMIT 50 OFFSET 20)
+        SELECT CAST(to_json({'total': (SELECT count(*) FROM h), 'jobs': coalesce((SELECT list({'company': company, 'title': title, 'location': location, 'url': url, 'posted_at': posted_at, 'first_seen': first_seen, 'matched': matched}
+        ORDER BY first_seen DESC NULLS LAST, posted_at DESC NULLS LAST, seq) FROM g), [])}) AS VARCHAR) json""",
+    "search_json": """SELECT CAST(to_json({'company': company, 'title': title, 'location': location, 'url': url, 'posted_at': posted_at, 'first_seen': first_seen, 'matched': matched}) AS VARCHAR) json
+        FROM jobs WHERE company = 'Dektingirga Data Software' ORDER BY first_seen DESC NULLS LAST, posted_at DESC NULLS LAST, seq LIMIT 50""",
+    "page_main": f"SELECT row_id, CASE WHEN {_STRIP('title')} <> '' THEN {_PLAIN('title')} || chr(10) ELSE '' END || regexp_replace('by ' || {_PLAIN('company')}, ' $', '') AS text FROM postings",
+    "unescape_back": "SELECT row_id, description AS text FROM postings",
+    "summary_input": f"SELECT row_id, {_LINE} line FROM postings WHERE {MATCHED} ORDER BY row_id LIMIT 50",
+    "digest_chunks": f"""WITH l AS (SELECT company, row_id, {_LINE} line FROM postings WHERE {MATCHED} AND company IS NOT NULL), m AS (SELECT company, {_FOLDED} m FROM l GROUP BY company)
+        SELECT company, CAST(generate_subscripts(m, 1) - 1 AS INT) part, unnest(m) message FROM m""",
 }
+SQL["api_meta"] = f"""SELECT CAST(to_json({{'companies': (SELECT list({{'name': company, 'count': n}} ORDER BY company) FROM (SELECT company, count(*) n FROM jobs GROUP BY company)), 'total': (SELECT count(*) FROM jobs), 'matched': (SELECT coalesce(sum(matched), 0)::BIGINT FROM jobs),
+    'last_run': (SELECT max(run_date) FROM run_log), 'alerts': coalesce((SELECT list(message ORDER BY company, message) FROM ({SQL['health_alerts']})), [])}}) AS VARCHAR) json"""
+SQL["digest_whole"] = f"""WITH l AS (SELECT row_id, {_LINE} line FROM postings WHERE {MATCHED}), m AS (SELECT {_FOLDED} m FROM l HAVING count(*) > 0)
+    SELECT CAST(generate_subscripts(m, 1) AS INT) part, unnest(m) message FROM m UNION ALL SELECT 0, '✨ New & fine'
+    UNION ALL SELECT 1000000, '⚠️ <b>Health alerts</b>' || chr(10) || string_agg(e, chr(10) ORDER BY company, e) FROM (SELECT company, {_escaped('message')} e FROM ({SQL['health_alerts']})) HAVING count(*) > 0"""

@@ -17,11 +17,11 @@ from hireloom.functions.ids import posting_id
 from hireloom.schema import DESCRIPTION_LIMIT
 
 # Elements and selectors of page chrome, and selectors of the main part in their order.
-CHROME_TAGS = "script style noscript template svg header footer nav aside form iframe".split()
+CHROME_TAGS = ("script", "style", "noscript", "template", "svg", "header", "footer", "nav", "aside", "form", "iframe")
 CHROME = (
-    ".header #header .footer #footer .nav #nav .navbar .navigation .menu .sidebar #sidebar .side .aside .breadcrumbs #breadcrumbs .modal .popup #modal .overlay "
-    ".ad .ads .advert #ad .cookie #cookie .social .social-media .social-links #social .share #share .widget #widget .lang-selector .language #language-selector"
-).split()
+    ".header", "#header", ".footer", "#footer", ".nav", "#nav", ".navbar", ".navigation", ".menu", ".sidebar", "#sidebar", ".side", ".aside", ".breadcrumbs", "#breadcrumbs", ".modal", ".popup", "#modal", ".overlay",
+    ".ad", ".ads", ".advert", "#ad", ".cookie", "#cookie", ".social", ".social-media", ".social-links", "#social", ".share", "#share", ".widget", "#widget", ".lang-selector", ".language", "#language-selector",
+)
 MAIN = ("main", "article", "[role=main]", "#main", "#content", ".job-description", ".posting", "[itemprop=description]")
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -36,20 +36,24 @@ class Node:
     attrs: dict[str, str] = field(default_factory=dict)
     parent: Node | None = None
     children: list[Node | str] = field(default_factory=list)
+    hidden: bool = False
 
     def walk(self) -> Iterator[Node]:
-        todo = [c for c in reversed(self.children) if isinstance(c, Node)]
+        """The nodes below this one in document order, without those hidden and what is below them."""
+        todo = [self]
         while todo:
             n = todo.pop()
-            yield n
-            todo += [c for c in reversed(n.children) if isinstance(c, Node)]
+            if n is not self:
+                yield n
+            if not n.hidden:
+                todo += [c for c in reversed(n.children) if isinstance(c, Node) and not c.hidden]
 
     def texts(self) -> list[str]:
-        out, todo = [], [*reversed(self.children)]
+        out, todo = [], [self]
         while todo:
             c = todo.pop()
             if isinstance(c, Node):
-                todo += [*reversed(c.children)]
+                todo += [] if c.hidden else [*reversed(c.children)]
             elif c.strip():
                 out.append(c.strip())
         return out
@@ -129,17 +133,24 @@ def select(root: Node, selector: str) -> list[Node]:
     return [n for n in root.walk() if matches(n, selector)]
 
 
+_CHROME_IDS, _CHROME_CLASSES = (frozenset(c[1:] for c in CHROME if c[0] == sign) for sign in "#.")
+_BLANKS, _GAPS = re.compile(r"[ \t\r\f\v]+"), re.compile(r"\n\n\n+")
+
+
+def _is_chrome(n: Node) -> bool:
+    return n.tag in CHROME_TAGS or n.attrs.get("id") in _CHROME_IDS or not _CHROME_CLASSES.isdisjoint(n.attrs.get("class", "").split())
+
+
 def clean_text(html_text: str | None, limit: int = DESCRIPTION_LIMIT) -> str:
     """Text of a page without its chrome, one text node a line; of the first main part where there is one. Never raises."""
     try:
         root = parse(html_text or "")
-        dropped, classes, ids = set(CHROME_TAGS), {c[1:] for c in CHROME if c[0] == "."}, {c[1:] for c in CHROME if c[0] == "#"}
-        for n in [*root.walk()]:
-            if n.parent and (n.tag in dropped or n.attrs.get("id") in ids or classes & {*n.attrs.get("class", "").split()}):
-                n.parent.children = [c for c in n.parent.children if c is not n]
-        main = next((found[0] for s in MAIN if (found := select(root, s))), root)
-        text = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t\r\f\v]+", " ", "\n".join(main.texts())))
-        return text.strip()[:limit]
+        for n in root.walk():  # what is hidden here isn't walked into
+            n.hidden = _is_chrome(n)
+        shown = [*root.walk()]
+        mains = ([n for n in shown if matches(n, s)] for s in MAIN)
+        part = next((found[0] for found in mains if found), root)
+        return _GAPS.sub("\n\n", _BLANKS.sub(" ", "\n".join(part.texts()))).strip()[:limit]
     except Exception:
         return ""
 
@@ -149,15 +160,21 @@ def page_text(pages: pd.Series) -> pd.Series:
     return pages.map(clean_text)
 
 
-def listing(pages: DataFrame, selectors: dict[str, str]) -> DataFrame:
-    """Postings of landed listing pages (company, url, html) by the selectors job_item, title, link and location; rows without a title go."""
+def listing(pages: DataFrame, selectors: dict[str, str] | None) -> DataFrame:
+    """Postings of landed listing pages (company, url, html) by the selectors job_item, title, link and location; rows without a title go.
+
+    Without ``selectors`` each page brings its own as ``config``, a map; a page without job_item has no postings.
+    """
+    if selectors is not None:
+        pages = pages.withColumn("config", F.create_map(*[F.lit(x) for kv in selectors.items() for x in kv]))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for company, base, text in zip(pdf["company"], pdf["url"], pdf["html"]):
-                found = lambda item, name, default=None: next(iter(select(item, selectors.get(name) or default)), None) if selectors.get(name) or default else None
-                for pos, item in enumerate(select(parse(text or ""), selectors["job_item"])):
+            for company, base, text, own in zip(pdf["company"], pdf["url"], pdf["html"], pdf["config"]):
+                own = dict(own or {})
+                found = lambda item, name, default=None, own=own: next(iter(select(item, own.get(name) or default)), None) if own.get(name) or default else None
+                for pos, item in enumerate(select(parse(text or ""), own["job_item"]) if own.get("job_item") else ()):
                     link, title, place = found(item, "link", "a"), found(item, "title"), found(item, "location")
                     words = lambda n: "".join(n.texts()) if n else ""
                     name = words(title) or words(link)
@@ -165,6 +182,6 @@ def listing(pages: DataFrame, selectors: dict[str, str]) -> DataFrame:
                         out.append((company, pos, name, words(place), urljoin(base or "", link.attrs["href"]) if link and "href" in link.attrs else ""))
             yield pd.DataFrame(out, columns=["company", "pos", "title", "location", "url"])
 
-    found = pages.select("company", "url", "html").mapInPandas(rows, "company string, pos int, title string, location string, url string")
+    found = pages.select("company", "url", "html", "config").mapInPandas(rows, "company string, pos int, title string, location string, url string")
     ident = posting_id(F.col("company"), F.lit(""), F.col("url"), F.col("title"), F.col("location"))
     return found.select(ident.alias("id"), "company", "title", "location", "url", F.lit("").alias("description"), F.lit("").alias("posted_at"), F.lit(1).alias("source_tier"), "pos")

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hireloom.functions.ids import posting_id
-from hireloom.functions.text import dig, html_unescape
+from hireloom.functions.text import html_unescape
 from hireloom.functions.urls import is_binary_url
 from hireloom.schema import DESCRIPTION_LIMIT
+from hireloom.sources.html import listing
 
 GREENHOUSE = "struct<jobs:array<struct<id:bigint,title:string,location:struct<name:string>,absolute_url:string,content:string,updated_at:string>>>"
 LEVER = "array<struct<id:string,text:string,categories:struct<location:string>,hostedUrl:string,descriptionPlain:string,createdAt:bigint>>"
@@ -71,28 +72,50 @@ def workday(landed: DataFrame, max_jobs: int = 2000) -> DataFrame:
 
 
 def spa(landed: DataFrame, jobs_path: str, fields: dict[str, str]) -> DataFrame:
-    """From (company, body) with configured dotted paths to the array and, in each element, to title, location, url, id and description."""
-    items = F.from_json(F.get_json_object("body", "$." + jobs_path) if jobs_path else F.col("body"), "array<string>")
-    jobs = landed.select("company", F.explode(items).alias("j"))
-    get = lambda name: dig(F.col("j"), fields[name]) if fields.get(name) else F.lit("")
-    at = lambda name: dig(F.col("j"), fields.get(name, name))
-    return _postings(jobs, get("id"), at("title"), at("location"), at("url"), get("description"), F.lit(""), 2)
+    """From (company, body) with dotted paths to the array and, in each element, to title, location, url, id and description, the same for all rows."""
+    config = F.create_map(*[F.lit(x) for kv in {"jobs_path": jobs_path, **fields}.items() for x in kv])
+    return spa_by_config(landed.withColumn("config", config))
 
 
-def with_details(listing: DataFrame, details: DataFrame, limit: int, order: str) -> DataFrame:
+def spa_by_config(landed: DataFrame) -> DataFrame:
+    """From (company, body, config): each row's config names its own dotted paths (jobs_path, title, location, url, id, description)."""
+    path = F.coalesce(F.col("config")["jobs_path"], F.lit(""))
+    array = F.when(path == "", F.col("body")).otherwise(F.call_function("get_json_object", F.col("body"), F.concat(F.lit("$."), path)))
+    jobs = landed.select("company", "config", F.explode(F.from_json(array, "array<string>")).alias("j"))
+    at = lambda name, usual: F.coalesce(F.call_function("get_json_object", F.col("j"), F.concat(F.lit("$."), F.coalesce(F.col("config")[name], F.lit(usual)))), F.lit(""))
+    optional = lambda name: F.when(F.coalesce(F.col("config")[name], F.lit("")) == "", "").otherwise(at(name, name))
+    return _postings(jobs, optional("id"), at("title", "title"), at("location", "location"), at("url", "url"), optional("description"), F.lit(""), 2)
+
+
+def html_by_config(landed: DataFrame) -> DataFrame:
+    """From (company, url, body, config): listing pages, each with the selectors of its own config (job_item, title, link, location)."""
+    return listing(landed.select("company", "url", F.col("body").alias("html"), "config"), None).drop("pos")
+
+
+def workday_pages(landed: DataFrame) -> DataFrame:
+    """From (company, url, offset, body): pages of boards whose jobs lie below ``url``; a page without offset is the first one."""
+    return workday(landed.select("company", F.coalesce("url", F.lit("")).alias("base_url"), F.coalesce("offset", F.lit(0)).alias("offset"), "body"))
+
+
+def with_details(rows: DataFrame, details: DataFrame, limit: int, order: str) -> DataFrame:
     """Adds descriptions from detail pages (url, text) to the first ``limit`` rows of each company; binary and empty links use up their place."""
     # The last place of each company that counts: ranks are cut off in each task, so no company is sorted as a whole.
-    ranks = listing.select("company", order).withColumn("_n", F.row_number().over(Window.partitionBy("company").orderBy(order))).where(F.col("_n") <= limit)
-    last = ranks.groupBy(F.col("company").alias("_c")).agg(F.max(order).alias("_last"))
-    near = listing.join(last, F.col("company") == F.col("_c"), "left")
-    wanted = (F.col(order) <= F.col("_last")) & (F.col("url") != "") & ~is_binary_url(F.col("url"))
+    place = F.struct(order, "url")  # places of equal order follow their URLs
+    ranks = rows.select("company", place.alias("_p")).withColumn("_n", F.row_number().over(Window.partitionBy("company").orderBy("_p"))).where(F.col("_n") <= limit)
+    last = ranks.groupBy(F.col("company").alias("_c")).agg(F.max("_p").alias("_last"))
+    near = rows.join(last, F.col("company") == F.col("_c"), "left")
+    wanted = (place <= F.col("_last")) & (F.col("url") != "") & ~is_binary_url(F.col("url"))
     texts = details.groupBy(F.col("url").alias("_u")).agg(F.first("text").alias("_t"))
     joined = near.withColumn("_want", F.when(wanted, F.col("url"))).join(texts, F.col("_want") == F.col("_u"), "left")
     return joined.withColumn("description", F.substring(F.coalesce("_t", "description"), 1, DESCRIPTION_LIMIT)).drop("_c", "_last", "_want", "_u", "_t")
 
 
 def normalise_all(landed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(postings, skipped) of (company, ats, body): each registered kind by its normaliser; companies of other kinds are skipped."""
+    """(postings, skipped) of (company, ats, body, and as their kinds need them url, offset and config): each registered kind by its
+    normaliser; companies of other kinds are skipped."""
+    for name, kind in (("url", "string"), ("offset", "int"), ("config", "map<string,string>")):
+        if name not in landed.columns:
+            landed = landed.withColumn(name, F.lit(None).cast(kind))
     parts = [f(landed.where(F.col("ats") == name)) for name, f in _SOURCES.items()]
     out = parts[0]
     for p in parts[1:]:
@@ -108,7 +131,13 @@ def jsearch(landed: DataFrame) -> DataFrame:
     return items.where("d.employer_name <> ''").select(F.col("d.employer_name").alias("name"), _text(F.col("d.employer_website")).alias("url"))
 
 
-for _name, _f in (("greenhouse", greenhouse), ("lever", lever), ("ashby", ashby)):
+def search_plan(spark: SparkSession, roles: tuple[str, ...], locations: tuple[str, ...], most_roles: int = 2) -> DataFrame:
+    """(pos, query): the searches of a run, the first roles at the first location; none without a location."""
+    made = [(i, f"{r} in {locations[0]}") for i, r in enumerate(roles[:most_roles])] if locations else []
+    return spark.createDataFrame(made, "pos int, query string")
+
+
+for _name, _f in (("greenhouse", greenhouse), ("lever", lever), ("ashby", ashby), ("workday", workday_pages), ("spa", spa_by_config), ("html", html_by_config)):
     register_source(_name, _f)
 
 
@@ -120,7 +149,7 @@ def outcomes(landed: DataFrame, postings: DataFrame) -> DataFrame:
     """
     found = postings.groupBy("company").agg(F.count(F.lit(1)).alias("_n"))
     code, body = F.col("status_code"), F.col("body")
-    readable = F.coalesce(F.schema_of_variant(F.try_parse_json(body)).isNotNull(), F.lit(False))
+    readable = F.coalesce(F.when(F.col("ats") == "html", body != "").otherwise(F.schema_of_variant(F.try_parse_json(body)).isNotNull()), F.lit(False))
     status = (
         F.when(~F.coalesce(F.col("ats").isin(list(_SOURCES)), F.lit(False)), "skipped").when(code == 304, "unchanged").when(code.isin(401, 403, 451), "blocked").when(code.between(200, 299) & readable, "ok").otherwise("error")
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import zlib
 
 import pandas as pd
@@ -28,6 +29,12 @@ def inflate(bodies: pd.Series) -> pd.Series:
     return bodies.map(one)
 
 
+@F.pandas_udf(T.BinaryType())
+def deflate(texts: pd.Series) -> pd.Series:
+    """Texts as gzip files."""
+    return texts.map(lambda t: None if t is None else gzip.compress(t.encode("utf-8", "replace"), mtime=0))
+
+
 def bodies(files: DataFrame) -> DataFrame:
     """(url, body) as text from (url, content binary)."""
     zipped = F.lower("url").endswith(".gz")

@@ -1,43 +1,35 @@
-"""First-seen deduplication as a stream: each micro-batch is merged into a versioned state."""
+"""First-seen deduplication and error streaks as streams: each micro-batch adds what it changes to a state."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from hireloom.operators.store import MergeResult, VersionedTable, merge
+from hireloom.common import materialise
+from hireloom.operators.store import DeltaState, KeyedLog, MergeResult
 
 
 def run_first_seen(
-    stream: DataFrame, state: VersionedTable, announced: VersionedTable, checkpoint: str, order: str, now: Callable[[int], str], on_batch: Callable[[MergeResult, int], None] | None = None
+    stream: DataFrame, state: DeltaState, announced: KeyedLog, checkpoint: str, order: str, now: Callable[[int], str], on_batch: Callable[[MergeResult, int], None] | None = None
 ) -> StreamingQuery:
     """Starts a query that merges all available rows and ends; the state is unbounded and never forgets an id.
 
-    The new state version is written before anything is announced, so an id is announced at most once. A batch that is run again
-    after a failure finds its ids in the state and announces nothing twice.
+    A micro-batch writes its new ids and changed flags, nothing else. They are written before anything is announced, so an id is
+    announced at most once. A batch that is run again after a failure finds its ids in the state and announces nothing twice.
     """
 
     def each(batch: DataFrame, epoch: int) -> None:
-        result = merge(state.read(), batch, order, now(epoch))
-        fresh = result.fresh.persist()
-        fresh.count()
-        state.write(result.state)
-        announced.append(fresh)
+        result = state.merge(batch, order, now(epoch), f"epoch{epoch}")
+        announced.write(result.fresh, f"epoch{epoch}")
         if on_batch:
             on_batch(result, epoch)
-        fresh.unpersist()
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def watermark_dedup(stream: DataFrame, key: str, event_time: str, late: str) -> DataFrame:
-    """The bounded alternative: ids are forgotten after the watermark, so an older id counts as new again."""
-    return stream.withWatermark(event_time, late).dropDuplicatesWithinWatermark([key])
-
-
 def error_streaks(log: DataFrame) -> DataFrame:
     """Current run of errors of each company over all of its runs, in the order of seq; batch form."""
     runs = log.where("status <> 'skipped'")
@@ -46,10 +38,6 @@ def error_streaks(log: DataFrame) -> DataFrame:
     return joined.groupBy("company").agg(F.count(F.lit(1)).alias("streak"))
 
 
-def arrivals_stream(spark: SparkSession, path: str, schema: str, max_files: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
-
-
 STREAKS = "company string, streak bigint, last_seq bigint"
 
 
@@ -68,10 +56,13 @@ def merge_streaks(state: DataFrame, batch: DataFrame) -> DataFrame:
     return joined.select("company", streak.cast("bigint").alias("streak"), F.coalesce("_last", "last_seq").alias("last_seq"))
 
 
-def run_streaks(stream: DataFrame, state: VersionedTable, checkpoint: str) -> StreamingQuery:
-    """Keeps the streaks of all companies up to date from a stream of run-log rows."""
+def run_streaks(stream: DataFrame, state: KeyedLog, checkpoint: str) -> StreamingQuery:
+    """Keeps the streaks of all companies up to date from a stream of run-log rows; a micro-batch writes those of its companies."""
 
     def each(batch: DataFrame, epoch: int) -> None:
-        state.write(merge_streaks(state.read(), batch))
+        batch = materialise(batch, "streaks-batch")
+        named = batch.select("company").distinct()
+        held = state.read(named).join(named, "company", "left_semi")
+        state.write(merge_streaks(held, batch), f"epoch{epoch}")
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

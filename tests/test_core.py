@@ -275,3 +275,119 @@ def test_browse(spark):
     assert browse.search(state, q="%_1")[0].first()["total"] == sum(len(str(i)) > 0 and "1" in f"Data {i}"[1:] for i in range(120))
     assert browse.totals(state.limit(0), spark.createDataFrame([], RUN_LOG)).first().asDict() == {"total": 0, "matched": 0, "last_run": None}
     assert '"posted_at":null' in browse.as_json(browse.search(state.where("id = '3'"))[1]).first()["json"]
+
+
+def test_keyed_log(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame([*r], "id string, n int")
+    log = store.KeyedLog(spark, f"file://{tmp_path}/log", "id string, n int", "id", part_rows=2, most_folders=4)
+    assert log.read().count() == 0
+    log.write(rows(*[(f"k{i}", i) for i in range(20)]), "a")
+    log.write(rows(("k3", 33), ("new", 1)), "b")
+    log.write(rows(("k3", 99)), "b")  # a name that counts already
+    held = lambda log: {r["id"]: r["n"] for r in log.read().collect()}
+    assert held(log)["k3"] == 33 and len(held(log)) == 21 and list(log.folders().values())[0] == 10
+    few = log.read(rows(("k3", 0)))
+    assert {r["id"]: r["n"] for r in few.collect()}["k3"] == 33 and few.count() < 12
+    (tmp_path / "log" / "000000000009~add~dead~1").mkdir()  # a write that was killed
+    assert len(held(log)) == 21
+    for i in range(4):
+        log.write(rows(("last", i)), f"c{i}")
+    assert len(log.folders()) <= 4 and held(log)["last"] == 3 and held(store.KeyedLog(spark, f"file://{tmp_path}/log", "id string, n int", "id")) == held(log)
+
+
+def test_delta_state_is_the_merged_state(spark, tmp_path):
+    import random
+
+    r = random.Random(8)
+    cols = "n int, id string, company string, title string, location string, url string, posted_at string, matched int"
+    made = lambda seed: spark.createDataFrame([(i, r.choice(["a", "b", "c", "d", None, f"x{seed}{i}"]), "c", f"t{seed}", "l", "u", "p", r.randrange(2)) for i in range(12)], cols)
+    delta, state = store.DeltaState(spark, f"file://{tmp_path}/state", STATE, part_rows=3), spark.createDataFrame([], STATE)
+    for k in range(3):
+        batch = spark.createDataFrame(made(k).collect(), cols)
+        want = store.merge(state, batch, "n", f"day{k}")
+        for again in (False, True):  # a batch that comes again has nothing new
+            got = delta.merge(batch, "n", f"day{k}", f"batch{k}")
+            assert {x["id"] for x in got.new.collect()} == (set() if again else {x["id"] for x in want.new.collect()})
+            assert {x["id"] for x in got.fresh.collect()} == (set() if again else {x["id"] for x in want.fresh.collect()})
+        state = spark.createDataFrame(want.state.collect(), STATE)
+        assert sorted(map(tuple, delta.read().collect())) == sorted(map(tuple, state.collect()))
+    written = sum(delta.rows.spark.read.parquet(f"{delta.rows.path}/{m}").count() for m in delta.rows.folders())
+    assert written == state.count()  # each row once, whatever the number of batches
+
+
+def test_gate(spark):
+    files = spark.createDataFrame([("h.example", "User-agent: *\nDisallow: /private\nCrawl-delay: 4"), ("api.lever.co", "User-agent: *\nDisallow: /")], "host string, body string")
+    probe = spark.createDataFrame([("https://h.example/a",), ("https://h.example/a",), ("https://h.example/private/1",), ("https://api.lever.co/v0",), ("https://none.example/",), ("ftp://h.example/a",), ("http://192.168.0.1/",)], "url string")
+    got = {r["url"]: (r["outcome"], r["reason"], r["seconds"]) for r in robots.gate(probe, files, "loombot").collect()}
+    assert got == {
+        "https://h.example/a": ("fetch", None, 4.0), "https://h.example/private/1": ("blocked", "robots", None), "https://api.lever.co/v0": ("fetch", None, 1.0), "https://none.example/": ("fetch", None, 1.0), "ftp://h.example/a": ("blocked", "scheme", None), "http://192.168.0.1/": ("blocked", "private", None),
+    }
+    assert robots.gate(probe.limit(0), files, "loombot").count() == 0
+
+
+def test_hot_host_is_looked_up(spark):
+    files = spark.createDataFrame([("hot.example", "User-agent: *\nDisallow: /x")], "host string, body string")
+    probe = spark.createDataFrame([(f"https://hot.example/{'x' if i % 2 else 'y'}/{i}",) for i in range(3000)], "url string")
+    assert robots.decide(probe, files, "loombot").where("allowed").count() == 1500
+
+
+def test_cascade(spark):
+    cands = spark.createDataFrame([("U", "https://jobs.lever.co/u"), ("P", "https://p.example/"), ("C", "https://c.example/"), ("Na Me", "https://n.example/"), ("No", None), ("Dead", "https://jobs.lever.co/dead"), ("W", "https://x.wd1.myworkdayjobs.com/Site")], "name string, url string")
+    pages = spark.createDataFrame([("https://p.example/", "boards.greenhouse.io/p jobs.lever.co/other"), ("https://c.example/jobs", "jobs.ashbyhq.com/c"), ("https://jobs.lever.co/u", "boards.greenhouse.io/never"), ("https://n.example/", "none")], "url string, body string")
+    careers = spark.createDataFrame([("C", 1, "https://c.example/x"), ("C", 2, "https://c.example/jobs"), ("C", 4, "https://jobs.lever.co/late"), ("P", 1, "https://jobs.lever.co/late")], "name string, rank int, url string")
+    probes = spark.createDataFrame([("lever", "u", None, None, 4), ("greenhouse", "p", None, None, 1), ("ashby", "c", None, None, 2), ("greenhouse", "name", None, None, 0), ("lever", "name", None, None, 6), ("ashby", "name", None, None, 9), ("ashby", "no", None, None, 1), ("lever", "dead", None, None, 0), ("greenhouse", "dead", None, None, 5), ("workday", None, "x.wd1.myworkdayjobs.com", "Site", 8)], "ats string, token string, host string, site string, jobs_found int")
+    got = {r["name"]: (r["via"], r["ats"], r["token"], r["jobs_found"]) for r in discovery.cascade(cands, pages, careers, probes).collect()}
+    assert got == {"U": ("url", "lever", "u", 4), "P": ("page", "greenhouse", "p", 1), "C": ("careers", "ashby", "c", 2), "Na Me": ("name", "lever", "name", 6), "No": ("name", "ashby", "no", 1), "W": ("url", "workday", None, 8)}
+
+
+def test_six_kinds(spark):
+    page = '<div class="j"><a href="/1">One</a></div>'
+    rows = [
+        ("W", "workday", "https://w", 0, '{"total": 21, "jobPostings": [%s]}' % ",".join('{"title": "t%d", "externalPath": "/%d"}' % (i, i) for i in range(20)), None), ("W", "workday", "https://w", 20, '{"total": 0, "jobPostings": [{"title": "t20", "externalPath": "/20"}]}', None),
+        ("S", "spa", None, None, '{"a": [{"n": "T", "url": "u"}]}', {"jobs_path": "a", "title": "n"}), ("R", "spa", None, None, '[{"title": "Q"}]', {"jobs_path": ""}), ("H", "html", "https://h.example/list", None, page, {"job_item": "div.j"}), ("B", "html", "https://h.example/list", None, page, None), ("X", None, None, None, "{}", None),
+    ]
+    posts, skipped = landed.normalise_all(spark.createDataFrame(rows, "company string, ats string, url string, offset int, body string, config map<string,string>"))
+    got = sorted((r["company"], r["title"], r["url"], r["source_tier"]) for r in posts.collect())
+    assert got[:3] == [("H", "One", "https://h.example/1", 1), ("R", "Q", "", 2), ("S", "T", "u", 2)] and len(got) == 24
+    assert [r["company"] for r in skipped.collect()] == ["X"]
+
+
+def test_places_of_equal_order_keep_the_limit(spark):
+    rows = spark.createDataFrame([("C", 0, f"https://c.example/{i}", "") for i in range(9)], "company string, pos int, url string, description string")
+    details = rows.select("url", F.lit("text").alias("text"))
+    assert landed.with_details(rows, details, 4, "pos").where("description = 'text'").count() == 4
+
+
+def test_shared_folder_is_required_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    import pytest
+
+    from hireloom import common
+
+    conf, context = SimpleNamespace(get=lambda *_: None), SimpleNamespace(getCheckpointDir=lambda: None, master="spark://x:7077")
+    with pytest.raises(ValueError):
+        common.shared_dir(SimpleNamespace(conf=conf, sparkContext=context))
+
+
+def test_config_is_checked_and_replaced_whole(spark, tmp_path):
+    import pytest
+
+    from hireloom.sources import config
+
+    path = f"{tmp_path}/pending.yaml"
+    config.rewrite(path, [{"name": "Ä", "ats": "lever"}, {"name": "B"}])
+    config.rewrite(path, [{"name": "C", "ats": "ashby"}])
+    assert (tmp_path / "pending.yaml").read_text() == "- name: C\n  ats: ashby\n"
+    with pytest.raises(ValueError):
+        config.add_entry(path, {"ats": "lever"})
+    assert config.registry(spark, f"{tmp_path}/none.yaml").count() == 0 and not (tmp_path / "pending.yaml.making").exists()
+
+
+def test_wide_pages_and_hidden_parts():
+    import time
+
+    began = time.perf_counter()
+    wide = "<main>" + "<div class='ad'>no</div><p>yes" * 20_000 + "</main>"
+    assert html.clean_text(wide, 10**6) == "\n".join(["yes"] * 20_000) and time.perf_counter() - began < 20
+    assert html.clean_text("<div class='menu'><main>hidden main</main></div><p>shown</p>") == "shown"

@@ -86,3 +86,16 @@ def test_wall_clock_as_the_zone_database_reads_it(spark, values):
     got = {r["pair"]: r["seconds"] for r in parse_pairs(spark.createDataFrame(rows, "pair string, raw string, zone string")).collect()}
     for (key, _, z), (v, _) in zip(rows, values):
         assert got[key] == int(v.replace(microsecond=0, tzinfo=ZoneInfo(z), fold=0).timestamp())
+
+
+def test_long_values_and_killed_appends(spark, tmp_path):
+    padded = "2026-03-01T10:00:00Z" + " " * 400
+    df = spark.createDataFrame([(1, padded, None), (2, "x" * 5000, None)], "k int, raw string, zone string")
+    dictionary = TimestampDictionary(spark, f"file://{tmp_path}/dictionary")
+    got = {r["k"]: r["epoch_s"] for r in normalise(df, "raw", "zone", None, dictionary).collect()}
+    assert got == {1: 1772359200, 2: None}
+    (tmp_path / "dictionary" / "batch-000001-dead").mkdir()  # an append that was killed
+    more = spark.createDataFrame([(3, "2026-03-02", "UTC")], "k int, raw string, zone string")
+    for _ in range(2):
+        assert normalise(more, "raw", "zone", None, dictionary).first()["epoch_s"] == 1772409600
+    assert len(dictionary.parts()) == 3
