@@ -391,3 +391,30 @@ def test_wide_pages_and_hidden_parts():
     wide = "<main>" + "<div class='ad'>no</div><p>yes" * 20_000 + "</main>"
     assert html.clean_text(wide, 10**6) == "\n".join(["yes"] * 20_000) and time.perf_counter() - began < 20
     assert html.clean_text("<div class='menu'><main>hidden main</main></div><p>shown</p>") == "shown"
+
+
+def packed(rows, limit):
+    """Line by line, key by key."""
+    out = {}
+    for k in {r[0] for r in rows}:
+        own = [line for _, _, line in sorted(r for r in rows if r[0] == k)]
+        messages = [f"<b>{len(own)} fresh job(s)</b>"]
+        for x in own:
+            if len(messages[-1]) + len(x) + 1 > limit:
+                messages.append(x)
+            else:
+                messages[-1] += "\n" + x
+        out |= {(k, i): m for i, m in enumerate(messages)}
+    return out
+
+
+def test_digests_of_many_keys_in_blocks(spark):
+    import random
+
+    r = random.Random(6)
+    rows = [(k, i, f"{i} " + "é" * r.choice((0, 5, 90, 300, 800))) for k, n in ((None, 70), (1, 300), (2, 1), (3, 40), (4, 2), (7, 90)) for i in range(n)] + [(7, 3, "twice"), (7, 3, "twice")]
+    df = spark.createDataFrame(rows, "k int, pos int, line string")
+    for block in (5, 60, 10_000):
+        got = [tuple(x) for x in digest.pack(df, "k", "pos", "line", 700, block).collect()]
+        assert {(k, p): m for k, p, m in got} == packed(rows, 700) and len(got) == len(packed(rows, 700))
+    assert digest.pack(df.limit(0), "k", "pos", "line").count() == 0
