@@ -47,7 +47,7 @@ HOT_ENTRY = 16_384
 #: Steps of a doubling in which counts are told.
 STEPS = 8
 #: Pairs compared at once within a block.
-PAIR_CHUNK = 1 << 20
+PAIR_CHUNK = 1 << 18
 #: Records of one index part at most, whose numbers take two bytes.
 PART_RECORDS = 60_000
 #: 64-bit words of a record's parity bitmap.
