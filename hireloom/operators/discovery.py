@@ -210,6 +210,16 @@ def infer_queue(candidates: DataFrame, limit: int) -> DataFrame:
     return candidates.where("llm is null").orderBy("pos").limit(limit)
 
 
+#: Characters of a page that a model is shown.
+PAGE_LIMIT = 40_000
+
+
+def infer_pages(queue: DataFrame, pages: DataFrame) -> DataFrame:
+    """(name, url, pos, page): each candidate of the queue with the beginning of its landed page (url, body), null where none landed."""
+    beginnings = pages.groupBy("url").agg(F.min(F.substring("body", 1, PAGE_LIMIT)).alias("page"))
+    return queue.select("name", "url", "pos").join(beginnings, "url", "left")
+
+
 def gather(*sources: DataFrame) -> DataFrame:
     """(name, url, source_rank, pos) of candidate sources (name, url, pos), the first source first; their order decides who is kept."""
     out = None

@@ -108,6 +108,23 @@ def url_policy(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "companies").select("company_id", urls.blocked_reason(made).alias("reason"))
 
 
+def posting_url_flags(spark: SparkSession, sf: str) -> DataFrame:
+    """What the addresses of all postings are."""
+    df = table(spark, sf, "postings").where("url is not null")
+    return df.select("row_id", urls.is_binary_url(F.col("url")).alias("is_binary"), urls.is_ats_api(F.col("url")).alias("is_api"), discovery.is_careers(F.col("url")).alias("is_careers"))
+
+
+def posting_url_policy(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "postings").where("url is not null").select("row_id", urls.blocked_reason(F.col("url")).alias("reason"))
+
+
+def posting_boards(spark: SparkSession, sf: str) -> DataFrame:
+    """The board that each posting's address and description name, the address first."""
+    found = F.coalesce(discovery.detect_ats(F.coalesce("url", F.lit(""))), discovery.detect_ats(F.coalesce("description", F.lit(""))))
+    df = table(spark, sf, "postings").select("row_id", found.alias("f"))
+    return df.select("row_id", F.col("f.ats").alias("ats"), F.col("f.token").alias("token"), F.col("f.host").alias("host"), F.col("f.site").alias("site"))
+
+
 def health_alerts(spark: SparkSession, sf: str) -> DataFrame:
     return health.health_alerts(table(spark, sf, "run_log"))
 
@@ -493,6 +510,14 @@ def infer_queue(spark: SparkSession, sf: str) -> DataFrame:
     return discovery.infer_queue(c, 10).select("name", "url", "pos")
 
 
+def infer_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The queue's candidates with as much of their page as a model is shown; here a page repeats the candidate's name."""
+    c = table(spark, sf, "companies")
+    queue = discovery.infer_queue(c.select("name", F.coalesce("careers_url", F.lit("")).alias("url"), F.lit(None).cast("string").alias("llm"), F.col("company_id").alias("pos")), 20)
+    pages = c.where("careers_url is not null").select(F.col("careers_url").alias("url"), F.repeat(F.concat("careers_url", F.lit(" ")), 2000).alias("body")).distinct()
+    return discovery.infer_pages(queue, pages).select("name", "page")
+
+
 def jsearch_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Employers of landed search results, one response for each company of the run log."""
     item = F.struct(F.col("company").alias("employer_name"), F.when(F.col("seq") % 2 == 0, F.concat(F.lit("https://e.example/"), F.col("seq").cast("string"))).alias("employer_website"))
@@ -561,7 +586,7 @@ def queries() -> dict:
         health_alerts error_streaks run_states company_facets meta_totals search_page search_count search_json ui_index run_summary page_text unescaped page_change live_cache robots_decision request_interval ats_detect
         board_links registry_entries careers_rank careers_default sitemap_bfs candidate_dedup known_names unresolved resolve_probe approve_gate evidence infer_verdicts json_paths source_normalise source_skipped spa_normalise
         workday_pages html_listing digest_chunks digest_whole days_ago_bucket stream_first_seen stream_announced seed_mode stream_streaks candidate_sources discovery_summary page_commit run_outcomes postings_schema log_append request_gate resolve_cascade
-        infer_notes infer_queue jsearch_candidates jsearch_plan registry_valid board_tokens sitemap_zipped api_jobs api_meta page_main unescape_back summary_input"""
+        infer_notes infer_pages posting_url_flags posting_url_policy posting_boards infer_queue jsearch_candidates jsearch_plan registry_valid board_tokens sitemap_zipped api_jobs api_meta page_main unescape_back summary_input"""
     return {n: globals()[n] for n in names.split()}
 
 

@@ -219,6 +219,17 @@ SQL: dict[str, str] = {
     "digest_chunks": f"""WITH l AS (SELECT company, row_id, {_LINE} line FROM postings WHERE {MATCHED} AND company IS NOT NULL), m AS (SELECT company, {_FOLDED} m FROM l GROUP BY company)
         SELECT company, CAST(generate_subscripts(m, 1) - 1 AS INT) part, unnest(m) message FROM m""",
 }
+_BOARD_OF = lambda c: f"""(SELECT row_id, CASE WHEN regexp_matches({c}, {_q(WORKDAY)}) THEN 'workday' {' '.join(f"WHEN len({_TOK(p).replace('body', c)}) > 0 THEN '{a}'" for a, p, _ in BOARDS)} END ats,
+    CASE WHEN regexp_matches({c}, {_q(WORKDAY)}) THEN NULL {' '.join(f"WHEN len({_TOK(p).replace('body', c)}) > 0 THEN {_TOK(p).replace('body', c)}[1]" for a, p, _ in BOARDS)} END token,
+    CASE WHEN regexp_matches({c}, {_q(WORKDAY)}) THEN regexp_extract({c}, {_q(WORKDAY)}, 1) END host, CASE WHEN regexp_matches({c}, {_q(WORKDAY)}) THEN regexp_extract({c}, {_q(WORKDAY)}, 2) END site FROM postings)"""
+SQL |= {
+    "posting_url_flags": f"""SELECT row_id, regexp_matches(lower({_part('url', 'path')}), {_q(chr(92) + '.(?:' + '|'.join(urls.BINARY_SUFFIXES) + ')$')}) is_binary,
+        {_host('url')} IN ({', '.join(_q(h) for h in urls.API_HOSTS)}) OR ends_with({_host('url')}, {_q(urls.API_SUFFIX)}) is_api, regexp_matches({_part('url', 'path')}, {_q(CAREERS)}) is_careers FROM postings WHERE url IS NOT NULL""",
+    "posting_url_policy": f"""SELECT row_id, CASE WHEN lower({_part('url', 'scheme')}) NOT IN ('http', 'https') THEN 'scheme' WHEN contains({_part('url', 'authority')}, '@') THEN 'credentials' WHEN {_host('url')} = '' THEN 'host' END reason FROM postings WHERE url IS NOT NULL""",
+    "posting_boards": f"""SELECT u.row_id, coalesce(u.ats, d.ats) ats, CASE WHEN u.ats IS NULL THEN d.token ELSE u.token END token, CASE WHEN u.ats IS NULL THEN d.host ELSE u.host END host, CASE WHEN u.ats IS NULL THEN d.site ELSE u.site END site
+        FROM {_BOARD_OF('url')} u JOIN {_BOARD_OF('description')} d USING (row_id)""",
+    "infer_pages": "SELECT name, CASE WHEN careers_url IS NOT NULL THEN substring(repeat(careers_url || ' ', 2000), 1, 40000) END page FROM companies ORDER BY company_id LIMIT 20",
+}
 SQL["api_meta"] = f"""SELECT CAST(to_json({{'companies': (SELECT list({{'name': company, 'count': n}} ORDER BY company) FROM (SELECT company, count(*) n FROM jobs GROUP BY company)), 'total': (SELECT count(*) FROM jobs), 'matched': (SELECT coalesce(sum(matched), 0)::BIGINT FROM jobs),
     'last_run': (SELECT max(run_date) FROM run_log), 'alerts': coalesce((SELECT list(message ORDER BY company, message) FROM ({SQL['health_alerts']})), [])}}) AS VARCHAR) json"""
 SQL["digest_whole"] = f"""WITH l AS (SELECT row_id, {_LINE} line FROM postings WHERE {MATCHED}), m AS (SELECT {_FOLDED} m FROM l HAVING count(*) > 0)
