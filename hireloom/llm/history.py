@@ -222,16 +222,18 @@ class SegmentIndex:
         for status in self._fs.listStatus(self._at(self.path)):
             name = status.getPath().getName()
             if name.endswith(".done"):
-                mark = json.loads(self.spark.sparkContext.wholeTextFiles(status.getPath().toString()).first()[1])
+                stream = self._fs.open(status.getPath())
+                mark = json.loads(bytes(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
+                stream.close()
                 done[name[: -len(".done")]] = mark["parts"]
                 gone |= set(mark["replaces"])
         return {k: v for k, v in sorted(done.items()) if k not in gone}
 
-    def _write(self, tables: dict[str, DataFrame], replaces: list[str]) -> None:
+    def _write(self, tables: dict[str, tuple[DataFrame, int]], replaces: list[str]) -> None:
+        """One folder of these tables, each with about how many rows it has."""
         folder, parts = uuid.uuid4().hex, {}
-        for kind, df in tables.items():
-            df = materialise(df, f"history-{kind}")
-            parts[kind] = max(1, -(-df.count() // PART_ROWS))
+        for kind, (df, n) in tables.items():
+            parts[kind] = max(1, -(-n // PART_ROWS))
             order = ["bucket", "key"] if kind == "texts" else ["bucket", self.BY[kind]]
             split = df.withColumn("bucket", self._bucket(kind, parts[kind])).repartition("bucket").sortWithinPartitions(*order)
             split.write.partitionBy("bucket").parquet(f"{self.path}/{folder}/{kind}")
@@ -252,10 +254,12 @@ class SegmentIndex:
         """Adds (id, at, block, text); of equal texts and ids the earliest ``at`` is kept. Texts and ids that it held before may come
         again (check_batch leaves them out)."""
         texts = standard.where(F.col("text").isNotNull()).groupBy("block", "text").agg(F.min("at").alias("at"))
-        self._add(materialise(texts, "history-texts"), standard.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("at").alias("at")))
+        ids = standard.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("at").alias("at"))
+        self._add(materialise(texts, "history-texts"), materialise(ids, "history-ids"))
 
     def _add(self, texts: DataFrame, ids: DataFrame) -> None:
-        self._write({"texts": _keyed(texts, index_keys), "ids": ids, "words": word_counts(texts)}, [])
+        words = word_counts(texts)
+        self._write({"texts": (_keyed(texts, index_keys), SEGMENTS * texts.count()), "ids": (ids, ids.count()), "words": (words, words.count())}, [])
         if len(self.folders()) > MOST_FOLDERS:
             self.compact()
 
@@ -275,8 +279,10 @@ class SegmentIndex:
     def compact(self) -> SegmentIndex:
         """All folders as one. Equal texts and ids keep their earliest ``at``; what was replaced stays on disk for those who still read it."""
         old = [*self.folders()]
-        texts = self.read("texts").groupBy("block", "text", "key").agg(F.min("at").alias("at"))
-        self._write({"texts": texts, "ids": self.read("ids").groupBy("id").agg(F.min("at").alias("at")), "words": self.read("words").groupBy("word").agg(F.sum("n").alias("n"))}, old)
+        texts, ids, words = (self.read(kind) for kind in ("texts", "ids", "words"))
+        n = {kind: df.count() for kind, df in (("texts", texts), ("ids", ids), ("words", words))}
+        texts, ids = texts.groupBy("block", "text", "key").agg(F.min("at").alias("at")), ids.groupBy("id").agg(F.min("at").alias("at"))
+        self._write({"texts": (texts, n["texts"]), "ids": (ids, n["ids"]), "words": (words.groupBy("word").agg(F.sum("n").alias("n")), n["words"])}, old)
         return self
 
 
