@@ -98,6 +98,16 @@ def careers_or_default(sites: DataFrame, ranked: DataFrame, site: str, root: str
     return ranked.unionByName(usual.select(site, (F.col("pos") + 1).alias("rank"), "url"))
 
 
+def sitemap_seeds(sites: DataFrame, rules: DataFrame) -> DataFrame:
+    """(site, url, pos) where the search of a site's sitemaps begins, from sites (site, host, root) and the lines of their robots files
+    (host, seq, field, value): the sitemaps these name, in their order, then the usual place; each once, at its first place."""
+    named = rules.where(F.col("field") == "sitemap").join(sites.select("site", "host"), "host").select("site", F.col("value").alias("url"), F.col("seq").cast("bigint").alias("at"))
+    usual = sites.select("site", F.concat(F.regexp_replace("root", "/+$", ""), F.lit("/sitemap.xml")).alias("url"), F.lit(1 << 40).alias("at"))
+    first = named.unionByName(usual).where("url <> ''").groupBy("site", "url").agg(F.min("at").alias("at"))
+    order = Window.partitionBy("site").orderBy("at", "url")  # as many as a robots file of bounded size names
+    return first.select("site", "url", (F.row_number().over(order) - 1).alias("pos"))
+
+
 def sitemap_pages(seeds: DataFrame, files: DataFrame, max_files: int = 10, max_urls: int = 20_000) -> DataFrame:
     """(site, url, level, pos) of the pages that each site's sitemaps list, from seeds (site, url, pos) and files (url, body).
 

@@ -540,6 +540,13 @@ def board_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return discovery.token_lines(lines)
 
 
+def sitemap_seeds(spark: SparkSession, sf: str) -> DataFrame:
+    """Where the sitemaps of the hosts of all postings are looked for; the hosts with names of even length have a robots file."""
+    files = _robots(spark, sf)
+    sites = files.select(F.col("host").alias("site"), "host", F.concat(F.lit("https://"), "host", F.lit("/")).alias("root"))
+    return discovery.sitemap_seeds(sites, robots.rule_lines(files.where(F.length("host") % 2 == 0), "loombot"))
+
+
 def sitemap_zipped(spark: SparkSession, sf: str) -> DataFrame:
     """Pages of compressed sitemaps, one for each posting with an address, that are read and inflated."""
     p = table(spark, sf, "postings").where("url is not null and url <> '' and url not rlike '[<\\\\s]'").select("row_id", "url")
@@ -586,7 +593,7 @@ def queries() -> dict:
         health_alerts error_streaks run_states company_facets meta_totals search_page search_count search_json ui_index run_summary page_text unescaped page_change live_cache robots_decision request_interval ats_detect
         board_links registry_entries careers_rank careers_default sitemap_bfs candidate_dedup known_names unresolved resolve_probe approve_gate evidence infer_verdicts json_paths source_normalise source_skipped spa_normalise
         workday_pages html_listing digest_chunks digest_whole days_ago_bucket stream_first_seen stream_announced seed_mode stream_streaks candidate_sources discovery_summary page_commit run_outcomes postings_schema log_append request_gate resolve_cascade
-        infer_notes infer_pages posting_url_flags posting_url_policy posting_boards infer_queue jsearch_candidates jsearch_plan registry_valid board_tokens sitemap_zipped api_jobs api_meta page_main unescape_back summary_input"""
+        infer_notes infer_pages posting_url_flags posting_url_policy posting_boards infer_queue jsearch_candidates jsearch_plan registry_valid board_tokens sitemap_seeds sitemap_zipped api_jobs api_meta page_main unescape_back summary_input"""
     return {n: globals()[n] for n in names.split()}
 
 

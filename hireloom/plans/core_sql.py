@@ -207,6 +207,8 @@ SQL: dict[str, str] = {
     "jsearch_plan": "SELECT * FROM (VALUES (0, 'Software Engineer in London'), (1, 'Machine Learning Engineer in London')) v(pos, query)",
     "registry_valid": "SELECT ats, count(*) n FROM postings WHERE company <> '' AND ats <> '' GROUP BY ats",
     "board_tokens": "SELECT trim(token) AS name FROM companies WHERE trim(token) <> '' AND NOT starts_with(trim(token), '#')",
+    "sitemap_seeds": f"""WITH h AS (SELECT DISTINCT lower({_part('url', 'authority')}) site FROM postings WHERE url IS NOT NULL AND url <> '')
+        SELECT site, 'https://x.example/s.xml' url, 0 pos FROM h WHERE length(site) % 2 = 0 UNION ALL SELECT site, 'https://' || site || '/sitemap.xml', CASE WHEN length(site) % 2 = 0 THEN 1 ELSE 0 END FROM h""",
     "sitemap_zipped": "SELECT url FROM postings WHERE url <> '' AND NOT regexp_matches(url, '[<\\s]')",
     "api_jobs": """WITH h AS (SELECT * FROM jobs WHERE (title ILIKE '%engineer%' OR location ILIKE '%engineer%') AND matched = 1), g AS (SELECT * FROM h ORDER BY first_seen DESC NULLS LAST, posted_at DESC NULLS LAST, seq LIMIT 50 OFFSET 20)
         SELECT CAST(to_json({'total': (SELECT count(*) FROM h), 'jobs': coalesce((SELECT list({'company': company, 'title': title, 'location': location, 'url': url, 'posted_at': posted_at, 'first_seen': first_seen, 'matched': matched}
