@@ -49,6 +49,8 @@ LOWEST, HIGHEST, DEFAULT = -7.0, -3.5, -5.0
 #: Texts that the odds of all languages together weigh as much as beside a language's own, however many it has.
 PRIOR = 250.0
 
+#: Signs whose places are counted together, small enough for a core's cache, and portions that are added up before they are sent.
+SIGNS_AT_ONCE, PARTS_AT_ONCE = 60_000, 8
 #: Texts whose ends are looked at together.
 TEXTS_AT_ONCE = 250
 
@@ -159,6 +161,13 @@ def count_contexts(texts: list[str | None], wanted, capped: list[bool] | None =
     return distinct & np.int64(-2), np.where(distinct & 1 == 1, n_places, 0), n_places
 
 
+def added(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of several portions, added up by key."""
+    keys, ends, places = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    distinct, at = np.unique(keys, return_inverse=True)
+    return distinct, *(np.bincount(at, weights=x, minlength=len(distinct)).astype(np.int64) for x in (ends, places))
+
+
 def with_odds(df: DataFrame, counts: str, into: str) -> DataFrame:
     """Adds the log-odds of an end from an array of (place, ends, places), null where there is no array.
 
@@ -235,12 +244,15 @@ def score_ends(docs: DataFrame, key: str, text: str, lang: str, source: str, bit
         for batch in batches:
             texts = batch.column(0).to_pylist()
             capped = (passes(piled.value, batch.column(1).to_numpy()) | passes(piled.value, batch.column(2).to_numpy())).tolist()
-            start, size = 0, 0
+            start, size, parts = 0, 0, []
             for i, t in enumerate(texts, 1):
                 size += len(t or "")
-                if size > 250_000 or i == len(texts):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in count_contexts(texts[start:i], wanted, capped[start:i])], names=["ctx", "ends", "places"])
+                if size > SIGNS_AT_ONCE or i == len(texts):
+                    parts.append(count_contexts(texts[start:i], wanted, capped[start:i]))
                     start, size = i, 0
+                if parts and (len(parts) == PARTS_AT_ONCE or i == len(texts)):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in added(parts)], names=["ctx", "ends", "places"])
+                    parts = []
 
     model = picked.select("text", by_signs.alias("signs"), by_bytes.alias("bytes")).mapInArrow(counted, "ctx bigint, ends bigint, places bigint").groupBy("ctx").agg(F.sum("ends").alias("ends"), F.sum("places").alias("places"))
     known = materialise(weights.join(model, "ctx", "left").select(F.col("ctx").alias("entry"), "n", F.coalesce("ends", F.lit(0)).alias("ends"), F.coalesce("places", F.lit(0)).alias("places")), "truncation-model")

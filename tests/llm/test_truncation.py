@@ -78,3 +78,10 @@ def test_small_languages_have_thresholds_of_their_own(spark):
     got = tr.score_ends(spark.createDataFrame(rows, "doc_id bigint, body string, lang string, source string"), "doc_id", "body", "lang", "source").collect()
     assert {r["column"] for r in got} == {"body"} and all(tr.LOWEST <= r["threshold"] <= tr.HIGHEST for r in got)
     assert len({(r["lang"], r["threshold"]) for r in got}) == 2 and not next(r["cut"] for r in got if r["doc_id"] == 200)
+
+
+def test_portions_add_up():
+    texts = [text(i) for i in range(9)]
+    every = lambda k: np.ones(len(k), bool)
+    whole, parts = tr.added([tr.count_contexts(texts, every)]), tr.added([tr.count_contexts(texts[i : i + 2], every) for i in range(0, 9, 2)])
+    assert all((a == b).all() for a, b in zip(whole, parts)) and len(whole[0]) == len(set(whole[0].tolist()))
