@@ -213,8 +213,8 @@ def features(lines: Lines) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 # How lists, headings and emphasis are written without tags, and lines that only set a body's layout.
 _DRESSES = ("{}", "{}:", "· {}", "– {}", "* {}", "- {}", "## {}", "== {} ==", "**{}**", "| {} |", "\\item {}", "\\section{{{}}}", "{} $x^2$", "| {} || 1", "    {}", "{}, \\(x\\)", "1. {}", "! {} !! n")
 _LAYOUT_LINES = (
-    "\\begin{itemize}", "\\end{itemize}", "\\begin{enumerate}", "\\end{enumerate}", '{| class="wikitable"', "|-", "|}", "```", "```python", "for i in range(9):", "x = f(y)", "return x", "| --- | --- |",
-    "\\(\\frac{a+b}{2}\\)", "$O(n)$", "\\[x\\]", "SELECT a FROM b", "print(x)", "def f(x):", "if x > 1:", "----", "====",
+    "\\begin{itemize}", "\\end{itemize}", "\\begin{enumerate}", "\\end{enumerate}", '{| class="wikitable"', "|-", "|}", "```", "```python", "while x:", "x = f(y)", "return x", "| --- | --- |",
+    "\\(y\\)", "$O(n)$", "\\[x\\]", "SELECT a FROM b", "print(x)", "def f(x):", "if x > 1:", "----", "====",
 )
 
 
