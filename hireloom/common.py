@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,8 +43,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def cleanup(spark: SparkSession) -> None:
     """Removes all scratch tables of this application; results that read them must have been written before."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    discard(spark, scratch_root(spark))
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a folder of scratch tables that nothing will read again."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Inside, the shuffle files of a query are removed as soon as it ends, not when the driver happens to collect its garbage."""
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship(spark: SparkSession) -> None:
@@ -67,8 +88,12 @@ _shipped: dict[str, str] = {}
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: cuts the lineage, and survives the loss of executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    return stored(df, scratch_path(df.sparkSession, name))
+
+
+def stored(df: DataFrame, path: str, **options: str) -> DataFrame:
+    """The same in a given folder, for tables that are discarded before the end."""
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -16,13 +16,16 @@ least t must share tokens in their prefixes; filters under several orders are in
 Records with equal sets collapse into one class each. Within a batch they collapse before the index is built, and the index keeps
 each class once for each token, so copies never pair up in it. An entry that may stand in more than HOT_ENTRY records is split:
 its records are dealt to so many lots, and each two lots meet in a cell of their own. Blocks of cells and entries are partitions of
-their own, as many as the index needs and a multiple of the cores.
+their own, as many as the index needs and a multiple of the cores. Each block gets the number, size and bitmap of every record that has
+an entry in it; where there are many blocks, that is several times the index. Then the index is written once, and its blocks are
+compared in rounds, of which each sends less than the index holds and is removed before the next.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hireloom.common import materialise, pairs_within, slots
+from hireloom.common import discard, materialise, pairs_within, scratch_path, shuffles_freed, slots, stored
 from hireloom.llm.shingles import Sketch, chunks, mix, pack_tokens, runs, unpack_tokens, words
 from hireloom.llm.sketching import bits_for, key_bitmap, merged_sketch, passes, share
 
@@ -42,6 +45,8 @@ BITMAP_SLOTS, BITMAP_LEAST, BITMAP_MOST = 16, 20, 30
 #: Tokens of the records of one block, about; the number of blocks grows with the corpus. A record's size and bitmap are sent to each
 #: block it has an entry in, so smaller blocks would send more.
 BLOCK_ENTRIES = 6_000_000
+#: Times the size of the index that are sent at once without writing it, and that a round sends beside the written one.
+AT_ONCE, A_ROUND = 2.0, 0.75
 #: Records of an entry that are paired in one cell, about.
 HOT_ENTRY = 16_384
 #: Steps of a doubling in which counts are told.
@@ -52,6 +57,8 @@ PAIR_CHUNK = 1 << 18
 PART_RECORDS = 60_000
 #: 64-bit words of a record's parity bitmap.
 PARITY_WORDS = 6
+#: Bytes of an entry with its record's place, and of a record's number, size and bitmap.
+ENTRY_BYTES, RECORD_BYTES = 8, 12 + 8 * PARITY_WORDS
 
 
 def _texts(batch: pa.RecordBatch) -> pa.Array:
@@ -156,6 +163,17 @@ def _cells(entry: np.ndarray, of: np.ndarray, count: np.ndarray, sets: np.ndarra
     return np.concatenate((entry[rest], made)), np.concatenate((of[rest], of[row]))
 
 
+def _round_blocks(records: int, tokens: int, blocks: int, cores: int, bounds: Bounds) -> int:
+    """Blocks of one round: all, unless that sends more than AT_ONCE times what the index holds."""
+    entries = float(bounds.indexed_pairs(np.array([math.ceil(tokens / max(records, 1))]))[0])
+    index = entries * ENTRY_BYTES + RECORD_BYTES
+    sent = entries * ENTRY_BYTES + RECORD_BYTES * blocks * (1 - (1 - 1 / blocks) ** entries)
+    if sent <= AT_ONCE * index:
+        return blocks
+    each = blocks / math.ceil(sent / (A_ROUND * index))
+    return max(1, int(each) // cores * cores if each >= cores else int(each))
+
+
 def _parity(tokens: np.ndarray, edges: np.ndarray) -> np.ndarray:
     n, bits = len(edges) - 1, 64 * PARITY_WORDS
     of = np.repeat(np.arange(n), np.diff(edges))
@@ -206,6 +224,12 @@ def near_duplicates(rows: DataFrame, key: str, title: str, body: str, k: int = 5
     no part: null and empty texts give no row. Similarity is inclusive. The whole text counts, however long. Other columns are
     pruned; an empty table gives two empty tables. Runs are compared by 48-bit hashes.
     """
+    with shuffles_freed(rows.sparkSession):
+        return _near_duplicates(rows, key, title, body, k, threshold, least_words, sketch_bits, bitmap_bits, block_entries, hot_entry)
+
+
+def _near_duplicates(rows: DataFrame, key: str, title: str, body: str, k: int, threshold: float, least_words: int,
+                     sketch_bits: int | None, bitmap_bits: int | None, block_entries: int, hot_entry: int) -> tuple[DataFrame, DataFrame]:
     picked = rows.select(F.col(key).cast("bigint").alias("key"), F.col(title).alias("title"), F.col(body).alias("body"))
     bounds = Bounds(threshold)
     sketch_bits = sketch_bits or bits_for(picked.count(), SKETCH_SLOTS, SKETCH_LEAST, SKETCH_MOST)
@@ -226,15 +250,19 @@ def near_duplicates(rows: DataFrame, key: str, title: str, body: str, k: int = 5
         for i, p in zip(used, packed):
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((None, pa.int64()), (None, pa.int64()), (None, pa.int32()), (part, pa.int64()), (i, pa.int32()), (p, pa.binary()))], names=names)
 
-    first = materialise(picked.mapInArrow(counted, "key bigint, set bigint, n int, part bigint, block int, counts binary"), "neardup-counts")
-    signatures = first.where(F.col("block").isNull()).select("key", "set", "n")
+    counts_path = scratch_path(rows.sparkSession, "neardup-counts")
+    first = stored(picked.mapInArrow(counted, "key bigint, set bigint, n int, part bigint, block int, counts binary"), counts_path)
+    signatures = materialise(first.where(F.col("block").isNull()).select("key", "set", "n"), "neardup-signatures")
     counts = merged_sketch(first.where(F.col("block").isNotNull()).select("part", "block", "counts"), sketch_bits)
+    discard(rows.sparkSession, counts_path)
     rarity = share(rows, np.minimum(np.round(np.log2(counts.astype(np.float64) + 1) * STEPS), 255).astype(np.uint8))
-    indexed = signatures.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    records, indexed = signatures.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     cores = rows.sparkSession.sparkContext.defaultParallelism
     blocks = cores * max(1, math.ceil(indexed / block_entries / cores))
+    of_round = _round_blocks(records, indexed, blocks, cores, bounds)
+    rounds = math.ceil(blocks / of_round)
 
-    def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for batch in (b.slice(i, PART_RECORDS) for b in batches for i in range(0, len(b), PART_RECORDS)):
             held: list[tuple] = []
             for keys, tokens, edges in _sets(batch, k, least_words):
@@ -252,16 +280,43 @@ def near_duplicates(rows: DataFrame, key: str, title: str, body: str, k: int = 5
                 continue
             shift = np.cumsum([0] + [len(h[2]) for h in held])
             entry, of = np.concatenate([h[0] for h in held]), np.concatenate([h[1] + s for h, s in zip(held, shift)])
-            sets, sizes, parity = (np.concatenate([h[i] for h in held]) for i in (2, 3, 4))
-            block = ((entry >> np.uint64(40)) % np.uint64(blocks)).astype(np.int64)
-            order = np.argsort(block, kind="stable")
-            cuts = np.searchsorted(block[order], np.arange(blocks + 1))
-            for i in np.flatnonzero(np.diff(cuts)):
-                at = order[cuts[i] : cuts[i + 1]]
-                used, local = np.unique(of[at], return_inverse=True)
-                cells = [pack_tokens(entry[at] & np.uint64((1 << 48) - 1)), local.astype("<u2").tobytes(), sets[used].astype("<i8").tobytes(),
-                         sizes[used].astype("<i4").tobytes(), parity[used].tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *[pa.array([c], pa.binary()) for c in cells]], names=["block", "entry", "doc", "sets", "sizes", "parity"])
+            yield entry & np.uint64((1 << 48) - 1), of, *(np.concatenate([h[i] for h in held]) for i in (2, 3, 4))
+
+    def in_blocks(entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        block = ((entry >> np.uint64(20)) % np.uint64(blocks)).astype(np.int64)
+        order = np.argsort(block, kind="stable")
+        return block[order], order
+
+    def sent(start: int, entry: np.ndarray, of: np.ndarray, sets: np.ndarray, sizes: np.ndarray, parity: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Rows for the blocks of the round that begins with block ``start``, in whose blocks all entries lie."""
+        block, order = in_blocks(entry)
+        cuts = np.searchsorted(block, np.arange(start, start + of_round + 1))
+        for i in np.flatnonzero(np.diff(cuts)):
+            at = order[cuts[i] : cuts[i + 1]]
+            used, local = np.unique(of[at], return_inverse=True)
+            cells = [pack_tokens(entry[at]), local.astype("<u2").tobytes(), sets[used].astype("<i8").tobytes(), sizes[used].astype("<i4").tobytes(), parity[used].tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *[pa.array([c], pa.binary()) for c in cells]], names=["block", "entry", "doc", "sets", "sizes", "parity"])
+
+    def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts(batches):
+            yield from sent(0, *part)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The index: a row for each part, with columns for the entries of each round, so a round reads only its own."""
+        for entry, of, sets, sizes, parity in parts(batches):
+            block, order = in_blocks(entry)
+            cuts = np.searchsorted(block, np.arange(rounds + 1) * of_round)
+            cells = [sets.astype("<i8").tobytes(), sizes.astype("<i4").tobytes(), parity.tobytes()]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                cells += [pack_tokens(entry[order[a:b]]), of[order[a:b]].astype("<u2").tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells], names=["sets", "sizes", "parity", *entries_of])
+
+    def resent(start: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                entry, of, sets, sizes, parity = (c[i].as_py() for c in batch.columns)
+                entry, parity = unpack_tokens(entry), np.frombuffer(parity, "<u8").reshape(-1, PARITY_WORDS)
+                yield from sent(start, entry, np.frombuffer(of, "<u2").astype(np.int64), np.frombuffer(sets, "<i8"), np.frombuffer(sizes, "<i4"), parity)
 
     def joined(table: pa.Table) -> pa.Table:
         cell = lambda name, kind: [np.frombuffer(x, dtype=kind) for x in table.column(name).to_pylist()]
@@ -275,8 +330,25 @@ def near_duplicates(rows: DataFrame, key: str, title: str, body: str, k: int = 5
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
         return pa.table({"set_a": pairs[:, 0], "set_b": pairs[:, 1]})
 
-    index = picked.mapInArrow(posted, "block int, entry binary, doc binary, sets binary, sizes binary, parity binary")
-    pairs = index.repartitionById(blocks, "block").groupBy("block").applyInArrow(joined, "set_a bigint, set_b bigint").distinct()
+    row = "block int, entry binary, doc binary, sets binary, sizes binary, parity binary"
+
+    def paired(index: DataFrame) -> DataFrame:
+        return index.repartitionById(of_round, "block").groupBy("block").applyInArrow(joined, "set_a bigint, set_b bigint").distinct()
+
+    if rounds == 1:
+        pairs = paired(picked.mapInArrow(posted, row))
+    else:
+        entries_of = [f"{c}_{r}" for r in range(rounds) for c in ("entry", "doc")]
+        index_path = scratch_path(rows.sparkSession, "neardup-index")
+        # A row is large, so row groups are closed after few rows.
+        index = stored(picked.mapInArrow(kept, ", ".join(f"{c} binary" for c in ("sets", "sizes", "parity", *entries_of))), index_path,
+                       **{"parquet.block.size": str(1 << 25), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"})
+        found_in = []
+        for r in range(rounds):
+            again = index.select(f"entry_{r}", f"doc_{r}", "sets", "sizes", "parity").mapInArrow(partial(resent, r * of_round), row)
+            found_in.append(materialise(paired(again), "neardup-round"))
+        discard(rows.sparkSession, index_path)
+        pairs = reduce(DataFrame.unionByName, found_in).distinct()
     classes = signatures.groupBy("set").agg(F.min("key").alias("rep"))
     classes = materialise(classes, "neardup-classes")
     members = signatures.select("key", "set").join(classes, "set").select("key", "rep")
@@ -300,7 +372,8 @@ def near_duplicates(rows: DataFrame, key: str, title: str, body: str, k: int = 5
                 cells = [[short(ranked[a:b]) for a, b in first], [short(tokens[a:b]) for a, b in first], [pack_tokens(tokens[a:b]) for a, b in zip(edges[:-1], edges[1:])]]
                 yield pa.RecordBatch.from_arrays([keys, *(pa.array(c, pa.binary()) for c in cells)], names=["rep", "rare", "hashed", "tokens"])
 
-    found = materialise(flagged.mapInArrow(whole_sets, "rep bigint, rare binary, hashed binary, tokens binary"), "neardup-sets")
+    sets_path = scratch_path(rows.sparkSession, "neardup-sets")
+    found = stored(flagged.mapInArrow(whole_sets, "rep bigint, rare binary, hashed binary, tokens binary"), sets_path)
 
     def beside(pairs: DataFrame, *columns: str) -> DataFrame:
         for side in ("a", "b"):
@@ -328,7 +401,9 @@ def near_duplicates(rows: DataFrame, key: str, title: str, body: str, k: int = 5
             out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(similarity)], names=["rep_a", "rep_b", "similarity"])
             yield out.filter(pa.array(similarity >= threshold - 1e-12))
 
-    return members, beside(alike, "tokens").mapInArrow(verified, "rep_a bigint, rep_b bigint, similarity double")
+    links = materialise(beside(alike, "tokens").mapInArrow(verified, "rep_a bigint, rep_b bigint, similarity double"), "neardup-links")
+    discard(rows.sparkSession, sets_path)
+    return members, links
 
 
 def all_pairs(members: DataFrame, links: DataFrame) -> DataFrame:

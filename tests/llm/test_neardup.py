@@ -151,3 +151,27 @@ def test_ties_of_the_order_are_global():
     sets = np.arange(2, dtype=np.int64)
     cells, of = neardup._cells(entry, np.array([0, 1]), np.array([0, 80]), sets, 100)  # about 2 ** 10 records: eleven lots
     assert cells[0] == 8 and list(of) == [0] + [1] * 11 and len(set(cells.tolist())) == 12
+
+
+def test_many_blocks_are_compared_in_rounds(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    texts = made(300, 8)
+    df = spark.createDataFrame([(i, "", x) for i, x in enumerate(texts)], "key bigint, title string, body string")
+    sent, plain = [], type(df).repartitionById
+
+    def measured(self, n, by):
+        row = self.agg(*[F.coalesce(F.sum(F.length(c)), F.lit(0)).alias(c) for c in ("entry", "doc", "sets", "sizes", "parity")]).first()
+        sent.append((sum(row), row["entry"] + row["doc"]))
+        return plain(self, n, by)
+
+    monkeypatch.setattr(type(df), "repartitionById", measured)
+    found = []
+    for block_entries in (1 << 40, 50):
+        sent.clear()
+        members, links = neardup.near_duplicates(df, "key", "title", "body", k=3, threshold=0.7, block_entries=block_entries)
+        found.append({tuple(r) for r in neardup.all_pairs(members, links).collect()})
+    assert found[0] == found[1] and found[0]
+    # However many blocks a record has entries in, what is sent at once stays near the size of the index.
+    assert max(s for s, _ in sent) < 2 * sum(e for _, e in sent), sent
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
