@@ -66,6 +66,26 @@ def shuffles_freed(spark: SparkSession) -> Iterator[None]:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextmanager
+def measured_broadcasts(spark: SparkSession) -> Iterator[None]:
+    """Inside, a table is broadcast only where its rows were counted at run time, never by the planner's guess: that starts from the
+    compressed size of files and knows nothing of how many rows an explode makes, so it can be a hundred times too low."""
+    guessed, counted = spark.conf.get(_GUESSED), spark.conf.get(_COUNTED, None)
+    spark.conf.set(_COUNTED, counted or guessed)
+    spark.conf.set(_GUESSED, "-1")
+    try:
+        yield
+    finally:
+        spark.conf.set(_GUESSED, guessed)
+        if counted:
+            spark.conf.set(_COUNTED, counted)
+        else:
+            spark.conf.unset(_COUNTED)
+
+
+_GUESSED, _COUNTED = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers, once for each Spark application, so that they need not have it installed."""
     sc = spark.sparkContext

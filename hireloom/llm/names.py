@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hireloom.common import materialise, pairs_within, slots
+from hireloom.common import materialise, measured_broadcasts, pairs_within, slots
 from hireloom.llm.linking import fold, within_one_edit, within_two_edits
 
 # Legal forms, and places that name a branch.
@@ -192,6 +192,11 @@ def link_names(names: DataFrame, name: str) -> DataFrame:
     Null, empty and blank names give no row; names without a letter or digit stay alone. Ties of frequency go to the spelling with
     fewer signs, then to the lower by code points, so the result doesn't depend on the order of rows. Repeated rows count.
     """
+    with measured_broadcasts(names.sparkSession):
+        return _link_names(names, name)
+
+
+def _link_names(names: DataFrame, name: str) -> DataFrame:
     counted = names.where(F.col(name).isNotNull() & (F.trim(F.col(name)) != "")).groupBy(F.col(name).alias("name")).agg(F.count(F.lit(1)).alias("n"))
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,5 +240,7 @@ def link_names(names: DataFrame, name: str) -> DataFrame:
 
 def name_pairs(roots: DataFrame) -> DataFrame:
     """(name_a, name_b), name_a < name_b by code points: all pairs of spellings of one organisation; large groups meet in cells."""
-    placed, sizes = slots(roots.select("root", "name"), "root", "name")
-    return pairs_within(placed, sizes, "root", "name").withColumnsRenamed({"key_a": "name_a", "key_b": "name_b"})
+    with measured_broadcasts(roots.sparkSession):
+        placed, sizes = slots(roots.select("root", "name"), "root", "name")
+        pairs = pairs_within(placed, sizes, "root", "name").withColumnsRenamed({"key_a": "name_a", "key_b": "name_b"})
+        return materialise(pairs, "names-pairs")

@@ -57,3 +57,24 @@ def test_every_likely_pair_is_compared(spark, monkeypatch):
         got = {tuple(x) for x in nm._candidates(df).collect()}
         assert want <= got, sorted(want - got)[:5]
     assert nm.link_names(spark.createDataFrame([("stripe",), ("stripe",), ("strpie",)], "name string"), "name").where(F.col("root") == "stripe").count() == 2
+
+
+def test_no_broadcast_by_the_size_of_a_file(spark, monkeypatch):
+    import random
+
+    r = random.Random(5)
+    rows = [f"{''.join(r.choices('abcdefghijklmno', k=11))} {r.choice(('Global', 'Data'))} Insurance" for _ in range(400)]
+    df = spark.createDataFrame([(x,) for x in [*rows, *rows[:200], *(x.replace("Insurance", "Ins.") for x in rows[:100])]], "name string")
+    plans, plain = [], nm.materialise
+
+    def planned(d, name):
+        plans.append(d._jdf.queryExecution().sparkPlan().toString())
+        return plain(d, name)
+
+    monkeypatch.setattr(nm, "materialise", planned)
+    roots = nm.link_names(df, "name")
+    got = {x["name"]: x["root"] for x in roots.collect()}
+    assert all(got[x.replace("Insurance", "Ins.")] == x for x in rows[:100])
+    assert nm.name_pairs(roots).count() >= 100
+    assert len(plans) > 4 and not [p for p in plans if "BroadcastHashJoin" in p]
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b" and spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) is None
